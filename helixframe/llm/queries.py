@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import table
 from helixframe.llm.exact_dedup import exact_dedup
+from helixframe.llm.fingerprints import document_fingerprints
+from helixframe.llm.license_scan import ENDS, LOWER, MAX_GAP, RULES, SENTENCES, UPPER, license_scan, normalised
 from helixframe.llm.mixing import mix
 from helixframe.llm.packing import pack
+from helixframe.llm.secrets import secret_scan
 from helixframe.llm.simhash import near_dedup
+from helixframe.llm.token_counts import encoded_lengths, length_histogram, with_truncation
 from helixframe.llm.toxicity import score_toxicity, train
+from helixframe.llm.url_filter import ALPHABET, LEAST_SEEN, ORDER, SCALE, SMOOTHING, filter_urls
+from helixframe.llm.url_filter import RULES as URL_RULES
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +24,23 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents")).drop("_key")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_truncation(length_histogram(encoded_lengths(table(spark, sf_dir, "documents"))))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -31,14 +50,119 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages")).drop("score")
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash_near_dedup, op6_toxicity, op7_mix_sources, op10_best_fit_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_license_scan,
+        op3_simhash_near_dedup,
+        op4_secret_scan,
+        op5_token_counts,
+        op6_toxicity,
+        op7_mix_sources,
+        op8_url_filter,
+        op9_document_fingerprints,
+        op10_best_fit_packing,
+    )
+}
 
 _WS = r"[\x20\x09-\x0D]+"
 
+
+
+def _license_sql() -> str:
+    known = ", ".join(f"('{normalised(x)}', {i + 1})" for i, x in enumerate(SENTENCES))
+    steps, left, uses = [], "marks", {}
+    for at, (name, rule) in enumerate(RULES):
+        mark = "".join(f"<{i}>" for i in rule)
+        steps.append(
+            f"l{at} AS (SELECT *, replace({left}, '{mark}', '|') AS left{at}, "
+            f"((length({left}) - length(replace({left}, '{mark}', '|'))) // {len(mark) - 1}) AS uses{at} FROM {f'l{at - 1}' if at else 'm'})"
+        )
+        left = f"left{at}"
+        uses.setdefault(name, []).append(f"uses{at}")
+    told = ", ".join(f"CASE WHEN {'+'.join(u)} > 0 THEN '{name}:' || ({'+'.join(u)})::varchar END" for name, u in uses.items())
+    return rf"""
+        WITH known(sentence, id) AS (VALUES {known}),
+        d AS (
+            SELECT row_number() OVER () AS rid, doc_id,
+                   string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ENDS}', chr(10), 'g'),
+                                               '[^a-z0-9\n]+', ' ', 'g'), chr(10)) AS parts
+            FROM documents),
+        s AS (
+            SELECT rid, doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM d),
+        i AS (
+            SELECT s.rid, s.doc_id, s.pos, coalesce(known.id, 0) AS id
+            FROM s LEFT JOIN known ON known.sentence = trim(s.part) WHERE trim(s.part) <> ''),
+        g AS (
+            SELECT rid, count(*) AS n_sentences, count(*) FILTER (id > 0) AS n_known,
+                   string_agg(id::varchar, ',' ORDER BY pos) FILTER (id > 0) AS sentence_ids,
+                   string_agg(CASE WHEN id > 0 THEN '<' || id::varchar || '>' ELSE '.' END, '' ORDER BY pos) AS raw
+            FROM i GROUP BY rid),
+        m AS (
+            SELECT d.doc_id, coalesce(g.n_sentences, 0) AS n_sentences, coalesce(g.n_known, 0) AS n_known, coalesce(g.sentence_ids, '') AS sentence_ids,
+                   regexp_replace(regexp_replace(coalesce(g.raw, ''), '\.{{{MAX_GAP + 1},}}', '|', 'g'), '\.', '', 'g') AS marks
+            FROM d LEFT JOIN g ON d.rid = g.rid),
+        {", ".join(steps)}
+        SELECT doc_id, n_sentences, n_known, sentence_ids, concat_ws(',', {told}) AS licenses,
+               array_to_string(regexp_extract_all({left}, '<([0-9]+)>', 1), ',') AS unmatched
+        FROM l{len(RULES) - 1}
+    """
+
+
+def _url_sql() -> str:
+    fits = [
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{{}}'" for _, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    ]
+    ordered = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = "CASE " + " ".join(f.format(h + p) for f, (_, h, p) in zip(fits, ordered, strict=True)) + " END"
+    verdict = "CASE " + " ".join(f.format(v) for f, (v, _, _) in zip(fits, ordered, strict=True)) + " END"
+    room = SMOOTHING * ALPHABET
+    return rf"""
+        WITH u AS (
+            SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url,
+                   CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+            FROM pages),
+        h AS (SELECT *, regexp_extract(rest, '\A[^/?#]*') AS raw_host FROM u),
+        p AS (
+            SELECT rid, page_id, translate(url, '{UPPER}', '{LOWER}') AS low, translate(raw_host, '{UPPER}', '{LOWER}') AS host,
+                   regexp_extract(substr(rest, length(raw_host) + 1), '\A[^?#]*') AS path
+            FROM h),
+        r AS (SELECT *, {rule} AS rule, {verdict} AS ruled FROM p),
+        f AS (
+            SELECT rid, ruled, unnest(list_transform(range(1, length(low) + 1), lambda i: substr(repeat(chr(2), {ORDER}) || low, i, {ORDER + 1}))) AS gram4
+            FROM r),
+        c AS (
+            SELECT size, right(gram4, size) AS gram, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad
+            FROM f, range(1, {ORDER + 2}) s(size) WHERE ruled IS NOT NULL GROUP BY ALL),
+        x AS (SELECT size, left(gram, size - 1) AS context, sum(good) AS all_good, sum(bad) AS all_bad FROM c GROUP BY ALL),
+        m AS (
+            SELECT c.gram, c.size, round({SCALE} * (ln((good + {SMOOTHING}::double) / (all_good + {room}::double)) - ln((bad + {SMOOTHING}::double) / (all_bad + {room}::double))))::bigint AS gain
+            FROM c JOIN x ON c.size = x.size AND left(c.gram, c.size - 1) = x.context WHERE good + bad >= {LEAST_SEEN}),
+        b AS (
+            SELECT g.gram4, arg_max(m.gain, m.size) AS gain
+            FROM (SELECT DISTINCT gram4 FROM f) g, range(1, {ORDER + 2}) s(size) JOIN m ON m.size = s.size AND m.gram = right(g.gram4, s.size) GROUP BY g.gram4),
+        t AS (SELECT f.rid, floor(coalesce(sum(b.gain), 0)::double / count(*))::bigint AS score FROM f LEFT JOIN b ON f.gram4 = b.gram4 GROUP BY f.rid),
+        a AS (SELECT r.*, coalesce(t.score, 0) AS score FROM r LEFT JOIN t ON r.rid = t.rid),
+        k AS (SELECT (avg(score) FILTER (ruled = 'allow') + avg(score) FILTER (ruled = 'block')) / 2 AS threshold FROM a)
+        SELECT page_id, host, path, rule,
+               coalesce(ruled, CASE WHEN k.threshold IS NULL OR score >= k.threshold THEN 'allow' ELSE 'block' END) AS verdict
+        FROM a, k
+    """
+
+
 ORACLE_SQL = {
     "op1_exact_dedup": rf"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g') AS t FROM documents),
@@ -46,6 +170,8 @@ ORACLE_SQL = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t
     """,
+    "op2_license_scan": _license_sql(),
+    "op8_url_filter": _url_sql(),
     "op7_mix_sources": r"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
