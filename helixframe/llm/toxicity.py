@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import text_of
+from helixframe.llm.common import settle, text_of
 
 #: The most labelled rows a model is fitted on; those with the smallest hash of their id.
 MAX_LABELLED = 8_000
@@ -102,71 +102,79 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.margin(words_of(text)), -500, 500))))
 
 
-def _features(kinds):
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen: dict[str, list[int]] = {}
+        for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for f in features_of(words_of(text)):
+                seen.setdefault(f, [0, 0])[label > 0] += 1
+        clean, toxic = (pa.array([n[i] for n in seen.values()], pa.int64()) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), clean, toxic], names=["feature", "clean", "toxic"])
+
+
+def choose_features(sample: DataFrame, clean: int, toxic: int, min_rows: int, min_share: float, min_chi2: float) -> list[str]:
+    """Features of (toxic, text) rows that tell the labels apart, in order of code points.
+
+    Those in fewer than min_rows rows, in less than min_share of either label's rows, or
+    with a smaller chi-square against the label are left out. How many there can be is
+    bounded by the features of the sample's rows divided by min_share.
+    """
+    counts = sample.mapInArrow(_counts, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("b"), F.sum("toxic").alias("a"))
+    a, b, c, d = (x.cast("double") for x in (F.col("a"), F.col("b"), F.lit(toxic) - F.col("a"), F.lit(clean) - F.col("b")))
+    chi2 = (clean + toxic) * (a * d - b * c) * (a * d - b * c) / ((a + b) * F.greatest(c + d, F.lit(1e-9)) * clean * toxic)
+    kept = counts.filter((a + b >= min_rows) & (F.greatest(a / toxic, b / clean) >= min_share) & (chi2 >= min_chi2) & (c + d > 0))
+    return sorted(r["feature"] for r in kept.select("feature").collect())
+
+
+def _places(kinds, features: list[str]):
+    index = {f: i for i, f in enumerate(features)}
+
+    def known(words: set[str]) -> list[int]:
+        return sorted(index[f] for f in features_of(words) if f in index)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            words = [sorted(features_of(words_of(t))) for t in texts]
-            swaps = [[sorted(features_of(s)) for s in swapped(t, kinds)] for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array(words, pa.list_(pa.string())), pa.array(swaps, pa.list_(pa.list_(pa.string())))],
-                names=["toxic", "words", "swaps"],
-            )
+            found = pa.array([known(words_of(t)) for t in texts], pa.list_(pa.int32()))
+            swaps = pa.array([[known(s) for s in swapped(t, kinds)] for t in texts], pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), found, swaps], names=["toxic", "found", "swaps"])
 
-    return features
+    return places
 
 
-def _matrix(rows: list, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and column numbers of the ones."""
-    pairs = [(i, index[w]) for i, words in enumerate(rows) for w in words if w in index]
-    both = np.array(pairs, np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+def _ones(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and column numbers."""
+    sizes = [len(r) for r in rows]
+    columns = np.fromiter((c for r in rows for c in r), np.int64, sum(sizes))
+    return np.repeat(np.arange(len(rows)), sizes), columns
 
 
 def fit(
-    rows: list[tuple[int, list[str], list[list[str]]]],
-    min_rows: int = 5,
-    min_share: float = 0.03,
-    min_chi2: float = 20.0,
+    rows: list[tuple[int, list[int], list[list[int]]]],
+    features: list[str],
     l1: float = 1e-3,
     l2: float = 1e-5,
     counterfactual: float = 1.0,
     rounds: int = 400,
 ) -> ToxicityModel:
-    """Fit to (toxic, words, swapped versions' words) rows.
+    """Fit to (toxic, places in features, the same of each swapped version) rows.
 
-    Words in fewer than min_rows rows, in less than min_share of either label's rows, or with a smaller chi-square against the label are
-    left out, but identity terms of swapped versions stay so that the penalty sees them.
-    Without rows of both labels the model scores everything alike.
+    Without rows of both labels, or without features, the model scores everything alike.
     """
     y = np.array([r[0] for r in rows], np.float64)
     n, positive = len(y), float(y.sum())
     if not n or positive in (0, n):
-        return ToxicityModel(bias=0.0 if not n else (5.0 if positive else -5.0))
-    seen: dict[str, list[int]] = {}
-    for label, words, _ in rows:
-        for w in words:
-            counts = seen.setdefault(w, [0, 0])
-            counts[label] += 1
-    index: dict[str, int] = {}
-    for w in sorted(seen):
-        b, a = seen[w]
-        if a + b < min_rows or max(a / positive, b / (n - positive)) < min_share:
-            continue
-        c, d = positive - a, n - positive - b
-        below = (a + b) * (c + d) * positive * (n - positive)
-        if below and n * (a * d - b * c) ** 2 / below >= min_chi2:
-            index[w] = len(index)
-    if not index:
+        return ToxicityModel(bias=-5.0 if not positive else 5.0)
+    if not features:
         return ToxicityModel(bias=float(np.log(positive / (n - positive))))
-    ri, ci = _matrix([r[1] for r in rows], index)
+    ri, ci = _ones([r[1] for r in rows])
     origin = [(i, s) for i, r in enumerate(rows) for s in r[2]]
-    si, sc = _matrix([s for _, s in origin], index)
+    si, sc = _ones([s for _, s in origin])
     of = np.array([i for i, _ in origin], np.int64)
-    m, balance = len(index), np.where(y > 0, n / (2 * positive), n / (2 * (n - positive)))
+    m, balance = len(features), np.where(y > 0, n / (2 * positive), n / (2 * (n - positive)))
     w, v, bias, vb, t = np.zeros(m), np.zeros(m), 0.0, 0.0, 1.0
     longest = max(np.bincount(ri, minlength=n).max(), 1)
-    step = 1 / (0.25 * balance.max() * (longest + 1) * 0.2 + l2 + counterfactual * (longest if len(of) else 0))
+    step = 1 / (0.05 * balance.max() * (longest + 1) + l2 + (4 * counterfactual * longest if len(of) else 0))
     for _ in range(rounds):  # accelerated proximal gradient
         margin = np.bincount(ri, weights=v[ci], minlength=n) + vb
         p = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
@@ -182,8 +190,7 @@ def fit(
         new_b, new_t = vb - step * grad_b, (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / new_t * (new - w), new_b + (t - 1) / new_t * (new_b - bias)
         w, bias, t = new, new_b, new_t
-    known = {word: float(w[i]) for word, i in index.items() if w[i]}
-    return ToxicityModel(float(bias), known)
+    return ToxicityModel(float(bias), {f: float(x) for f, x in zip(features, w, strict=True) if x})
 
 
 def train(
@@ -194,6 +201,9 @@ def train(
     label_col: str = "toxic",
     identity_terms=IDENTITY_TERMS,
     max_labelled: int = MAX_LABELLED,
+    min_rows: int = 5,
+    min_share: float = 0.03,
+    min_chi2: float = 20.0,
     **fitting,
 ) -> ToxicityModel:
     """A model from the labelled rows whose id isn't held out.
@@ -208,10 +218,12 @@ def train(
         .limit(max_labelled)
     )
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_label_id")).select("toxic", "text")
-    found = rows.mapInArrow(_features(identity_terms), "toxic int, words array<string>, swaps array<array<string>>")
-    unique = {(r["toxic"], tuple(r["words"])): r for r in found.toLocalIterator(prefetchPartitions=True)}
-    return fit([(k[0], k[1], unique[k]["swaps"]) for k in sorted(unique)], **fitting)
+    sample = settle(texts.join(F.broadcast(chosen), F.col("_id") == F.col("_label_id")).select("toxic", "text").distinct())
+    clean, toxic = (r or 0 for r in sample.agg(F.sum(F.expr("int(toxic = 0)")), F.sum(F.expr("int(toxic > 0)"))).first())
+    features = choose_features(sample, clean, toxic, min_rows, min_share, min_chi2) if clean and toxic else []
+    found = sample.mapInArrow(_places(identity_terms, features), "toxic int, found array<int>, swaps array<array<int>>")
+    rows = sorted((int(r["toxic"] > 0), r["found"], r["swaps"]) for r in found.collect())
+    return fit(rows, features, **fitting)
 
 
 def held_out(id_col: str):
