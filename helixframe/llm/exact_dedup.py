@@ -101,11 +101,11 @@ def exact_dedup(
         width *= 2
     identity = reduce(DataFrame.unionByName, done)
     rows = settle(compact.drop("hashes", "n_blocks").join(identity, "_rid"))
-    groups = rows.groupBy("n_blocks", "name").agg(
+    groups = settle(rows.groupBy("n_blocks", "name").agg(
         F.min("_id").alias("keep_id"),
         F.count("*").alias("group_size"),
         F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id"), F.col("_rid"))).getField("_rid").alias("_keep_rid"),
-    )
+    ))  # read from a table, so that Spark can split a hot group on the other side of the join
     return rows.join(groups, ["n_blocks", "name"]).select(
         F.col("_id").alias(id_col),
         "keep_id",
