@@ -240,7 +240,7 @@ def near_dedup(
     prints = settle(rows.groupBy("fp").agg(F.min("_id").alias("low")))
     roots = settle(components(fingerprint_links(prints.select("fp"), radius, shard_rows)))
     joined = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
+    lows = settle(joined.groupBy("root").agg(F.min("low").alias("component_id")))
     labels = joined.join(lows, "root").select("fp", "component_id")
     return rows.join(labels, "fp").select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "_key"
@@ -364,7 +364,7 @@ def similar_components(
     marked = rows.select("_id", "_key", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left")
     marked = settle(marked.select("_id", "_key", F.coalesce("root", "own").alias("root"), F.monotonically_increasing_id().alias("_rid")))
     lowest = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("low"), F.col("_rid").alias("rid")))
-    lows = marked.groupBy("root").agg(lowest.alias("lowest"))
+    lows = settle(marked.groupBy("root").agg(lowest.alias("lowest")))
     return marked.join(lows, "root").select("_id", "_key", F.col("lowest.low").alias("component_id"), (F.col("_rid") == F.col("lowest.rid")).alias("first"))
 
 
