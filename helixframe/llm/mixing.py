@@ -17,7 +17,7 @@ from helixframe.llm.common import matching_rows, row_key, settle, text_of, word_
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = (3, 2)  # 150 % of all words
 MAX_EPOCHS = 2
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 4_000
 #: Leading hex digits of the order key that make up the range number.
 RANGE_DIGITS = 8
 #: The most sources whose targets, a hundred bytes each, are broadcast.
