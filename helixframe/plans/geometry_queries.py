@@ -155,10 +155,10 @@ def padded_bins(spark, d):
     return table(spark, d, "embeddings").select("vec_id", a.padded_circle(e).cast("array<double>").alias("circle"), a.padded_mirror(e).cast("array<double>").alias("mirror"))
 
 
-@query(f"WITH {_SOFT} SELECT vec_id, list_transform(p, lambda x: round(-ln((x + 0.0001::double) / (p[64] + 0.0001::double)), 6)) AS potential FROM p")
+@query(f"WITH {_SOFT} SELECT vec_id, list_transform(p, lambda x: round(-ln((x + 0.0001::double) / (p[64] + 0.0001::double)), 6) + 0::double) AS potential FROM p")
 def angle_potential(spark, d):
     probs = table(spark, d, "embeddings").select("vec_id", a.softmax(F.col("embedding")).alias("p"))
-    return probs.select("vec_id", F.transform(a.angle_potential(F.col("p")), lambda x: F.round(x, 6)).alias("potential"))
+    return probs.select("vec_id", F.transform(a.angle_potential(F.col("p")), lambda x: F.round(x, 6) + 0.0).alias("potential"))
 
 
 _PAIRS = """h AS (SELECT (vec_id // 25)::int AS i, (vec_id % 25)::int AS j, (vec_id // 500)::int AS part, vec_id % 7 / 7.0::double AS mask,

@@ -166,19 +166,21 @@ def argmax_rep(spark, d):
     return selection.representative(table(spark, d, "nation"), ["n_regionkey"], "n_nationkey", "n_name").select("n_regionkey", "n_name", "n_nationkey")
 
 
-@query("SELECT o_custkey, round(avg(o_totalprice), 4) AS price FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, round(avg(o_totalprice::decimal(14,2))::double, 6) AS price FROM orders GROUP BY o_custkey")
 def ensemble_mean(spark, d):
-    return selection.ensemble_mean(table(spark, d, "orders"), ["o_custkey"], "o_totalprice").select("o_custkey", F.round("o_totalprice", 4).alias("price"))
+    return selection.ensemble_mean(
+        table(spark, d, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(14,2)")), ["o_custkey"], "o_totalprice"
+    ).select("o_custkey", F.col("o_totalprice").cast("double").alias("price"))
 
 
 @query(
     """WITH a AS (SELECT o_custkey AS num, avg(o_totalprice::decimal(14,2))::double AS bfactor FROM orders GROUP BY o_custkey)
-       SELECT num, round(bfactor, 4) AS bfactor FROM (SELECT *, row_number() OVER (ORDER BY bfactor, num) AS r, count(*) OVER () AS n FROM a) WHERE r <= round_even(n * 0.2::double, 0)"""
+       SELECT num, round(bfactor, 6) AS bfactor FROM (SELECT *, row_number() OVER (ORDER BY bfactor, num) AS r, count(*) OVER () AS n FROM a) WHERE r <= round_even(n * 0.2::double, 0)"""
 )
 def bfactor_rank(spark, d):
     orders = table(spark, d, "orders").select(F.lit("A").alias("chain"), F.col("o_custkey").alias("num"), F.col("o_totalprice").cast("decimal(14,2)").alias("bfactor"))
     means = structures.mean_bfactor(orders).withColumn("bfactor", F.col("bfactor").cast("double"))
-    return structures.lowest_share(means, "bfactor", "num", keys=["chain"]).select("num", F.round("bfactor", 4).alias("bfactor"))
+    return structures.lowest_share(means, "bfactor", "num", keys=["chain"]).select("num", F.round("bfactor", 6).alias("bfactor"))
 
 
 @query("SELECT doc_id, length(replace(text, 'X', '')) BETWEEN 27 AND 600 AS valid FROM documents")
