@@ -120,3 +120,19 @@ def hanning_weights(size: int = 13) -> list[float]:
     """Normalised, ends included as zero-free taps."""
     raw = [0.5 - 0.5 * math.cos(2 * math.pi * i / (size - 1)) for i in range(size)]
     return [w / sum(raw) for w in raw]
+
+
+def band_masked(i: Column, j: Column, value: Column, width: int = 8) -> Column:
+    """0 for pairs nearer than width along the chain."""
+    return F.when(F.abs(i - j) < width, F.lit(0.0)).otherwise(value)
+
+
+def pyramid_weight(a: Column, b: Column, first: Column | int, second: Column | int) -> Column:
+    """Weight of a place (a, b) of two windows of the given lengths laid end to end: the lesser distance to its window's edge, plus 1, at most a third of the shorter window."""
+    first, second = (x if isinstance(x, Column) else F.lit(x) for x in (first, second))
+
+    def depth(x: Column) -> Column:
+        inner = F.when(x < first, F.least(x, first - 1 - x)).otherwise(F.least(x - first, first + second - 1 - x))
+        return inner + 1
+
+    return F.least(depth(a), depth(b), F.floor(F.least(first, second) / 3)).cast("int")

@@ -156,3 +156,15 @@ def quadratic_roots(a, b, c) -> Column:
     q = F.when(b >= 0, -b - F.sqrt(d)).otherwise(-b + F.sqrt(d)) / 2
     pair = F.array_sort(F.array(q / a, F.when(q != 0, F.try_divide(c, q)).otherwise(F.lit(0.0))))
     return F.when(d < 0, F.array().cast("array<double>")).when(d == 0, F.array(-b / (2 * a))).otherwise(pair)
+
+
+def intersection_circle(a: Column, ra: Column, b: Column, rb: Column) -> Column:
+    """struct<radius, circumference, angle> of the circle that two spheres share, the angle being its half opening seen from a; null if they don't meet."""
+
+    def circle(d: Column) -> Column:
+        offset = F.try_divide(d * d + ra * ra - rb * rb, 2 * d)
+        radius = F.sqrt(F.greatest(ra * ra - offset * offset, F.lit(0.0)))
+        meets = (d > 0) & (d <= ra + rb) & (d >= F.abs(ra - rb))
+        return F.when(meets, F.struct(radius.alias("radius"), (2 * F.pi() * radius).alias("circumference"), F.atan2(radius, offset).alias("angle")))
+
+    return let(distance(a, b), circle)

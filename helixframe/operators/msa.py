@@ -148,3 +148,9 @@ def coverage_choice(candidates: DataFrame, keys: list[str]) -> DataFrame:
     fit = ranked.withColumn("coverage", coverage).filter("coverage is not null")
     first = F.row_number().over(Window.partitionBy(*keys).orderBy("_o"))
     return fit.withColumn("_f", first).filter("_f = 1").drop("_o", "_n", "_f")
+
+
+def insertion_rate(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, pos, rate): the share of an alignment's rows (insertions: array) with letters inserted before each column."""
+    long = rows.select(*(keys or []), F.posexplode("insertions").alias("pos", "inserted"))
+    return long.groupBy(*(keys or []), "pos").agg(F.avg((F.col("inserted") > 0).cast("double")).alias("rate"))

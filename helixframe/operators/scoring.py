@@ -182,3 +182,8 @@ def score_table(scores: DataFrame, names: list[str]) -> DataFrame:
 def score_matrix(scores: DataFrame, models: list[str]) -> DataFrame:
     """(target, model, value) to a row per target and a column per model."""
     return scores.groupBy("target").pivot("model", models).agg(F.first("value"))
+
+
+def comparison_pairs(targets: DataFrame, models: DataFrame) -> DataFrame:
+    """(target, model): every model against every target, since the operation asks for all of them."""
+    return targets.select("target").crossJoin(models.select("model"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import geometry as g
-from helixframe.functions.text import canonical_atom
+from helixframe.functions.text import ALPHABET, canonical_atom
+from helixframe.operators.forum import threads
 from helixframe.operators.relational import first_match_lookup, pattern_options, range_join
 
 # Names of main-chain atoms.
@@ -239,3 +240,31 @@ def contact_map(ca: DataFrame, cutoff: float = 10.0, keys: list[str] | None = No
     pairs = range_join(ca, ca, cutoff, keys=keys).filter((F.col("l.idx") != F.col("r.idx")) & (F.col("d") < cutoff))
     ks = [F.col(f"l.{k}").alias(k) for k in keys or []]
     return pairs.select(*ks, F.col("l.idx").alias("i"), F.col("r.idx").alias("j"), "d", (F.col("l.chain") != F.col("r.chain")).alias("between_chains"))
+
+
+def topological_order(links: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
+    """(idx, root, depth): the chain a residue belongs to, named by its first one, and its place in it.
+
+    links (from, to) are bonds of which each residue has at most one on either side; nodes
+    (idx) are all residues. Places come from pointer doubling, in rounds that grow with the
+    logarithm of the longest chain.
+    """
+    ups = links.select(F.col("to").alias("idx"), F.col("from").alias("up")).groupBy("idx").agg(F.min("up").alias("up"))
+    return threads(nodes.join(ups, "idx", "left"), "idx", "up", rounds).select("idx", "root", "depth")
+
+
+def neighbour_graph(quadruples: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, node, neighbours): sorted distinct nodes that share a quadruple (an array of four)."""
+    q = F.col("quadruple")
+    pairs = F.flatten(F.transform(q, lambda a: F.transform(F.filter(q, lambda b: b != a), lambda b: F.struct(a.alias("node"), b.alias("other")))))
+    rows = quadruples.select(*(keys or []), F.explode(pairs).alias("p")).select(*(keys or []), "p.node", "p.other")
+    return rows.groupBy(*(keys or []), "node").agg(F.array_sort(F.collect_set("other")).alias("neighbours"))
+
+
+def property_vectors(rows: DataFrame, tables: list[DataFrame], letter_col: str = "letter", length_col: str | None = None) -> DataFrame:
+    """rows with one_hot over the 20 residues, the columns of each table (letter, ...), and relative position where a length is given."""
+    hot = F.transform(F.array(*[F.lit(c) for c in ALPHABET[:20]]), lambda c: F.when(F.col(letter_col) == c, 1.0).otherwise(0.0))
+    out = rows.withColumn("one_hot", hot)
+    for table in tables:
+        out = out.join(table.withColumnRenamed("letter", "_letter"), out[letter_col] == F.col("_letter"), "left").drop("_letter")
+    return out if length_col is None else out.withColumn("position", F.col("pos") / F.col(length_col))

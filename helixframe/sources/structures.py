@@ -115,3 +115,25 @@ def radius_tables(spark: SparkSession, classes_path: str, members_path: str) ->
 def map_image(contacts: DataFrame, value: Column) -> DataFrame:
     """(x, y, value, rgb): pixels of a contact map over dense indices a_idx and b_idx."""
     return contacts.select(F.col("a_idx").alias("x"), F.col("b_idx").alias("y"), value.alias("value"), blue_white_red(value).alias("rgb"))
+
+
+# Names of the scores and how their lines read.
+_TM_LINES = {
+    "TM_score": r"TM-score\s*=\s*([0-9.]+)\s*\(.*d0", "TM_score_GDT_TS": r"GDT-TS-score\s*=\s*([0-9.]+)\s*%", "TM_score_GDT_HA": r"GDT-HA-score\s*=\s*([0-9.]+)\s*%",
+}
+
+
+def tm_scores(rows: DataFrame) -> DataFrame:
+    """(structure_id, TM_score, TM_score_GDT_TS, TM_score_GDT_HA) of score listings; 0 where a line is missing."""
+    found = [F.max(F.regexp_extract("line", pattern, 1).try_cast("double")).alias(name) for name, pattern in _TM_LINES.items()]
+    return rows.groupBy("structure_id").agg(*found).fillna(0.0)
+
+
+def secondary_structure(rows: DataFrame) -> DataFrame:
+    """(structure_id, ss_pred, ss_conf): the second fields of the lines that start with Pred and Conf, joined in order."""
+
+    def joined(word: str) -> Column:
+        part = F.when(F.col("line").startswith(word), F.struct("line_no", F.get(F.split(F.trim("line"), r"\s+"), 1).alias("s")))
+        return F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: F.coalesce(x["s"], F.lit(""))), "")
+
+    return rows.groupBy("structure_id").agg(joined("Pred").alias("ss_pred"), joined("Conf").alias("ss_conf"))
