@@ -237,25 +237,51 @@ def residue_collect(spark, d):
     return structures.residues(rows).drop("chain")
 
 
-@query(
-    f"""WITH {PROFILE}, s AS (SELECT chain, num, CASE WHEN reference > 0 THEN difference / reference ELSE -3 END AS score FROM f),
-        q AS (SELECT chain, min(num) AS lo, max(num) AS hi FROM s GROUP BY chain),
-        g AS (SELECT chain, unnest(range(lo, hi + 1))::int AS num FROM q),
-        o AS (SELECT min(chain) AS first FROM s),
-        z AS (SELECT g.chain, g.num, CASE WHEN g.num = 0 AND g.chain > o.first THEN -2 ELSE coalesce(s.score, -1) END AS score FROM g LEFT JOIN s ON g.chain = s.chain AND g.num = s.num, o)
-        SELECT chain, num, round(score, 6) AS score FROM z
-        UNION ALL SELECT q.chain, 0, -2 FROM q, o WHERE q.chain > o.first AND q.lo > 0"""
-)
+def _local_sql(value: str, name: str) -> str:
+    """CTEs that end in name(chain, num, score)."""
+    return f"""
+        {name}s AS (SELECT chain, num, CASE WHEN reference > 0 THEN {value} ELSE -3 END AS score FROM f),
+        {name}q AS (SELECT chain, min(num) AS lo, max(num) AS hi FROM {name}s GROUP BY chain),
+        {name}g AS (SELECT chain, unnest(range(lo, hi + 1))::int AS num FROM {name}q),
+        {name}o AS (SELECT min(chain) AS first FROM {name}s),
+        {name} AS (
+            SELECT g.chain, g.num, CASE WHEN g.num = 0 AND g.chain > o.first THEN -2 ELSE coalesce(s.score, -1) END AS score
+            FROM {name}g g LEFT JOIN {name}s s ON g.chain = s.chain AND g.num = s.num, {name}o o
+            UNION ALL SELECT q.chain, 0, -2 FROM {name}q q, {name}o o WHERE q.chain > o.first AND q.lo > 0)"""
+
+
+def _blur_sql(source: str, name: str, width: int) -> str:
+    """CTEs that end in name(chain, num, score): on each side the last valid value is held, from the nearest entry on."""
+    steps, last = [], source
+    for way in ("lag", "lead"):
+        held = "score"
+        for k in range(1, width + 1):
+            near = f"{way}(score, {k}) OVER w"
+            here = f"{way}{k}"
+            steps.append(
+                f"{name}{here} AS (SELECT *, CASE WHEN abs({way}(num, {k}) OVER w - num) <= {width} AND {near} > 0 THEN {near} ELSE {held} END AS {here} FROM {last} WINDOW w AS (PARTITION BY chain ORDER BY num))"
+            )
+            held, last = here, f"{name}{here}"
+    total = " + ".join(f"{way}{k}" for way in ("lag", "lead") for k in range(1, width + 1))
+    steps.append(f"{name} AS (SELECT chain, num, CASE WHEN score >= 0 THEN (score + {total}) / {1 + 2 * width} ELSE score END AS score FROM {last})")
+    return ", ".join(steps)
+
+
+@query(f"WITH {PROFILE}, {_local_sql('difference / reference', 'z')} SELECT chain, num, round(score, 6) AS score FROM z")
 def local_scores(spark, d):
     return _rounded(scoring.local_scores(profile(spark, d)), "score", digits=6)
 
 
-@query()
+@query(f"WITH {PROFILE}, {_local_sql('difference / reference', 'z')}, {_blur_sql('z', 'y', 3)} SELECT chain, num, round(score, 6) AS score FROM y")
 def blur_w3(spark, d):
     return _rounded(scoring.blurred(scoring.local_scores(profile(spark, d)), 3), "score", digits=6)
 
 
-@query()
+@query(
+    f"""WITH {PROFILE}, {_local_sql('difference', 'top')}, {_local_sql('reference', 'low')}, {_blur_sql('top', 'u', 2)}, {_blur_sql('low', 'v', 2)}
+        SELECT u.chain, u.num, round(CASE WHEN u.score > 0 AND v.score > 0 THEN u.score / v.score ELSE least(u.score, v.score) END, 6) AS score
+        FROM u JOIN v ON u.chain = v.chain AND u.num = v.num"""
+)
 def blur_ratio(spark, d):
     return _rounded(scoring.blurred_ratio(profile(spark, d), 2), "score", digits=6)
 
