@@ -334,3 +334,30 @@ def test_streaming(spark, tmp_path):
     closed = spark.read.parquet(str(tmp_path / "out"))
     assert rows(closed, "area", "n") == [(3.0, 2), (3.0, 2)]
     assert windowed_areas(frame, keys=["class"]).count() == 3
+
+
+def test_transfer_and_properties(spark):
+    places = spark.createDataFrame([(1, "CA"), (1, "CB"), (2, "CB"), (3, "N")], "pos int, atom string")
+    have = spark.createDataFrame([(1, "CA", (1.0, 0.0, 0.0)), (2, "CA", (2.0, 0.0, 0.0)), (2, "CB", (2.5, 0.0, 0.0))], "pos int, atom string, p struct<x:double,y:double,z:double>")
+    got = {(r["pos"], r["atom"]): r["p"] and r["p"]["x"] for r in structures.transferred(places, have).collect()}
+    assert got == {(1, "CA"): 1.0, (1, "CB"): 1.0, (2, "CB"): 2.5, (3, "N"): None}
+    letters = spark.createDataFrame([(0, "A", 4), (1, "V", 4), (2, "?", 4)], "pos int, letter string, n int")
+    steric = spark.createDataFrame([("A", 1.28), ("V", 3.67)], "letter string, steric double")
+    found = {r["pos"]: r for r in structures.property_vectors(letters, [steric], length_col="n").collect()}
+    assert found[0]["one_hot"][0] == 1.0 and sum(found[0]["one_hot"]) == 1.0
+    assert (found[1]["steric"], found[1]["position"], found[2]["steric"], sum(found[2]["one_hot"])) == (3.67, 0.25, None, 0.0)
+    features = msa.pair_features(spark.createDataFrame([(0,), (1,), (2,)], "pos int"))
+    assert features.count() == 9
+    rows_ = spark.createDataFrame([(i,) for i in range(1000)], "seq int")
+    half = msa.subsample(rows_, 0.5, 1)
+    assert 400 < half.count() < 600
+    assert rows(half) == rows(msa.subsample(rows_.repartition(3), 0.5, 1))
+
+
+def test_stacking(spark):
+    data = [("A", 1, "B", 1, "SS", 5.0), ("A", 1, "B", 2, "SS", 6.0), ("A", 1, "B", 1, "AA", 7.0)]
+    df = spark.createDataFrame(data, CONTACTS)
+    planes = spark.createDataFrame([("A", 1, (0.0, 0.0, 0.0), (0.0, 0.0, 1.0))], "chain string, num int, origin struct<x:double,y:double,z:double>, normal struct<x:double,y:double,z:double>")
+    atoms = spark.createDataFrame([("B", 1, (0.0, 1.0, 2.0)), ("B", 1, (1.0, 0.0, 3.0)), ("B", 2, (0.0, 0.0, 1.0)), ("B", 2, (0.0, 0.0, -1.0))], "chain string, num int, p struct<x:double,y:double,z:double>")
+    added = rows(contacts.stacking_labels(df, planes, atoms).filter("class like 'na%'"), "b_num", "class", "area")
+    assert added == [(1, "na_stacking", 5.0), (1, "na_stacking_up", 5.0), (2, "na_siding", 6.0)]

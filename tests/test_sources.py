@@ -124,3 +124,12 @@ def test_radii(spark, tmp_path):
 def test_map_image(spark):
     frame = spark.createDataFrame([(0, 1, 0.0), (1, 0, 1.0)], "a_idx int, b_idx int, v double")
     assert {r["rgb"] for r in s.map_image(frame, F.col("v")).collect()} == {255, 255 * 65536}
+
+
+def test_score_listings(spark, tmp_path):
+    tm = "x\nTM-score    = 0.7514  (d0= 3.00)\nGDT-TS-score= 0.6612 %(d<1)=0.4 %(d<2)\n"
+    r = s.tm_scores(text(spark, tmp_path, "a.tm", tm)).first()
+    assert (r["TM_score"], r["TM_score_GDT_TS"], r["TM_score_GDT_HA"]) == (0.7514, 0.6612, 0.0)
+    horiz = "Conf: 998\nPred: CCH\n  AA: MKV\n\nConf: 12\nPred: HH\n"
+    r = s.secondary_structure(text(spark, tmp_path, "a.horiz", horiz)).first()
+    assert (r["ss_pred"], r["ss_conf"]) == ("CCHHH", "99812")
