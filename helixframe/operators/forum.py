@@ -49,23 +49,29 @@ def replies_of(rows: DataFrame, topic_id: int, topic_col: str = "topic_id") -> D
     return rows.filter(F.col(topic_col) == topic_id)
 
 
-def threads(comments: DataFrame, id_col: str = "id", parent_col: str = "ansto_id", rounds: int = 64) -> DataFrame:
+def threads(comments: DataFrame, id_col: str = "id", parent_col: str = "ansto_id") -> DataFrame:
     """Adds root and depth to each comment by pointer doubling: rounds grow with the logarithm of the depth.
 
-    A comment whose parent is missing is a root. Comments on a cycle come last with the
-    ids they had reached after all rounds.
+    A comment whose parent is missing is a root. No depth exceeds the number of comments;
+    those that still have further to go then are on a cycle, or hang on one, and have null
+    for both.
     """
     nodes = comments.select(F.col(id_col).alias("node"), F.col(parent_col).alias("up"))
     ids = nodes.select(F.col("node").alias("known"))
     links = nodes.join(ids, F.col("up") == F.col("known"), "left").select("node", F.col("known").alias("up"))
-    links = links.select("node", F.coalesce("up", "node").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"))
-    links = settled(links)
-    for _ in range(rounds):
-        above = links.select(F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        jumped = settled(links.join(above, F.col("up") == F.col("_node")).select("node", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("_depth") > 0).alias("moved")))
-        links = jumped.drop("moved")
-        if jumped.filter("moved").isEmpty():
+    links = links.select("node", F.coalesce("up", "node").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    links = settled(links.withColumn("moved", F.col("depth") > 0))
+    for _ in range(links.count().bit_length() + 1):
+        if links.filter("moved").isEmpty():
             break
+        above = links.select(F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        links = settled(
+            links.join(above, F.col("up") == F.col("_node")).select(
+                "node", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("_depth") > 0).alias("moved")
+            )
+        )
+    done = ~F.col("moved") | (F.col("depth") == 0)
+    links = links.withColumns({"up": F.when(done, F.col("up")), "depth": F.when(done, F.col("depth").cast("int"))})
     found = links.select(F.col("node").alias("_node"), F.col("up").alias("root"), "depth")
     return comments.join(found, comments[id_col] == found["_node"]).drop("_node")
 

@@ -242,7 +242,7 @@ def contact_map(ca: DataFrame, cutoff: float = 10.0, keys: list[str] | None = No
     return pairs.select(*ks, F.col("l.idx").alias("i"), F.col("r.idx").alias("j"), "d", (F.col("l.chain") != F.col("r.chain")).alias("between_chains"))
 
 
-def topological_order(links: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
+def topological_order(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(idx, root, depth): the chain a residue belongs to, named by its first one, and its place in it.
 
     links (from, to) are bonds of which each residue has at most one on either side; nodes
@@ -250,7 +250,7 @@ def topological_order(links: DataFrame, nodes: DataFrame, rounds: int = 64) -> D
     logarithm of the longest chain.
     """
     ups = links.select(F.col("to").alias("idx"), F.col("from").alias("up")).groupBy("idx").agg(F.min("up").alias("up"))
-    return threads(nodes.join(ups, "idx", "left"), "idx", "up", rounds).select("idx", "root", "depth")
+    return threads(nodes.join(ups, "idx", "left"), "idx", "up").select("idx", "root", "depth")
 
 
 def neighbour_graph(quadruples: DataFrame, keys: list[str] | None = None) -> DataFrame:

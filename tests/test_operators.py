@@ -62,6 +62,8 @@ def test_forum(spark):
     assert rows(forum.search(topics, forum.visible(topics, True), "alpha"), "id") == [(1,), (2,), (4,)]
     comments = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 99), (5, 4), (6, 5), (7, 6), (8, 7)], "id long, ansto_id long")
     assert rows(forum.threads(comments), "id", "root", "depth") == [(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 4, 0), (5, 4, 1), (6, 4, 2), (7, 4, 3), (8, 4, 4)]
+    ring = spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 1), (5, None), (6, 5)], "id long, ansto_id long")
+    assert rows(forum.threads(ring), "id", "root", "depth") == [(1, None, None), (2, None, None), (3, None, None), (4, None, None), (5, 5, 0), (6, 5, 1)]
     left = forum.cascade(topics.filter("id <> 2"), spark.createDataFrame([(10, 1), (11, 2), (12, None)], "id long, topic_id long"), "id", "topic_id")
     assert rows(left, "id") == [(10,), (12,)]
 
