@@ -117,11 +117,11 @@ def pack(
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("words") - 1, F.lit(0)), F.lit(bin_words).cast("long"))
     pieces = rows.select("*", F.posexplode(starts).alias("piece", "start"))
     pieces = pieces.withColumn("size", F.least(F.lit(bin_words), F.col("words") - F.col("start")))
+    #  a full piece is a bin of its own, named by its row and its place there
     full = pieces.filter(F.col("size") == bin_words).select(
-        "_id", "source", "piece", "start", "size", F.lit(-1).cast("long").alias("shard"), (F.col("_rid") * 1).alias("_rid")
-    )
-    #  a full piece is a bin of its own, named by the piece's place in its document
-    full = full.select("_id", "source", "piece", "start", "size", "shard", F.concat_ws(":", "_rid", "piece").alias("bin"), F.lit(0).cast("long").alias("offset"))
+        "_id", "source", "piece", "start", F.col("size").cast("long").alias("size"), F.lit(-1).cast("long").alias("shard"),
+        F.concat_ws(":", "_rid", "piece").alias("bin"), F.lit(0).cast("long").alias("offset"),
+    )
     alone = F.concat(F.lit("\x00"), F.col("_rid").cast("string"))
     rest = pieces.filter(F.col("size") < bin_words).select(
         "_id",
@@ -139,4 +139,4 @@ def pack(
         _pack_shard(bin_words), f"_id {kind}, source string, piece int, start long, size long, shard long, bin long, offset long"
     )
     packed = packed.withColumn("bin", F.col("bin").cast("string"))
-    return packed.unionByName(full.withColumn("size", F.col("size").cast("long"))).withColumnRenamed("_id", id_col)
+    return packed.unionByName(full).withColumnRenamed("_id", id_col)
