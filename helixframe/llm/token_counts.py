@@ -21,7 +21,7 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary's tokenizer splits text before merging bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Lengths whose suffix sums are made together; the sums of such ranges are few.
-RANGE = 1024
+RANGE = 256
 
 _encoders: dict[bytes, tiktoken.Encoding] = {}
 
