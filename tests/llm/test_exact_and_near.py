@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 from helixframe.llm.exact_dedup import drop_copies, exact_dedup
-from helixframe.llm.simhash import BKTree, drop_near_copies, fingerprint, fingerprint_links, near_dedup, shards, shingle_hashes
+from helixframe.llm.simhash import BKTree, drop_near_copies, fingerprint, fingerprint_links, near_dedup, shards, shingle_hashes, similar_components
 from tests.llm.fixtures import SCHEMA, documents
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
@@ -156,6 +156,47 @@ def test_near_copies_of_stated_similarity(spark):
     assert {r["text"] for r in kept.collect()} <= {r[1] for r in odd}
 
 
+def shingle_set(text, k=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def brute_similar(texts, least=0.8):
+    """The smallest place that each text reaches over pairs of that exact share of distinct shingles."""
+    sets, up = [shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) / len(a | sets[j]) >= least:
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    return [top(i) for i in range(len(texts))]
+
+
+def similar(spark, texts, **bounds):
+    rows = [(i, t, "en", "s", 0, None, None, None, None) for i, t in enumerate(texts)]
+    found = similar_components(spark.createDataFrame(rows, SCHEMA), **bounds).collect()
+    return [c for _, c in sorted((r["_id"], r["component_id"]) for r in found)]
+
+
+def test_near_copies_with_repeated_lines(spark):
+    random.seed(7)
+    words, texts = [f"w{i}" for i in range(5000)], []
+    for i in range(24):
+        base = [random.choice(words) for _ in range(300)]
+        texts.append(" ".join(base))
+        for _ in range(1 + i % 2):
+            base += [random.choice(words) for _ in range(8)] * (20, 50, 100)[i % 3]
+        texts.append(" ".join(base))
+    expected = brute_similar(texts)
+    assert expected == [i - i % 2 for i in range(48)]
+    assert similar(spark, texts) == expected
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert exact_dedup(docs).count() == near_dedup(docs).count() == drop_copies(docs).count() == drop_near_copies(docs).count() == 0
