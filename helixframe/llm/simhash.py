@@ -263,8 +263,6 @@ BANDS, BAND_MINIMA = 16, 5
 #: Estimates of 0.8 have a standard deviation of 0.018; pairs this little under the similarity still count.
 MARGIN = 0.03
 SIMILAR_SHARD_ROWS = 2048
-#: Following bands by which the rows of a shard over the bound are dealt again.
-NEXT_BANDS = 3
 
 _ODD = (np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -304,19 +302,19 @@ def _sketches(words: int):
 
 def _similar_links(radius: int, least: float):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in runs(batches, "shard"):
+        for rows in runs(batches, "task"):
             tree, forest, by_print, a, b = BKTree(), Forest(), {}, [], []
-            nodes = shard["node"].to_pylist()
-            low = np.frombuffer(b"".join(shard["sketch"].to_pylist()), np.uint8).reshape(len(nodes), MINIMA)
-            for i, value in enumerate(shard["fp"].to_pylist()):
+            nodes, roots = rows["node"].to_pylist(), rows["root"].to_pylist()
+            low = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(nodes), MINIMA)
+            for i, value in enumerate(rows["fp"].to_pylist()):
                 value &= 2**64 - 1
-                others = [j for x in tree.near(value, radius) for j in by_print[x] if forest.top(j) != forest.top(i)]
+                others = [j for x in tree.near(value, radius) for j in by_print[x] if forest.top(roots[j]) != forest.top(roots[i])]
                 tree.add(value)
                 by_print.setdefault(value, []).append(i)
                 if others:
                     same = 1 - (low[others] != low[i]).mean(axis=1) * 256 / 255  # one byte agrees by chance once in 256
                     for j in np.array(others)[same >= least].tolist():
-                        if forest.join(i, j):
+                        if forest.join(roots[i], roots[j]):
                             a.append(nodes[i])
                             b.append(nodes[j])
             if a:
@@ -325,6 +323,43 @@ def _similar_links(radius: int, least: float):
     return links
 
 
+def first_tasks(dealt: DataFrame, sizes: DataFrame, shard_rows: int) -> DataFrame:
+    """(task, node, root): shards in whole, those over shard_rows in blocks of about that many rows; each node its own root.
+
+    Every band's blocks are other ones, so that a large group of near copies comes
+    together over its bands before its blocks meet.
+    """
+    block = F.pmod(F.xxhash64("node", "shard"), F.ceil(F.col("n") / shard_rows))
+    return dealt.join(sizes, "shard").select(F.xxhash64("shard", block).alias("task"), "node", F.col("node").alias("root"))
+
+
+def block_tasks(rooted: DataFrame, shard_rows: int) -> DataFrame:
+    """(task, node, root) in which every two rows (shard, node, root) of one shard and of different roots share a task.
+
+    The rows of a shard are cut into blocks of about half of shard_rows, large roots into
+    blocks of their own. A task has two blocks; those of one root need not meet, so a
+    shard that is one group nearly costs its stray rows times its size. Tasks are named
+    by hashes; the chance that two names meet costs search time, never a link.
+    """
+    half = max(1, shard_rows // 2)
+    groups = settle(rooted.groupBy("shard", "root").agg(F.count("*").alias("n")))
+    loose = F.sum(F.when(F.col("n") < half, F.col("n")).otherwise(0)).alias("loose")
+    shards_left = groups.groupBy("shard").agg(F.count("*").alias("roots"), F.sum("n").alias("rows"), loose).filter("roots > 1").drop("roots")
+    groups = groups.join(shards_left, "shard")
+    whole = (F.col("n") >= half) & (F.col("rows") > shard_rows)
+    part = F.when(whole, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / half)))
+    part = part.when(F.col("rows") > shard_rows, F.pmod(F.xxhash64("root"), F.ceil(F.col("loose") / half))).otherwise(0)
+    alone = F.when(whole, F.col("root"))
+    placed = rooted.join(groups, ["shard", "root"]).select("shard", "node", "root", alone.alias("alone"), F.xxhash64("shard", alone, part).alias("block"))
+    placed = settle(placed)
+    blocks = settle(placed.select("shard", "block", "alone").distinct())
+    other = blocks.select("shard", F.col("block").alias("block2"), F.col("alone").alias("alone2"))
+    apart = F.col("alone").isNull() | F.col("alone2").isNull() | (F.col("alone") != F.col("alone2"))
+    met = blocks.join(other, (blocks["shard"] == other["shard"]) & (F.col("block") <= F.col("block2")) & apart)
+    met = met.select(F.xxhash64("block", "block2").alias("task"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    return placed.join(met, "block").select("task", "node", "root")
+
+
 def similar_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -345,23 +380,21 @@ def similar_components(
     rows = docs.select(F.col(id_col).alias("_id"), row_key(text_col).alias("_key"), text_of(text_col).alias("text"))
     rows = settle(rows.mapInArrow(_sketches(words), f"_id {kind}, _key long, node long, fp long, bands array<long>, sketch binary"))
     nodes = rows.select("node", "fp", "bands", "sketch").dropDuplicates(["node"])
-    dealt = nodes.select("node", "bands", F.posexplode("bands").alias("last", "shard"))
-    found = None
-    for depth in range(BANDS // NEXT_BANDS):
-        sizes = settle(dealt.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"))
-        last = depth == BANDS // NEXT_BANDS - 1
-        small = dealt.join(sizes if last else sizes.filter(F.col("n") <= shard_rows), "shard").select("shard", "node")
-        small = small.join(nodes.select("node", "fp", "sketch"), "node")
-        near = small.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(
-            _similar_links(radius, similarity - MARGIN), "a long, b long"
-        )
-        found = near if found is None else found.unionByName(near)
-        if last or sizes.filter(F.col("n") > shard_rows).isEmpty():
-            break
-        again = settle(dealt.join(sizes.filter(F.col("n") > shard_rows).select("shard"), "shard"))
-        following = F.explode(F.transform(F.sequence(F.lit(1), F.lit(NEXT_BANDS)), lambda i: (F.col("last") + i) % BANDS))
-        dealt = again.select("node", "bands", "shard", following.alias("last"))
-        dealt = dealt.withColumn("shard", F.xxhash64("shard", "last", F.get("bands", F.col("last"))))
+    prints = nodes.select("node", "fp", "sketch")
+
+    def near(tasks: DataFrame) -> DataFrame:
+        tasks = tasks.join(prints, "node").repartition("task").sortWithinPartitions("task", "node")
+        return settle(tasks.mapInArrow(_similar_links(radius, similarity - MARGIN), "a long, b long").distinct())
+
+    dealt = nodes.select("node", F.explode("bands").alias("shard"))
+    sizes = settle(dealt.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"))
+    found = near(first_tasks(dealt, sizes, shard_rows))
+    large = sizes.filter(F.col("n") > shard_rows).select("shard")
+    if not large.isEmpty():
+        roots = components(found).withColumnRenamed("node", "own")
+        rooted = dealt.join(large, "shard").join(roots, F.col("node") == F.col("own"), "left")
+        rooted = settle(rooted.select("shard", "node", F.coalesce("root", "node").alias("root")))
+        found = found.unionByName(near(block_tasks(rooted, shard_rows)))
     roots = settle(components(found))
     marked = rows.select("_id", "_key", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left")
     marked = settle(marked.select("_id", "_key", F.coalesce("root", "own").alias("root"), F.monotonically_increasing_id().alias("_rid")))

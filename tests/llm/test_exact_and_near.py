@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 from helixframe.llm.exact_dedup import drop_copies, exact_dedup
-from helixframe.llm.simhash import BKTree, drop_near_copies, fingerprint, fingerprint_links, near_dedup, shards, shingle_hashes, similar_components
+from helixframe.llm.simhash import BKTree, block_tasks, drop_near_copies, fingerprint, fingerprint_links, near_dedup, shards, shingle_hashes, similar_components
 from tests.llm.fixtures import SCHEMA, documents
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
@@ -197,6 +197,36 @@ def test_near_copies_with_repeated_lines(spark):
     assert similar(spark, texts) == expected
 
 
+def test_near_copies_in_divided_shards(spark):
+    """Groups whose copies are near their middle only: small shards lose no link that undivided ones have."""
+    random.seed(9)
+    words, texts = [f"w{i}" for i in range(5000)], []
+    for _ in range(12):
+        base = [random.choice(words) for _ in range(300)]
+        texts.append(" ".join(base))
+        for _ in range(12):
+            copy = list(base)
+            for k in range(6):
+                copy[50 * k + random.randrange(5, 45)] = random.choice(words)
+            texts.append(" ".join(copy))
+    undivided = similar(spark, texts)
+    assert len(set(undivided)) < 24
+    assert similar(spark, texts, shard_rows=3) == undivided
+
+
+def test_block_tasks(spark):
+    """Rows of one shard and different roots meet; a group's own blocks do not."""
+    random.seed(2)
+    rows = [(s, 100 * s + i, 100 * s if i < 40 else 100 * s + i - i % (1 + s)) for s in range(3) for i in range(60)] + [(9, i, 7) for i in range(50)]
+    tasks = defaultdict(set)
+    for r in block_tasks(spark.createDataFrame(rows, "shard long, node long, root long"), 8).collect():
+        tasks[r["task"]].add((r["node"], r["root"]))
+    met = {(a, b) for members in tasks.values() for a, _ in members for b, _ in members}
+    assert all((a, b) in met for s, a, r in rows for t, b, q in rows if s == t and r != q)
+    assert max(len(members) for members in tasks.values()) <= 24
+    assert all(len({root for _, root in members}) > 1 for members in tasks.values() if len(members) > 8)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert exact_dedup(docs).count() == near_dedup(docs).count() == drop_copies(docs).count() == drop_near_copies(docs).count() == 0
