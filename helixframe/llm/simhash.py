@@ -250,8 +250,8 @@ def near_dedup(
 # Near copies at a stated similarity. Documents of which four fifths of the five-word
 # shingles agree differ in up to a quarter of a fingerprint's bits, where fields of equal
 # bits no longer narrow a search. Shards are therefore dealt by bands of minima of the
-# shingles; within a shard a BK-tree gives the fingerprints within the wider radius, and
-# minima of more hash functions confirm the similarity.
+# shingles; within a shard a BK-tree gives the fingerprints within the wider radius,
+# minima of more hash functions choose candidates, and the shingles themselves confirm them.
 
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
@@ -260,8 +260,8 @@ SIMILARITY = 0.8
 SIMILAR_RADIUS = 26
 MINIMA = 512
 BANDS, BAND_MINIMA = 16, 5
-#: Estimates of 0.8 have a standard deviation of 0.018; pairs this little under the similarity still count.
-MARGIN = 0.03
+#: Estimates of 0.8 have a standard deviation of 0.018; pairs this little under the similarity are still candidates (a pair at 0.8 is missed with chance 1e-5).
+MARGIN = 0.08
 SIMILAR_SHARD_ROWS = 2048
 
 _ODD = (np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -286,7 +286,7 @@ def _sketches(words: int):
                 rows = low[: BANDS * BAND_MINIMA].reshape(BANDS, BAND_MINIMA)
                 bands.append([xxhash.xxh64_intdigest(row.tobytes(), seed=b) for b, row in enumerate(rows)])
                 sketch.append(low.astype(np.uint8).tobytes())
-                nodes.append(xxhash.xxh64_intdigest(low.tobytes(), seed=SEED))
+                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), seed=SEED))
             columns = [
                 batch.column("_id"),
                 batch.column("_key"),
@@ -300,7 +300,34 @@ def _sketches(words: int):
     return sketches
 
 
-def _similar_links(radius: int, least: float):
+def _shingles(words: int):
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(text.as_py(), words)) for text in batch.column("text")]
+            nodes = np.array([xxhash.xxh64_intdigest(hashes.tobytes(), seed=SEED) for hashes in found], np.uint64)
+            hashes = pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), hashes], names=["node", "hashes"])
+
+    return shingles
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, keys: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose exact share of distinct shingle hashes is similarity or more.
+
+    keys has a text's key for each node; only texts of nodes in pairs are read for their shingles.
+    """
+    asked = keys.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select(F.col("_key").alias("_asked"))
+    texts = docs.select(row_key(text_col).alias("_key"), text_of(text_col).alias("text")).join(asked.distinct(), F.col("_key") == F.col("_asked"), "left_semi")
+    shingles = settle(texts.select("text").mapInArrow(_shingles(words), "node long, hashes array<long>").dropDuplicates(["node"]))
+    side = lambda c: shingles.select(F.col("node").alias(c), F.col("hashes").alias(f"_{c}"))
+    common = F.size(F.array_intersect("_a", "_b"))
+    share = common / (F.size("_a") + F.size("_b") - common)
+    return settle(pairs.join(side("b"), "b").join(side("a"), "a").filter(share >= similarity).select("a", "b"))
+
+
+def _similar_links(radius: int, least: float, every: bool):
+    """Candidate pairs of different roots; every one, or a forest of them."""
+
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, "task"):
             tree, forest, by_print, a, b = BKTree(), Forest(), {}, [], []
@@ -314,7 +341,7 @@ def _similar_links(radius: int, least: float):
                 if others:
                     same = 1 - (low[others] != low[i]).mean(axis=1) * 256 / 255  # one byte agrees by chance once in 256
                     for j in np.array(others)[same >= least].tolist():
-                        if forest.join(roots[i], roots[j]):
+                        if every or forest.join(roots[i], roots[j]):
                             a.append(nodes[i])
                             b.append(nodes[j])
             if a:
@@ -371,8 +398,8 @@ def similar_components(
 ) -> DataFrame:
     """One row per row of docs: (_id, _key, component_id, first).
 
-    Two documents are linked when the share of their shingles that they have in common,
-    as estimated, is similarity or more. component_id is the smallest id reachable; first
+    Two documents are linked when the share of their distinct shingles that they have in
+    common is similarity or more; minima only choose the pairs that are compared. component_id is the smallest id reachable; first
     marks one row of each component, the one of smallest id (of repeated rows any one).
     Texts without words are alike. An empty table gives no rows.
     """
@@ -380,21 +407,26 @@ def similar_components(
     rows = docs.select(F.col(id_col).alias("_id"), row_key(text_col).alias("_key"), text_of(text_col).alias("text"))
     rows = settle(rows.mapInArrow(_sketches(words), f"_id {kind}, _key long, node long, fp long, bands array<long>, sketch binary"))
     nodes = rows.select("node", "fp", "bands", "sketch").dropDuplicates(["node"])
+    keys = rows.groupBy("node").agg(F.min("_key").alias("_key"))
     prints = nodes.select("node", "fp", "sketch")
 
-    def near(tasks: DataFrame) -> DataFrame:
+    def near(tasks: DataFrame, least: float, every: bool) -> DataFrame:
         tasks = tasks.join(prints, "node").repartition("task").sortWithinPartitions("task", "node")
-        return settle(tasks.mapInArrow(_similar_links(radius, similarity - MARGIN), "a long, b long").distinct())
+        pairs = tasks.mapInArrow(_similar_links(radius, least, every), "a long, b long")
+        return settle(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        return confirmed(pairs, docs, keys, text_col, words, similarity)
 
     dealt = nodes.select("node", F.explode("bands").alias("shard"))
     sizes = settle(dealt.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"))
-    found = near(first_tasks(dealt, sizes, shard_rows))
-    large = sizes.filter(F.col("n") > shard_rows).select("shard")
-    if not large.isEmpty():
-        roots = components(found).withColumnRenamed("node", "own")
-        rooted = dealt.join(large, "shard").join(roots, F.col("node") == F.col("own"), "left")
-        rooted = settle(rooted.select("shard", "node", F.coalesce("root", "node").alias("root")))
-        found = found.unionByName(near(block_tasks(rooted, shard_rows)))
+    # a few likely pairs, one for each node, bring groups together; then every candidate between groups is confirmed
+    likely = near(first_tasks(dealt, sizes, shard_rows), similarity, False)
+    found = exact(likely.groupBy("a").agg(F.min("b").alias("b")))
+    roots = components(found).withColumnRenamed("node", "own")
+    rooted = dealt.join(sizes.select("shard"), "shard").join(roots, F.col("node") == F.col("own"), "left")
+    rooted = settle(rooted.select("shard", "node", F.coalesce("root", "node").alias("root")))
+    found = found.unionByName(exact(near(block_tasks(rooted, shard_rows), similarity - MARGIN, True)))
     roots = settle(components(found))
     marked = rows.select("_id", "_key", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left")
     marked = settle(marked.select("_id", "_key", F.coalesce("root", "own").alias("root"), F.monotonically_increasing_id().alias("_rid")))

@@ -214,6 +214,21 @@ def test_near_copies_in_divided_shards(spark):
     assert similar(spark, texts, shard_rows=3) == undivided
 
 
+def test_near_copies_by_exact_share(spark):
+    """Pairs from 0.74 to 0.88 are linked exactly when four fifths of their distinct shingles agree."""
+    random.seed(13)
+    words, texts = [f"w{i}" for i in range(5000)], []
+    for i in range(60):
+        base = [random.choice(words) for _ in range(300)]
+        copy = list(base)
+        for k in range(4 + i % 6):
+            copy[30 * k + random.randrange(5, 25)] = random.choice(words)
+        texts += [" ".join(base), " ".join(copy)]
+    expected = brute_similar(texts)
+    assert 70 < len(set(expected)) < 100
+    assert similar(spark, texts) == expected
+
+
 def test_block_tasks(spark):
     """Rows of one shard and different roots meet; a group's own blocks do not."""
     random.seed(2)
