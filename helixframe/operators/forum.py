@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.operators.relational import settled
+from helixframe.scratch import settled
 
 PUBLIC_TYPES = (0, 2)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,14 +12,6 @@ from helixframe.functions import geometry as g
 INT_MIN, INT_MAX = -(1 << 31), (1 << 31) - 1
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Computed once, its lineage cut by a checkpoint in the session's shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def full_outer_merge(left: DataFrame, right: DataFrame, keys: list[str], defaults: dict | None = None) -> DataFrame:
     """Keys of both sides; a missing side's values take their default."""
     merged = left.join(right, keys, "full_outer")

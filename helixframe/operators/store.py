@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.operators.relational import settled
+from helixframe.scratch import settled
 
 TF_SCHEMA = T.StructType(
     [T.StructField("id", T.LongType(), False)]
