@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.scratch import settled as settle
+
 #: The white space that separates words, and its complement.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,19 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage with a reliable checkpoint.
-
-    The folder is the one the session names in spark.checkpoint.dir; a private
-    one is made only where none is set, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
@@ -48,18 +35,15 @@ def row_key(text_col: str) -> Column:
 
 
 def matching_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs joined to chosen (_id, _key, _rows, payload...), one row for each row of chosen.
+    """docs joined to chosen (_id, _key, _rows, payload...), one row for each row of chosen: (doc, payload...).
 
     _key is row_key() and _rows says how many rows of docs carry the pair. Where a
-    pair is repeated, one of its rows stands for them. Columns of docs keep their
-    names and order; the payload columns follow.
+    pair is repeated, one of its rows stands for them. doc holds the columns of docs
+    under their own names, whatever they are; "doc.*" gives them back.
     """
-    keyed = docs.withColumn("_doc_key", row_key(text_col))
-    payload = [c for c in chosen.columns if c not in ("_id", "_key", "_rows")]
-    joined = keyed.join(
-        chosen, keyed[id_col].eqNullSafe(chosen["_id"]) & (keyed["_doc_key"] == chosen["_key"])
-    )
+    keyed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("_doc_id"), row_key(text_col).alias("_doc_key"))
+    joined = keyed.join(chosen, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_doc_key") == F.col("_key")))
     if not chosen.filter("_rows > 1").isEmpty():
         again = joined.filter("_rows > 1").dropDuplicates(["_id", "_key"])
         joined = joined.filter("_rows = 1").unionByName(again)
-    return joined.select(*[joined[f"`{c}`"] for c in docs.columns], *payload)
+    return joined.select("doc", *[c for c in chosen.columns if c not in ("_id", "_key", "_rows")])

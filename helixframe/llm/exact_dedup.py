@@ -123,4 +123,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = settle(
         judged.groupBy(F.col(id_col).alias("_id"), "_key").agg(F.count("*").alias("_rows"), F.max("kept").alias("_kept"))
     )
-    return matching_rows(docs, pairs.filter("_kept").drop("_kept"), id_col, text_col)
+    return matching_rows(docs, pairs.filter("_kept").drop("_kept"), id_col, text_col).select("doc.*")

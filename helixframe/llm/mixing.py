@@ -148,10 +148,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = F.when(F.col("_size") > 0, F.expr("_taken div _size")).otherwise(F.col("_blank"))
     part = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(F.lit(0))
     copies = F.array_repeat(F.lit(-1).cast("long"), whole.cast("int"))
-    rows = rows.withColumn("_part", F.explode(F.concat(copies, F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))
-    cut = F.when(F.col("_part") < 0, F.col(text_col)).otherwise(first_words(text_of(text_col), F.greatest(F.col("_part"), F.lit(0)).cast("int")))
-    rows = rows.withColumn(text_col, cut)
+    rows = rows.select("doc", F.explode(F.concat(copies, F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))).alias("part"))
+    text, in_part = F.col("doc").getField(text_col), F.col("part") >= 0
+    rows = rows.withColumn("cut", F.when(in_part, first_words(text_of(text), F.greatest(F.col("part"), F.lit(0)).cast("int"))).otherwise(text))
+    given = {text_col: F.col("cut")}
     if chars_col in docs.columns:
-        kind = dict(docs.dtypes)[chars_col]
-        rows = rows.withColumn(chars_col, F.when(F.col("_part") < 0, F.col(chars_col)).otherwise(F.length(text_col).cast(kind)))
-    return rows.select(*[f"`{c}`" for c in docs.columns])
+        chars = F.col("doc").getField(chars_col)
+        given[chars_col] = F.when(in_part, F.length("cut").cast(dict(docs.dtypes)[chars_col])).otherwise(chars)
+    return rows.select(*[given.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])

@@ -188,17 +188,20 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that links (a, b) reach, for every node in them.
 
     Large-star and small-star rounds: each hangs a node's larger (then smaller)
-    neighbours on the smallest one, until nothing changes. Degrees are pre-aggregated,
-    and a node with many links skews only the probe side of a join.
+    neighbours on the smallest one, until nothing changes. Each node's least neighbour is
+    read from a table, so that Spark can split a node with many links on the other side
+    of the join.
     """
     edges = settle(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
+        low = settle(both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m")))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = settle(large)
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = settle(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         edges = settle(small.filter("u <> v").distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -439,4 +442,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of docs without all but one of each group of near copies, with the columns of docs."""
     judged = similar_components(docs, id_col, text_col, **similar)
     pairs = settle(judged.groupBy("_id", "_key").agg(F.count("*").alias("_rows"), F.max("first").alias("_first")))
-    return matching_rows(docs, pairs.filter("_first").drop("_first"), id_col, text_col)
+    return matching_rows(docs, pairs.filter("_first").drop("_first"), id_col, text_col).select("doc.*")

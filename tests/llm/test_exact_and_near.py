@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 from helixframe.llm.exact_dedup import drop_copies, exact_dedup
-from helixframe.llm.simhash import BKTree, block_tasks, drop_near_copies, fingerprint, fingerprint_links, near_dedup, shards, shingle_hashes, similar_components
+from helixframe.llm.simhash import BKTree, block_tasks, components, drop_near_copies, fingerprint, fingerprint_links, near_dedup, shards, shingle_hashes, similar_components
 from tests.llm.fixtures import SCHEMA, documents
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
@@ -116,6 +116,18 @@ def test_links_of_dense_clusters(spark):
     assert len(shards(spark.createDataFrame(signed, "fp long"), 2, 4)) > 1
 
 
+def test_components(spark):
+    """A star, a chain, a ring and no links at all; with a hot node whose join Spark may split."""
+    random.seed(6)
+    links = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(30)] + [(2000 + i, 2000 + (i + 1) % 9) for i in range(9)]
+    links = [(a, b) if random.random() < 0.5 else (b, a) for a, b in links]
+    expected = {i: 0 for i in range(400)} | {1000 + i: 1000 for i in range(31)} | {2000 + i: 2000 for i in range(9)}
+    found = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(found) == len(expected) and {r["node"]: r["root"] for r in found} == expected
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
 def test_bk_tree():
     random.seed(1)
     values = [random.getrandbits(64) for _ in range(200)]
