@@ -9,6 +9,7 @@ fingerprints are as alike as their least windows agree.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 from collections.abc import Iterator
 
@@ -16,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from helixframe.llm.common import text_of
+from helixframe.llm.common import settle, text_of
 
 PRIME = (1 << 31) - 1
 BASES = (1_103_515_245, 1_664_525_013 % PRIME)
@@ -25,8 +27,12 @@ BASES = (1_103_515_245, 1_664_525_013 % PRIME)
 WINDOW = 24
 KEPT = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Ranges of ids for each shuffle partition.
+#: Ranges of ids for each shuffle partition at least, code points of a range otherwise, and the most ranges there are.
 RANGES_PER_PARTITION = 4
+RANGE_CHARS = 16_000_000
+MAX_RANGES = 20_000
+#: Rows, chosen by a hash, that each range's bound is chosen from.
+ROWS_PER_BOUND = 20
 
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -146,6 +152,12 @@ class Document:
         self.whole = self.hashes.span(0, self.hashes.n)
         self.fingerprint = fingerprint(self.whole, least(self.windows))
 
+    def again(self, doc_id) -> Document:
+        """The same text under another id."""
+        same = copy.copy(self)
+        same.doc_id = doc_id
+        return same
+
     def row(self, after: Document) -> tuple:
         """The digest of this document, with after as the next one."""
         n = len(self.points)
@@ -199,7 +211,7 @@ def _digests(id_type: pa.DataType):
                     at, last = bucket.as_py(), None
                 elif last is None:  # the range is done with its first extra row
                     continue
-                new = Document(doc_id.as_py(), text.as_py())
+                new = last.again(doc_id.as_py()) if last is not None and last.text == text.as_py() else Document(doc_id.as_py(), text.as_py())
                 if last is not None:
                     rows.append(last.row(new))
                 last = None if extra.as_py() else new
@@ -212,42 +224,62 @@ def _digests(id_type: pa.DataType):
     return digests
 
 
-def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def range_bounds(keys: DataFrame, ranges: int, rows: int) -> list[tuple]:
+    """At most ranges rising (id, h) pairs that occur in keys (id, h), the least of all first; nulls before all.
+
+    The others are quantiles of a hash-chosen part of the pairs, ROWS_PER_BOUND for each
+    range whatever the number of rows, counted with their repeats.
+    """
+    order = lambda pair: (pair[0] is not None, pair)
+    share = min(1.0, ROWS_PER_BOUND * ranges / max(rows, 1))
+    chosen = keys.filter(F.pmod(F.xxhash64("id", "h"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    counted = sorted((((r["id"], r["h"]), r["n"]) for r in chosen.groupBy("id", "h").agg(F.count("*").alias("n")).collect()), key=lambda x: order(x[0]))
+    first = keys.agg(F.min(F.struct(F.col("id").isNotNull().alias("named"), "id", "h")).alias("low")).first()["low"]
+    bounds, total, seen = [(first["id"], first["h"])], sum(n for _, n in counted), 0
+    for pair, n in counted:
+        if seen * ranges >= len(bounds) * total and order(pair) > order(bounds[-1]):
+            bounds.append(pair)
+        seen += n
+    return bounds[:ranges]
+
+
+def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """One row per row of docs: (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     common_edited, common_next, edited_chars).
 
-    The next document is the one of the next higher id, after the last the first; rows of
-    equal id follow one another by a hash of their texts, and null ids come first. A
-    document that is alone is its own next. common_edited and common_next are the lengths
-    of the common beginnings. A null text is empty: fingerprint zero without windows. An
-    empty table gives no rows; other columns are not read.
-
-    Ids are cut into ranges at ids that occur. Each range is sorted and read once, in one
-    task's stream; the first document of a range also goes to the end of the range before,
-    the first of all to the last range, so that every document meets its next.
+    The next document is the one of the next higher id, after the last the first; ids may be
+    of any type that sorts. Rows of equal id follow one another by a hash of their texts, and
+    null ids come first. A document that is alone is its own next. common_edited and
+    common_next are the lengths of the common beginnings. A null text is empty: fingerprint
+    zero without windows. An empty table gives no rows; other columns are not read.
+
+    The order of (id, hash of the text) is cut into ranges at pairs that occur, so one id of
+    many rows is divided too; rows that agree in both are one range's, where their text is
+    hashed once. Each range is sorted and read once, in one task's stream; the first
+    document of a range also goes to the end of the range before, the first of all to the
+    last range, so that every document meets its next. Without a number of ranges there is
+    one for every RANGE_CHARS of text, or for a part of each shuffle partition.
     """
     kind = dict(docs.dtypes)[id_col]
-    if kind not in ("tinyint", "smallint", "int", "bigint"):
-        raise TypeError(f"ids are integers, not {kind}")
-    spark = docs.sparkSession
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranges = parts * RANGES_PER_PARTITION
-    quantiles = [i / ranges for i in range(1, ranges)] or [0.5]
-    low, found = docs.select(order.alias("o")).agg(F.min("o"), F.percentile_approx("o", quantiles, 10 * ranges)).first()
-    bounds = sorted({low, *(found or [])}) if low is not None else [0]
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    text = text_of(text_col)
+    keys = settle(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.length(text).alias("chars")))
+    count, chars = keys.agg(F.count("*"), F.sum("chars")).first()
+    if ranges is None:
+        ranges = min(MAX_RANGES, max(parts * RANGES_PER_PARTITION, -(-(chars or 0) // RANGE_CHARS)))
+    bounds = range_bounds(keys, ranges, count) if count else [(None, 0)]
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    stops = F.array(*[F.lit(b) for b in bounds])
+    stops = F.array(*[F.struct(F.lit(i).cast(kind).alias("id"), F.lit(h).cast("long").alias("h")) for i, h in bounds])
     place = F.aggregate(
         F.array(*[F.lit(x) for x in steps]),
         F.lit(0),
-        lambda at, step: F.when((at + step < len(bounds)) & (F.get(stops, at + step) <= F.col("o")), at + step).otherwise(at),
+        lambda at, step: F.when((at + step < len(bounds)) & (F.get(stops, at + step) <= F.col("pair")), at + step).otherwise(at),
     )
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text"), order.alias("o")).withColumn("at", place)
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("pair"), text.alias("text")).withColumn("at", place)
     own = F.struct(F.col("at").alias("bucket"), F.lit(False).alias("extra"))
     before = F.struct(F.pmod(F.col("at") - 1, F.lit(len(bounds))).alias("bucket"), F.lit(True).alias("extra"))
-    rows = rows.withColumn("to", F.explode(F.when(F.get(stops, F.col("at")) == F.col("o"), F.array(own, before)).otherwise(F.array(own))))
-    rows = rows.select("_id", "text", "to.bucket", "to.extra", "o").repartition(parts, "bucket")
-    rows = rows.sortWithinPartitions("bucket", "extra", "o", F.xxhash64("text")).drop("o")
-    types = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}
-    return rows.mapInArrow(_digests(types[kind]), f"_id {kind}, {COLUMNS}").withColumnRenamed("_id", id_col)
+    rows = rows.withColumn("to", F.explode(F.when(F.get(stops, F.col("at")) == F.col("pair"), F.array(own, before)).otherwise(F.array(own))))
+    rows = rows.select("pair", F.col("pair.id").alias("_id"), "text", "to.bucket", "to.extra").repartition(max(parts, len(bounds) // RANGES_PER_PARTITION), "bucket")
+    rows = rows.sortWithinPartitions("bucket", "extra", "pair", "text").drop("pair")
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
+    return rows.mapInArrow(_digests(id_type), f"_id {kind}, {COLUMNS}").withColumnRenamed("_id", id_col)

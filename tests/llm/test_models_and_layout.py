@@ -163,6 +163,38 @@ def test_fingerprints(spark):
     assert (alone["near_next"], alone["edited_sha256"]) == (1.0, hashlib.sha256(b"abcabc").hexdigest())
 
 
+def brute_digests(rows):
+    """(id, n_chars, edited_sha256, near_next) by the order of ids, null first, equal ids by any order."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r))
+    out = []
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        near = fp.likeness(*(fp.Document(0, t).fingerprint for t in (text, after)))
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), near))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["high", "negative", "strings"])
+def test_fingerprints_of_any_ids(spark, kind):
+    random.seed(8)
+    make = {"high": lambda i: (1 << 60) + i, "negative": lambda i: 3 * i - (1 << 62), "strings": lambda i: f"é{i % 7},{i:04}"}[kind]
+    rows = [(make(i), "".join(random.choice("abc d") for _ in range(random.randrange(80)))) for i in range(500)]
+    docs = spark.createDataFrame(rows, f"doc_id {'string' if kind == 'strings' else 'long'}, text string")
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_next"]) for r in fp.document_fingerprints(docs, ranges=37).collect()]
+    assert sorted(got) == brute_digests(rows)
+
+
+def test_fingerprints_of_a_hot_id(spark):
+    """Null and repeated ids are divided over ranges; every row comes out once."""
+    rows = [(None, f"text {i}") for i in range(1000)] + [(7, f"other {i % 300}") for i in range(1000)] + [(i, "same") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bounds = fp.range_bounds(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")), 40, len(rows))
+    assert len(bounds) > 20 and sum(i is None for i, _ in bounds) > 5
+    found = fp.document_fingerprints(docs, ranges=40).collect()
+    assert sorted((str(r["doc_id"]), r["n_chars"]) for r in found) == sorted((str(i), len(t)) for i, t in rows)
+
+
 def test_prefix_hashes():
     random.seed(7)
     for _ in range(30):
