@@ -9,6 +9,7 @@ that occurs, whatever the number of documents.
 from __future__ import annotations
 
 import base64
+import re
 
 import pandas as pd
 import tiktoken
@@ -20,6 +21,11 @@ from helixframe.llm.common import settle, text_of
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary's tokenizer splits text before merging bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed value: what \s stands for there.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space in a row from which it is encoded by itself.
+LONG_BLANK = 1_000
+_LONG_BLANKS = re.compile(f"[{BLANKS}]{{{LONG_BLANK},}}")
 #: Lengths whose suffix sums are made together; the sums of such ranges are few.
 RANGE = 256
 
@@ -34,17 +40,36 @@ def encoder(ranks: bytes, pattern: str = PATTERN) -> tiktoken.Encoding:
     return _encoders[ranks]
 
 
+def token_count(encoding: tiktoken.Encoding, text: str) -> int:
+    """The number of tokens of the text.
+
+    The pattern backtracks through white space and overflows its stack in a run of a
+    million. A long run is therefore cut out where the pattern cuts it too: all of it at
+    the end of the text, all but its last character before another one. That piece goes
+    to the merging of bytes directly, so the count is the same.
+    """
+    total, at = 0, 0
+    for run in _LONG_BLANKS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+        at = end
+    return total + len(encoding.encode_ordinary(text[at:]))
+
+
 def encoded_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """One row per row of docs: (id, n_tokens); a null or empty text has 0.
 
+    Very long texts are encoded whole. A pattern other than the usual one must cut white
+    space in the same places.
+
     The driver reads the vocabulary, under a megabyte whatever the data, and broadcasts it.
     """
     with open(ranks_path, "rb") as file:
         ranks = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def lengths(texts: pd.Series) -> pd.Series:
-        encode = encoder(ranks.value, pattern).encode_ordinary
-        return texts.map(lambda t: len(encode(t)))
+        encoding = encoder(ranks.value, pattern)
+        return texts.map(lambda t: token_count(encoding, t))
 
     return docs.select(F.col(id_col), F.pandas_udf(lengths, "long")(text_of(text_col)).alias("n_tokens"))
 

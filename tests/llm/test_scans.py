@@ -8,7 +8,7 @@ from collections import Counter
 
 from helixframe.llm import secrets
 from helixframe.llm.license_scan import RULES, SENTENCES, license_scan, normalised
-from helixframe.llm.token_counts import RANKS, encoded_lengths, encoder, length_histogram, length_quantiles, truncated_total, with_truncation
+from helixframe.llm.token_counts import RANKS, encoded_lengths, encoder, length_histogram, length_quantiles, token_count, truncated_total, with_truncation
 from helixframe.llm.url_filter import filter_urls
 from tests.llm.fixtures import SCHEMA, documents
 
@@ -133,6 +133,17 @@ def test_token_counts(spark):
         assert r["n_tokens"] == ordered[math.ceil(r["share"] * len(ordered) - 1e-9) - 1]
 
 
+def test_token_counts_of_long_runs(spark):
+    with open(RANKS, "rb") as f:
+        encoding = encoder(f.read())
+    for run in (" " * 1000, "\n" * 3001, " \n" * 2000, "\u3000\t " * 900, "\xa0" * 999, " " * 50_000):
+        for text in (run, f"x{run}", f"{run}y", f"é.{run}'s{run} 12{run}\x1c", f"{run}\x1f{run}"):
+            assert token_count(encoding, text) == len(encoding.encode_ordinary(text))
+    long = [" " * 2_000_000, "\n" * 2_000_000 + "x", "=" * 300_000, "a" * 300_000, "a" + "\t " * 1_000_000, None]
+    counts = {r["doc_id"]: r["n_tokens"] for r in encoded_lengths(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")).collect()}
+    assert counts[0] == 2_000_000 and counts[5] == 0 and min(counts[i] for i in range(5)) > 0
+
+
 def brute_rule(url):
     url = url or ""
     rest = url.split("://", 1)[1] if "://" in url else ""
