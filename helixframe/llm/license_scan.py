@@ -1,6 +1,9 @@
 """License scan by sentence rules.
 
-A text's sentences are normalised and looked up among known licence sentences. The
+A text is normalised to lower-case words between marks: sentence ends and empty lines are
+hard marks, the ends of wrapped lines soft ones. Known licence sentences are looked for
+from any mark to any mark; soft marks may stand inside one, hard ones may not, so it makes
+no difference how a notice is wrapped or which comment signs begin its lines. The
 identifiers found, in text order, are then matched against ordered rules, each a sequence
 of identifiers. A rule that matches uses its sentences up, so rules that stand earlier,
 and are longer, win over the parts they are made of. Everything is string and array
@@ -14,98 +17,207 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import text_of
 
-# Sentences of public licence texts and notices, as written there.
-SENTENCES = (
-    "Released under the MIT License",
-    "This project is licensed under the terms of the MIT license",
-    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
-    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
-    'The software is provided "as is", without warranty of any kind',
-    "Licensed under the Apache License, Version 2.0",
-    "You may not use this file except in compliance with the License",
-    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "This work is licensed under the GNU General Public License, version 3",
-    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
-    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
-    "You should have received a copy of the GNU General Public License along with this program",
-    "Licensed under CC BY-NC 4.0",
-    "Licensed under CC BY 4.0",
-    "Licensed under CC BY-SA 4.0",
-    "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "Redistribution and use in source and binary forms, with or without modification, are permitted",
-    "Redistributions of source code must retain the above copyright notice",
-    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",
-    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "All rights reserved",
-)
-# A licence's name and the 1-based places in SENTENCES that it is told by, in matching order.
+# Sentences of public licence texts and notices, from sentence end to sentence end, as written there.
+SENTENCES = {
+    "mit-released": "Released under the MIT License",
+    "mit-project": "This project is licensed under the terms of the MIT license",
+    "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions',
+    "mit-0-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so',
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    "mit-as-is": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
+    "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-as-is": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
+    "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-names-university": "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-as-is": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+    "apache-short": "Licensed under the Apache License, Version 2.0",
+    "apache-licensed": 'Licensed under the Apache License, Version 2.0 (the "License")',
+    "apache-contributors": "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements",
+    "apache-asf": 'The ASF licenses this file to You under the Apache License, Version 2.0 (the "License")',
+    "apache-asf-lower": 'The ASF licenses this file to you under the Apache License, Version 2.0 (the "License")',
+    "apache-comply": "you may not use this file except in compliance with the License",
+    "apache-copy": "You may obtain a copy of the License at",
+    "apache-url": "http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-urls": "https://www.apache.org/licenses/LICENSE-2.0",
+    "apache-copy-url": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-unless": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',
+    "apache-see": "See the License for the specific language governing permissions and limitations under the License",
+    "gpl3-short": "This work is licensed under the GNU General Public License, version 3",
+    "program-free": "This program is free software",
+    "library-free": "This library is free software",
+    "gpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "lgpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "agpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "version-2": "either version 2 of the License, or (at your option) any later version",
+    "version-2.1": "either version 2.1 of the License, or (at your option) any later version",
+    "version-3": "either version 3 of the License, or (at your option) any later version",
+    "program-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "library-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "no-implied": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "gpl-see": "See the GNU General Public License for more details",
+    "lgpl-see": "See the GNU Lesser General Public License for more details",
+    "agpl-see": "See the GNU Affero General Public License for more details",
+    "gpl-received": "You should have received a copy of the GNU General Public License along with this program",
+    "lgpl-received": "You should have received a copy of the GNU Lesser General Public License along with this library",
+    "lgpl-received-program": "You should have received a copy of the GNU Lesser General Public License along with this program",
+    "agpl-received": "You should have received a copy of the GNU Affero General Public License along with this program",
+    "mpl-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+    "mpl-copy-https": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "cc-by-nc-short": "Licensed under CC BY-NC 4.0",
+    "cc-by-short": "Licensed under CC BY 4.0",
+    "cc-by-sa-short": "Licensed under CC BY-SA 4.0",
+    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "spdx": "SPDX-License-Identifier",
+    "spdx-mit": "MIT",
+    "spdx-isc": "ISC",
+    "spdx-apache": "Apache-2.0",
+    "spdx-bsd-2": "BSD-2-Clause",
+    "spdx-bsd-3": "BSD-3-Clause",
+    "spdx-gpl-2": "GPL-2.0-only",
+    "spdx-gpl-2-later": "GPL-2.0-or-later",
+    "spdx-gpl-3": "GPL-3.0-only",
+    "spdx-gpl-3-later": "GPL-3.0-or-later",
+    "spdx-lgpl-2.1": "LGPL-2.1-or-later",
+    "spdx-lgpl-3": "LGPL-3.0-or-later",
+    "spdx-agpl-3": "AGPL-3.0-or-later",
+    "spdx-mpl": "MPL-2.0",
+    "rights": "All rights reserved",
+}
+# A licence's name and the sentences that it is told by, in matching order.
 RULES = (
-    ("MIT", (3, 4, 5)),
-    ("GPL-3.0", (10, 11, 12)),
-    ("BSD-3-Clause", (17, 18, 19)),
-    ("Apache-2.0", (6, 7, 8)),
-    ("Apache-2.0", (6, 7)),
-    ("BSD-2-Clause", (17, 18)),
-    ("GPL-3.0", (10, 11)),
-    ("MIT", (3, 5)),
-    ("MIT", (1,)),
-    ("MIT", (2,)),
-    ("MIT", (3,)),
-    ("Apache-2.0", (6,)),
-    ("GPL-3.0", (9,)),
-    ("GPL-3.0", (10,)),
-    ("CC-BY-NC-4.0", (13,)),
-    ("CC-BY-4.0", (14,)),
-    ("CC-BY-SA-4.0", (15,)),
-    ("CC-BY-4.0", (16,)),
-    ("MPL-2.0", (20,)),
-    ("proprietary", (21,)),
+    ("MIT", "mit-grant mit-notice mit-as-is mit-liability"),
+    ("MIT", "mit-grant mit-notice mit-as-is"),
+    ("MIT-0", "mit-0-grant mit-as-is mit-liability"),
+    ("ISC", "isc-grant isc-as-is"),
+    ("BSD-3-Clause", "rights bsd-grant bsd-source bsd-binary bsd-names bsd-as-is"),
+    ("BSD-3-Clause", "rights bsd-grant bsd-source bsd-binary bsd-names-university bsd-as-is"),
+    ("BSD-2-Clause", "rights bsd-grant bsd-source bsd-binary bsd-as-is"),
+    ("BSD-3-Clause", "bsd-grant bsd-source bsd-binary bsd-names bsd-as-is"),
+    ("BSD-3-Clause", "bsd-grant bsd-source bsd-binary bsd-names-university bsd-as-is"),
+    ("BSD-2-Clause", "bsd-grant bsd-source bsd-binary bsd-as-is"),
+    ("Apache-2.0", "apache-contributors apache-asf apache-comply apache-copy apache-url apache-unless apache-see"),
+    ("Apache-2.0", "apache-licensed apache-comply apache-copy apache-url apache-unless apache-see"),
+    ("Apache-2.0", "apache-licensed apache-comply apache-copy apache-urls apache-unless apache-see"),
+    ("Apache-2.0", "apache-licensed apache-comply apache-copy-url apache-unless apache-see"),
+    ("Apache-2.0", "apache-asf apache-comply"),
+    ("Apache-2.0", "apache-licensed apache-comply"),
+    ("Apache-2.0", "apache-short apache-comply"),
+    ("GPL-3.0-or-later", "program-free gpl3-terms program-hope no-implied gpl-see gpl-received"),
+    ("GPL-2.0-or-later", "program-free gpl-terms version-2 program-hope no-implied gpl-see gpl-received"),
+    ("AGPL-3.0-or-later", "program-free agpl3-terms program-hope no-implied agpl-see agpl-received"),
+    ("LGPL-3.0-or-later", "program-free lgpl3-terms program-hope no-implied lgpl-see lgpl-received-program"),
+    ("LGPL-3.0-or-later", "library-free lgpl3-terms library-hope no-implied lgpl-see lgpl-received"),
+    ("LGPL-2.1-or-later", "library-free lgpl-terms version-2.1 library-hope no-implied lgpl-see lgpl-received"),
+    ("GPL-3.0-or-later", "program-free gpl3-terms"),
+    ("GPL-3.0-or-later", "program-free gpl-terms version-3"),
+    ("GPL-2.0-or-later", "program-free gpl-terms version-2"),
+    ("AGPL-3.0-or-later", "program-free agpl3-terms"),
+    ("LGPL-3.0-or-later", "program-free lgpl3-terms"),
+    ("LGPL-3.0-or-later", "library-free lgpl3-terms"),
+    ("LGPL-3.0-or-later", "library-free lgpl-terms version-3"),
+    ("LGPL-2.1-or-later", "library-free lgpl-terms version-2.1"),
+    ("MPL-2.0", "mpl-subject mpl-copy"),
+    ("MPL-2.0", "mpl-subject mpl-copy-https"),
+    ("MIT", "spdx spdx-mit"),
+    ("ISC", "spdx spdx-isc"),
+    ("Apache-2.0", "spdx spdx-apache"),
+    ("BSD-2-Clause", "spdx spdx-bsd-2"),
+    ("BSD-3-Clause", "spdx spdx-bsd-3"),
+    ("GPL-2.0-only", "spdx spdx-gpl-2"),
+    ("GPL-2.0-or-later", "spdx spdx-gpl-2-later"),
+    ("GPL-3.0-only", "spdx spdx-gpl-3"),
+    ("GPL-3.0-or-later", "spdx spdx-gpl-3-later"),
+    ("LGPL-2.1-or-later", "spdx spdx-lgpl-2.1"),
+    ("LGPL-3.0-or-later", "spdx spdx-lgpl-3"),
+    ("AGPL-3.0-or-later", "spdx spdx-agpl-3"),
+    ("MPL-2.0", "spdx spdx-mpl"),
+    ("MIT", "mit-grant"),
+    ("MIT", "mit-released"),
+    ("MIT", "mit-project"),
+    ("BSD", "bsd-grant bsd-source"),
+    ("Apache-2.0", "apache-licensed"),
+    ("Apache-2.0", "apache-short"),
+    ("GPL-3.0", "gpl3-short"),
+    ("CC-BY-NC-4.0", "cc-by-nc-short"),
+    ("CC-BY-4.0", "cc-by-short"),
+    ("CC-BY-SA-4.0", "cc-by-sa-short"),
+    ("CC-BY-4.0", "cc-by"),
+    ("CC-BY-SA-4.0", "cc-by-sa"),
+    ("CC-BY-NC-4.0", "cc-by-nc"),
+    ("MPL-2.0", "mpl-subject"),
+    ("proprietary", "rights"),
 )
 #: Unknown sentences that may stand between two of a rule.
 MAX_GAP = 3
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A sentence ends in punctuation before white space or the end, or with its line.
-ENDS = r"[.!?;]+([\x20\x09-\x0D]|\z)|\n"
+#: A sentence ends in punctuation before white space or the end, or with an empty line.
+ENDS = r"[.!?;:]+([\x20\x09-\x0D]|\z)|\n[^a-z0-9\n]*\n"
+#: Steps after lower-casing: hard marks, words, and marks that meet become one.
+STEPS = ((ENDS, "|"), (r"[^a-z0-9|\n]+", " "), (r"[ \n]*\|[ |\n]*", "|"), (r" *\n[ \n]*", "\n"))
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: lower case, runs of all but letters a-z and digits one space."""
-    lowered = F.translate(text, UPPER, LOWER)
-    plain = F.regexp_replace(F.regexp_replace(lowered, ENDS, "\n"), r"[^a-z0-9\n]+", " ")
-    return F.transform(F.split(plain, "\n"), lambda s: F.trim(s))
+def marked(text: Column) -> Column:
+    """The words of a text, with | at its ends and at sentence ends, and line feeds where lines end otherwise."""
+    out = F.concat(F.lit("|"), F.translate(text, UPPER + "|", LOWER + " "), F.lit("|"))
+    for pattern, mark in STEPS:
+        out = F.regexp_replace(out, pattern, mark)
+    return out
 
 
 def normalised(sentence: str) -> str:
-    """The same in Python, for the table of known sentences."""
+    """The words of a known sentence."""
     return " ".join("".join(c if c in LOWER + "0123456789" else " " for c in sentence.translate(str.maketrans(UPPER, LOWER))).split())
 
 
+def names_of(known: dict[str, str]) -> dict[str, str]:
+    """An identifier for each normalised sentence, longest first; of equal sentences the first identifier."""
+    names: dict[str, str] = {}
+    for name, sentence in known.items():
+        names.setdefault(normalised(sentence), name)
+    return dict(sorted(names.items(), key=lambda x: -len(x[0])))
+
+
 def license_scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=SENTENCES, rules=RULES, max_gap: int = MAX_GAP
 ) -> DataFrame:
     """One row per row of docs: (id, n_sentences, n_known, sentence_ids, licenses, unmatched).
 
-    sentence_ids: the places in known of the sentences found, comma-joined in text order.
-    licenses: name:count of each licence that rules told, comma-joined in the order of
-    rules; unmatched: identifiers that no rule used. Sentences of a rule follow one another
-    with at most max_gap unknown ones between. A null or empty text has no sentences, and
-    empty strings in the last three columns. Repeated rows are scanned each for itself;
-    an empty table gives no rows; other columns are not read.
+    sentence_ids: the identifiers in known of the sentences found, comma-joined in text
+    order; of sentences that begin at one mark the longest. licenses: name:count of each
+    licence that rules told, comma-joined in the order of rules; unmatched: identifiers
+    that no rule used. Sentences of a rule follow one another with at most max_gap unknown
+    ones between. A null or empty text has no sentences, and empty strings in the last
+    three columns. Repeated rows are scanned each for itself; an empty table gives no rows;
+    other columns are not read.
     """
-    if any(len(r) > 1 and list(r) != sorted(set(r)) for _, r in rules):
-        raise ValueError("a rule's sentences stand in the order of known")
-    places = F.create_map(*[x for i, s in enumerate(known) for x in (F.lit(normalised(s)), F.lit(i + 1))])
-    ids = F.transform(F.filter(sentences(text_of(text_col)), lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(places, s), F.lit(0)))
-    rows = docs.select(F.col(id_col), ids.alias("ids"))
-    rows = rows.withColumn("n_sentences", F.size("ids").cast("long"))
+    names = names_of(known)
+    places = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    spans = "|".join(sentence.replace(" ", r"[ \n]") for sentence in names)
+    rows = docs.select(F.col(id_col), marked(text_of(text_col)).alias("marked"))
+    #  a known sentence with the mark before it, or a hard mark before an unknown one
+    found = F.regexp_extract_all("marked", F.lit(rf"[|\n]({spans})(?=[|\n])|\|"), F.lit(1))
+    rows = rows.select(
+        id_col,
+        (F.length("marked") - F.length(F.replace("marked", F.lit("|"))) - 1).cast("long").alias("n_sentences"),
+        F.transform(found, lambda s: F.when(s != "", F.try_element_at(places, F.replace(s, F.lit("\n"), F.lit(" "))))).alias("ids"),
+    )
     #  unknown sentences are dots; a longer gap breaks the sequence
-    marks = F.array_join(F.transform("ids", lambda i: F.when(i == 0, F.lit(".")).otherwise(F.concat(F.lit("<"), i.cast("string"), F.lit(">")))), "")
+    marks = F.array_join(F.transform("ids", lambda i: F.coalesce(F.concat(F.lit("<"), i, F.lit(">")), F.lit("."))), "")
     rows = rows.withColumn("marks", F.regexp_replace(F.regexp_replace(marks, r"\.{%d,}" % (max_gap + 1), "|"), r"\.", ""))
-    rows = rows.withColumn("known", F.filter("ids", lambda i: i > 0)).drop("ids")
+    rows = rows.withColumn("known", F.filter("ids", lambda i: i.isNotNull())).drop("ids")
     left, counts = F.col("marks"), {}
     for at, (name, rule) in enumerate(rules):
-        mark = "".join(f"<{i}>" for i in rule)
+        mark = "".join(f"<{i}>" for i in rule.split())
         rows = rows.withColumn(f"_left{at}", F.replace(left, F.lit(mark), F.lit("|")))
         #  each use of the rule turns len(mark) characters into one
         uses = ((F.length(left) - F.length(f"_left{at}")) / (len(mark) - 1)).cast("int")
@@ -113,12 +225,12 @@ def license_scan(
         counts.setdefault(name, []).append(F.col(f"_uses{at}"))
         left = F.col(f"_left{at}")
     told = [F.when(sum(c[1:], c[0]) > 0, F.concat(F.lit(f"{name}:"), sum(c[1:], c[0]).cast("string"))) for name, c in counts.items()]
-    rest = F.regexp_extract_all(left, F.lit("<([0-9]+)>"), F.lit(1))
+    rest = F.regexp_extract_all(left, F.lit("<([^>]+)>"), F.lit(1))
     return rows.select(
         id_col,
         "n_sentences",
         F.size("known").cast("long").alias("n_known"),
-        F.array_join(F.transform("known", lambda i: i.cast("string")), ",").alias("sentence_ids"),
+        F.array_join("known", ",").alias("sentence_ids"),
         F.concat_ws(",", *told).alias("licenses"),
         F.array_join(rest, ",").alias("unmatched"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import table
 from helixframe.llm.exact_dedup import exact_dedup
 from helixframe.llm.fingerprints import document_fingerprints
-from helixframe.llm.license_scan import ENDS, LOWER, MAX_GAP, RULES, SENTENCES, UPPER, license_scan, normalised
+from helixframe.llm.license_scan import LOWER, MAX_GAP, RULES, SENTENCES, STEPS, UPPER, license_scan, names_of
 from helixframe.llm.mixing import mix
 from helixframe.llm.packing import pack
 from helixframe.llm.secrets import secret_scan
@@ -83,10 +83,11 @@ _WS = r"[\x20\x09-\x0D]+"
 
 
 def _license_sql() -> str:
-    known = ", ".join(f"('{normalised(x)}', {i + 1})" for i, x in enumerate(SENTENCES))
+    names = names_of(SENTENCES)
+    known = ", ".join(f"('{sentence}', '{name}')" for sentence, name in names.items())
     steps, left, uses = [], "marks", {}
     for at, (name, rule) in enumerate(RULES):
-        mark = "".join(f"<{i}>" for i in rule)
+        mark = "".join(f"<{i}>" for i in rule.split())
         steps.append(
             f"l{at} AS (SELECT *, replace({left}, '{mark}', '|') AS left{at}, "
             f"((length({left}) - length(replace({left}, '{mark}', '|'))) // {len(mark) - 1}) AS uses{at} FROM {f'l{at - 1}' if at else 'm'})"
@@ -94,30 +95,33 @@ def _license_sql() -> str:
         left = f"left{at}"
         uses.setdefault(name, []).append(f"uses{at}")
     told = ", ".join(f"CASE WHEN {'+'.join(u)} > 0 THEN '{name}:' || ({'+'.join(u)})::varchar END" for name, u in uses.items())
+    marked = f"'|' || translate(coalesce(text, ''), '{UPPER}|', '{LOWER} ') || '|'"
+    for pattern, mark in STEPS:
+        marked = f"regexp_replace({marked}, '{pattern}', '{mark}', 'g')".replace("'\n'", "chr(10)")
     return rf"""
         WITH known(sentence, id) AS (VALUES {known}),
-        d AS (
-            SELECT row_number() OVER () AS rid, doc_id,
-                   string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ENDS}', chr(10), 'g'),
-                                               '[^a-z0-9\n]+', ' ', 'g'), chr(10)) AS parts
-            FROM documents),
-        s AS (
-            SELECT rid, doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM d),
-        i AS (
-            SELECT s.rid, s.doc_id, s.pos, coalesce(known.id, 0) AS id
-            FROM s LEFT JOIN known ON known.sentence = trim(s.part) WHERE trim(s.part) <> ''),
+        d AS (SELECT row_number() OVER () AS rid, doc_id, {marked} AS m FROM documents),
+        c AS (
+            SELECT d.rid, d.m, known.sentence, known.id FROM d JOIN known ON contains(replace(d.m, chr(10), ' '), known.sentence)),
+        b AS (
+            SELECT rid, m, unnest(list_filter(range(1, length(m) + 1), lambda i: m[i] = '|' OR m[i] = chr(10))) AS pos
+            FROM (SELECT DISTINCT rid, m FROM c)),
+        e AS (
+            SELECT c.rid, b.pos, arg_max(c.id, length(c.sentence)) AS id, max(b.pos + length(c.sentence)) AS last
+            FROM c JOIN b ON c.rid = b.rid AND replace(substr(c.m, b.pos + 1, length(c.sentence)), chr(10), ' ') = c.sentence
+                         AND substr(c.m, b.pos + 1 + length(c.sentence), 1) IN ('|', chr(10)) GROUP BY ALL),
+        o AS (SELECT * FROM e WHERE NOT EXISTS (FROM e AS around WHERE around.rid = e.rid AND around.pos < e.pos AND e.pos < around.last)),
         g AS (
-            SELECT rid, count(*) AS n_sentences, count(*) FILTER (id > 0) AS n_known,
-                   string_agg(id::varchar, ',' ORDER BY pos) FILTER (id > 0) AS sentence_ids,
-                   string_agg(CASE WHEN id > 0 THEN '<' || id::varchar || '>' ELSE '.' END, '' ORDER BY pos) AS raw
-            FROM i GROUP BY rid),
+            SELECT b.rid, count(o.id) AS n_known, string_agg(o.id, ',' ORDER BY b.pos) AS sentence_ids,
+                   string_agg(CASE WHEN o.id IS NOT NULL THEN '<' || o.id || '>' WHEN b.m[b.pos] = '|' THEN '.' ELSE '' END, '' ORDER BY b.pos) AS raw
+            FROM b LEFT JOIN o ON b.rid = o.rid AND b.pos = o.pos GROUP BY b.rid),
         m AS (
-            SELECT d.doc_id, coalesce(g.n_sentences, 0) AS n_sentences, coalesce(g.n_known, 0) AS n_known, coalesce(g.sentence_ids, '') AS sentence_ids,
+            SELECT d.doc_id, length(d.m) - length(replace(d.m, '|', '')) - 1 AS n_sentences, coalesce(g.n_known, 0) AS n_known, coalesce(g.sentence_ids, '') AS sentence_ids,
                    regexp_replace(regexp_replace(coalesce(g.raw, ''), '\.{{{MAX_GAP + 1},}}', '|', 'g'), '\.', '', 'g') AS marks
             FROM d LEFT JOIN g ON d.rid = g.rid),
         {", ".join(steps)}
         SELECT doc_id, n_sentences, n_known, sentence_ids, concat_ws(',', {told}) AS licenses,
-               array_to_string(regexp_extract_all({left}, '<([0-9]+)>', 1), ',') AS unmatched
+               array_to_string(regexp_extract_all({left}, '<([^>]+)>', 1), ',') AS unmatched
         FROM l{len(RULES) - 1}
     """
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import textwrap
 from collections import Counter
 
 from helixframe.llm import secrets
@@ -12,52 +13,190 @@ from helixframe.llm.token_counts import RANKS, encoded_lengths, encoder, length_
 from helixframe.llm.url_filter import filter_urls
 from tests.llm.fixtures import SCHEMA, documents
 
-MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.\n{gap}The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nThe software is provided \"AS IS\", without warranty of any kind."
+MIT = """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """   Copyright 2021 Somebody
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+LGPL21 = """    This library is free software; you can redistribute it and/or
+    modify it under the terms of the GNU Lesser General Public
+    License as published by the Free Software Foundation; either
+    version 2.1 of the License, or (at your option) any later version.
+
+    This library is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+    Lesser General Public License for more details.
+
+    You should have received a copy of the GNU Lesser General Public
+    License along with this library; if not, write to the Free Software
+    Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301
+    USA
+"""
+BSD3 = """Copyright (c) 2019, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+"""
+BSD2 = BSD3.replace(BSD3[BSD3.index("3. Neither") : BSD3.index("THIS SOFTWARE")], "")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+AGPL = GPL3.replace("GNU General", "GNU Affero General")
+NOTICES = {
+    "MIT:1": MIT, "Apache-2.0:1": APACHE, "GPL-3.0-or-later:1": GPL3, "LGPL-2.1-or-later:1": LGPL21, "BSD-3-Clause:1": BSD3, "BSD-2-Clause:1": BSD2,
+    "MPL-2.0:1": MPL, "AGPL-3.0-or-later:1": AGPL,
+}
+
+
+def commented(text, first, each, last):
+    return "\n".join([first, *(each + line for line in text.splitlines()), last])
+
+
+def one_line(text):
+    return " ".join(text.split())
+
+
+def rewrapped(text, width):
+    return "\n\n".join(textwrap.fill(one_line(p), width) for p in re.split(r"\n\s*\n", text))
 
 
 def brute_licenses(text):
-    parts = re.split(r"[.!?;]+(?:[\x20\x09-\x0D]|\Z)|\n", text or "")
-    known = {normalised(s): i + 1 for i, s in enumerate(SENTENCES)}
-    ids = [known.get(normalised(p), 0) for p in parts if normalised(p)]
-    runs, gap = [[]], 0
-    for i in ids:
-        gap = 0 if i else gap + 1
-        if i:
-            runs[-1].append(i)
-        elif gap == 4:
-            runs.append([])
+    """Token by token: words, hard marks and soft marks."""
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (text or "").replace("|", " "))
+    lowered = re.sub(r"[.!?;:]+(?:[\x20\x09-\x0D]|\|*\Z)|\n[^a-z0-9\n]*\n", "|", lowered)
+    tokens = ["|", *re.findall(r"[a-z0-9]+|[|\n]", lowered), "|"]
+    clean = []
+    for t in tokens:
+        if t in "|\n" and clean and clean[-1] in "|\n":
+            clean[-1] = "|" if "|" in (t, clean[-1]) else "\n"
+        else:
+            clean.append(t)
+    known = sorted(((normalised(s).split(), name) for name, s in SENTENCES.items()), key=lambda x: -len(" ".join(x[0])))
+    runs, gap, at, ids = [[]], 0, 0, []
+    while at < len(clean):
+        if clean[at] not in "|\n":
+            at += 1
+            continue
+        for words, name in known:
+            k, seen = at + 1, []
+            while k < len(clean) and clean[k] != "|" and len(seen) < len(words):
+                seen += [clean[k]] if clean[k] != "\n" else []
+                k += 1
+            if seen == words and clean[k] in "|\n":
+                ids.append(name)
+                runs[-1].append(name)
+                gap, at = 0, k
+                break
+        else:
+            if clean[at] == "|":
+                gap += 1
+                if gap == 4:
+                    runs.append([])
+            at += 1
     told = Counter()
     for name, rule in RULES:
-        following = []
+        rule, following = rule.split(), []
         for run in runs:
-            at = 0
-            while at < len(run):
-                if tuple(run[at : at + len(rule)]) == rule:
+            i = 0
+            while i < len(run):
+                if run[i : i + len(rule)] == rule:
                     told[name] += 1
-                    following.append(run[:at])
-                    run, at = run[at + len(rule) :], 0
+                    following.append(run[:i])
+                    run, i = run[i + len(rule) :], 0
                 else:
-                    at += 1
+                    i += 1
             following.append(run)
         runs = following
     names = list(dict.fromkeys(n for n, _ in RULES))
-    return len(ids), ",".join(str(i) for i in ids if i), ",".join(f"{n}:{told[n]}" for n in names if told[n]), ",".join(str(i) for r in runs for i in r)
+    return clean.count("|") - 1, ",".join(ids), ",".join(f"{n}:{told[n]}" for n in names if told[n]), ",".join(i for r in runs for i in r)
+
+
+def test_known_sentences():
+    """No known sentence holds a sentence end, and rules know their sentences."""
+    assert not any(re.search(r"[.!?;:]+(\s|$)|[|\n]", s) for s in SENTENCES.values())
+    assert {name for _, rule in RULES for name in rule.split()} <= set(SENTENCES)
 
 
 def test_license_scan(spark):
     rows = documents()
-    texts = [
-        MIT.format(gap=""), MIT.format(gap="Who. What. Where. "), MIT.format(gap="One. Two. Three. Four. "), "Licensed under CC BY-NC 4.0.", "LICENSED under cc by nc 4.0",
-        "Released under the MIT License. Released under the MIT License; All rights reserved.", "x All rights reserved. You may not use this file except in compliance with the License.",
-        "Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License.",
-    ]
+    texts, expected = [], []
+    for licence, text in NOTICES.items():
+        for form in (text, text.replace("\n", "\r\n"), rewrapped(text, 40), rewrapped(text, 100), commented(text, "/*", " * ", " */"), commented(text, "#!/bin/sh", "# ", "x = 1"),
+                     commented(text, "package x;", "// ", ""), f"Prose before it.\n{text}\nProse after it."):
+            texts.append(form)
+            expected.append(licence)
+        texts.append(one_line(text))
+        expected.append(licence)
+    texts += ["Licensed under CC BY-NC 4.0.", "some line\nLICENSED under cc by nc 4.0\nanother line", "Released under the MIT License. Released under the MIT License; All rights reserved.",
+              "x All rights reserved. You may not use this file except in compliance with the License.", "// SPDX-License-Identifier: GPL-2.0-or-later\n", "|" * 5 + "MIT|", "?!" * 9]
+    expected += ["CC-BY-NC-4.0:1", "CC-BY-NC-4.0:1", "MIT:2,proprietary:1", "", "GPL-2.0-or-later:1", "", ""]
     rows += [(10_000 + i, t) + (None,) * 7 for i, t in enumerate(texts)]
     found = license_scan(spark.createDataFrame(rows, SCHEMA)).collect()
     got = sorted([(r["doc_id"], r["n_sentences"], r["sentence_ids"], r["licenses"], r["unmatched"]) for r in found], key=str)
     assert got == sorted([(r[0], *brute_licenses(r[1])) for r in rows], key=str)
     by_id = {r["doc_id"]: r["licenses"] for r in found}
-    assert [by_id[10_000 + i] for i in range(4)] == ["MIT:1", "MIT:1", "MIT:1", "CC-BY-NC-4.0:1"]
-    assert by_id[10_007] == "Apache-2.0:1"
+    assert [by_id[10_000 + i] for i in range(len(texts))] == expected
 
 
 def brute_base(text):
