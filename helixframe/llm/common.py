@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from helixframe.scratch import settled as settle
 
-#: The white space that separates words, and its complement.
-SPACE = r"[\x20\x09-\x0D]+"
+#: What white space separates.
 WORD = r"[^\x20\x09-\x0D]+"
+#: The white space that one space is to replace; a single space, the usual case, is left as it is.
+GAP = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ def text_of(column: str | Column) -> Column:
 
 def squeezed(column: str | Column) -> Column:
     """The text with each run of white space replaced by one space; null is empty."""
-    return F.regexp_replace(text_of(column), SPACE, " ")
+    return F.regexp_replace(text_of(column), GAP, " ")
 
 
 def word_count(column: str | Column) -> Column:
