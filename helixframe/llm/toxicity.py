@@ -3,12 +3,15 @@
 A logistic model over the words of a text. In training, identity terms of labelled
 sentences are swapped for other terms of their kind, and the squared change of the score
 is added to the loss: a weight that a group mention gained from the company it keeps in
-the labelled rows costs more than it brings, so neutral mentions stay neutral. Training
-fits a bounded, hash-chosen sample of labelled rows; scoring reads every whole text.
+the labelled rows costs more than it brings, so neutral mentions stay neutral. Neutral
+sentences about every identity term are swapped as well, so that the penalty also holds
+down word openings that such terms share with other words, whatever the labelled rows say.
+Training fits a bounded, hash-chosen sample of labelled rows; scoring reads every whole text.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -47,6 +50,11 @@ IDENTITY_TERMS = (
     ("musulmans", "juifs", "chrétiens"),
 )
 
+# Neutral sentences about an identity term, in the same languages.
+NEUTRAL = ("We met {} people at the market today.", "My neighbours are {}.", "Unsere Nachbarn sind {}.", "Nuestros vecinos son {}.", "Nos voisins sont {}.")
+#: Words whose weights a scoring process remembers.
+REMEMBERED = 200_000
+
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
@@ -89,14 +97,38 @@ def swapped(text: str, kinds=IDENTITY_TERMS, most: int = MAX_SWAPS) -> list[set[
 
 @dataclass
 class ToxicityModel:
-    """Weights by word; words without one weigh nothing."""
+    """Weights by feature; words and openings without one weigh nothing."""
 
     bias: float = 0.0
     words: dict[str, float] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.openings = {f.lstrip("^") for f in self.words if f.startswith("^")}
+        self.lengths = sorted({len(o) for o in self.openings})
+        self.known: dict[str, tuple[float, tuple[str, ...]]] = {}
+
+    def parts(self, word: str) -> tuple[float, tuple[str, ...]]:
+        """The word's own weight, and its openings that have one."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            openings = tuple(word[:n] for n in self.lengths if len(word) > n and word[:n] in self.openings)
+            found = self.known[word] = (self.words.get(word, 0.0), openings)
+        return found
+
     def margin(self, words: set[str]) -> float:
-        known = self.words
-        return self.bias + sum(known[w] for w in sorted(features_of(words) & known.keys()))
+        """The bias and the weights of features_of(words), summed exactly, so in any order."""
+        weights, times = [], {}
+        for word in words:
+            own, openings = self.parts(word)
+            if own:
+                weights.append(own)
+            for opening in openings:
+                times[opening] = times.get(opening, 0) + 1
+        for opening, n in times.items():
+            weights += [self.words.get("^" * i + opening, 0.0) for i in range(1, min(n, 3) + 1)]
+        return self.bias + math.fsum(weights)
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.margin(words_of(text)), -500, 500))))
@@ -126,13 +158,14 @@ def choose_features(sample: DataFrame, clean: int, toxic: int, min_rows: int, mi
     return sorted(r["feature"] for r in kept.select("feature").collect())
 
 
-def _places(kinds, features: list[str]):
+def _known(features: list[str]):
     index = {f: i for i, f in enumerate(features)}
+    return lambda words: sorted(index[f] for f in features_of(words) if f in index)
 
-    def known(words: set[str]) -> list[int]:
-        return sorted(index[f] for f in features_of(words) if f in index)
 
+def _places(kinds, features: list[str]):
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _known(features)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             found = pa.array([known(words_of(t)) for t in texts], pa.list_(pa.int32()))
@@ -149,42 +182,69 @@ def _ones(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), sizes), columns
 
 
+class Objective:
+    """The smooth part of the loss: balanced logistic loss of rows, l2, and the mean squared score change of swaps.
+
+    rows are (toxic, places in features, the same of each swapped version); neutral ones
+    (places, swapped versions) have no label and count in the last part only.
+    """
+
+    def __init__(self, rows, neutral, features: int, l2: float, counterfactual: float):
+        self.y = np.array([r[0] for r in rows] + [0] * len(neutral), np.float64)
+        n, positive = len(rows), float(self.y.sum())
+        self.m, self.n, self.l2, self.counterfactual = features, n, l2, counterfactual
+        self.weight = np.where(self.y > 0, n / (2 * positive), n / (2 * (n - positive))) / n
+        self.weight[n:] = 0
+        every = [(r[1], r[2]) for r in rows] + list(neutral)
+        self.ri, self.ci = _ones([found for found, _ in every])
+        origin = [(i, s) for i, (found, swaps) in enumerate(every) for s in swaps if s != found]
+        self.si, self.sc = _ones([s for _, s in origin])
+        self.of = np.array([i for i, _ in origin], np.int64)
+        changed = [len(set(s) ^ set(every[i][0])) for i, s in origin]
+        longest = max(np.bincount(self.ri, minlength=len(every)).max(), 1)
+        #  a swap's curvature is the number of features it changes; the mean bounds that of all of them
+        self.curvature = 0.05 * self.weight.max() * n * (longest + 1) + l2 + (2 * counterfactual * float(np.mean(changed)) if changed else 0)
+
+    def at(self, v: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+        """The loss, its gradient by the weights and by the bias."""
+        count = len(self.y)
+        margin = np.bincount(self.ri, weights=v[self.ci], minlength=count)
+        z = np.clip(margin + bias, -500, 500)
+        g = self.weight * (1 / (1 + np.exp(-z)) - self.y)
+        loss = float(self.weight @ (np.logaddexp(0, z) - self.y * z)) + self.l2 / 2 * float(v @ v)
+        grad = np.bincount(self.ci, weights=g[self.ri], minlength=self.m) + self.l2 * v
+        if len(self.of):
+            change = np.bincount(self.si, weights=v[self.sc], minlength=len(self.of)) - margin[self.of]
+            loss += self.counterfactual * float(np.mean(change**2))
+            h = 2 * self.counterfactual * change / len(self.of)
+            back = np.bincount(self.of, weights=h, minlength=count)
+            grad += np.bincount(self.sc, weights=h[self.si], minlength=self.m) - np.bincount(self.ci, weights=back[self.ri], minlength=self.m)
+        return loss, grad, float(g.sum())
+
+
 def fit(
     rows: list[tuple[int, list[int], list[list[int]]]],
     features: list[str],
+    neutral: list[tuple[list[int], list[list[int]]]] = (),
     l1: float = 1e-3,
     l2: float = 1e-5,
     counterfactual: float = 1.0,
     rounds: int = 400,
 ) -> ToxicityModel:
-    """Fit to (toxic, places in features, the same of each swapped version) rows.
+    """Fit Objective's loss and l1 by accelerated proximal gradient.
 
     Without rows of both labels, or without features, the model scores everything alike.
     """
-    y = np.array([r[0] for r in rows], np.float64)
-    n, positive = len(y), float(y.sum())
+    n, positive = len(rows), float(sum(r[0] for r in rows))
     if not n or positive in (0, n):
         return ToxicityModel(bias=-5.0 if not positive else 5.0)
     if not features:
         return ToxicityModel(bias=float(np.log(positive / (n - positive))))
-    ri, ci = _ones([r[1] for r in rows])
-    origin = [(i, s) for i, r in enumerate(rows) for s in r[2]]
-    si, sc = _ones([s for _, s in origin])
-    of = np.array([i for i, _ in origin], np.int64)
-    m, balance = len(features), np.where(y > 0, n / (2 * positive), n / (2 * (n - positive)))
-    w, v, bias, vb, t = np.zeros(m), np.zeros(m), 0.0, 0.0, 1.0
-    longest = max(np.bincount(ri, minlength=n).max(), 1)
-    step = 1 / (0.05 * balance.max() * (longest + 1) + l2 + (4 * counterfactual * longest if len(of) else 0))
-    for _ in range(rounds):  # accelerated proximal gradient
-        margin = np.bincount(ri, weights=v[ci], minlength=n) + vb
-        p = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
-        g = balance * (p - y) / n
-        grad, grad_b = np.bincount(ci, weights=g[ri], minlength=m) + l2 * v, g.sum()
-        if len(of):
-            change = np.bincount(si, weights=v[sc], minlength=len(of)) - (margin - vb)[of]
-            h = 2 * counterfactual * change / len(of)
-            back = np.bincount(of, weights=h, minlength=n)
-            grad += np.bincount(sc, weights=h[si], minlength=m) - np.bincount(ci, weights=back[ri], minlength=m)
+    objective = Objective(rows, neutral, len(features), l2, counterfactual)
+    step = 1 / objective.curvature
+    w, v, bias, vb, t = np.zeros(len(features)), np.zeros(len(features)), 0.0, 0.0, 1.0
+    for _ in range(rounds):
+        _, grad, grad_b = objective.at(v, vb)
         new = v - step * grad
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         new_b, new_t = vb - step * grad_b, (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -193,6 +253,10 @@ def fit(
     return ToxicityModel(float(bias), {f: float(x) for f, x in zip(features, w, strict=True) if x})
 
 
+def neutral_texts(kinds=IDENTITY_TERMS) -> list[str]:
+    return [frame.format(term) for kind in kinds for term in kind for frame in NEUTRAL]
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -223,7 +287,9 @@ def train(
     features = choose_features(sample, clean, toxic, min_rows, min_share, min_chi2) if clean and toxic else []
     found = sample.mapInArrow(_places(identity_terms, features), "toxic int, found array<int>, swaps array<array<int>>")
     rows = sorted((int(r["toxic"] > 0), r["found"], r["swaps"]) for r in found.collect())
-    return fit(rows, features, **fitting)
+    known = _known(features)
+    neutral = [(known(words_of(t)), [known(s) for s in swapped(t, identity_terms)]) for t in neutral_texts(identity_terms)]
+    return fit(rows, features, neutral, **fitting)
 
 
 def held_out(id_col: str):

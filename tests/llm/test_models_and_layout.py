@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -16,7 +17,7 @@ from helixframe.llm import fingerprints as fp
 from helixframe.llm.mixing import first_words, mix, mixed_documents
 from helixframe.llm.packing import pack
 from helixframe.llm.queries import ORACLE_SQL, QUERIES
-from helixframe.llm.toxicity import ToxicityModel, accepted, features_of, fit, score_toxicity, swapped, train, words_of
+from helixframe.llm.toxicity import Objective, ToxicityModel, accepted, features_of, fit, neutral_texts, score_toxicity, swapped, train, words_of
 from tests.llm.fixtures import SCHEMA, documents
 from tests.oracle import oracle_rows, rows_of
 
@@ -71,6 +72,60 @@ def test_counterfactual_penalty():
     assert gap(fair) < gap(plain) / 3
 
 
+def brute_loss(rows, neutral, w, bias, l2, counterfactual):
+    n, positive = len(rows), sum(y for y, _, _ in rows)
+    total = l2 / 2 * sum(x * x for x in w)
+    for y, found, _ in rows:
+        p = 1 / (1 + math.exp(-(bias + sum(w[i] for i in found))))
+        total -= (y * math.log(p) + (1 - y) * math.log(1 - p)) / (2 * (positive if y else n - positive))
+    changes = [sum(w[i] for i in s) - sum(w[i] for i in found) for found, swaps in [r[1:] for r in rows] + neutral for s in swaps if s != found]
+    return total + counterfactual * sum(c * c for c in changes) / len(changes)
+
+
+def test_loss_and_gradient():
+    random.seed(3)
+    some = lambda k: sorted(random.sample(range(12), k))
+    rows = [(i % 3 == 0, some(random.randrange(6)), [some(4) for _ in range(random.randrange(3))]) for i in range(30)]
+    rows = [(int(y), a, b) for y, a, b in rows]
+    neutral = [(a := some(3), [a, some(2), some(3)]) for _ in range(5)]
+    objective, w, bias = Objective(rows, neutral, 12, 0.1, 0.7), np.array([random.gauss(0, 1) for _ in range(12)]), 0.3
+    loss, grad, grad_b = objective.at(w, bias)
+    assert math.isclose(loss, brute_loss(rows, neutral, w, bias, 0.1, 0.7), rel_tol=1e-9)
+    for i in range(12):
+        step = np.eye(12)[i] * 1e-5
+        slope = (brute_loss(rows, neutral, w + step, bias, 0.1, 0.7) - brute_loss(rows, neutral, w - step, bias, 0.1, 0.7)) / 2e-5
+        assert math.isclose(grad[i], slope, rel_tol=1e-4, abs_tol=1e-7)
+    slope = (brute_loss(rows, neutral, w, bias + 1e-5, 0.1, 0.7) - brute_loss(rows, neutral, w, bias - 1e-5, 0.1, 0.7)) / 2e-5
+    assert math.isclose(grad_b, slope, rel_tol=1e-4, abs_tol=1e-7)
+
+
+def test_neutral_mentions(spark):
+    """Toxic words that open like an identity term, in rows that name no identity: neutral mentions stay under the threshold."""
+    random.seed(5)
+    rows, labels = [], []
+    for i in range(1000):
+        toxic = int(i % 2)
+        words = [f"{a}{b}" for a, b in (random.sample("bdgklmnprst", 2) for _ in range(8))]
+        words += random.sample(["buddhistische", "buddhistling", "immigrantly", "transgenderous", "vile", "scum"], 3) if toxic else []
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    plain, fair = train(docs, labels, counterfactual=0.0), train(docs, labels, counterfactual=20.0)
+    wrong = [sum(m.score(t) >= 0.5 for t in neutral_texts()) for m in (plain, fair)]
+    caught = [np.mean([m.score(t) >= 0.5 for i, t in rows if i % 2]) for m in (plain, fair)]
+    assert wrong[1] < wrong[0] and caught[1] > 0.9, (wrong, caught)
+
+
+def test_margin_is_that_of_features():
+    random.seed(9)
+    words = {"".join(random.choice("abc") for _ in range(random.randrange(1, 10))) for _ in range(300)}
+    features = sorted(features_of(words))
+    model = ToxicityModel(0.25, {f: random.gauss(0, 1) for f in random.sample(features, len(features) // 2)})
+    for _ in range(50):
+        some = set(random.sample(sorted(words), 40))
+        assert math.isclose(model.margin(some), 0.25 + math.fsum(model.words.get(f, 0.0) for f in features_of(some)), abs_tol=1e-9)
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame(documents(), SCHEMA)
     model = ToxicityModel(-1.0, {"alpha": 3.0})
