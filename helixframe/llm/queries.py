@@ -15,7 +15,7 @@ from helixframe.llm.secrets import secret_scan
 from helixframe.llm.simhash import near_dedup
 from helixframe.llm.token_counts import encoded_lengths, length_histogram, with_truncation
 from helixframe.llm.toxicity import score_toxicity, train
-from helixframe.llm.url_filter import ALPHABET, LEAST_SEEN, ORDER, SCALE, SMOOTHING, filter_urls
+from helixframe.llm.url_filter import ALPHABET, HELD_OUT, LEAST_SEEN, ORDER, SCALE, SMOOTHING, filter_urls
 from helixframe.llm.url_filter import RULES as URL_RULES
 
 
@@ -34,7 +34,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_tried", "n_novel", "n_base_novel")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +134,7 @@ def _url_sql() -> str:
     rule = "CASE " + " ".join(f.format(h + p) for f, (_, h, p) in zip(fits, ordered, strict=True)) + " END"
     verdict = "CASE " + " ".join(f.format(v) for f, (v, _, _) in zip(fits, ordered, strict=True)) + " END"
     room = SMOOTHING * ALPHABET
+    held = ", ".join(f"'{x}'" for x in HELD_OUT)
     return rf"""
         WITH u AS (
             SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url,
@@ -144,13 +145,13 @@ def _url_sql() -> str:
             SELECT rid, page_id, translate(url, '{UPPER}', '{LOWER}') AS low, translate(raw_host, '{UPPER}', '{LOWER}') AS host,
                    regexp_extract(substr(rest, length(raw_host) + 1), '\A[^?#]*') AS path
             FROM h),
-        r AS (SELECT *, {rule} AS rule, {verdict} AS ruled FROM p),
+        r AS (SELECT *, {rule} AS rule, {verdict} AS ruled, md5(low)[1] IN ({held}) AS held FROM p),
         f AS (
-            SELECT rid, ruled, unnest(list_transform(range(1, length(low) + 1), lambda i: substr(repeat(chr(2), {ORDER}) || low, i, {ORDER + 1}))) AS gram4
+            SELECT rid, ruled, held, unnest(list_transform(range(1, length(low) + 1), lambda i: substr(repeat(chr(2), {ORDER}) || low, i, {ORDER + 1}))) AS gram4
             FROM r),
         c AS (
             SELECT size, right(gram4, size) AS gram, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad
-            FROM f, range(1, {ORDER + 2}) s(size) WHERE ruled IS NOT NULL GROUP BY ALL),
+            FROM f, range(1, {ORDER + 2}) s(size) WHERE ruled IS NOT NULL AND NOT held GROUP BY ALL),
         x AS (SELECT size, left(gram, size - 1) AS context, sum(good) AS all_good, sum(bad) AS all_bad FROM c GROUP BY ALL),
         m AS (
             SELECT c.gram, c.size, round({SCALE} * (ln((good + {SMOOTHING}::double) / (all_good + {room}::double)) - ln((bad + {SMOOTHING}::double) / (all_bad + {room}::double))))::bigint AS gain
@@ -160,7 +161,8 @@ def _url_sql() -> str:
             FROM (SELECT DISTINCT gram4 FROM f) g, range(1, {ORDER + 2}) s(size) JOIN m ON m.size = s.size AND m.gram = right(g.gram4, s.size) GROUP BY g.gram4),
         t AS (SELECT f.rid, floor(coalesce(sum(b.gain), 0)::double / count(*))::bigint AS score FROM f LEFT JOIN b ON f.gram4 = b.gram4 GROUP BY f.rid),
         a AS (SELECT r.*, coalesce(t.score, 0) AS score FROM r LEFT JOIN t ON r.rid = t.rid),
-        k AS (SELECT (avg(score) FILTER (ruled = 'allow') + avg(score) FILTER (ruled = 'block')) / 2 AS threshold FROM a)
+        k AS (SELECT (coalesce(avg(score) FILTER (ruled = 'allow' AND held), avg(score) FILTER (ruled = 'allow'))
+                      + coalesce(avg(score) FILTER (ruled = 'block' AND held), avg(score) FILTER (ruled = 'block'))) / 2 AS threshold FROM a)
         SELECT page_id, host, path, rule,
                coalesce(ruled, CASE WHEN k.threshold IS NULL OR score >= k.threshold THEN 'allow' ELSE 'block' END) AS verdict
         FROM a, k

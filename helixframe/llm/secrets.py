@@ -4,7 +4,8 @@ Besides the spans of three patterns, strings that follow a sensitive word are ca
 A candidate is measured by the bytes that it adds to the compressed form of its
 surroundings: the compressor is primed with a dictionary of usual identifiers and the text
 around the candidate, so a word, a path or a name that was seen before adds little, while
-a random string adds nearly its own length. Those that don't compress are reported too.
+a random string adds nearly its own length. Those that don't compress are reported too, and
+the values of the patterns' spans are measured in the same way, to tell keys from placeholders.
 """
 
 from __future__ import annotations
@@ -28,16 +29,19 @@ KINDS = ("assign", "access", "hex", "novel")
 
 #: Words that make the strings after them candidates, within so many characters.
 SENSITIVE = re.compile(
-    r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|private_?key|credentials?|bearer|authorization|signature|client_id)(?![a-z])",
+    r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|private_?key|credentials?|bearer|auth|authorization|signature|client_?id|session(?:_?id)?|cookie|jwt|hmac|webhook)(?![a-z])",
     re.IGNORECASE | re.ASCII,
 )
-_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization", "signature", "client_id")
+_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth", "signature", "client", "session", "cookie", "jwt", "hmac", "webhook")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 REACH = 48
 #: Characters before and after a candidate that the compressor knows.
 SURROUNDINGS = 512
 #: Added bytes per character from which a candidate is novel.
 NOVELTY = 0.7
+#: Candidates are measured in pieces of about so many characters: from 64 literals on, zstandard codes them by
+#: their frequencies, and a random string over a small alphabet would no longer add its own length.
+PIECE = 48
 # Identifiers as they are usual in code and configuration.
 IDENTIFIERS = """
 username user_name password passwd secret token api_key apikey access_key private_key public_key client_id client_secret
@@ -61,6 +65,12 @@ class Novelty:
         bare = around[-64:].encode()
         return len(packer.compress(bare + candidate.encode())) - len(packer.compress(bare))
 
+    def share(self, text: str, start: int, end: int) -> float:
+        """Added bytes per character of text[start:end], each piece of it after what stands before."""
+        count = -(-(end - start) // PIECE)
+        cuts, after = [start + (end - start) * i // count for i in range(count + 1)], text[end : end + SURROUNDINGS]
+        return sum(self.added(text[a:b], after + text[max(0, a - SURROUNDINGS) : a]) for a, b in zip(cuts, cuts[1:], strict=False)) / (end - start)
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the patterns' matches, in code points, end exclusive; in order of start, then kind."""
@@ -78,8 +88,8 @@ def mixed(string: str) -> bool:
     return sum(any(a <= c <= b for c in string) for a, b in ("az", "AZ", "09")) > 1
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, str]]:
-    """Candidates in sensitive context that don't compress and don't overlap a span of base."""
+def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Strings of 16 characters or more after a sensitive word that overlap no span of base, words of prose left out."""
     lowered = text.lower()
     if not any(w in lowered for w in _HINTS):
         return []
@@ -88,14 +98,22 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, l
         at = max(word.end(), after)
         while at < word.end() + REACH and (m := CANDIDATE.search(text, at)) and m.start() < word.end() + REACH:
             at = after = m.end()
-            if any(a < m.end() and m.start() < b for a, b, _ in base) or not mixed(m.group()):
-                continue
-            around = text[m.end() : m.end() + SURROUNDINGS] + text[max(0, m.start() - SURROUNDINGS) : m.start()]
-            if novelty.added(m.group(), around) >= least * len(m.group()):
-                found.append((m.start(), m.end(), "novel"))
+            if mixed(m.group()) and not any(a < m.end() and m.start() < b for a, b, _ in base):
+                found.append((m.start(), m.end()))
     return found
 
 
+def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, str]]:
+    """The candidates that don't compress."""
+    return [(a, b, "novel") for a, b in candidates(text, base) if novelty.share(text, a, b) >= least]
+
+
+def value_of(text: str, span: tuple[int, int, str]) -> tuple[int, int]:
+    """Where the secret itself stands in a span of base."""
+    start, end, kind = span
+    return ASSIGN.match(text, start, end).span(2) if kind == "assign" else (start, end)
+
+
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]))))
 
@@ -105,19 +123,27 @@ def _scan(texts: pd.Series) -> pd.DataFrame:
     for text in texts:
         base = base_spans(text)
         kinds = [kind for _, _, kind in base]
-        rows.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"), joined(base), joined(base + novel_spans(text, base, novelty))))
-    return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base", "spans"])
+        tried = candidates(text, base)
+        novel = [(a, b, "novel") for a, b in tried if novelty.share(text, a, b) >= NOVELTY]
+        keys = sum(novelty.share(text, *value_of(text, span)) >= NOVELTY for span in base)
+        rows.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"), len(tried), len(novel), keys, joined(base), joined(base + novel)))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
+
+
+COLUMNS = "n_assign long, n_access long, n_hex long, n_tried long, n_novel long, n_base_novel long, base string, spans string"
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: (id, n_assign, n_access, n_hex, base, spans).
+    """One row per row of docs: (id, n_assign, n_access, n_hex, n_tried, n_novel, n_base_novel, base, spans).
 
     base and spans are comma-joined kind:start:end, by start, then kind; spans also holds
-    the novel strings. A null or empty text has none: zeros and empty strings. Repeated
-    rows are scanned each for itself; an empty table gives no rows; other columns are not
-    read.
+    the novel strings. n_tried candidates were measured and n_novel of them reported;
+    n_base_novel of the patterns' spans have a value that doesn't compress either. Candidates
+    have two of lower case, upper case and digits, for a word of prose has one. A null or
+    empty text has none: zeros and empty strings. Repeated rows are scanned each for itself;
+    an empty table gives no rows; other columns are not read.
     """
-    scan = F.pandas_udf(_scan, "n_assign long, n_access long, n_hex long, base string, spans string")
+    scan = F.pandas_udf(_scan, COLUMNS)
     return docs.select(F.col(id_col), scan(text_of(text_col)).alias("found")).select(id_col, "found.*")
 
 

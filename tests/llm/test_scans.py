@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import random
 import re
+import string
 import textwrap
 from collections import Counter
 
@@ -238,6 +240,27 @@ def test_novelty():
     assert secrets.novel_spans("token = Zx9QpL2mVt7RbK4sWn8YcH3d", base, novelty) == []
 
 
+def test_planted_keys(spark):
+    """Keys that no pattern finds, of several alphabets and lengths, among names and placeholders."""
+    random.seed(21)
+    alphabets = {"hex": "0123456789ABCDEF", "base62": string.ascii_letters + string.digits, "base32": string.ascii_uppercase + "234567", "base64": string.ascii_letters + string.digits + "+/"}
+    planted = []
+    for letters in alphabets.values():
+        for length in (20, 40, 64, 96, 128, 512):
+            planted += [f"the client {w} is {''.join(random.choice(letters) for _ in range(length))} as sent" for w in ("bearer", "signature", "session_id", "webhook")]
+    clean = [
+        "the signature is checked in AuthenticationManager2CredentialsProvider1", "session_id abcdefghijklmnopqrstuvwxyz0123456789", "the bearer of this letter, a token of friendship",
+        "cookie 0000000000000000xxxxxxxxxxxxxxxx", "bearer your_api_key_here_your_api_key_here1", "a passport or a password123password123password123",
+    ]
+    rows = list(enumerate(planted + clean))
+    found = {r["doc_id"]: r for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = [found[i]["n_novel"] for i in range(len(planted))]
+    assert sum(caught) >= 0.95 * len(planted) and max(caught) == 1
+    assert not any(found[i]["n_novel"] for i in range(len(planted), len(rows)))
+    keys = secrets.secret_scan(spark.createDataFrame([(0, "token = Zx9QpL2mVt7RbK4sWn8YcH3d"), (1, "password = password_password")], "doc_id long, text string"))
+    assert [r["n_base_novel"] for r in keys.orderBy("doc_id").collect()] == [1, 0]
+
+
 def test_token_counts(spark):
     rows = documents()
     with open(RANKS, "rb") as f:
