@@ -184,26 +184,37 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, shard_rows: int =
     return out.distinct()
 
 
+#: Rows of a partition of the tables of links.
+LINKS_PER_TASK = 50_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that links (a, b) reach, for every node in them.
 
     Large-star and small-star rounds: each hangs a node's larger (then smaller)
     neighbours on the smallest one, until nothing changes. Each node's least neighbour is
     read from a table, so that Spark can split a node with many links on the other side
-    of the join.
+    of the join. Tables are kept in partitions of about LINKS_PER_TASK rows, for rounds
+    over few links in many partitions would be all overhead.
     """
     edges = settle(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    if edges.isEmpty():
+    count = edges.count()
+    if not count:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    before = None
+    parts = -(-2 * count // LINKS_PER_TASK)  # rounds never have more than both directions of them
+
+    def kept(df: DataFrame) -> DataFrame:
+        return settle(df.coalesce(parts))
+
+    edges, before = kept(edges), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = settle(both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m")))
+        low = kept(both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m")))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = settle(large)
-        down = settle(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = kept(large)
+        down = kept(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        edges = settle(small.filter("u <> v").distinct())
+        edges = kept(small.filter("u <> v").distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(
@@ -254,7 +265,8 @@ def near_dedup(
 # shingles agree differ in up to a quarter of a fingerprint's bits, where fields of equal
 # bits no longer narrow a search. Shards are therefore dealt by bands of minima of the
 # shingles; within a shard a BK-tree gives the fingerprints within the wider radius,
-# minima of more hash functions choose candidates, and the shingles themselves confirm them.
+# minima of more hash functions choose candidates, and the texts' shingles confirm them
+# in the same task, which gives a forest of confirmed links and never a list of pairs.
 
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
@@ -265,7 +277,11 @@ MINIMA = 512
 BANDS, BAND_MINIMA = 16, 5
 #: Estimates of 0.8 have a standard deviation of 0.018; pairs this little under the similarity are still candidates (a pair at 0.8 is missed with chance 1e-5).
 MARGIN = 0.08
-SIMILAR_SHARD_ROWS = 2048
+#: A shard's bound, where a text counts once for each WEIGHT_CHARS code points it has begun.
+SIMILAR_SHARD_ROWS = 1024
+WEIGHT_CHARS = 16_000
+#: The most keys of texts, 8 bytes each, that are broadcast.
+BROADCAST_KEYS = 500_000
 
 _ODD = (np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -281,9 +297,10 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 def _sketches(words: int):
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, bands, sketch, nodes = [], [], [], []
-            for text in batch.column("text"):
-                hashes = np.unique(shingle_hashes(text.as_py(), words))
+            prints, bands, sketch, nodes, weights = [], [], [], [], []
+            for text in batch.column("text").to_pylist():
+                weights.append(1 + len(text) // WEIGHT_CHARS)
+                hashes = np.unique(shingle_hashes(text, words))
                 low = minima(hashes)
                 prints.append(fingerprint(hashes))
                 rows = low[: BANDS * BAND_MINIMA].reshape(BANDS, BAND_MINIMA)
@@ -297,58 +314,51 @@ def _sketches(words: int):
                 pa.array(np.array(prints, np.uint64).view(np.int64)),
                 pa.array(list(np.array(bands, np.uint64).reshape(-1, BANDS).view(np.int64)), pa.list_(pa.int64())),
                 pa.array(sketch, pa.binary()),
+                pa.array(weights, pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_key", "node", "fp", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_key", "node", "fp", "bands", "sketch", "weight"])
 
     return sketches
 
 
-def _shingles(words: int):
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(shingle_hashes(text.as_py(), words)) for text in batch.column("text")]
-            nodes = np.array([xxhash.xxh64_intdigest(hashes.tobytes(), seed=SEED) for hashes in found], np.uint64)
-            hashes = pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), hashes], names=["node", "hashes"])
-
-    return shingles
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, keys: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) whose exact share of distinct shingle hashes is similarity or more.
-
-    keys has a text's key for each node; only texts of nodes in pairs are read for their shingles.
-    """
-    asked = keys.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select(F.col("_key").alias("_asked"))
-    texts = docs.select(row_key(text_col).alias("_key"), text_of(text_col).alias("text")).join(asked.distinct(), F.col("_key") == F.col("_asked"), "left_semi")
-    shingles = settle(texts.select("text").mapInArrow(_shingles(words), "node long, hashes array<long>").dropDuplicates(["node"]))
-    side = lambda c: shingles.select(F.col("node").alias(c), F.col("hashes").alias(f"_{c}"))
-    common = F.size(F.array_intersect("_a", "_b"))
-    share = common / (F.size("_a") + F.size("_b") - common)
-    return settle(pairs.join(side("b"), "b").join(side("a"), "a").filter(share >= similarity).select("a", "b"))
-
-
-def _similar_links(radius: int, least: float, every: bool):
-    """Candidate pairs of different roots; every one, or a forest of them."""
+def _similar_links(words: int, radius: int, similarity: float, least: float):
+    """Links of different roots whose exact share of distinct shingle hashes is similarity or more, a forest of them for each task."""
+
+    def of_task(rows: pa.Table) -> list[tuple[int, int]]:
+        tree, forest, by_print, found = BKTree(), Forest(), {}, []
+        nodes, roots, texts = rows["node"].to_pylist(), rows["root"].to_pylist(), rows["text"]
+        low = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(nodes), MINIMA)
+        shingles: dict[int, np.ndarray] = {}
+
+        def of(i: int) -> np.ndarray:
+            if i not in shingles:
+                shingles[i] = np.unique(shingle_hashes(texts[i].as_py(), words))
+            return shingles[i]
+
+        for i, value in enumerate(rows["fp"].to_pylist()):
+            value &= 2**64 - 1
+            others = [j for x in tree.near(value, radius) for j in by_print[x] if forest.top(roots[j]) != forest.top(roots[i])]
+            tree.add(value)
+            by_print.setdefault(value, []).append(i)
+            if not others:
+                continue
+            same = 1 - (low[others] != low[i]).mean(axis=1) * 256 / 255  # one byte agrees by chance once in 256
+            for k in np.argsort(-same, kind="stable").tolist():  # the likeliest first: what it links needs no other
+                if same[k] < least:
+                    break
+                j = others[k]
+                if forest.top(roots[i]) != forest.top(roots[j]):
+                    a, b = of(i), of(j)
+                    common = len(np.intersect1d(a, b, assume_unique=True))
+                    if common >= similarity * (len(a) + len(b) - common):
+                        forest.join(roots[i], roots[j])
+                        found.append((nodes[i], nodes[j]))
+        return found
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, "task"):
-            tree, forest, by_print, a, b = BKTree(), Forest(), {}, [], []
-            nodes, roots = rows["node"].to_pylist(), rows["root"].to_pylist()
-            low = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(nodes), MINIMA)
-            for i, value in enumerate(rows["fp"].to_pylist()):
-                value &= 2**64 - 1
-                others = [j for x in tree.near(value, radius) for j in by_print[x] if forest.top(roots[j]) != forest.top(roots[i])]
-                tree.add(value)
-                by_print.setdefault(value, []).append(i)
-                if others:
-                    same = 1 - (low[others] != low[i]).mean(axis=1) * 256 / 255  # one byte agrees by chance once in 256
-                    for j in np.array(others)[same >= least].tolist():
-                        if every or forest.join(roots[i], roots[j]):
-                            a.append(nodes[i])
-                            b.append(nodes[j])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            if found := of_task(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     return links
 
@@ -359,12 +369,12 @@ def first_tasks(dealt: DataFrame, sizes: DataFrame, shard_rows: int) -> DataFram
     Every band's blocks are other ones, so that a large group of near copies comes
     together over its bands before its blocks meet.
     """
-    block = F.pmod(F.xxhash64("node", "shard"), F.ceil(F.col("n") / shard_rows))
+    block = F.pmod(F.xxhash64("node", "shard"), F.ceil(F.col("rows") / shard_rows))
     return dealt.join(sizes, "shard").select(F.xxhash64("shard", block).alias("task"), "node", F.col("node").alias("root"))
 
 
 def block_tasks(rooted: DataFrame, shard_rows: int) -> DataFrame:
-    """(task, node, root) in which every two rows (shard, node, root) of one shard and of different roots share a task.
+    """(task, node, root) in which every two rows (shard, node, root, weight) of one shard and of different roots share a task.
 
     The rows of a shard are cut into blocks of about half of shard_rows, large roots into
     blocks of their own. A task has two blocks; those of one root need not meet, so a
@@ -372,7 +382,7 @@ def block_tasks(rooted: DataFrame, shard_rows: int) -> DataFrame:
     by hashes; the chance that two names meet costs search time, never a link.
     """
     half = max(1, shard_rows // 2)
-    groups = settle(rooted.groupBy("shard", "root").agg(F.count("*").alias("n")))
+    groups = settle(rooted.groupBy("shard", "root").agg(F.sum("weight").alias("n")))
     loose = F.sum(F.when(F.col("n") < half, F.col("n")).otherwise(0)).alias("loose")
     shards_left = groups.groupBy("shard").agg(F.count("*").alias("roots"), F.sum("n").alias("rows"), loose).filter("roots > 1").drop("roots")
     groups = groups.join(shards_left, "shard")
@@ -402,35 +412,38 @@ def similar_components(
     """One row per row of docs: (_id, _key, component_id, first).
 
     Two documents are linked when the share of their distinct shingles that they have in
-    common is similarity or more; minima only choose the pairs that are compared. component_id is the smallest id reachable; first
-    marks one row of each component, the one of smallest id (of repeated rows any one).
-    Texts without words are alike. An empty table gives no rows.
+    common is similarity or more; minima only choose the pairs that are compared, whole
+    texts decide. component_id is the smallest id reachable; first marks one row of each
+    component, the one of smallest id (of repeated rows any one). Texts without words are
+    alike. An empty table gives no rows.
     """
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("_id"), row_key(text_col).alias("_key"), text_of(text_col).alias("text"))
-    rows = settle(rows.mapInArrow(_sketches(words), f"_id {kind}, _key long, node long, fp long, bands array<long>, sketch binary"))
-    nodes = rows.select("node", "fp", "bands", "sketch").dropDuplicates(["node"])
-    keys = rows.groupBy("node").agg(F.min("_key").alias("_key"))
-    prints = nodes.select("node", "fp", "sketch")
-
-    def near(tasks: DataFrame, least: float, every: bool) -> DataFrame:
-        tasks = tasks.join(prints, "node").repartition("task").sortWithinPartitions("task", "node")
-        pairs = tasks.mapInArrow(_similar_links(radius, least, every), "a long, b long")
+    keyed = docs.select(F.col(id_col).alias("_id"), row_key(text_col).alias("_key"), text_of(text_col).alias("text"))
+    rows = settle(keyed.mapInArrow(_sketches(words), f"_id {kind}, _key long, node long, fp long, bands array<long>, sketch binary, weight long"))
+    nodes = settle(rows.drop("_id").dropDuplicates(["node"]))
+
+    def near(tasks: DataFrame) -> DataFrame:
+        #  only texts of rows that have a task are read again
+        asked = settle(nodes.join(tasks.select("node").distinct(), "node").select("node", "_key", "fp", "sketch"))
+        wanted = asked.select("_key")
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+        texts = keyed.select("_key", "text").join(wanted, "_key", "left_semi").groupBy("_key").agg(F.max("text").alias("text"))
+        tasks = tasks.join(asked.join(texts, "_key").drop("_key"), "node").repartition("task").sortWithinPartitions("task", "node")
+        pairs = tasks.mapInArrow(_similar_links(words, radius, similarity, similarity - MARGIN), "a long, b long")
         return settle(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
-    def exact(pairs: DataFrame) -> DataFrame:
-        return confirmed(pairs, docs, keys, text_col, words, similarity)
-
-    dealt = nodes.select("node", F.explode("bands").alias("shard"))
-    sizes = settle(dealt.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"))
-    # a few likely pairs, one for each node, bring groups together; then every candidate between groups is confirmed
-    likely = near(first_tasks(dealt, sizes, shard_rows), similarity, False)
-    found = exact(likely.groupBy("a").agg(F.min("b").alias("b")))
-    roots = components(found).withColumnRenamed("node", "own")
-    rooted = dealt.join(sizes.select("shard"), "shard").join(roots, F.col("node") == F.col("own"), "left")
-    rooted = settle(rooted.select("shard", "node", F.coalesce("root", "node").alias("root")))
-    found = found.unionByName(exact(near(block_tasks(rooted, shard_rows), similarity - MARGIN, True)))
+    dealt = nodes.select("node", "weight", F.explode("bands").alias("shard"))
+    sizes = settle(dealt.groupBy("shard").agg(F.count("*").alias("n"), F.sum("weight").alias("rows")).filter("n > 1").drop("n"))
+    found = near(first_tasks(dealt, sizes, shard_rows))
+    large = settle(sizes.filter(F.col("rows") > shard_rows).select("shard"))
     roots = settle(components(found))
+    if not large.isEmpty():  # blocks of a divided shard meet where they hold different groups
+        own = roots.withColumnRenamed("node", "own")
+        rooted = dealt.join(large, "shard").join(own, F.col("node") == F.col("own"), "left")
+        rooted = settle(rooted.select("shard", "node", "weight", F.coalesce("root", "node").alias("root")))
+        more = near(block_tasks(rooted, shard_rows))
+        if not more.isEmpty():
+            roots = settle(components(found.unionByName(more)))
     marked = rows.select("_id", "_key", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left")
     marked = settle(marked.select("_id", "_key", F.coalesce("root", "own").alias("root"), F.monotonically_increasing_id().alias("_rid")))
     lowest = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("low"), F.col("_rid").alias("rid")))

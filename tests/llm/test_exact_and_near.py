@@ -223,7 +223,11 @@ def test_near_copies_in_divided_shards(spark):
             texts.append(" ".join(copy))
     undivided = similar(spark, texts)
     assert len(set(undivided)) < 24
-    assert similar(spark, texts, shard_rows=3) == undivided
+    assert similar(spark, texts, shard_rows=3) == undivided == similar(spark, texts, shard_rows=64)
+    expected = brute_similar(texts)
+    pairs = lambda labels: {(i, j) for i in range(len(labels)) for j in range(i) if labels[i] == labels[j]}
+    assert pairs(undivided) <= pairs(expected)
+    assert len(pairs(undivided)) >= 0.95 * len(pairs(expected))
 
 
 def test_near_copies_by_exact_share(spark):
@@ -246,7 +250,7 @@ def test_block_tasks(spark):
     random.seed(2)
     rows = [(s, 100 * s + i, 100 * s if i < 40 else 100 * s + i - i % (1 + s)) for s in range(3) for i in range(60)] + [(9, i, 7) for i in range(50)]
     tasks = defaultdict(set)
-    for r in block_tasks(spark.createDataFrame(rows, "shard long, node long, root long"), 8).collect():
+    for r in block_tasks(spark.createDataFrame([(*r, 1) for r in rows], "shard long, node long, root long, weight long"), 8).collect():
         tasks[r["task"]].add((r["node"], r["root"]))
     met = {(a, b) for members in tasks.values() for a, _ in members for b, _ in members}
     assert all((a, b) in met for s, a, r in rows for t, b, q in rows if s == t and r != q)
