@@ -83,6 +83,8 @@ def pair_entropy(long: DataFrame, weights: DataFrame, keys: list[str] | None = N
 def couplings(rows: DataFrame, key: str, aligned_col: str = "aligned", penalty: float = 4.5) -> DataFrame:
     """(key, i, j, score): corrected norms of the inverse of the regularised covariance of an alignment's columns.
 
+    All 21 states are inverted, and norms are taken over those that aren't gaps.
+
     One alignment is one group, since a matrix inverse needs it whole; alignments, of which
     there are many, are what Spark deals out. Sequences weigh by neighbours over 0.8.
     """
@@ -93,11 +95,13 @@ def couplings(rows: DataFrame, key: str, aligned_col: str = "aligned", penalty:
         n, length = code.shape
         same = (code[:, None, :] == code[None, :, :]).sum(-1) > 0.8 * length
         w = 1 / same.sum(1)
-        x = np.eye(STATES)[code][:, :, :GAP].reshape(n, -1)
-        points = w.sum() - np.sqrt((w**2).sum() / w.sum()) if n > 1 else 1.0
-        centred = (x - (w[:, None] * x).sum(0) / max(points, 1e-9)) * np.sqrt(w)[:, None]
-        inverse = np.linalg.inv(centred.T @ centred / max(points, 1e-9) + np.eye(x.shape[1]) * penalty / np.sqrt(w.sum()))
-        norms = np.sqrt((inverse.reshape(length, GAP, length, GAP) ** 2).sum((1, 3))) * (1 - np.eye(length))
+        x = np.eye(STATES)[code].reshape(n, -1)
+        points = w.sum() - np.sqrt(w.mean())
+        points = points if points > 1e-9 else 1.0  # one sequence, or as many copies of one
+        centred = (x - (w[:, None] * x).sum(0) / points) * np.sqrt(w)[:, None]
+        inverse = np.linalg.inv(centred.T @ centred / points + np.eye(x.shape[1]) * penalty / np.sqrt(w.sum()))
+        blocks = inverse.reshape(length, STATES, length, STATES)[:, :GAP, :, :GAP]
+        norms = np.sqrt((blocks**2).sum((1, 3))) * (1 - np.eye(length))
         apc = norms.sum(0, keepdims=True) * norms.sum(1, keepdims=True) / max(norms.sum(), 1e-9)
         score = (norms - apc) * (1 - np.eye(length))
         i, j = np.triu_indices(length, 1)

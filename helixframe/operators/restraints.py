@@ -25,7 +25,7 @@ def candidates(pairs: DataFrame) -> DataFrame:
 
 
 def chosen(rows: DataFrame, first: int, last: int, cut: float, glycines: DataFrame | None = None, second_cut: float | None = None) -> DataFrame:
-    """Rows with first <= |i - j| < last and p at the kind's cut or over; without glycines (num) and under a second probability cut if asked."""
+    """Rows with first <= |i - j| < last and p at the kind's cut or over; without glycines (num) if asked; distances also have p12 at second_cut or over."""
     apart = F.abs(F.col("i") - F.col("j"))
     least = F.lit(cut)
     for kind, extra in EXTRA_CUT.items():
@@ -34,7 +34,7 @@ def chosen(rows: DataFrame, first: int, last: int, cut: float, glycines: DataFra
     if glycines is not None:
         for end in "ij":
             kept = kept.join(glycines.select(F.col("num").alias(end)), end, "left_anti")
-    return kept if second_cut is None else kept.filter(F.col("p12") >= second_cut)
+    return kept if second_cut is None else kept.filter((F.col("kind") != "dist") | (F.col("p12") >= second_cut))
 
 
 def restraints(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:

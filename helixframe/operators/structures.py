@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import geometry as g
-from helixframe.functions.text import ALPHABET, canonical_atom
+from helixframe.functions.text import ALPHABET, RESIDUES, canonical_atom
 from helixframe.operators.forum import threads
 from helixframe.operators.relational import first_match_lookup, pattern_options, range_join
 
 # Names of main-chain atoms.
 PROTEIN_MAIN = ("N", "CA", "C", "O", "OXT")
 NUCLEIC_MAIN = ("P", "OP1", "OP2", "OP3", "O5'", "C5'", "C4'", "O4'", "C3'", "O3'", "C2'", "O2'", "C1'")
+# Names of nucleotides.
+NUCLEOTIDES = ("A", "C", "G", "T", "U")
 AMINO, NUCLEOTIDE = 1, 2
 
 
@@ -51,13 +53,19 @@ def residue_atoms(atoms: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def molecule_classes(atoms: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Adds molecule_class: 1 for residues with three main-chain atoms of proteins or more, 2 with eleven of nucleotides, else 0."""
+    """Adds molecule_class: 1 for amino acids, 2 for nucleotides, else 0.
+
+    The name of a residue's first atom (of smallest atom_idx) tells it. Of other names,
+    residues with three main-chain atoms of proteins are 1, and those with eleven of
+    nucleotides 2, unless they have as many of both.
+    """
     keys = [*(keys or []), "chain", "num"]
     name = canonical_atom(F.col("name"))
     counts = atoms.groupBy(*keys).agg(
-        F.count_distinct(F.when(name.isin(*PROTEIN_MAIN), name)).alias("_p"), F.count_distinct(F.when(name.isin(*NUCLEIC_MAIN), name)).alias("_n")
+        F.count_if(name.isin(*PROTEIN_MAIN)).alias("_p"), F.count_if(name.isin(*NUCLEIC_MAIN)).alias("_n"), F.min_by("resname", "atom_idx").alias("_of")
     )
-    kind = F.when((F.col("_p") >= 3) & (F.col("_n") < 11), AMINO).when((F.col("_n") >= 11) & (F.col("_p") < 3), NUCLEOTIDE).otherwise(0)
+    kind = F.when(F.col("_of").isin(*RESIDUES), AMINO).when(F.col("_of").isin(*NUCLEOTIDES), NUCLEOTIDE)
+    kind = kind.when(F.col("_p") == F.col("_n"), 0).when(F.col("_p") >= 3, AMINO).when(F.col("_n") >= 11, NUCLEOTIDE).otherwise(0)
     return atoms.join(counts.select(*keys, kind.alias("molecule_class")), keys, "left")
 
 
@@ -208,11 +216,11 @@ def bounding_spheres(atoms: DataFrame, keys: list[str] | None = None) -> DataFra
 
 
 def bonds(right_ends: DataFrame, left_ends: DataFrame, longest: float = 1.8, keys: list[str] | None = None) -> DataFrame:
-    """(keys, from, to): for each residue's right end (idx, n, p), the first left end in cyclic order that is within reach.
+    """(keys, from, to): for each residue's right end (idx, n, p), the first left end in cyclic order that is nearer than longest.
 
     n is the number of residues in the structure.
     """
-    pairs = range_join(right_ends, left_ends, longest, keys=keys).filter("l.idx <> r.idx")
+    pairs = range_join(right_ends, left_ends, longest, keys=keys).filter((F.col("l.idx") != F.col("r.idx")) & (F.col("d") < longest))
     ahead = F.pmod(F.col("r.idx") - F.col("l.idx"), F.col("l.n"))
     ks = [F.col(f"l.{k}").alias(k) for k in keys or []]
     rows = pairs.select(*ks, F.col("l.idx").alias("from"), F.col("r.idx").alias("_to"), ahead.alias("_ahead"))
@@ -245,11 +253,11 @@ def contact_map(ca: DataFrame, cutoff: float = 10.0, keys: list[str] | None = No
 def topological_order(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(idx, root, depth): the chain a residue belongs to, named by its first one, and its place in it.
 
-    links (from, to) are bonds of which each residue has at most one on either side; nodes
+    links (from, to) are bonds; of several into one residue the one from the last counts. nodes
     (idx) are all residues. Places come from pointer doubling, in rounds that grow with the
     logarithm of the longest chain.
     """
-    ups = links.select(F.col("to").alias("idx"), F.col("from").alias("up")).groupBy("idx").agg(F.min("up").alias("up"))
+    ups = links.select(F.col("to").alias("idx"), F.col("from").alias("up")).groupBy("idx").agg(F.max("up").alias("up"))
     return threads(nodes.join(ups, "idx", "left"), "idx", "up").select("idx", "root", "depth")
 
 

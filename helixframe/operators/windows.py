@@ -97,13 +97,19 @@ def window_cover(lengths: DataFrame, keys: list[str], length_col: str = "length"
 
 
 def window_pairs(lengths: DataFrame, length_col: str = "length", sizes=(64, 96, 128), shift: int = 8) -> DataFrame:
-    """(..., size, i, j): pairs of window starts at multiples of the shift, j from i + size on; a last window ends with the sequence."""
+    """(..., size, i, j, i_length, j_length): pairs of windows that start at multiples of the shift under length - size, j from i + size on.
+
+    Windows are size long, but the last one reaches to the end of the sequence.
+    """
     size = F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size")
     rows = lengths.select("*", size).filter(F.col(length_col) >= 2 * F.col("size"))
-    last = F.col(length_col) - F.col("size")
-    starts = F.array_union(F.sequence(F.lit(0), last, F.lit(shift)), F.array(last))
+    starts = F.sequence(F.lit(0), F.col(length_col) - F.col("size") - 1, F.lit(shift))
     rows = rows.withColumn("_starts", starts).select("*", F.explode("_starts").alias("i"))
-    return rows.select("*", F.explode(F.filter("_starts", lambda j: j >= F.col("i") + F.col("size"))).alias("j")).drop("_starts")
+    #  whole shifts from i to j, as many as a window has
+    apart = F.expr(f"size div {shift}") * shift
+    rows = rows.select("*", F.explode(F.filter("_starts", lambda j: j >= F.col("i") + apart)).alias("j"))
+    reach = [F.when(F.col(at) == F.element_at("_starts", -1), F.col(length_col) - F.col(at)).otherwise(F.col("size")).alias(f"{at}_length") for at in "ij"]
+    return rows.select("*", *reach).drop("_starts")
 
 
 def covered_mean(windows: DataFrame, values: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:

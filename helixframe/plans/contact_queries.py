@@ -144,30 +144,32 @@ def cad_atomic(spark, d):
     return _rounded(scoring.atom_scores(c.combined_atoms(_atoms(spark, d, "O"), _atoms(spark, d, "F"))), "value", digits=6)
 
 
+def _orders(spark, d):
+    """Line items as contacts of their orders' residues: an order's own chain touches the chains of its parts."""
+    items = table(spark, d, "lineitem")
+    own, other = F.chr(65 + F.col("l_orderkey") % 3), F.chr(65 + F.col("l_partkey") % 3)
+    kind = F.when((own == other) & (F.col("l_linenumber") == 1), "AW").when(F.col("l_returnflag") == "A", "AA").otherwise("SS")
+    rows = items.select(own.alias("a_chain"), F.col("l_orderkey").alias("a_num"), other.alias("b_chain"), F.col("l_orderkey").alias("b_num"), kind.alias("class"), "l_quantity")
+    return rows.groupBy("a_chain", "a_num", "b_chain", "b_num", "class").agg(F.sum("l_quantity").alias("area"))
+
+
+_ORDERS = """k AS (
+    SELECT chr((65 + l_orderkey % 3)::int) AS a_chain, l_orderkey AS a_num, chr((65 + l_partkey % 3)::int) AS b_chain, l_orderkey AS b_num,
+           CASE WHEN l_orderkey % 3 = l_partkey % 3 AND l_linenumber = 1 THEN 'AW' WHEN l_returnflag = 'A' THEN 'AA' ELSE 'SS' END AS class, sum(l_quantity) AS area
+    FROM lineitem GROUP BY ALL)"""
 _EXPOSED = "SELECT a_chain, a_num FROM k WHERE class = 'AW' AND a_chain = b_chain AND a_num = b_num"
+_CORE = f"SELECT * FROM k WHERE (a_chain, a_num) NOT IN ({_EXPOSED}) AND (b_chain, b_num) NOT IN ({_EXPOSED})"
+_ZONE = "(SELECT a_chain, a_num FROM {k} WHERE a_chain <> b_chain UNION SELECT b_chain, b_num FROM {k} WHERE a_chain <> b_chain)"
 
 
-@query(f"WITH {C}, k AS (SELECT * FROM c WHERE NOT (class = 'AW' AND a_num % 2 = 1)) SELECT * FROM k WHERE (a_chain, a_num) NOT IN ({_EXPOSED}) AND (b_chain, b_num) NOT IN ({_EXPOSED})")
+@query(f"WITH {_ORDERS} {_CORE}")
 def contacts_core(spark, d):
-    return c.core(contacts(spark, d).filter("not (class = 'AW' and a_num % 2 = 1)"))
+    return c.core(_orders(spark, d))
 
 
-def _few(spark, d):
-    items = table(spark, d, "lineitem").filter("l_quantity > 49 and l_partkey % 5 = 0 and l_returnflag = 'A'")
-    return items.select(
-        F.chr(65 + F.col("l_partkey") % 3).alias("a_chain"), (F.col("l_partkey") % 97).cast("int").alias("a_num"), F.chr(65 + F.col("l_suppkey") % 3).alias("b_chain"),
-        (F.col("l_suppkey") % 97).cast("int").alias("b_num"), F.lit("AA").alias("class"), F.col("l_quantity").alias("area"),
-    ).distinct()
-
-
-_FEW_SQL = """k AS (SELECT DISTINCT chr((65 + l_partkey % 3)::int) AS a_chain, (l_partkey % 97)::int AS a_num, chr((65 + l_suppkey % 3)::int) AS b_chain,
-        (l_suppkey % 97)::int AS b_num, 'AA' AS class, l_quantity AS area FROM lineitem WHERE l_quantity > 49 AND l_partkey % 5 = 0 AND l_returnflag = 'A')"""
-_ZONE = "(SELECT a_chain, a_num FROM k WHERE a_chain <> b_chain UNION SELECT b_chain, b_num FROM k WHERE a_chain <> b_chain)"
-
-
-@query(f"WITH {_FEW_SQL} SELECT * FROM k WHERE (a_chain, a_num) IN {_ZONE} AND (b_chain, b_num) IN {_ZONE}")
+@query(f"WITH {_ORDERS} SELECT * FROM k WHERE (a_chain, a_num) IN {_ZONE.format(k='k')} AND (b_chain, b_num) IN {_ZONE.format(k='k')}")
 def contacts_zone(spark, d):
-    return c.interface_zone(_few(spark, d))
+    return c.interface_zone(_orders(spark, d))
 
 
 @query(f"WITH {C} SELECT * FROM c WHERE a_chain <> b_chain")
@@ -183,9 +185,12 @@ def contacts_interval(spark, d):
     return c.inter_interval(contacts(spark, d), relational.parse_intervals("(A1-A40, B3)(C)(B3-B8)"))
 
 
-@query(f"WITH {_FEW_SQL} SELECT k.* FROM k WHERE a_chain <> b_chain")
+@query(
+    f"""WITH {_ORDERS}, o AS ({_CORE}), z AS (SELECT * FROM o WHERE (a_chain, a_num) IN {_ZONE.format(k="o")} AND (b_chain, b_num) IN {_ZONE.format(k="o")})
+        SELECT * FROM z WHERE a_chain <> b_chain AND a_chain IN ('A', 'B') AND b_chain IN ('A', 'B')"""
+)
 def contacts_filtered(spark, d):
-    return c.filtered(_few(spark, d), zone=True, across=True)
+    return c.filtered(_orders(spark, d), core_only=True, zone=True, across=True, intervals=relational.parse_intervals("(A)(B)"))
 
 
 @query(
@@ -224,11 +229,11 @@ def chain_names(spark, d):
     return c.chain_names(contacts(spark, d))
 
 
-@query(f"WITH {C}, p AS (SELECT a_chain, a_num, b_chain, b_num, class FROM c WHERE a_chain = 'A'), u AS (SELECT * FROM p UNION SELECT b_chain, b_num, a_chain, a_num, class FROM p) SELECT count(*) AS n FROM u")
+@query(f"WITH {C}, p AS (SELECT a_chain, a_num, b_chain, b_num, class FROM c) SELECT * FROM p UNION SELECT b_chain, b_num, a_chain, a_num, class FROM p")
 def contacts_both_ways(spark, d):
-    rows = contacts(spark, d).filter("a_chain = 'A'")
-    pairs = rows.select(F.struct("a_chain", "a_num").alias("a"), F.struct(F.col("b_chain").alias("a_chain"), F.col("b_num").alias("a_num")).alias("b"), "class")
-    return relational.both_ways(pairs).agg(F.count("*").alias("n"))
+    end = lambda e: F.struct(F.col(f"{e}_chain").alias("chain"), F.col(f"{e}_num").alias("num")).alias(e)
+    turned = relational.both_ways(contacts(spark, d).select(end("a"), end("b"), "class"))
+    return turned.select(*[F.col(f"{e}.{x}").alias(f"{e}_{x}") for e in "ab" for x in ("chain", "num")], "class")
 
 
 @query("SELECT user_id AS num, arg_max(event_type, event_id) AS name, count(*) AS atoms FROM events GROUP BY user_id")

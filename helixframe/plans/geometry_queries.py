@@ -11,7 +11,7 @@ from helixframe.functions import geometry as g
 from helixframe.operators import curves, msa, restraints, selection, structures, windows
 from helixframe.operators.relational import range_join
 from helixframe.plans.registry import query
-from helixframe.plans.tables import ALIGNMENT, LARGEST_RADIUS, POINTS, alignment, points, table
+from helixframe.plans.tables import ACCENTED, ALIGNMENT, LARGEST_RADIUS, POINTS, alignment, points, table
 
 
 def _rounded(df, *names, digits=6):
@@ -242,18 +242,21 @@ def msa_covered(spark, d):
 
 
 @query(
-    f"""WITH {ALIGNMENT}, x AS (SELECT a.pos AS i, b.pos AS j, a.code AS ca, b.code AS cb, sum(weight) AS w FROM e a JOIN e b ON a.seq = b.seq AND a.pos < b.pos JOIN w ON w.seq = a.seq WHERE a.pos < 12 AND b.pos < 12 GROUP BY ALL)
+    f"""WITH {ALIGNMENT}, x AS (SELECT a.pos AS i, b.pos AS j, a.code AS ca, b.code AS cb, sum(weight) AS w FROM e a JOIN e b ON a.seq = b.seq AND a.pos < b.pos JOIN w ON w.seq = a.seq GROUP BY ALL)
         SELECT i, j, round(ln(sum(w)) - sum(w * ln(w)) / sum(w), 6) AS h, round(coalesce(sum(w) FILTER (ca = 20 AND cb = 20), 0) / sum(w), 6) AS gaps FROM x GROUP BY i, j"""
 )
 def msa_pair_entropy(spark, d):
     long = msa.encoded(alignment(spark, d))
-    return _rounded(msa.pair_entropy(long.filter("pos < 12"), msa.sequence_weights(long)), "h", "gaps")
+    return _rounded(msa.pair_entropy(long, msa.sequence_weights(long)), "h", "gaps")
 
 
 @query()
 def msa_couplings(spark, d):
-    rows = alignment(spark, d).select(F.lit(1).alias("msa"), F.substring("aligned", 1, 24).alias("aligned")).filter(F.length("aligned") == 24)
-    return _rounded(msa.couplings(rows, "msa"), "score", digits=4)
+    """Each text is an alignment, of its lines of 16 characters."""
+    text = F.upper(F.translate("text", ACCENTED, ""))
+    lines = F.regexp_extract_all(F.concat(text, F.lit("-" * 15)), F.lit("(?s).{16}"), F.lit(0))
+    rows = table(spark, d, "benchmark").select("item_id", F.explode(lines).alias("aligned"))
+    return _rounded(msa.couplings(rows, "item_id"), "score", digits=4)
 
 
 @query(
@@ -267,8 +270,9 @@ def window_cover(spark, d):
 
 
 @query(
-    """WITH k AS (SELECT DISTINCT p_size AS length FROM part), w AS (SELECT length, s AS size, unnest(list_distinct(range(0, length - s + 1, 4) || [length - s]))::int AS st FROM k, (VALUES (8), (12)) v(s) WHERE length >= 2 * s)
-       SELECT x.length, x.size, x.st AS i, y.st AS j FROM w x JOIN w y ON x.length = y.length AND x.size = y.size AND y.st >= x.st + x.size"""
+    """WITH k AS (SELECT DISTINCT p_size AS length FROM part), w AS (SELECT length, s AS size, unnest(range(0, length - s, 4))::int AS st FROM k, (VALUES (8), (12)) v(s) WHERE length >= 2 * s),
+            z AS (SELECT *, CASE WHEN st = max(st) OVER (PARTITION BY length, size) THEN length - st ELSE size END AS reach FROM w)
+       SELECT x.length, x.size, x.st AS i, y.st AS j, x.reach AS i_length, y.reach AS j_length FROM z x JOIN z y ON x.length = y.length AND x.size = y.size AND y.st >= x.st + x.size"""
 )
 def window_pairs(spark, d):
     rows = table(spark, d, "part").select(F.col("p_size").alias("length")).distinct()

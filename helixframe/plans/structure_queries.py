@@ -25,9 +25,13 @@ def _atoms(spark, d):
     )
 
 
-@query(f"WITH {_ATOMS} SELECT num, CASE WHEN count(DISTINCT name) FILTER (name IN ('N', 'CA', 'C', 'O')) >= 3 THEN 1 ELSE 0 END AS molecule_class FROM k GROUP BY num")
+@query(
+    f"""WITH {_ATOMS} SELECT num, CASE WHEN num % 3 = 0 THEN 1 WHEN num % 3 = 1 THEN 2 WHEN count(*) FILTER (name IN ('N', 'CA', 'C', 'O')) >= 3 THEN 1 ELSE 0 END AS molecule_class
+        FROM k GROUP BY num"""
+)
 def molecule_class(spark, d):
-    return structures.molecule_classes(_atoms(spark, d)).select("num", "molecule_class").distinct()
+    named = F.when(F.col("num") % 3 == 0, "GLY").when(F.col("num") % 3 == 1, "U").otherwise("UNK")
+    return structures.molecule_classes(_atoms(spark, d).withColumn("resname", named)).select("num", "molecule_class").distinct()
 
 
 @query(f"WITH {_ATOMS} SELECT num, list_sort(list(atom_idx)) AS indices FROM k GROUP BY num")
@@ -93,7 +97,7 @@ def chain_breaks(spark, d):
 
 @query(
     """WITH p AS (SELECT vec_id AS i, embedding[1]::double AS x, embedding[2]::double AS y, embedding[3]::double AS z FROM embeddings), n AS (SELECT count(*) AS n FROM p),
-       k AS (SELECT a.i, b.i AS j, (b.i - a.i + n.n) % n.n AS ahead FROM p a, p b, n WHERE a.i <> b.i AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 0.07::double)
+       k AS (SELECT a.i, b.i AS j, (b.i - a.i + n.n) % n.n AS ahead FROM p a, p b, n WHERE a.i <> b.i AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) < 0.07::double)
        SELECT i AS "from", arg_min(j, ahead) AS "to" FROM k GROUP BY i"""
 )
 def first_bonds(spark, d):
@@ -125,26 +129,26 @@ def neighbour_graph(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT doc_id, unnest(range(1, least(length(text), 40) + 1)) AS pos, text FROM documents),
-       m AS (SELECT doc_id, pos - 1 AS pos, substr(text, pos, 1) <> ' ' AS is_match FROM c)
-       SELECT doc_id, pos, CASE WHEN is_match THEN (5 + sum(CASE WHEN is_match THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) - 1)::bigint END AS match FROM m"""
+    """WITH c AS (SELECT item_id, unnest(range(1, length(text) + 1)) AS pos, text FROM benchmark),
+       m AS (SELECT item_id, pos - 1 AS pos, substr(text, pos, 1) <> ' ' AS is_match FROM c)
+       SELECT item_id, pos, CASE WHEN is_match THEN (5 + sum(CASE WHEN is_match THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY pos) - 1)::bigint END AS match FROM m"""
 )
 def match_index(spark, d):
-    return windows.match_index(_columns(spark, d), F.col("letter") != " ", "pos", F.lit(5), ["doc_id"]).select("doc_id", "pos", "match")
+    return windows.match_index(_columns(spark, d), F.col("letter") != " ", "pos", F.lit(5), ["item_id"]).select("item_id", "pos", "match")
 
 
 def _columns(spark, d):
-    letters = F.regexp_extract_all(F.substring("text", 1, 40), F.lit("(?s)."), F.lit(0))
-    return table(spark, d, "documents").select("doc_id", F.posexplode(letters).alias("pos", "letter")).withColumn("pos", F.col("pos").cast("long"))
+    letters = F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))
+    return table(spark, d, "benchmark").select("item_id", F.posexplode(letters).alias("pos", "letter")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(
-    """WITH c AS (SELECT doc_id, unnest(range(1, least(length(text), 40) + 1)) AS pos, text FROM documents),
-       m AS (SELECT doc_id, pos, substr(text, pos, 1) <> ' ' AS k FROM c), s AS (SELECT *, sum(CASE WHEN k THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM m)
-       SELECT doc_id, (CASE WHEN k THEN n - 1 ELSE n END)::bigint AS pos, sum(CASE WHEN k THEN 0 ELSE 1 END)::bigint AS inserted FROM s GROUP BY ALL"""
+    """WITH c AS (SELECT item_id, unnest(range(1, length(text) + 1)) AS pos, text FROM benchmark),
+       m AS (SELECT item_id, pos, substr(text, pos, 1) <> ' ' AS k FROM c), s AS (SELECT *, sum(CASE WHEN k THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY pos) AS n FROM m)
+       SELECT item_id, (CASE WHEN k THEN n - 1 ELSE n END)::bigint AS pos, sum(CASE WHEN k THEN 0 ELSE 1 END)::bigint AS inserted FROM s GROUP BY ALL"""
 )
 def insertion_counts(spark, d):
-    return windows.insertion_counts(_columns(spark, d), F.col("letter") != " ", "pos", ["doc_id"])
+    return windows.insertion_counts(_columns(spark, d), F.col("letter") != " ", "pos", ["item_id"])
 
 
 @query(f"WITH {PROFILE} SELECT chain, num, CASE WHEN difference > 0 AND reference > 0 THEN round(difference / reference, 6) ELSE least(difference, reference) END AS score FROM f")
@@ -233,11 +237,11 @@ def model_clusters(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT item_id, text, generate_subscripts(regexp_extract_all(substr(text, 1, 60), '[a-z]*[^a-z]'), 1) - 1 AS pos, unnest(regexp_extract_all(substr(text, 1, 60), '([a-z]*)[^a-z]', 1)) AS run FROM benchmark)
+    """WITH e AS (SELECT item_id, text, generate_subscripts(regexp_extract_all(text, '[a-z]*[^a-z]'), 1) - 1 AS pos, unnest(regexp_extract_all(text, '([a-z]*)[^a-z]', 1)) AS run FROM benchmark)
        SELECT pos, round(avg(CASE WHEN length(run) > 0 THEN 1.0::double ELSE 0.0::double END), 6) AS rate FROM e GROUP BY pos"""
 )
 def insertion_rate(spark, d):
-    runs = F.regexp_extract_all(F.substring("text", 1, 60), F.lit("([a-z]*)[^a-z]"), F.lit(1))
+    runs = F.regexp_extract_all("text", F.lit("([a-z]*)[^a-z]"), F.lit(1))
     rows = table(spark, d, "benchmark").select(F.transform(runs, lambda r: F.length(r)).alias("insertions"))
     return msa.insertion_rate(rows).select(F.col("pos").cast("long").alias("pos"), F.round("rate", 6).alias("rate"))
 

@@ -93,13 +93,19 @@ PROFILE = """
         FROM events GROUP BY ALL)"""
 
 
+ACCENTED = "àáâäçèéêëíîïñóôöúùûüß"
+
+
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as aligned rows: their first 64 characters in upper case."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq"), F.upper(F.translate(F.substring("text", 1, 64), "àáâäçèéêëíîïñóôöúùûüß", "")).alias("aligned"))
+    """Benchmark items as aligned rows: their whole texts in upper case, gaps after the shorter ones."""
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq"), F.upper(F.translate("text", ACCENTED, "")).alias("aligned"))
+    longest = rows.agg(F.max(F.length("aligned")).alias("n"))  # one row
+    return rows.join(F.broadcast(longest), F.lit(True)).select("seq", F.rpad("aligned", F.col("n"), F.lit("-")).alias("aligned"))
 
 
 ALIGNMENT = """
-    s AS (SELECT item_id AS seq, upper(translate(substr(text, 1, 64), 'àáâäçèéêëíîïñóôöúùûüß', '')) AS aligned FROM benchmark),
+    u AS (SELECT item_id AS seq, upper(translate(text, 'àáâäçèéêëíîïñóôöúùûüß', '')) AS letters FROM benchmark),
+    s AS (SELECT seq, rpad(letters, (SELECT max(length(letters)) FROM u)::int, '-') AS aligned FROM u),
     e AS (
         SELECT seq, pos, CASE WHEN strpos('ARNDCQEGHILKMFPSTWYV-', substr(aligned, pos + 1, 1)) > 0
                               THEN strpos('ARNDCQEGHILKMFPSTWYV-', substr(aligned, pos + 1, 1)) - 1 ELSE 20 END::int AS code

@@ -252,6 +252,54 @@ def test_text_and_arrays(spark):
     assert spark.range(1).select(colour.blue_white_red(F.lit(0.5)).alias("c")).first()["c"] == 0xFFFFFF
 
 
+def slow_couplings(seqs, states="ARNDCQEGHILKMFPSTWYV-"):
+    """Covariance term by term, norms over the twenty letters, average product correction."""
+    length = len(seqs[0])
+    code = [[states.index(c) if c in states else 20 for c in s] for s in seqs]
+    weights = [1 / sum(sum(x == y for x, y in zip(a, b, strict=True)) > 0.8 * length for b in code) for a in code]
+    points = sum(weights) - math.sqrt(sum(weights) / len(weights))
+    columns = [(p, s) for p in range(length) for s in range(21)]
+    mean = {c: sum(w for w, row in zip(weights, code, strict=True) if row[c[0]] == c[1]) / points for c in columns}
+    rows_ = [[(float(row[p] == s) - mean[p, s]) for p, s in columns] for row in code]
+    covariance = [[sum(w * r[x] * r[y] for w, r in zip(weights, rows_, strict=True)) / points for y in range(len(columns))] for x in range(len(columns))]
+    for x in range(len(columns)):
+        covariance[x][x] += 4.5 / math.sqrt(sum(weights))
+    inverse = np.linalg.inv(np.array(covariance))
+    norm = [[0.0] * length for _ in range(length)]
+    for i in range(length):
+        for j in range(length):
+            if i != j:
+                norm[i][j] = math.sqrt(sum(inverse[21 * i + a][21 * j + b] ** 2 for a in range(20) for b in range(20)))
+    total, by_row = sum(map(sum, norm)), [sum(r) for r in norm]
+    return [[norm[i][j] - by_row[i] * by_row[j] / total if i != j else 0.0 for j in range(length)] for i in range(length)]
+
+
+def test_window_pairs(spark):
+    found = windows.window_pairs(spark.createDataFrame([(n,) for n in (15, 16, 21, 40)], "length int"), sizes=(8,), shift=4)
+    expected = []
+    for n in (16, 21, 40):
+        starts = list(range(0, n - 8, 4))
+        reach = [8] * len(starts)
+        reach[-1] = n - starts[-1]
+        expected += [(n, starts[i], starts[j], reach[i], reach[j]) for i in range(len(starts)) for j in range(i + 2, len(starts))]
+    assert rows(found, "length", "i", "j", "i_length", "j_length") == sorted(expected, key=str)
+
+
+def test_molecule_classes(spark):
+    data = [("A", 1, i, n, "GLY") for i, n in enumerate(["CA"])] + [("A", 2, i, "P", "U") for i in range(2)]
+    data += [("A", 3, i, n, "UNK") for i, n in enumerate(["N", "CA", "C"])] + [("A", 4, i, n, "UNK") for i, n in enumerate(["N", "CA", "CA"])]
+    data += [("A", 5, i, n, "XNA") for i, n in enumerate(["P", "O1P", "O2P", "O5*", "C5'", "C4'", "O4'", "C3'", "O3'", "C2'", "O2'"])]
+    data += [("A", 6, 0, "N", "UNK"), ("A", 6, 1, "CB", "GLY"), ("A", 7, 0, "X", None)]
+    found = structures.molecule_classes(spark.createDataFrame(data, "chain string, num int, atom_idx int, name string, resname string"))
+    assert rows(found.select("num", "molecule_class").distinct(), "num", "molecule_class") == [(1, 1), (2, 2), (3, 1), (4, 1), (5, 2), (6, 0), (7, 0)]
+
+
+def test_two_bonds_into_one_residue(spark):
+    links = spark.createDataFrame([(1, 5), (3, 5), (5, 6)], "from long, to long")
+    found = structures.topological_order(links, spark.createDataFrame([(i,) for i in (1, 3, 5, 6)], "idx long"))
+    assert rows(found, "idx", "root", "depth") == [(1, 1, 0), (3, 3, 0), (5, 3, 1), (6, 3, 2)]
+
+
 def test_msa(spark):
     seqs = ["ACDEFGHI", "ACDEFGHI", "ACDEFGHK", "--------", "ZCDEKKKK"]
     long = msa.encoded(spark.createDataFrame(list(enumerate(seqs)), "seq int, aligned string"))
@@ -262,8 +310,11 @@ def test_msa(spark):
     assert all(math.isclose(r["s"], 1 + 21e-9) for r in sums)
     assert profile.count() == 8 * 21
     assert rows(msa.covered(long).select("seq").distinct()) == [(0,), (1,), (2,), (4,)]
-    scores = msa.couplings(spark.createDataFrame([(1, s) for s in seqs], "m int, aligned string"), "m")
-    assert scores.count() == 28
+    scores = msa.couplings(spark.createDataFrame([(1, s) for s in seqs] + [(2, "ACD")], "m int, aligned string"), "m")
+    found = {(r["m"], r["i"], r["j"]): r["score"] for r in scores.collect()}
+    assert len(found) == 28 + 3
+    expected = slow_couplings(seqs)
+    assert all(math.isclose(found[1, i, j], expected[i][j], abs_tol=1e-9) for i in range(8) for j in range(i + 1, 8))
     choice = spark.createDataFrame([("t", 1e-30, 10, 6000), ("t", 1e-10, 3000, 9000), ("u", 1e-30, 1, 1), ("u", 1e-3, 2, 2)], "t string, e_value double, n75 int, n50 int")
     assert rows(msa.coverage_choice(choice, ["t"]), "t", "e_value", "coverage") == [("t", 1e-30, 50), ("u", 1e-3, 50)]
 
@@ -321,6 +372,8 @@ def test_restraints(spark):
     assert rows(pairs, "i", "j", "kind") == [(0, 5, "dist"), (0, 5, "phi"), (5, 0, "phi")]
     kept = restraints.chosen(pairs, 3, 12, 0.3)
     assert kept.count() == 3
+    second = kept.withColumn("p12", F.when(F.col("kind") == "dist", 0.1))
+    assert rows(restraints.chosen(second, 3, 12, 0.3, second_cut=0.2), "kind") == [("phi",), ("phi",)]
     splines = {r["kind"]: len(r["spline"]) for r in restraints.restraints(kept).collect()}
     assert splines == {"dist": 36, "phi": 40}
     assert restraints.chosen(pairs, 3, 12, 0.3, spark.createDataFrame([(0,)], "num int")).count() == 0
