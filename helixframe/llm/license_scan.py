@@ -55,7 +55,7 @@ SENTENCES = {
     "lgpl-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     "agpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "version-2": "either version 2 of the License, or (at your option) any later version",
-    "version-2.1": "either version 2.1 of the License, or (at your option) any later version",
+    "version-2-1": "either version 2.1 of the License, or (at your option) any later version",
     "version-3": "either version 3 of the License, or (at your option) any later version",
     "program-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     "library-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
@@ -86,7 +86,7 @@ SENTENCES = {
     "spdx-gpl-2-later": "GPL-2.0-or-later",
     "spdx-gpl-3": "GPL-3.0-only",
     "spdx-gpl-3-later": "GPL-3.0-or-later",
-    "spdx-lgpl-2.1": "LGPL-2.1-or-later",
+    "spdx-lgpl-2-1": "LGPL-2.1-or-later",
     "spdx-lgpl-3": "LGPL-3.0-or-later",
     "spdx-agpl-3": "AGPL-3.0-or-later",
     "spdx-mpl": "MPL-2.0",
@@ -97,6 +97,7 @@ RULES = (
     ("MIT", "mit-grant mit-notice mit-as-is mit-liability"),
     ("MIT", "mit-grant mit-notice mit-as-is"),
     ("MIT-0", "mit-0-grant mit-as-is mit-liability"),
+    ("MIT", "mit-notice mit-as-is mit-liability"),
     ("ISC", "isc-grant isc-as-is"),
     ("BSD-3-Clause", "rights bsd-grant bsd-source bsd-binary bsd-names bsd-as-is"),
     ("BSD-3-Clause", "rights bsd-grant bsd-source bsd-binary bsd-names-university bsd-as-is"),
@@ -111,12 +112,13 @@ RULES = (
     ("Apache-2.0", "apache-asf apache-comply"),
     ("Apache-2.0", "apache-licensed apache-comply"),
     ("Apache-2.0", "apache-short apache-comply"),
+    ("Apache-2.0", "apache-comply apache-see"),
     ("GPL-3.0-or-later", "program-free gpl3-terms program-hope no-implied gpl-see gpl-received"),
     ("GPL-2.0-or-later", "program-free gpl-terms version-2 program-hope no-implied gpl-see gpl-received"),
     ("AGPL-3.0-or-later", "program-free agpl3-terms program-hope no-implied agpl-see agpl-received"),
     ("LGPL-3.0-or-later", "program-free lgpl3-terms program-hope no-implied lgpl-see lgpl-received-program"),
     ("LGPL-3.0-or-later", "library-free lgpl3-terms library-hope no-implied lgpl-see lgpl-received"),
-    ("LGPL-2.1-or-later", "library-free lgpl-terms version-2.1 library-hope no-implied lgpl-see lgpl-received"),
+    ("LGPL-2.1-or-later", "library-free lgpl-terms version-2-1 library-hope no-implied lgpl-see lgpl-received"),
     ("GPL-3.0-or-later", "program-free gpl3-terms"),
     ("GPL-3.0-or-later", "program-free gpl-terms version-3"),
     ("GPL-2.0-or-later", "program-free gpl-terms version-2"),
@@ -124,7 +126,7 @@ RULES = (
     ("LGPL-3.0-or-later", "program-free lgpl3-terms"),
     ("LGPL-3.0-or-later", "library-free lgpl3-terms"),
     ("LGPL-3.0-or-later", "library-free lgpl-terms version-3"),
-    ("LGPL-2.1-or-later", "library-free lgpl-terms version-2.1"),
+    ("LGPL-2.1-or-later", "library-free lgpl-terms version-2-1"),
     ("MPL-2.0", "mpl-subject mpl-copy"),
     ("MPL-2.0", "mpl-subject mpl-copy-https"),
     ("MIT", "spdx spdx-mit"),
@@ -136,7 +138,7 @@ RULES = (
     ("GPL-2.0-or-later", "spdx spdx-gpl-2-later"),
     ("GPL-3.0-only", "spdx spdx-gpl-3"),
     ("GPL-3.0-or-later", "spdx spdx-gpl-3-later"),
-    ("LGPL-2.1-or-later", "spdx spdx-lgpl-2.1"),
+    ("LGPL-2.1-or-later", "spdx spdx-lgpl-2-1"),
     ("LGPL-3.0-or-later", "spdx spdx-lgpl-3"),
     ("AGPL-3.0-or-later", "spdx spdx-agpl-3"),
     ("MPL-2.0", "spdx spdx-mpl"),
@@ -215,22 +217,27 @@ def license_scan(
     marks = F.array_join(F.transform("ids", lambda i: F.coalesce(F.concat(F.lit("<"), i, F.lit(">")), F.lit("."))), "")
     rows = rows.withColumn("marks", F.regexp_replace(F.regexp_replace(marks, r"\.{%d,}" % (max_gap + 1), "|"), r"\.", ""))
     rows = rows.withColumn("known", F.filter("ids", lambda i: i.isNotNull())).drop("ids")
-    left, counts = F.col("marks"), {}
-    for at, (name, rule) in enumerate(rules):
-        mark = "".join(f"<{i}>" for i in rule.split())
-        rows = rows.withColumn(f"_left{at}", F.replace(left, F.lit(mark), F.lit("|")))
-        #  each use of the rule turns len(mark) characters into one
-        uses = ((F.length(left) - F.length(f"_left{at}")) / (len(mark) - 1)).cast("int")
-        rows = rows.withColumn(f"_uses{at}", uses)
-        counts.setdefault(name, []).append(F.col(f"_uses{at}"))
-        left = F.col(f"_left{at}")
-    told = [F.when(sum(c[1:], c[0]) > 0, F.concat(F.lit(f"{name}:"), sum(c[1:], c[0]).cast("string"))) for name, c in counts.items()]
+    #  rules in order over what the ones before left, each use of one a | in its place
+    steps = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{i}>" for i in rule.split())).alias("mark")) for name, rule in rules])
+
+    def after(state: Column, rule: Column) -> Column:
+        left, mark = state.getField("left"), rule.getField("mark")
+        following = F.replace(left, mark, F.lit("|"))
+        uses = ((F.length(left) - F.length(following)) / (F.length(mark) - 1)).cast("int")
+        return F.struct(following.alias("left"), F.concat(state.getField("told"), F.array_repeat(rule.getField("name"), uses)).alias("told"))
+
+    none = F.struct(F.col("marks").alias("left"), F.array().cast("array<string>").alias("told"))
+    rows = rows.withColumn("state", F.when(F.col("marks").contains("<"), F.aggregate(steps, none, after)).otherwise(none)).drop("marks")
+    left, every = F.col("state.left"), F.array(*[F.lit(x) for x in dict.fromkeys(name for name, _ in rules)])
+    number = lambda name: F.size(F.filter("state.told", lambda x: x == name)).cast("string")
+    told = F.transform(F.filter(every, lambda name: F.array_contains("state.told", name)), lambda name: F.concat_ws(":", name, number(name)))
+    told = F.when(F.size("state.told") > 0, F.array_join(told, ",")).otherwise("")
     rest = F.regexp_extract_all(left, F.lit("<([^>]+)>"), F.lit(1))
     return rows.select(
         id_col,
         "n_sentences",
         F.size("known").cast("long").alias("n_known"),
         F.array_join("known", ",").alias("sentence_ids"),
-        F.concat_ws(",", *told).alias("licenses"),
+        told.alias("licenses"),
         F.array_join(rest, ",").alias("unmatched"),
     )

@@ -178,6 +178,7 @@ def test_known_sentences():
     """No known sentence holds a sentence end, and rules know their sentences."""
     assert not any(re.search(r"[.!?;:]+(\s|$)|[|\n]", s) for s in SENTENCES.values())
     assert {name for _, rule in RULES for name in rule.split()} <= set(SENTENCES)
+    assert all(re.fullmatch("[a-z0-9-]+", name) for name in SENTENCES)
 
 
 def test_license_scan(spark):
