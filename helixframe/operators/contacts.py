@@ -6,6 +6,8 @@ leading keys such as the structure. Contacts are directed and never symmetrised.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,23 +32,29 @@ def covalent(a_atom: Column, b_atom: Column) -> Column:
     return next_to & (bond("C", "N") | bond("O3'", "P"))
 
 
-def atom_classes(is_main: Column) -> Column:
-    """A, and M for main-chain or S for side-chain atoms."""
-    return F.array(F.lit("A"), F.when(is_main, "M").otherwise("S"))
+#: What an atom contact is: main-chain or side-chain atom (M, S) at each end, or W for solvent.
+KINDS = ("MM", "MS", "SM", "SS", "MW", "SW")
+
+
+def contact_kind(a_main: Column, b_main: Column, solvent: Column) -> Column:
+    a, b = (F.when(main, "M").otherwise("S") for main in (a_main, b_main))
+    return F.concat(a, F.when(solvent, "W").otherwise(b))
 
 
-def contact_classes(a_main: Column, b_main: Column, solvent: Column) -> Column:
-    """Up to four classes of an atom contact: the product of both atoms' classes, or the atom's own with W for solvent."""
-    a, b = atom_classes(a_main), atom_classes(b_main)
-    pairs = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.concat(x, y))))
-    return F.when(solvent, F.transform(a, lambda x: F.concat(x, F.lit("W")))).otherwise(pairs)
+def kinds_by_class() -> dict[str, list[str]]:
+    """The kinds whose areas add up to each class; A stands for either atom."""
+    classes: dict[str, list[str]] = {}
+    for a, b in KINDS:
+        for name in [a + b, f"A{b}"] if b == "W" else [a + b, f"A{b}", f"{a}A", "AA"]:
+            classes.setdefault(name, []).append(a + b)
+    return classes
 
 
 def residue_contacts(atom_contacts: DataFrame, atoms: DataFrame, atom_key: str = "atom_idx", keys: list[str] | None = None) -> DataFrame:
     """Atom contacts (a, b, area) over atoms (atom_idx, chain, num, name, main) to residue contacts.
 
     Each contact adds its area to all of its classes. Contacts within a residue count only
-    as solvent (a = b), and covalent ones not at all.
+    as solvent (a = b), and covalent ones and those without an area not at all.
     """
     keys = keys or []
     columns = ["chain", "num", "name", "main"]
@@ -54,8 +62,12 @@ def residue_contacts(atom_contacts: DataFrame, atoms: DataFrame, atom_key: str =
     joined = atom_contacts.join(a, [*keys, "a"]).join(b, [*keys, "b"])
     solvent = F.col("a") == F.col("b")
     joined = joined.filter(solvent | (~same_residue() & ~covalent(F.col("a_name"), F.col("b_name"))))
-    classes = contact_classes(F.col("a_main"), F.col("b_main"), solvent)
-    return joined.select(*keys, *ENDS, F.explode(classes).alias("class"), "area").groupBy(*keys, *KEY).agg(F.sum("area").alias("area"))
+    rows = joined.select(*keys, *ENDS, contact_kind(F.col("a_main"), F.col("b_main"), solvent).alias("_kind"), "area")
+    #  one row for each pair of residues, with its kinds side by side; only then one for each class
+    sums = rows.groupBy(*keys, *ENDS).agg(*[F.sum(F.when(F.col("_kind") == k, F.col("area"))).alias(k) for k in KINDS])
+    areas = {name: reduce(lambda x, y: F.coalesce(x + y, x, y), [F.col(k) for k in kinds]) for name, kinds in kinds_by_class().items()}
+    classes = F.array(*[F.struct(F.lit(name).alias("class"), area.alias("area")) for name, area in areas.items()])
+    return sums.select(*keys, *ENDS, F.inline(classes)).filter("area is not null")
 
 
 def inter_chain(contacts: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from helixframe.scratch import settled
 
 PUBLIC_TYPES = (0, 2)
+PRIVATE_TYPE = 1
+RESEARCHER = "Researcher"
 
 
 def visible(topics: DataFrame, researcher: bool, type_col: str = "type") -> DataFrame:
@@ -86,3 +88,61 @@ def cascade(parents: DataFrame, children: DataFrame, parent_id: str, child_ref:
 def votes(rows: DataFrame, answer_col: str = "answer_id") -> DataFrame:
     """Votes counted, not incremented."""
     return rows.groupBy(answer_col).agg(F.count("*").alias("ansagree"))
+
+
+def _acting(rows: DataFrame, users: DataFrame, user_col: str) -> DataFrame:
+    """Adds whether the acting user, one of users (owner_id, job_title), is a researcher; null for unknown ones."""
+    who = users.select(F.col("owner_id").alias("_user"), F.coalesce(F.col("job_title") == RESEARCHER, F.lit(False)).alias("_researcher"))
+    return rows.join(who, rows[user_col] == who["_user"], "left").drop("_user")
+
+
+def _parted(rows: DataFrame, allowed: Column, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows that are allowed and those refused; what can't be told is refused."""
+    told = rows.withColumn("_allowed", F.coalesce(allowed, F.lit(False)))
+    return told.filter("_allowed").select(columns), told.filter("not _allowed").select(columns)
+
+
+def may_see(type_col: Column, researcher: Column) -> Column:
+    """Topics with a type: private ones are for researchers."""
+    return type_col.isNotNull() & ((type_col != PRIVATE_TYPE) | researcher)
+
+
+def created_topics(topics: DataFrame, new: DataFrame, users: DataFrame, owner_col: str = "owner_id", type_col: str = "type") -> tuple[DataFrame, DataFrame]:
+    """topics with the new ones, and the new ones refused: private ones of non-researchers, and those of unknown users or without a type."""
+    known = F.col("_researcher").isNotNull()
+    kept, refused = _parted(_acting(new, users, owner_col), known & may_see(F.col(type_col), F.col("_researcher")), new.columns)
+    return topics.unionByName(kept), refused
+
+
+def created_replies(
+    replies: DataFrame, new: DataFrame, topics: DataFrame, users: DataFrame, topic_col: str = "topic_id", owner_col: str = "owner_id", id_col: str = "id", type_col: str = "type"
+) -> tuple[DataFrame, DataFrame]:
+    """Comments or attachments with the new ones, and the new ones refused: in topics that their user may not see, or that don't exist."""
+    types = topics.select(F.col(id_col).alias("_topic"), F.col(type_col).alias("_type"))
+    joined = _acting(new, users, owner_col)
+    joined = joined.join(types, joined[topic_col] == types["_topic"], "left")
+    kept, refused = _parted(joined, F.col("_researcher").isNotNull() & may_see(F.col("_type"), F.col("_researcher")), new.columns)
+    return replies.unionByName(kept), refused
+
+
+def updated_topics(topics: DataFrame, changes: DataFrame, users: DataFrame, id_col: str = "id", by: str = "user_id", type_col: str = "type") -> tuple[DataFrame, DataFrame]:
+    """topics with changes (id, user_id, columns to set), one a topic, and the changes refused: of topics that their user may not see, or that don't exist.
+
+    Null columns leave the topic's value.
+    """
+    types = topics.select(F.col(id_col).alias("_topic"), F.col(type_col).alias("_type"))
+    joined = _acting(changes, users, by)
+    joined = joined.join(types, joined[id_col] == types["_topic"], "left")
+    kept, refused = _parted(joined, F.col("_researcher").isNotNull() & may_see(F.col("_type"), F.col("_researcher")), changes.columns)
+    names = [c for c in changes.columns if c not in (id_col, by)]
+    sets = kept.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_new_{c}") for c in names])
+    out = topics.join(sets, topics[id_col] == sets["_id"], "left").withColumns({c: F.coalesce(f"_new_{c}", c) for c in names})
+    return out.select(topics.columns), refused
+
+
+def destroyed(rows: DataFrame, requests: DataFrame, id_col: str = "id", owner_col: str = "owner_id", by: str = "user_id") -> tuple[DataFrame, DataFrame]:
+    """rows without those that requests (id, user_id) of their own owner name, and the requests refused: of others, or for rows that don't exist."""
+    asked = requests.select(F.col(id_col).alias("_id"), F.col(by).alias("_by"))
+    owners = rows.select(F.col(id_col).alias("_id"), F.col(owner_col).alias("_by"))
+    left = rows.join(asked, (rows[id_col] == asked["_id"]) & (rows[owner_col] == asked["_by"]), "left_anti")
+    return left, requests.join(owners, (requests[id_col] == owners["_id"]) & (requests[by] == owners["_by"]), "left_anti")

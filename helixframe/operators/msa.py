@@ -29,19 +29,53 @@ def covered(long: DataFrame, share: float = 0.5, most: int | None = 20_000, keys
     return long.join(kept.select(*keys, seq), [*keys, seq], "left_semi")
 
 
-def sequence_weights(long: DataFrame, identity: float = 0.8, keys: list[str] | None = None, seq: str = "seq") -> DataFrame:
+def _block_neighbours(keys: list[str], seq: str, identity: float):
+    """Counts, for the sequences of two blocks i and j, which of the other block agree in more than identity of their own columns."""
+
+    def table(codes: pd.Series, width: int) -> np.ndarray:
+        out = np.full((len(codes), width), -1, np.int16)
+        for row, places in zip(out, codes, strict=True):
+            for place in places:
+                if place["pos"] is not None and place["code"] is not None:
+                    row[place["pos"]] = place["code"]
+        return out
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        width = 1 + max((p["pos"] for codes in group["_codes"] for p in codes if p["pos"] is not None), default=0)
+        one, two = (group[group["_block"] == group[side]].reset_index(drop=True) for side in ("_i", "_j"))
+        a, b = table(one["_codes"], width), table(two["_codes"], width)
+        ours, theirs = np.zeros(len(one), np.int64), np.zeros(len(two), np.int64)
+        for k, row in enumerate(a):
+            there = row >= 0
+            same = (b[:, there] == row[there]).sum(1)
+            ours[k] = (same > one["_n"][k] * identity).sum()
+            theirs += same > two["_n"].to_numpy() * identity
+        out = one.assign(_c=ours)
+        if group["_i"].iloc[0] != group["_j"].iloc[0]:
+            out = pd.concat([out, two.assign(_c=theirs)])
+        return out[[*keys, seq, "_c"]]
+
+    return count
+
+
+def sequence_weights(long: DataFrame, identity: float = 0.8, keys: list[str] | None = None, seq: str = "seq", block_rows: int = 1024) -> DataFrame:
     """(keys, seq, weight): 1 over the number of sequences, itself included, that agree in more than identity of the columns.
 
-    Gaps agree with gaps. Sequences meet only through columns they agree in.
+    Gaps agree with gaps. An alignment is dealt into blocks of about block_rows sequences,
+    as many as it has rows for, and each two blocks meet in a task of their own.
     """
     keys = keys or []
-    a = long.select(*keys, "pos", "code", F.col(seq).alias("_a"))
-    b = long.select(*keys, "pos", "code", F.col(seq).alias("_b"))
-    lengths = long.groupBy(*keys, seq).agg(F.count("*").alias("_n"))
-    equal = a.join(b, [*keys, "pos", "code"]).groupBy(*keys, "_a", "_b").agg(F.count("*").alias("_same"))
-    near = equal.join(lengths.withColumnRenamed(seq, "_a"), [*keys, "_a"]).filter(F.col("_same") > F.col("_n") * identity)
-    counts = near.groupBy(*keys, F.col("_a").alias(seq)).agg(F.count("*").alias("_c"))
-    return lengths.join(counts, [*keys, seq], "left").select(*keys, seq, (1.0 / F.greatest(F.coalesce("_c", F.lit(1)), F.lit(1))).alias("weight"))
+    rows = long.groupBy(*keys, seq).agg(F.count("*").cast("double").alias("_n"), F.collect_list(F.struct("pos", "code")).alias("_codes"))
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).alias("_blocks"))
+    sized = rows.join(sizes, keys) if keys else rows.join(F.broadcast(sizes), F.lit(True))  # one row without keys
+    placed = sized.withColumn("_block", F.pmod(F.xxhash64(seq), F.col("_blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_other")
+    dealt = placed.select(*keys, seq, "_n", "_codes", "_block", other)
+    dealt = dealt.withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")}).drop("_other")
+    kinds = dict(long.dtypes)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in [*keys, seq]], "_c bigint"])
+    counts = dealt.groupBy(*keys, "_i", "_j").applyInPandas(_block_neighbours(keys, seq, identity), schema)
+    return counts.groupBy(*keys, seq).agg((1.0 / F.greatest(F.sum("_c"), F.lit(1))).alias("weight"))
 
 
 def profile(long: DataFrame, weights: DataFrame, keys: list[str] | None = None, seq: str = "seq") -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import geometry as g
+from helixframe.scratch import settled
 
 INT_MIN, INT_MAX = -(1 << 31), (1 << 31) - 1
 
@@ -139,3 +140,24 @@ def interval_group(chain: Column, number: Column, intervals: list[tuple[int, str
     """The first group that has the residue, or null."""
     found = [F.when((chain == c) & number.between(low, high), group) for group, c, low, high in sorted(intervals)]
     return F.coalesce(*found) if found else F.lit(None).cast("int")
+
+
+def with_earlier(rows: DataFrame, order: list, name: str, size: Column | None = None, keys: list[str] | None = None, total: str | None = None) -> DataFrame:
+    """Adds the number, or the summed size, of the rows before each one in its group; total names a column for the whole group's.
+
+    Rows are cut into ranges of keys and order, and sums are taken inside ranges and over the
+    ranges' totals, so no group is one task. Rows equal in all of them come in any order.
+    """
+    keys = keys or []
+    sized = rows.withColumn("_size", F.lit(1).cast("long") if size is None else size)
+    ranges = sized.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    cut = settled(ranges.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    totals = cut.groupBy(*keys, "_range").agg(F.sum("_size").alias("_sum"))  # as few rows as ranges and groups
+    group, up_to = Window.partitionBy(*keys), Window.unboundedPreceding
+    start = F.coalesce(F.sum("_sum").over(group.orderBy("_range").rowsBetween(up_to, -1)), F.lit(0))
+    starts = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), start.alias("_start"), F.sum("_sum").over(group).alias("_total"))
+    inside = F.sum("_size").over(Window.partitionBy(*keys, "_range").orderBy("_at").rowsBetween(up_to, -1))
+    on = [F.col("_range") == F.col("_r"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
+    placed = cut.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(starts, on)
+    added = [(F.col("_start") + F.col("_inside")).alias(name), *([F.col("_total").alias(total)] if total else [])]
+    return placed.select(*rows.columns, *added)

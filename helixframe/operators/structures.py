@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import geometry as g
 from helixframe.functions.text import ALPHABET, RESIDUES, canonical_atom
-from helixframe.operators.forum import threads
-from helixframe.operators.relational import first_match_lookup, pattern_options, range_join
+from helixframe.operators.relational import first_match_lookup, pattern_options, range_join, with_earlier
+from helixframe.scratch import settled
 
 # Names of main-chain atoms.
 PROTEIN_MAIN = ("N", "CA", "C", "O", "OXT")
@@ -145,9 +145,8 @@ def mean_bfactor(atoms: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def lowest_share(rows: DataFrame, value: str, tie: str, share: float = 0.2, keys: list[str] | None = None) -> DataFrame:
     """The lowest round(share n) rows of each group, halves rounded to even, ties by tie."""
-    group = Window.partitionBy(*(keys or []))
-    ranked = rows.withColumns({"_rank": F.row_number().over(group.orderBy(value, tie)), "_n": F.count("*").over(group)})
-    return ranked.filter(F.col("_rank") <= F.bround(F.col("_n") * share)).drop("_rank", "_n")
+    ranked = with_earlier(rows, [value, tie], "_before", keys=keys, total="_n")
+    return ranked.filter(F.col("_before") + 1 <= F.bround(F.col("_n") * share)).drop("_before", "_n")
 
 
 def tolerable(l: Column, r: Column) -> Column:
@@ -198,9 +197,17 @@ def neighbours(active: DataFrame, everything: DataFrame, threshold: float = 4.0,
     return pairs.filter((F.col("d") < threshold) & apart)
 
 
-def min_residue_distance(atoms: DataFrame, radius: float, largest_radius: float, keys: list[str] | None = None) -> DataFrame:
-    """The least gap between spheres of two residues, for residues of which some pair of centres is within the radius."""
-    pairs = range_join(atoms, atoms, radius, keys=keys)
+def min_residue_distance(atoms: DataFrame, radius: float | None, largest_radius: float, keys: list[str] | None = None) -> DataFrame:
+    """The least gap between spheres of two residues, for residues of which some pair of centres is within the radius.
+
+    Without a radius, for all pairs of residues of a structure, since that asks for all of them.
+    """
+    if radius is None:
+        both = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys or []]
+        pairs = atoms.alias("l").join(atoms.alias("r"), both) if both else atoms.alias("l").crossJoin(atoms.alias("r"))
+        pairs = pairs.withColumn("d", g.distance(F.col("l.p"), F.col("r.p")))
+    else:
+        pairs = range_join(atoms, atoms, radius, keys=keys)
     ends = [F.col(f"{s}.{c}").alias(f"{n}_{c}") for s, n in (("l", "a"), ("r", "b")) for c in ("chain", "num")]
     gaps = pairs.select(*[F.col(f"l.{k}").alias(k) for k in keys or []], *ends, (F.col("d") - F.col("l.r") - F.col("r.r")).alias("gap"))
     gaps = gaps.filter("a_chain <> b_chain or a_num <> b_num")
@@ -253,12 +260,55 @@ def contact_map(ca: DataFrame, cutoff: float = 10.0, keys: list[str] | None = No
 def topological_order(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(idx, root, depth): the chain a residue belongs to, named by its first one, and its place in it.
 
-    links (from, to) are bonds; of several into one residue the one from the last counts. nodes
-    (idx) are all residues. Places come from pointer doubling, in rounds that grow with the
-    logarithm of the longest chain.
+    links (from, to) are bonds, one from each residue; nodes (idx) are all residues. Chains are
+    walked from residues that no bond leads to, in order of idx, up to a residue that an earlier
+    chain has; so a residue belongs to the least start from which bonds lead to it. On a ring
+    without a start both are null. Walks are doubled, in rounds that grow with the logarithm of
+    the longest.
+    """
+    known = nodes.select("idx").distinct()
+    right = links.join(known.withColumnRenamed("idx", "from"), "from", "left_semi").join(known.withColumnRenamed("idx", "to"), "to", "left_semi")
+    starts = known.join(right.select(F.col("to").alias("idx")), "idx", "left_anti")
+    best = starts.select("idx", F.struct(F.col("idx").alias("root"), F.lit(0).cast("long").alias("depth")).alias("best"))
+    #  leap has the residue `step` bonds on; best the least start at most step - 1 bonds before
+    leap, step = settled(right.groupBy("from").agg(F.min("to").alias("to"))), 1
+    longest = known.count()
+    while step < longest and not leap.isEmpty():
+        moved = best.join(leap, best["idx"] == leap["from"]).select(
+            F.col("to").alias("idx"), F.struct(F.col("best.root").alias("root"), (F.col("best.depth") + step).alias("depth")).alias("best")
+        )
+        best = settled(best.unionByName(moved).groupBy("idx").agg(F.min("best").alias("best")))
+        on = leap.select(F.col("from").alias("to"), F.col("to").alias("_next"))
+        leap, step = settled(leap.join(on, "to").select("from", F.col("_next").alias("to"))), step * 2
+    return nodes.join(best, "idx", "left").select("idx", "best.root", F.col("best.depth").cast("int").alias("depth"))
+
+
+#: Names of the atoms that bonds between residues leave at the left and the right.
+LINKING = {"protein": (["N"], ["C"]), "nucleic": (["P"], ["O3'", "O3*"])}
+
+
+def residue_chains(atoms: DataFrame, kind: str = "protein", longest: float = 1.8) -> DataFrame:
+    """(chain, num, root, depth) of the residues of one structure that have a linking atom, by bonds shorter than longest.
+
+    kind is "protein" or "nucleic". Atoms (atom_idx, chain, num, resname, name, p); water is
+    left out, and of repeated names the last counts.
     """
-    ups = links.select(F.col("to").alias("idx"), F.col("from").alias("up")).groupBy("idx").agg(F.max("up").alias("up"))
-    return threads(nodes.join(ups, "idx", "left"), "idx", "up").select("idx", "root", "depth")
+    left, right = LINKING[kind]
+    end = [F.max_by("p", F.when(F.col("name").isin(names), F.col("atom_idx"))).alias(side) for side, names in (("left", left), ("right", right))]
+    found = atoms.filter((F.col("resname") != "HOH") & F.col("name").isin(left + right)).groupBy("chain", "num").agg(*end)
+    ends = settled(with_earlier(found, ["chain", "num"], "idx", total="n"))
+    rights, lefts = (ends.filter(F.col(side).isNotNull()).select("idx", "n", F.col(side).alias("p")) for side in ("right", "left"))
+    return ends.join(topological_order(bonds(rights, lefts, longest), ends.select("idx")), "idx").select("chain", "num", "root", "depth")
+
+
+def relettered(atoms: DataFrame, chains: DataFrame) -> DataFrame:
+    """Atoms with chain letters A to Z in order of the chains' roots; others keep theirs. More than 26 chains are an error."""
+    roots = chains.filter("root is not null").select("root").distinct()
+    if (n := roots.count()) > 26:
+        raise ValueError(f"{n} chains, too many to name")
+    letters = roots.withColumn("_letter", F.chr(64 + F.row_number().over(Window.orderBy("root"))))  # 26 rows at most
+    named = chains.join(F.broadcast(letters), "root").select("chain", "num", "_letter")
+    return atoms.join(named, ["chain", "num"], "left").withColumn("chain", F.coalesce("_letter", "chain")).select(atoms.columns)
 
 
 def neighbour_graph(quadruples: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.functions.text import without_insertions
+from helixframe.operators.relational import with_earlier
 
 
 def parse_fasta(rows: DataFrame, first_only: bool = False) -> DataFrame:
@@ -111,5 +112,4 @@ def archive_entries(index: DataFrame, blobs: DataFrame, names: DataFrame | None
 def archive_index(entries: DataFrame) -> DataFrame:
     """(name, offset, length) for entries (name, text) laid out in order of name, each with a closing NUL."""
     sizes = entries.select("name", (F.octet_length("text") + 1).cast("long").alias("length"))
-    before = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select("name", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length")
+    return with_earlier(sizes, ["name"], "offset", size=F.col("length")).select("name", "offset", "length")

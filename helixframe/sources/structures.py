@@ -6,11 +6,12 @@ lines before it; Spark deals files to tasks, and lines become rows inside them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions.colour import blue_white_red
 from helixframe.functions.text import fixed_column, fixed_precision
+from helixframe.operators.relational import with_earlier
 
 # First and last column of each field, 1-based.
 PDB_FIELDS = {
@@ -98,7 +99,7 @@ def parse_container(rows: DataFrame, header: str) -> DataFrame:
 def container_lines(rows: DataFrame, header: str, order: list[str]) -> DataFrame:
     """(line_no, line) of one block: the header, the count, the rows in order, their columns separated by spaces."""
     body = rows.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in rows.columns]).alias("line"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    placed = body.select((F.row_number().over(Window.orderBy(*[f"_o{i}" for i in range(len(order))])) + 1).cast("long").alias("line_no"), "line")
+    placed = with_earlier(body, [f"_o{i}" for i in range(len(order))], "_before").select((F.col("_before") + 2).alias("line_no"), "line")
     count = rows.agg(F.count("*").cast("string").alias("line")).select(F.lit(1).cast("long").alias("line_no"), "line")
     head = count.select(F.lit(0).cast("long").alias("line_no"), F.lit(header).alias("line"))
     return head.unionByName(count).unionByName(placed)

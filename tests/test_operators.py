@@ -67,6 +67,27 @@ def test_forum(spark):
     left = forum.cascade(topics.filter("id <> 2"), spark.createDataFrame([(10, 1), (11, 2), (12, None)], "id long, topic_id long"), "id", "topic_id")
     assert rows(left, "id") == [(10,), (12,)]
 
+    assert rows(forum.owned(spark.createDataFrame([(1, 7), (2, 8), (3, None)], "id long, owner_id long"), 7), "id") == [(1,)]
+    assert rows(forum.replies_of(spark.createDataFrame([(1, 7), (2, 8), (3, None)], "id long, topic_id long"), 8), "id") == [(2,)]
+
+
+def test_forum_changes(spark):
+    users = spark.createDataFrame([(1, "Researcher"), (2, "Student"), (3, None)], "owner_id long, job_title string")
+    schema = "id long, owner_id long, type int, title string"
+    topics = spark.createDataFrame([(1, 1, 1, "private"), (2, 2, 0, "open")], schema)
+    new = spark.createDataFrame([(10, 1, 1, "a"), (11, 2, 1, "b"), (12, 2, 2, "c"), (13, 9, 0, "d"), (14, 1, None, "e"), (15, 3, 1, "f")], schema)
+    kept, refused = forum.created_topics(topics, new, users)
+    assert (rows(kept, "id"), rows(refused, "id")) == ([(1,), (10,), (12,), (2,)], [(11,), (13,), (14,), (15,)])
+    comments = spark.createDataFrame([(1, 2, 2)], "id long, owner_id long, topic_id long")
+    more = spark.createDataFrame([(2, 1, 1), (3, 2, 1), (4, 2, 2), (5, 1, 99), (6, None, 2)], "id long, owner_id long, topic_id long")
+    kept, refused = forum.created_replies(comments, more, topics, users)
+    assert (rows(kept, "id"), rows(refused, "id")) == ([(1,), (2,), (4,)], [(3,), (5,), (6,)])
+    changes = spark.createDataFrame([(1, 2, "x"), (2, 2, "y"), (9, 1, "z")], "id long, user_id long, title string")
+    changed, refused = forum.updated_topics(topics, changes, users)
+    assert (rows(changed, "id", "title"), rows(refused, "id")) == ([(1, "private"), (2, "y")], [(1,), (9,)])
+    left, refused = forum.destroyed(topics, spark.createDataFrame([(1, 2), (2, 2), (9, 1)], "id long, user_id long"))
+    assert (rows(left, "id"), rows(refused, "id")) == ([(1,)], [(1,), (9,)])
+
 
 def test_intervals():
     assert relational.parse_intervals("(A1-A9,B3)(C)(3-8)") == [(0, "A", 1, 9), (0, "B", 3, 3), (1, "C", relational.INT_MIN, relational.INT_MAX), (2, "?", 3, 8)]
@@ -294,10 +315,66 @@ def test_molecule_classes(spark):
     assert rows(found.select("num", "molecule_class").distinct(), "num", "molecule_class") == [(1, 1), (2, 2), (3, 1), (4, 1), (5, 2), (6, 0), (7, 0)]
 
 
-def test_two_bonds_into_one_residue(spark):
-    links = spark.createDataFrame([(1, 5), (3, 5), (5, 6)], "from long, to long")
-    found = structures.topological_order(links, spark.createDataFrame([(i,) for i in (1, 3, 5, 6)], "idx long"))
-    assert rows(found, "idx", "root", "depth") == [(1, 1, 0), (3, 3, 0), (5, 3, 1), (6, 3, 2)]
+def walked_chains(nodes, right):
+    """Chains walked one after another from the residues that no bond leads to."""
+    found, visited = {i: (None, None) for i in nodes}, set()
+    for root in sorted(set(nodes) - set(right.values())):
+        at, depth = root, 0
+        while at is not None and at not in visited:
+            visited.add(at)
+            found[at] = (root, depth)
+            at, depth = right.get(at), depth + 1
+    return found
+
+
+def test_chains_of_bonds(spark):
+    #  two bonds into 5, and a start with a bond into a chain that a later number began
+    cases = [(range(1, 8), {1: 5, 3: 5, 5: 6}), (range(8), {7: 3, 3: 4, 2: 7, 1: 6, 6: 4}), (range(6), {0: 1, 1: 2, 2: 1, 3: 4, 4: 3})]
+    generator = random.Random(5)
+    cases.append((range(60), {i: generator.randrange(60) for i in generator.sample(range(60), 45)}))
+    for nodes, right in cases:
+        links = spark.createDataFrame(list(right.items()), "from long, to long")
+        found = structures.topological_order(links, spark.createDataFrame([(i,) for i in nodes], "idx long")).collect()
+        assert {r["idx"]: (r["root"], r["depth"]) for r in found} == walked_chains(nodes, right)
+
+
+def test_chains_of_atoms(spark):
+    data = []
+    for chain, num, x in [("A", 1, 0.0), ("A", 2, 4.0), ("B", 7, 8.0), ("C", 1, 50.0)]:  # A 1, A 2 and B 7 are bonded
+        data += [(chain, num, "GLY", "N", (x, 0.0, 0.0)), (chain, num, "GLY", "C", (x + 2.6, 0.0, 0.0)), (chain, num, "GLY", "CA", (x + 1.0, 1.0, 0.0))]
+    for num in (1, 2):
+        data += [("R", num, "G", "P", (100.0 + 5 * num, 0.0, 0.0)), ("R", num, "G", "O3*", (103.6 + 5 * num, 0.0, 0.0))]
+    data += [("W", 1, "HOH", "N", (200.0, 0.0, 0.0))]
+    atoms = spark.createDataFrame([(i, *a) for i, a in enumerate(data)], "atom_idx long, chain string, num int, resname string, name string, p struct<x:double,y:double,z:double>")
+    protein = structures.residue_chains(atoms)
+    assert rows(protein, "chain", "num", "root", "depth") == [("A", 1, 0, 0), ("A", 2, 0, 1), ("B", 7, 0, 2), ("C", 1, 3, 0)]
+    assert rows(structures.residue_chains(atoms, "nucleic"), "chain", "num", "root", "depth") == [("R", 1, 0, 0), ("R", 2, 0, 1)]
+    lettered = structures.relettered(atoms, protein)
+    assert rows(lettered.select("chain").distinct()) == [("A",), ("B",), ("R",), ("W",)]
+    assert lettered.filter("chain = 'A'").count() == 9
+    many = spark.createDataFrame([("A", i, i) for i in range(27)], "chain string, num int, root long")
+    with pytest.raises(ValueError):
+        structures.relettered(atoms, many)
+
+
+def test_all_residue_distances(spark):
+    data = [(i, "A", i // 2, (float(3 * i), 0.0, 0.0), 1.0) for i in range(6)]
+    atoms = spark.createDataFrame(data, "atom_idx int, chain string, num int, p struct<x:double,y:double,z:double>, r double")
+    gaps = {(r["a_num"], r["b_num"]): r["gap"] for r in structures.min_residue_distance(atoms, None, 1.0).collect()}
+    assert gaps == {(a, b): min(abs(3.0 * i - 3.0 * j) - 2 for i in (2 * a, 2 * a + 1) for j in (2 * b, 2 * b + 1)) for a in range(3) for b in range(3) if a != b}
+
+
+def test_earlier_rows(spark):
+    generator = random.Random(2)
+    data = [(generator.choice(["a", "a", "a", "b", None]), i, generator.randrange(9)) for i in range(200)]
+    df = spark.createDataFrame(data, "k string, v int, size long").repartition(5)
+    for keys in ([], ["k"]):
+        found = relational.with_earlier(df, ["v"], "before", F.col("size"), keys, "total").collect()
+        assert len(found) == 200
+        for r in found:
+            same = [x for x in data if not keys or x[0] == r["k"]]
+            assert (r["before"], r["total"]) == (sum(x[2] for x in same if x[1] < r["v"]), sum(x[2] for x in same))
+    assert relational.with_earlier(df.filter("v < 0"), ["v"], "before").count() == 0
 
 
 def test_msa(spark):
@@ -305,6 +382,14 @@ def test_msa(spark):
     long = msa.encoded(spark.createDataFrame(list(enumerate(seqs)), "seq int, aligned string"))
     weights = {r["seq"]: r["weight"] for r in msa.sequence_weights(long).collect()}
     assert weights == {0: 1 / 3, 1: 1 / 3, 2: 1 / 3, 3: 1.0, 4: 1.0}
+    long_rows = {i: s for i, s in enumerate("".join(random.Random(i // 4).choices("ACDE-", k=12)) for i in range(40))}
+    many = msa.encoded(spark.createDataFrame(list(long_rows.items()), "seq int, aligned string"))
+    expected = {i: 1 / sum(sum(x == y for x, y in zip(s, t)) > 0.8 * 12 for t in long_rows.values()) for i, s in long_rows.items()}
+    for block in (3, 16, 1024):
+        assert {r["seq"]: r["weight"] for r in msa.sequence_weights(many, block_rows=block).collect()} == expected
+    keyed = many.withColumn("k", F.col("seq") % 2)
+    halves = {r["seq"]: r["weight"] for r in msa.sequence_weights(keyed, keys=["k"], block_rows=4).collect()}
+    assert halves == {i: 1 / sum(sum(x == y for x, y in zip(s, long_rows[j])) > 0.8 * 12 for j in long_rows if j % 2 == i % 2) for i, s in long_rows.items()}
     profile = msa.profile(long, msa.sequence_weights(long))
     sums = profile.groupBy("pos").agg(F.sum("f").alias("s")).collect()
     assert all(math.isclose(r["s"], 1 + 21e-9) for r in sums)
@@ -319,6 +404,53 @@ def test_msa(spark):
     assert rows(msa.coverage_choice(choice, ["t"]), "t", "e_value", "coverage") == [("t", 1e-30, 50), ("u", 1e-3, 50)]
 
 
+def slow_best(a, b, start, extend, local):
+    """The best score by trying every gap length at every cell."""
+    best = {}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            options = [0] if local or i == j == 0 else []
+            if i and j:
+                options.append(best[i - 1, j - 1] + (10 if a[i - 1] == b[j - 1] else -10))
+            options += [best[i - k, j] + start + (k - 1) * extend for k in range(1, i + 1)]
+            options += [best[i, j - k] + start + (k - 1) * extend for k in range(1, j + 1)]
+            best[i, j] = max(options)
+    return max(best.values()) if local else best[len(a), len(b)]
+
+
+def test_alignment_scores():
+    generator = random.Random(3)
+    for _ in range(150):
+        a, b = ("".join(generator.choices("ACDé", k=generator.randrange(9))) for _ in "ab")
+        start, extend, local = generator.choice([-20, -4]), generator.choice([-1, -3]), generator.random() < 0.5
+        score, pairs = alignment.align_pair(a, b, start=start, extend=extend, local=local)
+        assert score == slow_best(a, b, start, extend, local)
+        told, gap = 0, None
+        for i, j in pairs:
+            side = "a" if j < 0 else "b" if i < 0 else None
+            told += (10 if a[i] == b[j] else -10) if side is None else extend if side == gap else start
+            gap = side
+        assert told == score
+        if not local:
+            assert [i for i, _ in pairs if i >= 0] == list(range(len(a))) and [j for _, j in pairs if j >= 0] == list(range(len(b)))
+
+
+def test_common_numbers(spark):
+    assert alignment.composed([(0, 0), (1, -1), (2, 1)], [(0, 0), (-1, 1), (1, 2)]) == [(0, 0), (1, 1), (2, 2)]
+    assert alignment.composed([(0, 0), (1, -1)], [(0, 0)]) == [(0, 0), (1, -1)]
+    with pytest.raises(ValueError):
+        alignment.composed([(0, 0), (1, 1)], [(0, 0)])
+    chains = spark.createDataFrame([("A", "X", "ACDE", "ADEF", "ACDE-", "A-DEF"), ("B", "Y", "AC", "AC", "AC", "A"), ("C", "Z", None, "A", "A", "A")], "target_chain string, model_chain string, target_seq string, model_seq string, target_aligned string, model_aligned string")
+    numbers = alignment.common_numbers(chains)
+    places = {r["target_chain"]: r["places"] for r in numbers.collect()}
+    assert [tuple(p) for p in places["A"]] == [(0, 0), (1, -1), (2, 1), (3, 2), (-1, 3)]
+    assert places["B"] is None and places["C"] is None
+    model = spark.createDataFrame([("X", n, name) for n in (10, 11, 12, 13) for name in ("N", "CA")] + [("Q", 3, "N")], "chain string, num int, name string")
+    assert rows(alignment.with_common_numbers(model, numbers, "model").select("chain", "num").distinct()) == [("Q", 3), ("X", 1), ("X", 3), ("X", 4), ("X", 5)]
+    target = spark.createDataFrame([("A", n, "CA") for n in (7, 8, 9, 20)], "chain string, num int, name string")
+    assert rows(alignment.with_common_numbers(target, numbers, "target"), "num") == [(1,), (2,), (3,), (4,)]
+
+
 def test_alignment(spark):
     pairs = spark.createDataFrame([("ACDE", "ADE"), ("ABC", "ABC"), (None, "AB"), ("", "")], "a string, b string")
     found = {r["a"]: r for r in alignment.aligned(pairs).collect()}
