@@ -82,11 +82,11 @@ def profile(long: DataFrame, weights: DataFrame, keys: list[str] | None = None,
     """(keys, pos, code, f): weighted frequencies of all 21 states, each plus 1e-9."""
     keys = keys or []
     joined = long.join(weights, [*keys, seq])
-    sums = joined.groupBy(*keys, "pos", "code").agg(F.sum("weight").alias("w"))
-    by_pos = sums.groupBy(*keys, "pos").agg(F.sum("w").alias("total"), F.map_from_entries(F.collect_list(F.struct("code", "w"))).alias("m"))
+    sums = joined.groupBy(*keys, "pos", "code").agg(F.sum("weight").alias("_w"))
+    by_pos = sums.groupBy(*keys, "pos").agg(F.sum("_w").alias("_total"), F.map_from_entries(F.collect_list(F.struct("code", "_w"))).alias("_sums"))
     states = F.explode(F.sequence(F.lit(0), F.lit(GAP))).alias("code")
-    rows = by_pos.select(*keys, "pos", "total", "m", states)
-    return rows.select(*keys, "pos", "code", (F.coalesce(F.try_element_at("m", "code"), F.lit(0.0)) / F.col("total") + 1e-9).alias("f"))
+    rows = by_pos.select(*keys, "pos", "_total", "_sums", states)
+    return rows.select(*keys, "pos", "code", (F.coalesce(F.try_element_at("_sums", "code"), F.lit(0.0)) / F.col("_total") + 1e-9).alias("f"))
 
 
 def entropy(frequencies: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -114,6 +114,27 @@ def pair_entropy(long: DataFrame, weights: DataFrame, keys: list[str] | None = N
     return totals.select(*keys, "i", "j", (F.log("n") - F.col("s") / F.col("n")).alias("h"), (F.col("g") / F.col("n")).alias("gaps"))
 
 
+def _inverse_covariance(aligned: pd.Series, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One-hot states (rows, columns x 21), weights by neighbours over 0.8, and the inverse of the regularised covariance as (i, a, j, b)."""
+    code = np.array([[max(ALPHABET.find(c), -1) for c in s] for s in aligned.str.replace("[a-z]", "", regex=True)])
+    code[code < 0] = GAP
+    n, length = code.shape
+    w = 1 / np.array([((code == row).sum(1) > 0.8 * length).sum() for row in code]).clip(1)
+    x = np.eye(STATES)[code].reshape(n, -1)
+    points = w.sum() - np.sqrt(w.mean())
+    points = points if points > 1e-9 else 1.0  # one sequence, or as many copies of one
+    centred = (x - (w[:, None] * x).sum(0) / points) * np.sqrt(w)[:, None]
+    inverse = np.linalg.inv(centred.T @ centred / points + np.eye(x.shape[1]) * penalty / np.sqrt(w.sum()))
+    return x, w, inverse.reshape(length, STATES, length, STATES)
+
+
+def _corrected_norms(inverse: np.ndarray) -> np.ndarray:
+    apart = 1 - np.eye(len(inverse))
+    norms = np.sqrt((inverse[:, :GAP, :, :GAP] ** 2).sum((1, 3))) * apart
+    apc = norms.sum(0, keepdims=True) * norms.sum(1, keepdims=True) / max(norms.sum(), 1e-9)
+    return (norms - apc) * apart
+
+
 def couplings(rows: DataFrame, key: str, aligned_col: str = "aligned", penalty: float = 4.5) -> DataFrame:
     """(key, i, j, score): corrected norms of the inverse of the regularised covariance of an alignment's columns.
 
@@ -124,21 +145,8 @@ def couplings(rows: DataFrame, key: str, aligned_col: str = "aligned", penalty:
     """
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        code = np.array([[max(ALPHABET.find(c), -1) for c in s] for s in group["aligned"].str.replace("[a-z]", "", regex=True)])
-        code[code < 0] = GAP
-        n, length = code.shape
-        same = (code[:, None, :] == code[None, :, :]).sum(-1) > 0.8 * length
-        w = 1 / same.sum(1)
-        x = np.eye(STATES)[code].reshape(n, -1)
-        points = w.sum() - np.sqrt(w.mean())
-        points = points if points > 1e-9 else 1.0  # one sequence, or as many copies of one
-        centred = (x - (w[:, None] * x).sum(0) / points) * np.sqrt(w)[:, None]
-        inverse = np.linalg.inv(centred.T @ centred / points + np.eye(x.shape[1]) * penalty / np.sqrt(w.sum()))
-        blocks = inverse.reshape(length, STATES, length, STATES)[:, :GAP, :, :GAP]
-        norms = np.sqrt((blocks**2).sum((1, 3))) * (1 - np.eye(length))
-        apc = norms.sum(0, keepdims=True) * norms.sum(1, keepdims=True) / max(norms.sum(), 1e-9)
-        score = (norms - apc) * (1 - np.eye(length))
-        i, j = np.triu_indices(length, 1)
+        score = _corrected_norms(_inverse_covariance(group["aligned"], penalty)[2])
+        i, j = np.triu_indices(len(score), 1)
         return pd.DataFrame({key: group[key].iloc[0], "i": i, "j": j, "score": score[i, j]})
 
     kind = dict(rows.dtypes)[key]
@@ -146,6 +154,56 @@ def couplings(rows: DataFrame, key: str, aligned_col: str = "aligned", penalty:
     return data.groupBy(key).applyInPandas(one, f"{key} {kind}, i int, j int, score double")
 
 
+def column_features(long: DataFrame, weights: DataFrame, rates: DataFrame, keys: list[str] | None = None, seq: str = "seq") -> DataFrame:
+    """(keys, pos, f1d): 44 numbers of each column.
+
+    The first sequence's residue one-hot (20), the profile (21), its entropy, the occupancy
+    (null in a column of gaps) and the rate of insertions before it, from rates (keys, pos, rate),
+    0 where that lacks it.
+    """
+    at = [*(keys or []), "pos"]
+    listed = F.array_sort(F.collect_list(F.struct("code", "f")))
+    columns = profile(long, weights, keys, seq).groupBy(*at).agg(F.transform(listed, lambda x: x["f"]).alias("_f"), (-F.sum(F.col("f") * F.log("f"))).alias("_h"))
+    own = long.groupBy(*at).agg(F.min_by("code", seq).alias("_own"))
+    hot = F.transform(F.sequence(F.lit(0), F.lit(GAP - 1)), lambda s: F.when(F.col("_own") == s, 1.0).otherwise(0.0))
+    joined = columns.join(own, at).join(occupancy(long, weights, keys, seq), at).join(rates, at, "left")
+    return joined.select(*at, F.concat(hot, F.col("_f"), F.array("_h", "occupancy", F.coalesce("rate", F.lit(0.0)))).alias("f1d"))
+
+
+def pair_inputs(rows: DataFrame, key: str, aligned_col: str = "aligned", penalty: float = 4.5) -> DataFrame:
+    """(key, i, j, f2d): 444 numbers of all ordered pairs of an alignment's columns, a column with itself included.
+
+    The 441 of the inverse covariance's block, its corrected norm, the entropy of the pair's
+    states (each plus 1e-9) and the weight share of gap pairs. All are 0 for a single sequence.
+    Alignments are dealt out whole, as for couplings.
+    """
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        x, w, inverse = _inverse_covariance(group["aligned"], penalty)
+        length = len(inverse)
+        f = ((w[:, None] * x).T @ x / w.sum() + 1e-9).reshape(length, STATES, length, STATES)
+        entropies = -(f * np.log(f)).sum((1, 3))
+        blocks = inverse.transpose(0, 2, 1, 3).reshape(length, length, -1)
+        out = np.concatenate([blocks, np.stack([_corrected_norms(inverse), entropies, f[:, GAP, :, GAP]], -1)], -1).astype(np.float32)
+        if len(x) == 1:
+            out[:] = 0
+        i, j = (k.ravel() for k in np.indices((length, length)))
+        return pd.DataFrame({key: group[key].iloc[0], "i": i, "j": j, "f2d": list(out.reshape(length * length, -1))})
+
+    kind = dict(rows.dtypes)[key]
+    data = rows.select(key, F.col(aligned_col).alias("aligned"))
+    return data.groupBy(key).applyInPandas(one, f"{key} {kind}, i int, j int, f2d array<float>")
+
+
+def pair_table(columns: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """(key, i, j, inputs): 533 numbers of each pair: column_features at i and at j, pair_inputs, and the logarithm of the distance."""
+    one = columns.select(key, F.col("pos").alias("i"), F.col("f1d").alias("_one"))
+    two = columns.select(key, F.col("pos").alias("j"), F.col("f1d").alias("_two"))
+    separation = F.log(F.abs(F.col("i") - F.col("j")) + 1.0)
+    joined = pairs.join(one, [key, "i"]).join(two, [key, "j"])
+    return joined.select(key, "i", "j", F.concat("_one", "_two", F.col("f2d").cast("array<double>"), F.array(separation)).alias("inputs"))
+
+
 def subsample(rows: DataFrame, share: float, seed: int) -> DataFrame:
     """A random share of an alignment's rows, the same in every run; the operation is the sample."""
     part = F.pmod(F.xxhash64(F.col("seq"), F.lit(seed)), F.lit(1_000_000)) / 1_000_000

@@ -331,3 +331,14 @@ def score_matrix(spark, d):
 def pivot_scores(spark, d):
     sums = contacts(spark, d).groupBy(F.col("a_chain").alias("target"), F.col("b_chain").alias("model"), F.col("class").alias("name")).agg(F.round(F.sum("area"), 2).alias("value"))
     return scoring.score_table(sums, ["AA", "SS"])
+
+
+@query(
+    f"""WITH {MERGED}, r AS (SELECT DISTINCT chr((65 + p_partkey % 3)::int) AS chain, (p_partkey % 101)::int AS num FROM part),
+        p AS (SELECT a_chain AS chain, a_num AS num, class, sum(least(abs(t_area - m_area), t_area)) AS df, sum(t_area) AS rf FROM j GROUP BY ALL)
+        SELECT r.chain, r.num, p.class, round(coalesce(df, 0), 2) AS difference, round(coalesce(rf, 0), 2) AS reference FROM r LEFT JOIN p ON r.chain = p.chain AND r.num = p.num"""
+)
+def cad_profile_residues(spark, d):
+    key = F.col("p_partkey")
+    residues = table(spark, d, "part").select(F.chr(65 + key % 3).alias("chain"), (key % 101).cast("int").alias("num"))
+    return _rounded(scoring.profile(merged(spark, d), residues=residues), "difference", "reference", digits=2)

@@ -279,6 +279,30 @@ def window_pairs(spark, d):
     return windows.window_pairs(rows, sizes=(8, 12), shift=4)
 
 
+@query(
+    """WITH k AS (SELECT DISTINCT p_size AS length FROM part), w AS (SELECT length, s AS size, unnest(range(0, greatest(length - s, 0) + 1))::int AS st FROM k, (VALUES (8), (16)) v(s)),
+            o AS (SELECT length, st + unnest(range(0, size)) AS pos, (length + 3 * st + unnest(range(0, size))) % 7 AS value FROM w)
+       SELECT length, pos::int AS pos, round(avg(value), 6) AS value FROM o GROUP BY ALL"""
+)
+def covered_mean(spark, d):
+    lengths = table(spark, d, "part").select(F.col("p_size").alias("length")).distinct()
+    w = windows.sliding_windows(lengths, sizes=(8, 16))
+    offsets = w.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("offset"))
+    values = offsets.withColumn("value", ((F.col("length") + 3 * F.col("first") + F.col("offset")) % 7).cast("double"))
+    return _rounded(windows.covered_mean(w, values, ["length"]), "value")
+
+
+@query("SELECT i, 3.0::double * power(2.0::double, i + 1) AS value FROM range(0, 200) t(i)")
+def compounded_sweep(spark, d):
+    return spark.range(200).select(F.col("id").alias("i"), curves.compounded(3.0, F.col("id"), 2.0).alias("value"))
+
+
+@query(f"WITH {POINTS} SELECT ca AS chain, i AS a_num, k AS b_num, round(d - ra - rb, 6) AS gap FROM d WHERE ca = cb")
+def chain_distances(spark, d):
+    gaps = structures.min_residue_distance(points(spark, d), None, LARGEST_RADIUS, ["chain"])
+    return _rounded(gaps.select("chain", F.col("a_num").cast("long").alias("a_num"), F.col("b_num").cast("long").alias("b_num"), "gap"), "gap")
+
+
 @query("SELECT s_nationkey, s_suppkey, (dense_rank() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::int AS idx FROM supplier")
 def dense_index(spark, d):
     return windows.dense_index(table(spark, d, "supplier").select("s_nationkey", "s_suppkey"), ["s_suppkey"], ["s_nationkey"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import text as t
-from helixframe.operators import forum, relational, selection, store, structures
+from helixframe.operators import forum, msa, relational, selection, store, structures
 from helixframe.plans.registry import query
 from helixframe.plans.tables import table
 
@@ -118,6 +118,63 @@ def forum_cascade(spark, d):
     return forum.cascade(left, table(spark, d, "orders").select("o_orderkey", "o_custkey"), "c_custkey", "o_custkey").select("o_orderkey")
 
 
+@query("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey = 3")
+def forum_owned(spark, d):
+    return forum.owned(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), 3, "s_nationkey")
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey = 3")
+def forum_replies(spark, d):
+    return forum.replies_of(table(spark, d, "customer").select("c_custkey", "c_nationkey"), 3, "c_nationkey")
+
+
+def _users(spark, d):
+    job = F.when(F.col("c_nationkey") < 9, "Researcher").when(F.col("c_nationkey") < 18, "Student")
+    return table(spark, d, "customer").filter("c_nationkey > 0").select(F.col("c_custkey").alias("owner_id"), job.alias("job_title"))
+
+
+def _topics(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner_id"), (F.col("o_orderkey") % 3).alias("type"))
+
+
+_FORUM = """
+    WITH u AS (SELECT c_custkey AS owner_id, c_nationkey < 9 AS researcher FROM customer WHERE c_nationkey > 0),
+         k AS (SELECT o_orderkey AS id, o_custkey AS owner_id, o_orderkey % 3 AS type FROM orders)"""
+
+
+@query(
+    f"""{_FORUM} SELECT * FROM k WHERE type = 2 UNION ALL
+        SELECT k.* FROM k JOIN u USING (owner_id) WHERE type <> 2 AND (type <> 1 OR researcher)"""
+)
+def forum_created_topics(spark, d):
+    topics = _topics(spark, d)
+    return forum.created_topics(topics.filter("type = 2"), topics.filter("type <> 2"), _users(spark, d))[0]
+
+
+@query(
+    f"""{_FORUM} SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey AS owner_id FROM lineitem l
+        WHERE NOT EXISTS (SELECT 1 FROM k JOIN u ON u.owner_id = l.l_suppkey WHERE k.id = l.l_orderkey + 1 AND (k.type <> 1 OR u.researcher))"""
+)
+def forum_refused_replies(spark, d):
+    """Line items reply to the order after theirs."""
+    new = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("owner_id"), (F.col("l_orderkey") + 1).alias("topic_id"))
+    refused = forum.created_replies(new.limit(0), new, _topics(spark, d), _users(spark, d))[1]
+    return refused.select("l_orderkey", "l_linenumber", "owner_id")
+
+
+@query(f"{_FORUM} SELECT k.* FROM k WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey + 1 = k.id AND c.c_custkey % 10 = k.owner_id % 10)")
+def forum_destroyed(spark, d):
+    """Customers ask for the order after their number."""
+    topics = _topics(spark, d).withColumn("digit", F.col("owner_id") % 10)
+    asked = table(spark, d, "customer").select((F.col("c_custkey") + 1).alias("id"), (F.col("c_custkey") % 10).alias("user_id"))
+    return forum.destroyed(topics, asked, owner_col="digit")[0].drop("digit")
+
+
+@query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 5")
+def first_rows(spark, d):
+    return msa.first_rows(table(spark, d, "documents").select("doc_id", "source"), 5, "doc_id", ["source"])
+
+
 @query("SELECT l_partkey, count(*) AS ansagree FROM lineitem GROUP BY l_partkey")
 def forum_votes(spark, d):
     return forum.votes(table(spark, d, "lineitem"), "l_partkey")

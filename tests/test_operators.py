@@ -404,6 +404,39 @@ def test_msa(spark):
     assert rows(msa.coverage_choice(choice, ["t"]), "t", "e_value", "coverage") == [("t", 1e-30, 50), ("u", 1e-3, 50)]
 
 
+def test_pair_table(spark):
+    msas = {1: ["ACDE", "ACDK", "AKDE", "A-DV", "ACDE"], 2: ["ACD"]}
+    data = [(m, i, s) for m, seqs in msas.items() for i, s in enumerate(seqs)]
+    df = spark.createDataFrame(data, "m int, seq int, aligned string")
+    long = msa.encoded(df, keys=["m"])
+    rates = spark.createDataFrame([(1, 2, 0.25)], "m int, pos int, rate double")
+    columns = msa.column_features(long, msa.sequence_weights(long, keys=["m"]), rates, ["m"])
+    found = {(r["m"], r["i"], r["j"]): r["inputs"] for r in msa.pair_table(columns, msa.pair_inputs(df, "m"), "m").collect()}
+    assert set(found) == {(1, i, j) for i in range(4) for j in range(4)} | {(2, i, j) for i in range(3) for j in range(3)}
+    states = "ARNDCQEGHILKMFPSTWYV-"
+    for m, seqs in msas.items():
+        w = [1 / sum(sum(x == y for x, y in zip(s, t)) > 0.8 * len(s) for t in seqs) for s in seqs]
+        scores = slow_couplings(seqs) if len(seqs) > 1 else None
+        for i, j in itertools.product(range(len(seqs[0])), repeat=2):
+            values = found[m, i, j]
+            assert len(values) == 533
+            for k, side in ((i, values[:44]), (j, values[44:88])):
+                f = [sum(x for x, s in zip(w, seqs) if s[k] == c) / sum(w) + 1e-9 for c in states]
+                expected = [float(seqs[0][k] == c) for c in states[:20]] + f + [-sum(x * math.log(x) for x in f)]
+                expected += [math.log(sum(x for x, s in zip(w, seqs) if s[k] != "-")), 0.25 if (m, k) == (1, 2) else 0.0]
+                assert np.allclose(side, expected)
+            both = {}
+            for x, s in zip(w, seqs):
+                both[s[i], s[j]] = both.get((s[i], s[j]), 0) + x / sum(w)
+            h = -sum((v := both.get((a, b), 0) + 1e-9) * math.log(v) for a in states for b in states)
+            if len(seqs) > 1:
+                assert np.allclose(values[529:532], [scores[min(i, j)][max(i, j)] if i != j else 0, h, both.get(("-", "-"), 0) + 1e-9], atol=1e-5)
+                assert np.allclose(np.reshape(values[88:529], (21, 21)), np.reshape(found[m, j, i][88:529], (21, 21)).T, atol=1e-5)
+            else:
+                assert not any(values[88:532])
+            assert math.isclose(values[532], math.log(abs(i - j) + 1), abs_tol=1e-12)
+
+
 def slow_best(a, b, start, extend, local):
     """The best score by trying every gap length at every cell."""
     best = {}
