@@ -51,11 +51,12 @@ def _block_names(docs: DataFrame, text_col: str, compact: DataFrame, block_chars
         return rows.join(names.select("h", "name"), "h").select("_rid", "n_blocks", "pos", "name")
     plain = rows.join(names.filter("n = 1").select("h", "name"), "h")
     clash_names = _named(blocks.join(shared, "h", "left_semi"), ["h", "block"]).withColumn("name", -1 - F.col("name"))
-    keyed = docs.select(row_key(text_col).alias("_key"), F.posexplode(_blocks(squeezed(text_col), block_chars)).alias("pos", "block"))
-    keyed = keyed.select("_key", "pos", _hash(F.col("block"), hash_bits).alias("h"), "block").join(shared, "h", "left_semi")
-    #  the raw text's own key leads back to the rows, and texts are compared whole through their blocks
-    clashing = keyed.join(clash_names, ["h", "block"]).select("_key", "pos", "h", "name").distinct()
-    exact = rows.join(compact.select("_rid", "_key"), "_rid").join(clashing, ["_key", "pos", "h"])
+    text = squeezed(text_col)
+    keyed = docs.select(F.sha2(text, 256).alias("text_sha256"), F.posexplode(_blocks(text, block_chars)).alias("pos", "block"))
+    keyed = keyed.select("text_sha256", "pos", _hash(F.col("block"), hash_bits).alias("h"), "block").join(shared, "h", "left_semi")
+    #  SHA-256 leads back to the rows: a 64-bit key of a text of one block would collide where its block does
+    clashing = keyed.join(clash_names, ["h", "block"]).select("text_sha256", "pos", "h", "name").distinct()
+    exact = rows.join(compact.select("_rid", "text_sha256"), "_rid").join(clashing, ["text_sha256", "pos", "h"])
     columns = ["_rid", "n_blocks", "pos", "name"]
     return plain.select(*columns).unionByName(exact.select(*columns))
 

@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from helixframe.llm.exact_dedup import drop_copies, exact_dedup
 from helixframe.llm.simhash import BKTree, block_tasks, components, drop_near_copies, fingerprint, fingerprint_links, near_dedup, shards, shingle_hashes, similar_components
@@ -42,6 +43,13 @@ def test_exact_dedup(spark, block_chars, hash_bits):
     assert set(kept.values()) == {1}
 
 
+def test_exact_dedup_where_blocks_and_row_keys_collide(spark, monkeypatch):
+    monkeypatch.setattr("helixframe.llm.exact_dedup.row_key", lambda column: F.lit(0).cast("long"))
+    rows = documents()
+    found = exact_dedup(spark.createDataFrame(rows, SCHEMA), hash_bits=1).collect()
+    assert sorted([(r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in found], key=str) == expected_exact(rows)
+
+
 def test_drop_copies(spark):
     rows = documents()
     docs = spark.createDataFrame(rows, SCHEMA)
