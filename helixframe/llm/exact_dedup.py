@@ -52,7 +52,8 @@ def _block_names(docs: DataFrame, text_col: str, compact: DataFrame, block_chars
     plain = rows.join(names.filter("n = 1").select("h", "name"), "h")
     clash_names = _named(blocks.join(shared, "h", "left_semi"), ["h", "block"]).withColumn("name", -1 - F.col("name"))
     text = squeezed(text_col)
-    keyed = docs.select(F.sha2(text, 256).alias("text_sha256"), F.posexplode(_blocks(text, block_chars)).alias("pos", "block"))
+    keyed = docs.select(F.sha2(text, 256).alias("text_sha256"), _blocks(text, block_chars).alias("blocks"))  # once a text, not once a block
+    keyed = keyed.select("text_sha256", F.posexplode("blocks").alias("pos", "block"))
     keyed = keyed.select("text_sha256", "pos", _hash(F.col("block"), hash_bits).alias("h"), "block").join(shared, "h", "left_semi")
     #  SHA-256 leads back to the rows: a 64-bit key of a text of one block would collide where its block does
     clashing = keyed.join(clash_names, ["h", "block"]).select("text_sha256", "pos", "h", "name").distinct()
