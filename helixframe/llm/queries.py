@@ -1,12 +1,14 @@
-"""The ten queries opN_<name>, and SQL for those that SQL can express."""
+"""The queries opN_<name>, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.llm.centroids import CLUSTERS, COMPONENTS, ROUNDS, sort_means
 from helixframe.llm.common import table
 from helixframe.llm.exact_dedup import exact_dedup
+from helixframe.llm.filter_audit import filter_audit
 from helixframe.llm.fingerprints import document_fingerprints
 from helixframe.llm.license_scan import LOWER, MAX_GAP, RULES, SENTENCES, STEPS, UPPER, license_scan, names_of
 from helixframe.llm.mixing import mix
@@ -14,6 +16,7 @@ from helixframe.llm.packing import pack
 from helixframe.llm.secrets import secret_scan
 from helixframe.llm.simhash import near_dedup
 from helixframe.llm.token_counts import encoded_lengths, length_histogram, with_truncation
+from helixframe.llm.topk_search import KEPT, top_scores
 from helixframe.llm.toxicity import score_toxicity, train
 from helixframe.llm.url_filter import ALPHABET, HELD_OUT, LEAST_SEEN, ORDER, SCALE, SMOOTHING, filter_urls
 from helixframe.llm.url_filter import RULES as URL_RULES
@@ -62,6 +65,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_scores(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +90,9 @@ QUERIES = {
         op8_url_filter,
         op9_document_fingerprints,
         op10_best_fit_packing,
+        op11_centroid_clustering,
+        op12_exact_top_k,
+        op13_filter_audit,
     )
 }
 
@@ -169,7 +187,77 @@ def _url_sql() -> str:
     """
 
 
+#: Vectors of whole numbers, for SQL.
+_WHOLE = """
+    e AS (
+        SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) AS q
+        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+def _centroid_sql() -> str:
+    rounds = []
+    for r in range(ROUNDS + 1):
+        rounds.append(f"""
+            d{r} AS MATERIALIZED (
+                SELECT v.rid, c.num, list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint AS distance
+                FROM v, c{r} c),
+            a{r} AS MATERIALIZED (SELECT rid, min(distance) AS distance, arg_min(num, {{'d': distance, 'n': num}}) AS cluster FROM d{r} GROUP BY rid)""")
+        if r < ROUNDS:
+            rounds.append(f"""
+            m{r} AS (
+                SELECT cluster, list(((s - ((s % n) + n) % n) // n)::bigint ORDER BY pos) AS q
+                FROM (SELECT a.cluster, i.pos, sum(v.q[i.pos]) AS s, count(*) AS n
+                      FROM a{r} a JOIN v ON a.rid = v.rid, range(1, {COMPONENTS + 1}) i(pos) GROUP BY ALL) GROUP BY cluster),
+            c{r + 1} AS MATERIALIZED (SELECT c.num, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN m{r} m ON m.cluster = c.num)""")
+    return f"""
+        WITH {_WHOLE},
+        v AS MATERIALIZED (SELECT * FROM e WHERE len(q) = {COMPONENTS}),
+        c0 AS MATERIALIZED (
+            SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id::varchar) NULLS LAST, q) - 1)::int AS num, q FROM v QUALIFY num < {CLUSTERS}),
+        {", ".join(rounds)}
+        SELECT v.vec_id, a.cluster, a.distance, (sum(a.distance) OVER (PARTITION BY a.cluster))::bigint AS cluster_inertia,
+               (sum(a.distance) OVER ())::bigint AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+        FROM v JOIN a{ROUNDS} a ON v.rid = a.rid JOIN c{ROUNDS} c ON c.num = a.cluster
+    """
+
+
 ORACLE_SQL = {
+    "op11_centroid_clustering": _centroid_sql(),
+    "op12_exact_top_k": f"""
+        WITH {_WHOLE},
+        s AS (
+            SELECT a.rid, a.vec_id AS query_id, b.vec_id,
+                   coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))), 0)::bigint AS score
+            FROM e a JOIN e b ON a.rid <> b.rid WHERE a.vec_id % 20 = 0)
+        SELECT query_id, (row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST))::int AS rank, vec_id, score FROM s QUALIFY rank <= {KEPT}
+    """,
+    "op13_filter_audit": rf"""
+        WITH d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        f AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+        l AS (SELECT doc_id, max((quality = 1)::int) AS good, max((toxic = 1)::int) AS toxic FROM labels GROUP BY doc_id),
+        m AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                   list_filter([CASE WHEN len(w) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END,
+                                CASE WHEN 100 * length(regexp_replace(d.t, '[^A-Z]', '', 'g')) > 5 * length(d.t) THEN 'C' END,
+                                CASE WHEN regexp_matches(d.t, '[#$%&*|]') THEN 'D' END, CASE WHEN least < d.doc_id THEN 'E' END], lambda y: y IS NOT NULL) AS fails
+            FROM d JOIN f ON d.t = f.t LEFT JOIN l ON l.doc_id = d.doc_id),
+        c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (
+            SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (
+            SELECT part, array_to_string(o, '') AS filter_order, step, o[step] AS letter, n, good, toxic, list_contains(fails, o[step]) AS failed,
+                   list_has_any(fails, o[:step - 1]) AS gone, len(fails) AS bits
+            FROM c, o, range(1, 6) r(step)),
+        g AS (
+            SELECT part, filter_order, step::int AS step, letter, coalesce(sum(n) FILTER (NOT gone AND NOT failed), 0)::bigint AS kept,
+                   coalesce(sum(n) FILTER (NOT gone AND failed), 0)::bigint AS removed, coalesce(sum(n) FILTER (gone AND failed), 0)::bigint AS redundant,
+                   coalesce(sum(n) FILTER (failed AND bits = 1), 0)::bigint AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND failed), 0)::bigint AS good_lost,
+                   coalesce(sum(toxic) FILTER (NOT gone AND failed), 0)::bigint AS toxic_lost
+            FROM s GROUP BY ALL)
+        SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::bigint AS shapley FROM g
+    """,
     "op1_exact_dedup": rf"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g') AS t FROM documents),
              g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
