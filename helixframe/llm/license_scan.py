@@ -162,10 +162,13 @@ RULES = (
 MAX_GAP = 3
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A sentence ends in punctuation before white space or the end, or with an empty line.
-ENDS = r"[.!?;:]+([\x20\x09-\x0D]|\z)|\n[^a-z0-9\n]*\n"
-#: Steps after lower-casing: hard marks, words, and marks that meet become one.
-STEPS = ((ENDS, "|"), (r"[^a-z0-9|\n]+", " "), (r"[ \n]*\|[ |\n]*", "|"), (r" *\n[ \n]*", "\n"))
+#: A sentence ends in punctuation before white space or the end, or with an empty line. A run of punctuation is tried
+#: from its first character only, and each run once, so that the time is linear in the text.
+ENDS = r"[.!?;:](?<![.!?;:]{2})[.!?;:]*+([\x20\x09-\x0D]|\z)|\n[^a-z0-9\n]*+\n"
+#: Steps after lower-casing: hard marks, words, and marks that meet become one. A single space, the usual case, is left as it is.
+STEPS = ((ENDS, "|"), (r"[^a-z0-9|\n\x20][^a-z0-9|\n]*|\x20[^a-z0-9|\n]+", " "), (r"[ \n]*\|[ |\n]*", "|"), (r" *\n[ \n]*", "\n"))
+#: The first of these in patterns without lookbehind or possessive repeats, as SQL engines have them, which find the same.
+PLAIN_ENDS = r"[.!?;:]+([\x20\x09-\x0D]|\z)|\n[^a-z0-9\n]*\n"
 
 
 def marked(text: Column) -> Column:

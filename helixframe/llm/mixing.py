@@ -123,8 +123,10 @@ def mix(
 
 
 def first_words(text, n):
-    """The text up to the end of its n-th word; n is at most the number of words."""
-    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), n), "")
+    """The text up to the end of its n-th word; n is at most the number of words, and 1 at least."""
+    lead, rest = r"\A[\x20\x09-\x0D]*", r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"  # each character is read once
+    words = F.slice(F.regexp_extract_all(text, F.lit(rest), F.lit(0)), F.lit(1), n)
+    return F.concat(F.regexp_extract(text, lead, 0), F.regexp_replace(F.array_join(words, ""), r"(?<![\x20\x09-\x0D])[\x20\x09-\x0D]++\z", ""))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:

@@ -10,7 +10,7 @@ from helixframe.llm.common import table
 from helixframe.llm.exact_dedup import exact_dedup
 from helixframe.llm.filter_audit import filter_audit
 from helixframe.llm.fingerprints import document_fingerprints
-from helixframe.llm.license_scan import LOWER, MAX_GAP, RULES, SENTENCES, STEPS, UPPER, license_scan, names_of
+from helixframe.llm.license_scan import LOWER, MAX_GAP, PLAIN_ENDS, RULES, SENTENCES, STEPS, UPPER, license_scan, names_of
 from helixframe.llm.mixing import mix
 from helixframe.llm.packing import pack
 from helixframe.llm.secrets import secret_scan
@@ -114,7 +114,7 @@ def _license_sql() -> str:
         uses.setdefault(name, []).append(f"uses{at}")
     told = ", ".join(f"CASE WHEN {'+'.join(u)} > 0 THEN '{name}:' || ({'+'.join(u)})::varchar END" for name, u in uses.items())
     marked = f"'|' || translate(coalesce(text, ''), '{UPPER}|', '{LOWER} ') || '|'"
-    for pattern, mark in STEPS:
+    for pattern, mark in ((PLAIN_ENDS, STEPS[0][1]), *STEPS[1:]):
         marked = f"regexp_replace({marked}, '{pattern}', '{mark}', 'g')".replace("'\n'", "chr(10)")
     return rf"""
         WITH known(sentence, id) AS (VALUES {known}),

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pandas as pd
 import zstandard
@@ -33,7 +35,8 @@ SENSITIVE = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth", "signature", "client", "session", "cookie", "jwt", "hmac", "webhook")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SHORTEST = 16
+CANDIDATE, LONGER = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST), re.compile(r"[A-Za-z0-9+/_=-]*")
 REACH = 48
 #: Characters before and after a candidate that the compressor knows.
 SURROUNDINGS = 512
@@ -89,17 +92,25 @@ def mixed(string: str) -> bool:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Strings of 16 characters or more after a sensitive word that overlap no span of base, words of prose left out."""
+    """Strings of 16 characters or more after a sensitive word that overlap no span of base, words of prose left out.
+
+    Each word looks as far as its reach alone, and a string is read once however many words
+    stand before it, so the time is linear in the text.
+    """
     lowered = text.lower()
     if not any(w in lowered for w in _HINTS):
         return []
+    starts = [a for a, _, _ in base]  # rising
+    ends = list(accumulate((b for _, b, _ in base), max))
     found, after = [], 0
     for word in SENSITIVE.finditer(text):
-        at = max(word.end(), after)
-        while at < word.end() + REACH and (m := CANDIDATE.search(text, at)) and m.start() < word.end() + REACH:
-            at = after = m.end()
-            if mixed(m.group()) and not any(a < m.end() and m.start() < b for a, b, _ in base):
-                found.append((m.start(), m.end()))
+        at, reach = max(word.end(), after), word.end() + REACH
+        while at < reach and (m := CANDIDATE.search(text, at, reach + SHORTEST - 1)):  # what begins within reach is 16 characters by there
+            start, end = m.start(), LONGER.match(text, m.end()).end()
+            at = after = end
+            before = bisect_left(starts, end)
+            if mixed(text[start:end]) and not (before and ends[before - 1] > start):
+                found.append((start, end))
     return found
 
 
