@@ -1,7 +1,7 @@
 """Mixing sources to target weights: hash-random order, distributed prefix sums, exact cuts.
 
-Every source's documents are put in a random order that depends on their ids alone. The
-order's keys are uniform, so equal ranges of them are equal shares of a source: a large
+Every source's documents are put in a random order that depends on their ids and texts, so
+that rows of one id, or without any, are dealt out too. The order's keys are uniform, so equal ranges of them are equal shares of a source: a large
 source is dealt over as many ranges as its rows need, each sorted and summed by itself,
 and the sums of ranges give each its offset. A source's budget is then cut at the exact
 word, after whole epochs where the budget exceeds the source.
@@ -89,7 +89,8 @@ def mix(
             named.alias("_source"),
             word_count(text_col).alias("size"),
             row_key(text_col).alias("_key"),
-        ).withColumn("order_key", F.md5(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(f":{seed}"))))
+            F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text_of(text_col)), F.lit(seed))).alias("order_key"),
+        )
     )
     sizes = rows.groupBy("source", "_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     ranges = sizes.select("_source", F.ceil(F.col("rows") / rows_per_range).alias("ranges"))

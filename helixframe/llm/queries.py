@@ -269,7 +269,7 @@ ORACLE_SQL = {
     "op7_mix_sources": r"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-                   md5(coalesce(doc_id::varchar, '') || ':mix') AS order_key
+                   md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, '')) || ':mix') AS order_key
             FROM documents),
         s AS (
             SELECT source, sum(size)::bigint AS source_size,

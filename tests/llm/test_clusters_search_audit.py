@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.centroids import nearest, sort_means
 from helixframe.llm.filter_audit import filter_audit
-from helixframe.llm.queries import ORACLE_SQL, QUERIES
 from helixframe.llm.topk_search import best_of, top_scores
 from tests.llm.fixtures import SCHEMA, documents
-from tests.oracle import oracle_rows, rows_of
 
 VECTORS = "vec_id long, embedding array<float>, cluster string, q string, rank string, score string, block string"
 
@@ -185,11 +183,3 @@ def test_filter_audit(spark):
     unlabelled = filter_audit(spark.createDataFrame(docs[:8], SCHEMA), spark.createDataFrame([], label_schema))
     assert sorted(tuple(r) for r in unlabelled.select(*AUDIT).collect()) == brute_audit(docs[:8], [])
     assert filter_audit(spark.createDataFrame([], SCHEMA), spark.createDataFrame(labels, label_schema)).collect() == []
-
-
-@pytest.mark.parametrize("name", ["op11_centroid_clustering", "op12_exact_top_k", "op13_filter_audit"])
-def test_query(spark, sf_dir, name):
-    df = QUERIES[name](spark, sf_dir)
-    names, expected = oracle_rows(ORACLE_SQL[name], sf_dir)
-    assert sorted(df.columns) == names
-    assert rows_of(df) == expected
