@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from helixframe.llm.common import settle, text_of
+from helixframe.operators.relational import with_earlier
 
 PRIME = (1 << 31) - 1
 BASES = (1_103_515_245, 1_664_525_013 % PRIME)
@@ -27,10 +28,9 @@ BASES = (1_103_515_245, 1_664_525_013 % PRIME)
 WINDOW = 24
 KEPT = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Ranges of ids for each shuffle partition at least, code points of a range otherwise, and the most ranges there are.
+#: Ranges of ids for each shuffle partition at least, and code points of a range otherwise: some 800,000 ranges for 100 TB of text.
 RANGES_PER_PARTITION = 4
-RANGE_CHARS = 16_000_000
-MAX_RANGES = 20_000
+RANGE_CHARS = 128_000_000
 #: Rows, chosen by a hash, that each range's bound is chosen from.
 ROWS_PER_BOUND = 20
 
@@ -224,23 +224,26 @@ def _digests(id_type: pa.DataType):
     return digests
 
 
-def range_bounds(keys: DataFrame, ranges: int, rows: int) -> list[tuple]:
-    """At most ranges rising (id, h) pairs that occur in keys (id, h), the least of all first; nulls before all.
+def range_bounds(keys: DataFrame, ranges: int, rows: int) -> DataFrame:
+    """(id, h): at most ranges different pairs that occur in keys (id, h), the least of all among them.
 
     The others are quantiles of a hash-chosen part of the pairs, ROWS_PER_BOUND for each
-    range whatever the number of rows, counted with their repeats.
+    range whatever the number of rows, counted with their repeats. They are ranked where
+    they are; only the bounds themselves leave the tasks.
     """
-    order = lambda pair: (pair[0] is not None, pair)
     share = min(1.0, ROWS_PER_BOUND * ranges / max(rows, 1))
-    chosen = keys.filter(F.pmod(F.xxhash64("id", "h"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    counted = sorted((((r["id"], r["h"]), r["n"]) for r in chosen.groupBy("id", "h").agg(F.count("*").alias("n")).collect()), key=lambda x: order(x[0]))
-    first = keys.agg(F.min(F.struct(F.col("id").isNotNull().alias("named"), "id", "h")).alias("low")).first()["low"]
-    bounds, total, seen = [(first["id"], first["h"])], sum(n for _, n in counted), 0
-    for pair, n in counted:
-        if seen * ranges >= len(bounds) * total and order(pair) > order(bounds[-1]):
-            bounds.append(pair)
-        seen += n
-    return bounds[:ranges]
+    chosen = keys.filter(F.pmod(F.xxhash64("id", "h"), F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("id", "h").agg(F.count("*").alias("n"))
+    placed = with_earlier(chosen, ["id", "h"], "before", size=F.col("n"), total="all")
+    #  the pairs in which a new range's share of the rows begins
+    first = (F.col("before") * ranges / F.col("all")).cast("long") < ((F.col("before") + F.col("n")) * ranges / F.col("all")).cast("long")
+    least = keys.agg(F.min(F.struct(F.col("id").isNotNull().alias("named"), "id", "h")).alias("low")).select("low.id", "low.h")
+    return placed.filter(first & (F.col("before") > 0)).select("id", "h").unionByName(least).distinct()
+
+
+def _literal(bounds: DataFrame, kind: str):
+    """The sorted bounds as one literal, nulls first, and their number."""
+    rows = [r["b"] for r in bounds.sort("id", "h").select(F.to_json(F.struct("id", "h"), {"ignoreNullFields": "false"}).alias("b")).collect()]
+    return F.from_json(F.lit(f"[{','.join(rows)}]"), f"array<struct<id:{kind},h:bigint>>"), len(rows)
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
@@ -266,20 +269,19 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keys = settle(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.length(text).alias("chars")))
     count, chars = keys.agg(F.count("*"), F.sum("chars")).first()
     if ranges is None:
-        ranges = min(MAX_RANGES, max(parts * RANGES_PER_PARTITION, -(-(chars or 0) // RANGE_CHARS)))
-    bounds = range_bounds(keys, ranges, count) if count else [(None, 0)]
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    stops = F.array(*[F.struct(F.lit(i).cast(kind).alias("id"), F.lit(h).cast("long").alias("h")) for i, h in bounds])
+        ranges = max(parts * RANGES_PER_PARTITION, -(-(chars or 0) // RANGE_CHARS))
+    stops, n = _literal(range_bounds(keys, ranges, count), kind)
+    steps = [1 << i for i in reversed(range(n.bit_length()))]
     place = F.aggregate(
         F.array(*[F.lit(x) for x in steps]),
         F.lit(0),
-        lambda at, step: F.when((at + step < len(bounds)) & (F.get(stops, at + step) <= F.col("pair")), at + step).otherwise(at),
+        lambda at, step: F.when((at + step < n) & (F.get(stops, at + step) <= F.col("pair")), at + step).otherwise(at),
     )
     rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("pair"), text.alias("text")).withColumn("at", place)
     own = F.struct(F.col("at").alias("bucket"), F.lit(False).alias("extra"))
-    before = F.struct(F.pmod(F.col("at") - 1, F.lit(len(bounds))).alias("bucket"), F.lit(True).alias("extra"))
+    before = F.struct(F.pmod(F.col("at") - 1, F.lit(n)).alias("bucket"), F.lit(True).alias("extra"))
     rows = rows.withColumn("to", F.explode(F.when(F.get(stops, F.col("at")) == F.col("pair"), F.array(own, before)).otherwise(F.array(own))))
-    rows = rows.select("pair", F.col("pair.id").alias("_id"), "text", "to.bucket", "to.extra").repartition(max(parts, len(bounds) // RANGES_PER_PARTITION), "bucket")
+    rows = rows.select("pair", F.col("pair.id").alias("_id"), "text", "to.bucket", "to.extra").repartition(max(parts, n // RANGES_PER_PARTITION), "bucket")
     rows = rows.sortWithinPartitions("bucket", "extra", "pair", "text").drop("pair")
     id_type = to_arrow_type(docs.schema[id_col].dataType)
     return rows.mapInArrow(_digests(id_type), f"_id {kind}, {COLUMNS}").withColumnRenamed("_id", id_col)

@@ -240,11 +240,22 @@ def test_fingerprints_of_any_ids(spark, kind):
     assert sorted(got) == brute_digests(rows)
 
 
+def test_a_hot_id_is_mixed_over_ranges(spark):
+    """Rows without ids get keys of their own from their texts, so that they fall into all ranges."""
+    rows = [(None, f"word {i}", "s") for i in range(20_000)] + [(i, "w", "t") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mix(docs, rows_per_range=1000)
+    assert found.agg(F.sum("taken")).first()[0] == found.select("source", "target").distinct().agg(F.sum(F.floor("target"))).first()[0]
+    keys = [hashlib.md5(f":{hashlib.md5(t.encode()).hexdigest()}:mix".encode()).hexdigest()[:8] for i, t, _ in rows if i is None]
+    per_range = np.bincount([int(k, 16) * 20 >> 32 for k in keys], minlength=20)
+    assert per_range.min() > 800 and per_range.max() < 1200
+
+
 def test_fingerprints_of_a_hot_id(spark):
     """Null and repeated ids are divided over ranges; every row comes out once."""
     rows = [(None, f"text {i}") for i in range(1000)] + [(7, f"other {i % 300}") for i in range(1000)] + [(i, "same") for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bounds = fp.range_bounds(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")), 40, len(rows))
+    bounds = fp.range_bounds(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")), 40, len(rows)).collect()
     assert len(bounds) > 20 and sum(i is None for i, _ in bounds) > 5
     found = fp.document_fingerprints(docs, ranges=40).collect()
     assert sorted((str(r["doc_id"]), r["n_chars"]) for r in found) == sorted((str(i), len(t)) for i, t in rows)
