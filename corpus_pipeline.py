@@ -67,4 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:  # what the stage read is of no more use
             remove(spark, before)
         before = f"{folder}/{name}"
-    return STAGES[-1][1](spark, docs, sf_dir)
+    bins = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, folder)  # packing has settled what it needs of its input
+    return bins

@@ -16,16 +16,23 @@ def _private_folder() -> str:
 def scratch_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, or the context's own checkpoint folder.
 
-    Where neither is set, a private one on a local master (as in tests), and on a cluster
-    one in the warehouse, which all executors reach.
+    Where neither is set: on a local master, as in tests, a private one; on a cluster, one
+    in the warehouse if that is in a shared file system. A warehouse on each machine's own
+    disk, which is Spark's default, would scatter the files, so that is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = _private_folder() if context.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        named = _private_folder() if context.master.startswith("local") else _in_warehouse(spark.conf.get("spark.sql.warehouse.dir"))
     return named.rstrip("/")
 
 
+def _in_warehouse(warehouse: str) -> str:
+    if ":/" not in warehouse or warehouse.startswith("file:"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share; the warehouse {warehouse!r} is on each machine's own disk")
+    return f"{warehouse.rstrip('/')}/_scratch"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Computed once, its lineage cut by a reliable checkpoint in the scratch folder.
 

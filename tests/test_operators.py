@@ -581,3 +581,12 @@ def test_stacking(spark):
     atoms = spark.createDataFrame([("B", 1, (0.0, 1.0, 2.0)), ("B", 1, (1.0, 0.0, 3.0)), ("B", 2, (0.0, 0.0, 1.0)), ("B", 2, (0.0, 0.0, -1.0))], "chain string, num int, p struct<x:double,y:double,z:double>")
     added = rows(contacts.stacking_labels(df, planes, atoms).filter("class like 'na%'"), "b_num", "class", "area")
     assert added == [(1, "na_stacking", 5.0), (1, "na_stacking_up", 5.0), (2, "na_siding", 6.0)]
+
+
+def test_scratch_on_a_cluster_is_shared():
+    from helixframe.scratch import _in_warehouse
+
+    assert _in_warehouse("hdfs://name/warehouse/") == "hdfs://name/warehouse/_scratch"
+    for own in ("file:/home/me/spark-warehouse", "file:///w", "spark-warehouse", "/w"):
+        with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+            _in_warehouse(own)
