@@ -126,6 +126,20 @@ def virtual_cb(n: Column, ca: Column, c: Column) -> Column:
     return add(add(add(scaled(cross(b, e), CB_CROSS), scaled(b, CB_NORMAL)), scaled(e, CB_BOND)), ca)
 
 
+def local_frame(n: Column, ca: Column, cb: Column) -> Column:
+    """struct<x, y, z> of three unit vectors at right angles: z from CA to CB, x across the bond from N to CA and z; null where they lie on one line."""
+
+    def across(z: Column) -> Column:
+        return let(unit(cross(minus(ca, n), z)), lambda x: F.when(x.isNotNull(), F.struct(x.alias("x"), unit(cross(z, x)).alias("y"), z.alias("z"))))
+
+    return let(unit(minus(cb, ca)), across)
+
+
+def in_frame(p: Column, origin: Column, frame: Column) -> Column:
+    """p as seen from the origin along the frame's axes."""
+    return let(minus(p, origin), lambda v: F.struct(*[dot(frame[c], v).alias(c) for c in "xyz"]))
+
+
 def rotated(p: Column, axis: Column, radians) -> Column:
     """p turned around an axis through the origin."""
     cos, sin = F.cos(radians), F.sin(radians)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import arrays as a
 from helixframe.functions import geometry as g
-from helixframe.operators import curves, msa, restraints, selection, structures, windows
+from helixframe.operators import curves, frames, msa, restraints, selection, structures, windows
 from helixframe.operators.relational import range_join
 from helixframe.plans.registry import query
 from helixframe.plans.tables import ACCENTED, ALIGNMENT, LARGEST_RADIUS, POINTS, alignment, points, table
@@ -333,3 +333,93 @@ def polynomial_fit(spark, d):
 @query()
 def sphere_fit(spark, d):
     return _rounded(curves.sphere_fit(points(spark, d), ["chain"]), "cx", "cy", "cz", "radius")
+
+
+#: Embeddings as residues of the structure that their label names: N, CA, C and one more atom, in the size of a protein.
+SIZE = 40.0
+_RESIDUES = f"""
+    e0 AS (SELECT vec_id AS idx, label, {", ".join(f"{SIZE}::double * embedding[{3 * k + i + 1}]::double AS {n}{c}" for k, n in enumerate(("n", "a", "c", "o")) for i, c in enumerate("xyz"))} FROM embeddings),
+    b0 AS (SELECT *, ax - nx AS ux, ay - ny AS uy, az - nz AS uz, cx - ax AS vx, cy - ay AS vy, cz - az AS vz FROM e0),
+    r AS (
+        SELECT *, ax + {g.CB_CROSS}::double * (uy * vz - uz * vy) + {g.CB_NORMAL}::double * ux + {g.CB_BOND}::double * vx AS bx,
+               ay + {g.CB_CROSS}::double * (uz * vx - ux * vz) + {g.CB_NORMAL}::double * uy + {g.CB_BOND}::double * vy AS by_,
+               az + {g.CB_CROSS}::double * (ux * vy - uy * vx) + {g.CB_NORMAL}::double * uz + {g.CB_BOND}::double * vz AS bz FROM b0)"""
+
+
+def _residues(spark, d):
+    sized = [g.point(*[SIZE * F.col("embedding")[3 * k + i].cast("double") for i in range(3)]).alias(n) for k, n in enumerate(("n", "ca", "c", "o"))]
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), "label", *sized)
+
+
+#: Vectors as lists in SQL.
+_VECTORS = {
+    "dot": lambda a, b: f"(({a})[1] * ({b})[1] + ({a})[2] * ({b})[2] + ({a})[3] * ({b})[3])",
+    "minus": lambda a, b: f"[({a})[1] - ({b})[1], ({a})[2] - ({b})[2], ({a})[3] - ({b})[3]]",
+    "cross": lambda a, b: f"[({a})[2] * ({b})[3] - ({a})[3] * ({b})[2], ({a})[3] * ({b})[1] - ({a})[1] * ({b})[3], ({a})[1] * ({b})[2] - ({a})[2] * ({b})[1]]",
+}
+
+
+def _orientation_sql() -> str:
+    dot, minus, cross = (_VECTORS[k] for k in ("dot", "minus", "cross"))
+
+    def dihedral(name: str, back: str, axis: str, ahead: str) -> str:
+        """Three steps: the axis's unit, the ends across it, the angle."""
+        return f"""
+        {name}1 AS (SELECT i, j, {back} AS back, {ahead} AS ahead, list_transform({axis}, lambda x: x / sqrt({dot(axis, axis)})) AS axis FROM p),
+        {name}2 AS (
+            SELECT i, j, axis, list_transform([1, 2, 3], lambda k: back[k] - {dot("back", "axis")} * axis[k]) AS v,
+                   list_transform([1, 2, 3], lambda k: ahead[k] - {dot("ahead", "axis")} * axis[k]) AS w FROM {name}1),
+        {name} AS (SELECT i, j, atan2({dot(cross("axis", "v"), "w")}, {dot("v", "w")}) AS {name} FROM {name}2)"""
+
+    return f"""
+        WITH {_RESIDUES},
+        q AS (SELECT idx, label, [nx, ny, nz] AS n, [ax, ay, az] AS ca, [bx, by_, bz] AS cb FROM r),
+        p AS (
+            SELECT a.label, a.idx AS i, b.idx AS j, a.n, a.ca, a.cb, b.ca AS ca2, b.cb AS cb2, {minus("b.cb", "a.cb")} AS between_cb
+            FROM q a JOIN q b ON a.label = b.label AND a.idx <> b.idx WHERE list_sum(list_transform({minus("b.cb", "a.cb")}, lambda x: x * x)) <= {frames.ORIENTATION_RADIUS**2}::double),
+        {dihedral("omega", minus("ca", "cb"), "between_cb", minus("ca2", "cb2"))},
+        {dihedral("theta", minus("n", "ca"), minus("cb", "ca"), "between_cb")},
+        phi AS (SELECT i, j, label, between_cb, {minus("ca", "cb")} AS u FROM p)
+        SELECT label, i, j, round(sqrt({dot("between_cb", "between_cb")}), 6) AS d, round(omega, 6) AS omega, round(theta, 6) AS theta,
+               round(acos(greatest(-1, least(1, {dot("u", "between_cb")} / sqrt({dot("u", "u")}) / sqrt({dot("between_cb", "between_cb")})))), 6) AS phi
+        FROM phi JOIN omega USING (i, j) JOIN theta USING (i, j)
+    """
+
+
+@query(_orientation_sql())
+def residue_orientations(spark, d):
+    return _rounded(frames.orientations(_residues(spark, d), keys=["label"]), "d", "omega", "theta", "phi")
+
+
+def _voxel_sql() -> str:
+    dot, minus, cross = (_VECTORS[k] for k in ("dot", "minus", "cross"))
+    unit = lambda v: f"list_transform({v}, lambda x: x / sqrt({dot(v, v)}))"
+    size = f"({frames.VOXEL_WIDTH}::double / {frames.VOXEL_BINS - 1})"
+    place = lambda axis: f"({dot(axis, 's')} + {frames.VOXEL_WIDTH / 2}::double) / {size}"
+    return f"""
+        WITH {_RESIDUES},
+        q AS (SELECT idx, label, [ax, ay, az] AS ca, [ux, uy, uz] AS bond, [bx - ax, by_ - ay, bz - az] AS out, [ox, oy, oz] AS o FROM r),
+        z AS (SELECT *, {unit("out")} AS z FROM q),
+        x0 AS (SELECT *, {cross("bond", "z")} AS across FROM z),
+        x AS (SELECT *, {unit("across")} AS x FROM x0),
+        f0 AS (SELECT *, {cross("z", "x")} AS third FROM x),
+        f AS (SELECT *, {unit("third")} AS y FROM f0),
+        t AS (SELECT label, 'CA' AS type, ca AS p FROM q UNION ALL SELECT label, 'O' AS type, o AS p FROM q),
+        s AS (SELECT f.label, f.idx, t.type, f.x, f.y, f.z, {minus("t.p", "f.ca")} AS s FROM f JOIN t ON f.label = t.label),
+        c AS (SELECT label, idx, type, {place("x")} AS px, {place("y")} AS py, {place("z")} AS pz FROM s WHERE {dot("s", "s")} <= {frames.VOXEL_RADIUS**2}::double),
+        w AS (
+            SELECT label, idx AS residue, floor(px)::int + a AS i, floor(py)::int + b AS j, floor(pz)::int + e AS k, type,
+                   (CASE a WHEN 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) * (CASE b WHEN 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END)
+                   * (CASE e WHEN 1 THEN pz - floor(pz) ELSE 1 - (pz - floor(pz)) END) AS share
+            FROM c, range(2) ra(a), range(2) rb(b), range(2) re(e))
+        SELECT label, residue, i::int AS i, j::int AS j, k::int AS k, type, round(sum(share), 6) AS share FROM w
+        WHERE i BETWEEN 0 AND {frames.VOXEL_BINS - 1} AND j BETWEEN 0 AND {frames.VOXEL_BINS - 1} AND k BETWEEN 0 AND {frames.VOXEL_BINS - 1} AND share > {frames.LEAST_SHARE}::double
+        GROUP BY ALL
+    """
+
+
+@query(_voxel_sql())
+def residue_voxels(spark, d):
+    r = _residues(spark, d)
+    atoms = r.select("label", F.inline(F.array(*[F.struct(F.lit(t).alias("type"), F.col(c).alias("p")) for t, c in (("CA", "ca"), ("O", "o"))])))
+    return _rounded(frames.voxels(r, atoms, keys=["label"]), "share")
