@@ -104,7 +104,8 @@ def spherical_triangle_area(a: Column, b: Column, c: Column, radius) -> Column:
 def angle(a: Column, b: Column, c: Column) -> Column:
     """At b, in radians; the cosine is clipped, and null stands for an undefined angle."""
     u, v = unit(minus(a, b)), unit(minus(c, b))
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(u, v))))
+    clipped = lambda c: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
+    return let(dot(u, v), lambda c: F.when(c.isNotNull(), clipped(c)))  # greatest and least would pass nulls over
 
 
 def dihedral(a: Column, b: Column, c: Column, d: Column) -> Column:

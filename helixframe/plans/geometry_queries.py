@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import arrays as a
 from helixframe.functions import geometry as g
-from helixframe.operators import curves, frames, msa, restraints, selection, structures, windows
+from helixframe.operators import curves, frames, msa, restraints, selection, structures, surfaces, windows
 from helixframe.operators.relational import range_join
 from helixframe.plans.registry import query
 from helixframe.plans.tables import ACCENTED, ALIGNMENT, LARGEST_RADIUS, POINTS, alignment, points, table
@@ -423,3 +423,48 @@ def residue_voxels(spark, d):
     r = _residues(spark, d)
     atoms = r.select("label", F.inline(F.array(*[F.struct(F.lit(t).alias("type"), F.col(c).alias("p")) for t, c in (("CA", "ca"), ("O", "o"))])))
     return _rounded(frames.voxels(r, atoms, keys=["label"]), "share")
+
+
+#: The probe, and how often the mesh of the query is divided.
+AREA_PROBE, AREA_DEPTH = 0.01, 2
+
+
+def _mesh_sql() -> str:
+    """Vertices by vertices and triangles by triangles, with the same mesh and the same splits."""
+    vertices, triangles = surfaces.icosphere(AREA_DEPTH)
+    minus, cross = _VECTORS["minus"], _VECTORS["cross"]
+    length = lambda v: f"sqrt({_VECTORS['dot'](v, v)})"
+    far = ", ".join(f"{length(minus(f'l[{i}].q', f'l[{j}].c'))} - l[{j}].r AS w{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))
+    share = lambda i, j: f"coalesce((w{i}{i} - w{i}{j}) / nullif((w{i}{i} - w{i}{j}) - (w{j}{i} - w{j}{j}), 0), 0.5) AS t{i}{j}"
+    point = lambda i, j: f"list_transform([1, 2, 3], lambda n: l[{i}].q[n] + (l[{j}].q[n] - l[{i}].q[n]) * t{i}{j}) AS e{i}{j}"
+    template = lambda parts: "[" + ", ".join(f"{{'o': {o + 1}, 'x': {x + 1}, 'y': {y + 1}, 'z': {z + 1}}}" for o, x, y, z in parts) + "]"
+    return f"""
+        WITH {POINTS},
+        v(vn, u) AS (VALUES {", ".join(f"({n}, [{x!r}::double, {y!r}::double, {z!r}::double])" for n, (x, y, z) in enumerate(vertices))}),
+        t(i, j, k) AS (VALUES {", ".join(map(str, triangles))}),
+        s AS (
+            SELECT atom_idx AS a, 0 AS other, atom_idx AS b, [0::double, 0::double, 0::double] AS c, r, r + {AREA_PROBE}::double AS reach FROM p
+            UNION ALL
+            SELECT a.atom_idx, 1, b.atom_idx, [b.x - a.x, b.y - a.y, b.z - a.z], b.r, a.r + {AREA_PROBE}::double
+            FROM p a JOIN p b ON a.atom_idx <> b.atom_idx
+            WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) < a.r + b.r + 2 * {AREA_PROBE}::double),
+        g AS (SELECT a, other, b, c, r, vn, list_transform(u, lambda x: x * reach) AS q FROM s, v),
+        o AS (SELECT a, vn, arg_min({{'b': b, 'q': q, 'c': c, 'r': r}}, {{'far': {length(minus("q", "c"))} - r, 'other': other, 'b': b}}) AS k FROM g GROUP BY a, vn),
+        f AS (
+            SELECT x.a, CASE WHEN y.k.b = z.k.b THEN [x.k, y.k, z.k] WHEN x.k.b = z.k.b THEN [y.k, x.k, z.k] WHEN x.k.b = y.k.b THEN [z.k, x.k, y.k] ELSE [x.k, y.k, z.k] END AS l
+            FROM t JOIN o x ON x.vn = t.i JOIN o y ON y.vn = t.j AND y.a = x.a JOIN o z ON z.vn = t.k AND z.a = x.a),
+        w AS (SELECT a, l, {far} FROM f),
+        h AS (SELECT a, l, {share(1, 2)}, {share(1, 3)}, {share(2, 3)} FROM w),
+        e AS (SELECT a, l, {point(1, 2)}, {point(1, 3)}, {point(2, 3)} FROM h),
+        m AS (
+            SELECT a, l, [l[1].q, l[2].q, l[3].q, e12, e13, e23, list_transform([1, 2, 3], lambda n: (e12[n] + e13[n] + e23[n]) * (1.0::double / 3))] AS pts,
+                   unnest(CASE WHEN l[2].b = l[3].b AND l[1].b = l[2].b THEN {template(surfaces.WHOLE)} WHEN l[2].b = l[3].b THEN {template(surfaces.ODD)} ELSE {template(surfaces.ALL)} END) AS i
+            FROM e),
+        n AS (SELECT a, l[i.o].b AS b, {minus("pts[i.y]", "pts[i.x]")} AS p, {minus("pts[i.z]", "pts[i.x]")} AS q FROM m)
+        SELECT a, b, round(sum({length(cross("p", "q"))} / 2), 9) AS area FROM n GROUP BY a, b HAVING sum({length(cross("p", "q"))} / 2) > 0
+    """
+
+
+@query(_mesh_sql())
+def mesh_contact_areas(spark, d):
+    return _rounded(surfaces.mesh_areas(points(spark, d), LARGEST_RADIUS, AREA_PROBE, AREA_DEPTH), "area", digits=9)
