@@ -2,12 +2,13 @@
 
 A text is normalised to lower-case words between marks: sentence ends and empty lines are
 hard marks, the ends of wrapped lines soft ones. Known licence sentences are looked for
-from any mark to any mark; soft marks may stand inside one, hard ones may not, so it makes
-no difference how a notice is wrapped or which comment signs begin its lines. The
-identifiers found, in text order, are then matched against ordered rules, each a sequence
-of identifiers. A rule that matches uses its sentences up, so rules that stand earlier,
-and are longer, win over the parts they are made of. Everything is string and array
-functions over one row at a time: no join, no shuffle.
+up to any mark, from any mark and, if they are long, from any word; soft marks may stand
+inside one, hard ones may not, so it makes no difference how a notice is wrapped, which
+comment signs begin its lines or what stands before it on its line. The identifiers found,
+in text order, are then matched against ordered rules, each a sequence of identifiers. A
+rule that matches uses its sentences up, so rules that stand earlier, and are longer, win
+over the parts they are made of. SPDX tags are read by their own small grammar. Everything
+is string and array functions over one row at a time: no join, no shuffle.
 """
 
 from __future__ import annotations
@@ -76,20 +77,26 @@ SENTENCES = {
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
-    "spdx": "SPDX-License-Identifier",
-    "spdx-mit": "MIT",
-    "spdx-isc": "ISC",
-    "spdx-apache": "Apache-2.0",
-    "spdx-bsd-2": "BSD-2-Clause",
-    "spdx-bsd-3": "BSD-3-Clause",
-    "spdx-gpl-2": "GPL-2.0-only",
-    "spdx-gpl-2-later": "GPL-2.0-or-later",
-    "spdx-gpl-3": "GPL-3.0-only",
-    "spdx-gpl-3-later": "GPL-3.0-or-later",
-    "spdx-lgpl-2-1": "LGPL-2.1-or-later",
-    "spdx-lgpl-3": "LGPL-3.0-or-later",
-    "spdx-agpl-3": "AGPL-3.0-or-later",
-    "spdx-mpl": "MPL-2.0",
+    "unlicense-free": "This is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-liability": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "boost-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following',
+    "boost-short": "Distributed under the Boost Software License, Version 1.0",
+    "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "epl2-notice-http": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0",
+    "epl2-heading": "Eclipse Public License - v 2.0",
+    "epl-terms": 'THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT")',
+    "cddl-subject": 'The contents of this file are subject to the terms of the Common Development and Distribution License (the "License")',
+    "cddl1-heading": "COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0",
+    "gpl2-only-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "cc0-extent": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "cc0-laws": 'The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an "owner") of an original work of authorship and/or a database (each, a "Work")',
+    "artistic-free": "This is free software, licensed under",
+    "artistic2-name": "The Artistic License 2.0 (GPL Compatible)",
+    "artistic2-terms": "This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed",
     "rights": "All rights reserved",
 }
 # A licence's name and the sentences that it is told by, in matching order.
@@ -99,6 +106,11 @@ RULES = (
     ("MIT-0", "mit-0-grant mit-as-is mit-liability"),
     ("MIT", "mit-notice mit-as-is mit-liability"),
     ("ISC", "isc-grant isc-as-is"),
+    ("0BSD", "0bsd-grant isc-as-is"),
+    ("Zlib", "zlib-as-is zlib-liability zlib-grant"),
+    ("Unlicense", "unlicense-free unlicense-anyone"),
+    ("EPL-2.0", "epl2-heading epl-terms"),
+    ("Artistic-2.0", "artistic-free artistic2-name"),
     ("BSD-3-Clause", "rights bsd-grant bsd-source bsd-binary bsd-names bsd-as-is"),
     ("BSD-3-Clause", "rights bsd-grant bsd-source bsd-binary bsd-names-university bsd-as-is"),
     ("BSD-2-Clause", "rights bsd-grant bsd-source bsd-binary bsd-as-is"),
@@ -112,6 +124,8 @@ RULES = (
     ("Apache-2.0", "apache-asf apache-comply"),
     ("Apache-2.0", "apache-licensed apache-comply"),
     ("Apache-2.0", "apache-short apache-comply"),
+    ("CDDL", "cddl-subject apache-comply apache-see"),
+    ("CDDL", "cddl-subject apache-comply"),
     ("Apache-2.0", "apache-comply apache-see"),
     ("GPL-3.0-or-later", "program-free gpl3-terms program-hope no-implied gpl-see gpl-received"),
     ("GPL-2.0-or-later", "program-free gpl-terms version-2 program-hope no-implied gpl-see gpl-received"),
@@ -119,6 +133,7 @@ RULES = (
     ("LGPL-3.0-or-later", "program-free lgpl3-terms program-hope no-implied lgpl-see lgpl-received-program"),
     ("LGPL-3.0-or-later", "library-free lgpl3-terms library-hope no-implied lgpl-see lgpl-received"),
     ("LGPL-2.1-or-later", "library-free lgpl-terms version-2-1 library-hope no-implied lgpl-see lgpl-received"),
+    ("GPL-2.0-only", "program-free gpl2-only-terms"),
     ("GPL-3.0-or-later", "program-free gpl3-terms"),
     ("GPL-3.0-or-later", "program-free gpl-terms version-3"),
     ("GPL-2.0-or-later", "program-free gpl-terms version-2"),
@@ -129,19 +144,6 @@ RULES = (
     ("LGPL-2.1-or-later", "library-free lgpl-terms version-2-1"),
     ("MPL-2.0", "mpl-subject mpl-copy"),
     ("MPL-2.0", "mpl-subject mpl-copy-https"),
-    ("MIT", "spdx spdx-mit"),
-    ("ISC", "spdx spdx-isc"),
-    ("Apache-2.0", "spdx spdx-apache"),
-    ("BSD-2-Clause", "spdx spdx-bsd-2"),
-    ("BSD-3-Clause", "spdx spdx-bsd-3"),
-    ("GPL-2.0-only", "spdx spdx-gpl-2"),
-    ("GPL-2.0-or-later", "spdx spdx-gpl-2-later"),
-    ("GPL-3.0-only", "spdx spdx-gpl-3"),
-    ("GPL-3.0-or-later", "spdx spdx-gpl-3-later"),
-    ("LGPL-2.1-or-later", "spdx spdx-lgpl-2-1"),
-    ("LGPL-3.0-or-later", "spdx spdx-lgpl-3"),
-    ("AGPL-3.0-or-later", "spdx spdx-agpl-3"),
-    ("MPL-2.0", "spdx spdx-mpl"),
     ("MIT", "mit-grant"),
     ("MIT", "mit-released"),
     ("MIT", "mit-project"),
@@ -156,8 +158,45 @@ RULES = (
     ("CC-BY-SA-4.0", "cc-by-sa"),
     ("CC-BY-NC-4.0", "cc-by-nc"),
     ("MPL-2.0", "mpl-subject"),
-    ("proprietary", "rights"),
+    ("Zlib", "zlib-grant"),
+    ("Unlicense", "unlicense-free"),
+    ("BSL-1.0", "boost-grant"),
+    ("BSL-1.0", "boost-short"),
+    ("EPL-2.0", "epl2-notice"),
+    ("EPL-2.0", "epl2-notice-http"),
+    ("CDDL-1.0", "cddl1-heading"),
+    ("CDDL", "cddl-subject"),
+    ("CC0-1.0", "cc0-extent"),
+    ("CC0-1.0", "cc0-laws"),
+    ("Artistic-2.0", "artistic2-terms"),
 )
+#: What a text without any licence is told by, where its rights are reserved.
+RESERVED = ("proprietary", "rights")
+#: A sentence of so many words is told wherever it begins; a shorter one only after a mark.
+LONG = 8
+
+# Identifiers of the SPDX licence list that expressions are read for, and older names for some of them.
+SPDX = (
+    "MIT", "MIT-0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later",
+    "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "EPL-1.0", "EPL-2.0",
+    "CDDL-1.0", "CDDL-1.1", "BSL-1.0", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Artistic-2.0",
+)
+FAMILIES = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+
+
+def spdx_names() -> dict[str, str]:
+    """Lower-case identifiers, as they may be written, to the list's; with a + they are of this version or a later one."""
+    names = {name.lower() + plus: name for name in SPDX for plus in ("", "+")}
+    for family in FAMILIES:
+        names |= {family.lower(): f"{family}-only", f"{family.lower()}+": f"{family}-or-later", f"{family.lower()}-only+": f"{family}-or-later"}
+    return names
+
+
+IDENTIFIER = r"[a-z0-9][a-z0-9.-]*\+?"
+#: An expression after its tag, in lower case: identifiers, in brackets or not, between operators. Each part is read once.
+PLAIN_EXPRESSION = rf"spdx-license-identifier:[\x20\x09]*(\(*{IDENTIFIER}\)*(?:[\x20\x09]+(?:or|and|with)[\x20\x09]+\(*{IDENTIFIER}\)*)*)"
+EXPRESSION = PLAIN_EXPRESSION[:-2] + "*+)"  # possessive, so that a long one needs no stack
+EXCEPTION = rf"[\x20\x09]+with[\x20\x09]+{IDENTIFIER}"
 #: Unknown sentences that may stand between two of a rule.
 MAX_GAP = 3
 
@@ -184,6 +223,21 @@ def normalised(sentence: str) -> str:
     return " ".join("".join(c if c in LOWER + "0123456789" else " " for c in sentence.translate(str.maketrans(UPPER, LOWER))).split())
 
 
+def spans_of(names: dict[str, str]) -> str:
+    """A pattern of a known sentence after the mark, or blank, before it; of those that begin there the longest."""
+
+    def grouped(sentences: list[str]) -> str:
+        by_word: dict[str, list[str]] = {}
+        for sentence in sentences:  # longest first
+            first, *rest = sentence.split(" ")
+            by_word.setdefault(first, []).append("".join(rf"[ \n]{w}" for w in rest))
+        return "|".join(f"{first}(?:{'|'.join(rests)})" for first, rests in by_word.items())
+
+    long, short = ([s for s in names if (len(s.split()) >= LONG) == is_long] for is_long in (True, False))
+    told = ([f"(?:{grouped(long)})"] if long else []) + ([rf"(?<=[|\n])(?:{grouped(short)})"] if short else [])
+    return rf"[|\n ]({'|'.join(told)})(?=[|\n])"
+
+
 def names_of(known: dict[str, str]) -> dict[str, str]:
     """An identifier for each normalised sentence, longest first; of equal sentences the first identifier."""
     names: dict[str, str] = {}
@@ -192,27 +246,57 @@ def names_of(known: dict[str, str]) -> dict[str, str]:
     return dict(sorted(names.items(), key=lambda x: -len(x[0])))
 
 
+def spdx_expressions(text: Column) -> tuple[Column, Column]:
+    """The SPDX expressions of a text as the list writes them, and the licences that they name, those not on the list left out."""
+    names = spdx_names()
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    found = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(EXPRESSION), F.lit(1))
+    found = F.when(text.rlike("(?i)spdx-license-identifier:"), found).otherwise(F.array().cast("array<string>"))
+
+    def spelled(part: Column) -> Column:
+        return F.when(part.isin("or", "and", "with"), F.upper(part)).otherwise(F.coalesce(F.try_element_at(known, part), part))
+
+    def written(expression: Column) -> Column:
+        parts = F.transform(F.regexp_extract_all(expression, F.lit(rf"[()]|{IDENTIFIER}"), F.lit(0)), spelled)
+        return F.replace(F.replace(F.array_join(parts, " "), F.lit("( "), F.lit("(")), F.lit(" )"), F.lit(")"))
+
+    def told(expression: Column) -> Column:
+        parts = F.regexp_extract_all(F.regexp_replace(expression, EXCEPTION, ""), F.lit(IDENTIFIER), F.lit(0))
+        return F.filter(F.transform(parts, lambda p: F.try_element_at(known, p)), lambda name: name.isNotNull())
+
+    return F.transform(found, written), F.flatten(F.transform(found, told))
+
+
+def names_told(rules=RULES, reserved=RESERVED) -> list[str]:
+    """Every licence that a scan can tell, in the order of its output."""
+    return list(dict.fromkeys([*(name for name, _ in rules), *SPDX, reserved[0]]))
+
+
 def license_scan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=SENTENCES, rules=RULES, max_gap: int = MAX_GAP
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=SENTENCES, rules=RULES, reserved=RESERVED, max_gap: int = MAX_GAP
 ) -> DataFrame:
-    """One row per row of docs: (id, n_sentences, n_known, sentence_ids, licenses, unmatched).
+    """One row per row of docs: (id, n_sentences, n_known, sentence_ids, licenses, unmatched, spdx).
 
     sentence_ids: the identifiers in known of the sentences found, comma-joined in text
-    order; of sentences that begin at one mark the longest. licenses: name:count of each
-    licence that rules told, comma-joined in the order of rules; unmatched: identifiers
-    that no rule used. Sentences of a rule follow one another with at most max_gap unknown
-    ones between. A null or empty text has no sentences, and empty strings in the last
-    three columns. Repeated rows are scanned each for itself; an empty table gives no rows;
-    other columns are not read.
+    order; of sentences that begin at one place the longest. licenses: name:count of each
+    licence that rules or SPDX expressions told, comma-joined in the order of rules, then of
+    the SPDX list; where they told none, the reserved one if its sentence is there.
+    unmatched: identifiers that no rule used. spdx: the expressions, joined by semicolons,
+    with identifiers as the list spells them and unknown ones as they stand. Sentences of a
+    rule follow one another with at most max_gap unknown ones between. A null or empty text
+    has no sentences, and empty strings in the last four columns. Repeated rows are scanned
+    each for itself; an empty table gives no rows; other columns are not read.
     """
     names = names_of(known)
     places = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    spans = "|".join(sentence.replace(" ", r"[ \n]") for sentence in names)
-    rows = docs.select(F.col(id_col), marked(text_of(text_col)).alias("marked"))
-    #  a known sentence with the mark before it, or a hard mark before an unknown one
-    found = F.regexp_extract_all("marked", F.lit(rf"[|\n]({spans})(?=[|\n])|\|"), F.lit(1))
+    written, listed = spdx_expressions(text_of(text_col))
+    rows = docs.select(F.col(id_col), marked(text_of(text_col)).alias("marked"), F.array_join(written, "; ").alias("spdx"), listed.alias("listed"))
+    #  a known sentence with the mark or blank before it, or a hard mark before an unknown one
+    found = F.regexp_extract_all("marked", F.lit(rf"{spans_of(names)}|\|"), F.lit(1))
     rows = rows.select(
         id_col,
+        "spdx",
+        "listed",
         (F.length("marked") - F.length(F.replace("marked", F.lit("|"))) - 1).cast("long").alias("n_sentences"),
         F.transform(found, lambda s: F.when(s != "", F.try_element_at(places, F.replace(s, F.lit("\n"), F.lit(" "))))).alias("ids"),
     )
@@ -231,7 +315,14 @@ def license_scan(
 
     none = F.struct(F.col("marks").alias("left"), F.array().cast("array<string>").alias("told"))
     rows = rows.withColumn("state", F.when(F.col("marks").contains("<"), F.aggregate(steps, none, after)).otherwise(none)).drop("marks")
-    left, every = F.col("state.left"), F.array(*[F.lit(x) for x in dict.fromkeys(name for name, _ in rules)])
+    #  what rules and expressions told, or else the reserved licence
+    mark = F.lit(f"<{reserved[1]}>")
+    alone = (F.size("state.told") == 0) & (F.size("listed") == 0) & F.contains("state.left", mark)
+    count = ((F.length("state.left") - F.length(F.replace("state.left", mark))) / F.length(mark)).cast("int")
+    left = F.when(alone, F.replace("state.left", mark, F.lit("|"))).otherwise(F.col("state.left"))
+    told = F.when(alone, F.array_repeat(F.lit(reserved[0]), count)).otherwise(F.concat("state.told", "listed"))
+    rows = rows.withColumn("state", F.struct(left.alias("left"), told.alias("told")))
+    left, every = F.col("state.left"), F.array(*[F.lit(x) for x in names_told(rules, reserved)])
     number = lambda name: F.size(F.filter("state.told", lambda x: x == name)).cast("string")
     told = F.transform(F.filter(every, lambda name: F.array_contains("state.told", name)), lambda name: F.concat_ws(":", name, number(name)))
     told = F.when(F.size("state.told") > 0, F.array_join(told, ",")).otherwise("")
@@ -243,4 +334,5 @@ def license_scan(
         F.array_join("known", ",").alias("sentence_ids"),
         told.alias("licenses"),
         F.array_join(rest, ",").alias("unmatched"),
+        "spdx",
     )

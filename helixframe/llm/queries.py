@@ -10,7 +10,8 @@ from helixframe.llm.common import table
 from helixframe.llm.exact_dedup import exact_dedup
 from helixframe.llm.filter_audit import filter_audit
 from helixframe.llm.fingerprints import document_fingerprints
-from helixframe.llm.license_scan import LOWER, MAX_GAP, PLAIN_ENDS, RULES, SENTENCES, STEPS, UPPER, license_scan, names_of
+from helixframe.llm.license_scan import EXCEPTION, IDENTIFIER, LONG, LOWER, MAX_GAP, PLAIN_ENDS, PLAIN_EXPRESSION, RESERVED, RULES, SENTENCES, STEPS, UPPER
+from helixframe.llm.license_scan import license_scan, names_of, names_told, spdx_names
 from helixframe.llm.mixing import mix
 from helixframe.llm.packing import pack
 from helixframe.llm.secrets import secret_scan
@@ -102,7 +103,7 @@ _WS = r"[\x20\x09-\x0D]+"
 
 def _license_sql() -> str:
     names = names_of(SENTENCES)
-    known = ", ".join(f"('{sentence}', '{name}')" for sentence, name in names.items())
+    known = ", ".join(f"('{sentence}', '{name}', {len(sentence.split()) >= LONG})" for sentence, name in names.items())
     steps, left, uses = [], "marks", {}
     for at, (name, rule) in enumerate(RULES):
         mark = "".join(f"<{i}>" for i in rule.split())
@@ -112,21 +113,38 @@ def _license_sql() -> str:
         )
         left = f"left{at}"
         uses.setdefault(name, []).append(f"uses{at}")
-    told = ", ".join(f"CASE WHEN {'+'.join(u)} > 0 THEN '{name}:' || ({'+'.join(u)})::varchar END" for name, u in uses.items())
+    rights = f"<{RESERVED[1]}>"
+    every = "+".join(x for u in uses.values() for x in u)
+    alone = f"({every} = 0 AND len(listed) = 0)"
+    number = lambda name: "+".join([*uses.get(name, []), f"len(list_filter(listed, lambda x: x = '{name}'))"])
+    reserved = f"CASE WHEN {alone} THEN (length({left}) - length(replace({left}, '{rights}', ''))) // {len(rights)} ELSE 0 END"
+    counts = {name: reserved if name == RESERVED[0] else number(name) for name in names_told()}
+    told = ", ".join(f"CASE WHEN {n} > 0 THEN '{name}:' || ({n})::varchar END" for name, n in counts.items())
+    left = f"CASE WHEN {alone} THEN replace({left}, '{rights}', '|') ELSE {left} END"
+    spelled = "MAP {" + ", ".join(f"'{low}': '{name}'" for low, name in spdx_names().items()) + "}"
     marked = f"'|' || translate(coalesce(text, ''), '{UPPER}|', '{LOWER} ') || '|'"
     for pattern, mark in ((PLAIN_ENDS, STEPS[0][1]), *STEPS[1:]):
         marked = f"regexp_replace({marked}, '{pattern}', '{mark}', 'g')".replace("'\n'", "chr(10)")
     return rf"""
-        WITH known(sentence, id) AS (VALUES {known}),
-        d AS (SELECT row_number() OVER () AS rid, doc_id, {marked} AS m FROM documents),
+        WITH known(sentence, id, long) AS (VALUES {known}),
+        d0 AS (
+            SELECT row_number() OVER () AS rid, doc_id, {marked} AS m, {spelled} AS spelled,
+                   regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{PLAIN_EXPRESSION}', 1) AS said FROM documents),
+        d AS (
+            SELECT rid, doc_id, m,
+                   array_to_string(list_transform(said, lambda e: replace(replace(array_to_string(list_transform(regexp_extract_all(e, '[()]|{IDENTIFIER}'),
+                       lambda p: CASE WHEN p IN ('or', 'and', 'with') THEN upper(p) ELSE coalesce(spelled[p], p) END), ' '), '( ', '('), ' )', ')')), '; ') AS spdx,
+                   list_filter(flatten(list_transform(said, lambda e: list_transform(regexp_extract_all(regexp_replace(e, '{EXCEPTION}', '', 'g'), '{IDENTIFIER}'),
+                       lambda p: spelled[p]))), lambda name: name IS NOT NULL) AS listed
+            FROM d0),
         c AS (
-            SELECT d.rid, d.m, known.sentence, known.id FROM d JOIN known ON contains(replace(d.m, chr(10), ' '), known.sentence)),
+            SELECT d.rid, d.m, known.sentence, known.id, known.long FROM d JOIN known ON contains(replace(d.m, chr(10), ' '), known.sentence)),
         b AS (
-            SELECT rid, m, unnest(list_filter(range(1, length(m) + 1), lambda i: m[i] = '|' OR m[i] = chr(10))) AS pos
+            SELECT rid, m, unnest(list_filter(range(1, length(m) + 1), lambda i: m[i] IN ('|', chr(10), ' '))) AS pos
             FROM (SELECT DISTINCT rid, m FROM c)),
         e AS (
             SELECT c.rid, b.pos, arg_max(c.id, length(c.sentence)) AS id, max(b.pos + length(c.sentence)) AS last
-            FROM c JOIN b ON c.rid = b.rid AND replace(substr(c.m, b.pos + 1, length(c.sentence)), chr(10), ' ') = c.sentence
+            FROM c JOIN b ON c.rid = b.rid AND (c.long OR b.m[b.pos] <> ' ') AND replace(substr(c.m, b.pos + 1, length(c.sentence)), chr(10), ' ') = c.sentence
                          AND substr(c.m, b.pos + 1 + length(c.sentence), 1) IN ('|', chr(10)) GROUP BY ALL),
         o AS (SELECT * FROM e WHERE NOT EXISTS (FROM e AS around WHERE around.rid = e.rid AND around.pos < e.pos AND e.pos < around.last)),
         g AS (
@@ -134,12 +152,12 @@ def _license_sql() -> str:
                    string_agg(CASE WHEN o.id IS NOT NULL THEN '<' || o.id || '>' WHEN b.m[b.pos] = '|' THEN '.' ELSE '' END, '' ORDER BY b.pos) AS raw
             FROM b LEFT JOIN o ON b.rid = o.rid AND b.pos = o.pos GROUP BY b.rid),
         m AS (
-            SELECT d.doc_id, length(d.m) - length(replace(d.m, '|', '')) - 1 AS n_sentences, coalesce(g.n_known, 0) AS n_known, coalesce(g.sentence_ids, '') AS sentence_ids,
+            SELECT d.doc_id, d.spdx, d.listed, length(d.m) - length(replace(d.m, '|', '')) - 1 AS n_sentences, coalesce(g.n_known, 0) AS n_known, coalesce(g.sentence_ids, '') AS sentence_ids,
                    regexp_replace(regexp_replace(coalesce(g.raw, ''), '\.{{{MAX_GAP + 1},}}', '|', 'g'), '\.', '', 'g') AS marks
             FROM d LEFT JOIN g ON d.rid = g.rid),
         {", ".join(steps)}
         SELECT doc_id, n_sentences, n_known, sentence_ids, concat_ws(',', {told}) AS licenses,
-               array_to_string(regexp_extract_all({left}, '<([^>]+)>', 1), ',') AS unmatched
+               array_to_string(regexp_extract_all({left}, '<([^>]+)>', 1), ',') AS unmatched, spdx
         FROM l{len(RULES) - 1}
     """
 

@@ -10,7 +10,7 @@ import textwrap
 from collections import Counter
 
 from helixframe.llm import secrets
-from helixframe.llm.license_scan import RULES, SENTENCES, license_scan, normalised
+from helixframe.llm.license_scan import FAMILIES, LONG, RESERVED, RULES, SENTENCES, SPDX, license_scan, normalised
 from helixframe.llm.token_counts import RANKS, encoded_lengths, encoder, length_histogram, length_quantiles, token_count, truncated_total, with_truncation
 from helixframe.llm.url_filter import filter_urls
 from tests.llm.fixtures import SCHEMA, documents
@@ -105,9 +105,64 @@ License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at http://mozilla.org/MPL/2.0/.
 """
 AGPL = GPL3.replace("GNU General", "GNU Affero General")
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+ZLIB = """Copyright (c) 2018 Somebody
+
+This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software.
+"""
+ZERO_BSD = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL DAMAGES.
+"""
+BOOST = """Distributed under the Boost Software License, Version 1.0.
+(See accompanying file LICENSE_1_0.txt or copy at
+https://www.boost.org/LICENSE_1_0.txt)
+"""
+EPL2 = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+"""
+CDDL = """The contents of this file are subject to the terms of the
+Common Development and Distribution License (the "License").
+You may not use this file except in compliance with the License.
+
+See the License for the specific language governing permissions
+and limitations under the License.
+"""
+GPL2_ONLY = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation.
+"""
+CC0 = """To the extent possible under law, the author(s) have dedicated all copyright
+and related and neighboring rights to this software to the public domain
+worldwide. This software is distributed without any warranty.
+"""
+ARTISTIC = """This is free software, licensed under:
+
+  The Artistic License 2.0 (GPL Compatible)
+"""
 NOTICES = {
     "MIT:1": MIT, "Apache-2.0:1": APACHE, "GPL-3.0-or-later:1": GPL3, "LGPL-2.1-or-later:1": LGPL21, "BSD-3-Clause:1": BSD3, "BSD-2-Clause:1": BSD2,
-    "MPL-2.0:1": MPL, "AGPL-3.0-or-later:1": AGPL,
+    "MPL-2.0:1": MPL, "AGPL-3.0-or-later:1": AGPL, "Unlicense:1": UNLICENSE, "Zlib:1": ZLIB, "0BSD:1": ZERO_BSD, "BSL-1.0:1": BOOST, "EPL-2.0:1": EPL2, "CDDL:1": CDDL,
+    "GPL-2.0-only:1": GPL2_ONLY, "CC0-1.0:1": CC0, "Artistic-2.0:1": ARTISTIC,
 }
 
 
@@ -123,6 +178,30 @@ def rewrapped(text, width):
     return "\n\n".join(textwrap.fill(one_line(p), width) for p in re.split(r"\n\s*\n", text))
 
 
+def brute_spdx(text):
+    """Tags read token by token: (expressions, licences)."""
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    names = {n.lower(): n for n in SPDX} | {f"{n.lower()}+": n for n in SPDX}
+    for f in FAMILIES:
+        names |= {f.lower(): f + "-only", f.lower() + "+": f + "-or-later", f.lower() + "-only+": f + "-or-later"}
+    said, told = [], []
+    for tail in re.split("spdx-license-identifier:", lowered)[1:]:
+        tail, out, skip = tail.lstrip(" \t"), [], False
+        while m := re.match(r"(\(*)([a-z0-9][a-z0-9.-]*\+?)(\)*)", tail):
+            out.append(m[1] + names.get(m[2], m[2]).replace(m[2], m[2].upper() if m[2] in ("or", "and", "with") else names.get(m[2], m[2])) + m[3])
+            if m[2] in names and not skip:
+                told.append(names[m[2]])
+            tail = tail[m.end() :]
+            op = re.match(r"[ \t]+(or|and|with)[ \t]+(?=\(*[a-z0-9])", tail)
+            if not op:
+                break
+            out.append(op[1].upper())
+            skip, tail = op[1] == "with", tail[op.end() :]
+        if out:
+            said.append(" ".join(out))
+    return "; ".join(said), told
+
+
 def brute_licenses(text):
     """Token by token: words, hard marks and soft marks."""
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (text or "").replace("|", " "))
@@ -137,11 +216,14 @@ def brute_licenses(text):
     known = sorted(((normalised(s).split(), name) for name, s in SENTENCES.items()), key=lambda x: -len(" ".join(x[0])))
     runs, gap, at, ids = [[]], 0, 0, []
     while at < len(clean):
-        if clean[at] not in "|\n":
+        inside = clean[at] not in "|\n"
+        if inside and clean[at - 1] in "|\n":  # tried from the mark
             at += 1
             continue
         for words, name in known:
-            k, seen = at + 1, []
+            if inside and len(words) < LONG:
+                continue
+            k, seen = at + (not inside), []
             while k < len(clean) and clean[k] != "|" and len(seen) < len(words):
                 seen += [clean[k]] if clean[k] != "\n" else []
                 k += 1
@@ -170,8 +252,14 @@ def brute_licenses(text):
                     i += 1
             following.append(run)
         runs = following
-    names = list(dict.fromkeys(n for n, _ in RULES))
-    return clean.count("|") - 1, ",".join(ids), ",".join(f"{n}:{told[n]}" for n in names if told[n]), ",".join(i for r in runs for i in r)
+    spdx, listed = brute_spdx(text)
+    told.update(listed)
+    left = [i for r in runs for i in r]
+    if not any(told.values()) and RESERVED[1] in left:
+        told[RESERVED[0]] = left.count(RESERVED[1])
+        left = [i for i in left if i != RESERVED[1]]
+    names = list(dict.fromkeys([*(n for n, _ in RULES), *SPDX, RESERVED[0]]))
+    return clean.count("|") - 1, ",".join(ids), ",".join(f"{n}:{told[n]}" for n in names if told[n]), ",".join(left), spdx
 
 
 def test_known_sentences():
@@ -193,12 +281,23 @@ def test_license_scan(spark):
         expected.append(licence)
     texts += ["Licensed under CC BY-NC 4.0.", "some line\nLICENSED under cc by nc 4.0\nanother line", "Released under the MIT License. Released under the MIT License; All rights reserved.",
               "x All rights reserved. You may not use this file except in compliance with the License.", "// SPDX-License-Identifier: GPL-2.0-or-later\n", "|" * 5 + "MIT|", "?!" * 9]
-    expected += ["CC-BY-NC-4.0:1", "CC-BY-NC-4.0:1", "MIT:2,proprietary:1", "", "GPL-2.0-or-later:1", "", ""]
+    expected += ["CC-BY-NC-4.0:1", "CC-BY-NC-4.0:1", "MIT:2", "", "GPL-2.0-or-later:1", "", ""]
+    for notice, licence in ((MIT, "MIT:1"), (APACHE, "Apache-2.0:1")):
+        texts.append(f"Copyright 2020 Somebody. All rights reserved.\n\n{notice}")
+        expected.append(licence)
+    texts += ["MIT License Permission is hereby granted, free of charge, to any person obtaining a copy" + one_line(MIT).split("obtaining a copy")[1], f"The zlib license: see below {one_line(ZLIB)}",
+              "Copyright Somebody. All rights reserved.", "All rights reserved. All rights reserved.", "// SPDX-License-Identifier: MIT OR Apache-2.0 */", "# spdx-license-identifier: (gpl-2.0+ WITH Classpath-exception-2.0) AND bsd-3-clause",
+              "SPDX-License-Identifier: GPL-2.0\nSPDX-License-Identifier:LGPL-2.1+\nSPDX-License-Identifier: LicenseRef-Own", "SPDX-License-Identifier: \nMIT", "SPDX-License-Identifier: MIT or", "SPDX-License-Identifier: ((MIT",
+              "SPDX-License-Identifier: Apache-2.0 OR MIT\nAll rights reserved.", "SPDX-License-Identifier: " + " OR ".join(["MIT"] * 20_000)]
+    expected += ["MIT:1", "Zlib:1", "proprietary:1", "proprietary:2", "MIT:1,Apache-2.0:1", "GPL-2.0-or-later:1,BSD-3-Clause:1", "GPL-2.0-only:1,LGPL-2.1-or-later:1", "", "MIT:1", "MIT:1", "MIT:1,Apache-2.0:1", "MIT:20000"]
+    expected = [",".join(sorted(e.split(","))) for e in expected]
     rows += [(10_000 + i, t) + (None,) * 7 for i, t in enumerate(texts)]
     found = license_scan(spark.createDataFrame(rows, SCHEMA)).collect()
-    got = sorted([(r["doc_id"], r["n_sentences"], r["sentence_ids"], r["licenses"], r["unmatched"]) for r in found], key=str)
+    got = sorted([(r["doc_id"], r["n_sentences"], r["sentence_ids"], r["licenses"], r["unmatched"], r["spdx"]) for r in found], key=str)
     assert got == sorted([(r[0], *brute_licenses(r[1])) for r in rows], key=str)
-    by_id = {r["doc_id"]: r["licenses"] for r in found}
+    by_id = {r["doc_id"]: ",".join(sorted(r["licenses"].split(","))) for r in found}
+    said = {r["spdx"] for r in found}
+    assert {"MIT OR Apache-2.0", "(GPL-2.0-or-later WITH classpath-exception-2.0) AND BSD-3-Clause", "GPL-2.0-only; LGPL-2.1-or-later; licenseref-own"} <= said
     assert [by_id[10_000 + i] for i in range(len(texts))] == expected
 
 
