@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators import structures
-from helixframe.sources import sequences, structures as s
+from helixframe.sources import archives, sequences, structures as s
 
 PDB = """HEADER    X
 ATOM      1  N   GLY A   1      11.104   6.134  -6.504  1.00 20.50           N
@@ -133,3 +136,80 @@ def test_score_listings(spark, tmp_path):
     horiz = "Conf: 998\nPred: CCH\n  AA: MKV\n\nConf: 12\nPred: HH\n"
     r = s.secondary_structure(text(spark, tmp_path, "a.horiz", horiz)).first()
     assert (r["ss_pred"], r["ss_conf"]) == ("CCHHH", "99812")
+
+
+def make_archive(folder, stem, entries, order=None):
+    """A data file in the given order and its index in order of name."""
+    data, index = b"", []
+    for name in order or list(entries):
+        body = entries[name].encode() + b"\0"
+        index.append((name, len(data), len(body)))
+        data += body
+    (folder / f"{stem}.ffdata").write_bytes(data)
+    (folder / f"{stem}.ffindex").write_text("".join(f"{n}\t{o}\t{s}\n" for n, o, s in sorted(index)))
+
+
+@pytest.mark.parametrize("index_bytes", [7, 64, 1 << 20])
+def test_archives_by_range(spark, tmp_path, index_bytes):
+    rng = random.Random(3)
+    entries = {f"e{i:03}": "".join(rng.choice("aé😀\n>") for _ in range(rng.randrange(200))) for i in range(120)} | {"": "no name", "last": ""}
+    make_archive(tmp_path, "one", entries, rng.sample(list(entries), len(entries)))
+    make_archive(tmp_path, "two", {"e005": "again", "x": "y"})
+    make_archive(tmp_path, "none", {})
+    archives.read_archives(spark, str(tmp_path / "one.ffindex"))  # registers the source
+    read = spark.read.format("indexed_archive").option("index_bytes", index_bytes).load(str(tmp_path / "*.ffindex"))
+    got = sorted((r["archive"].rsplit("/", 1)[1], r["name"], r["text"]) for r in read.collect())
+    assert got == sorted([("one.ffindex", n, t) for n, t in entries.items()] + [("two.ffindex", "e005", "again"), ("two.ffindex", "x", "y")])
+    some = read.filter(F.col("name").isin("e005", "e077", "missing") & (F.length("text") > 0))
+    assert sorted(r["name"] for r in some.collect()) == ["e005", "e005", "e077"]
+    assert [r["text"] for r in read.filter("name = 'x'").collect()] == ["y"]
+    assert read.filter("name = 'x' AND name = 'e005'").count() == 0
+
+
+def test_archives_read_only_what_is_asked_for(spark, tmp_path, monkeypatch):
+    """Bytes of the data file that a reader fetches are those of the entries."""
+    entries = {f"e{i}": chr(97 + i % 26) * 5000 for i in range(500)}
+    make_archive(tmp_path, "big", entries)
+    fetched = []
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def size(self):
+            return self.file.size()
+
+        def read_at(self, n, at):
+            fetched.append(n)
+            return self.file.read_at(n, at)
+
+    class Store:
+        def open_input_file(self, name):
+            opened = archives.fs.LocalFileSystem().open_input_file(name)
+            return Counted(opened) if name.endswith("ffdata") else opened
+
+        def get_file_info(self, name):
+            return archives.fs.LocalFileSystem().get_file_info(name)
+
+    monkeypatch.setattr(archives, "file_system", lambda path: (Store(), path))
+    reader = archives.ArchiveReader({"path": str(tmp_path / "big.ffindex"), "index_bytes": "1000"})
+    left = list(reader.pushFilters([archives.In(("name",), ["e7", "e450", "none"]), archives.EqualTo(("text",), "x")]))
+    assert left == [archives.EqualTo(("text",), "x")]
+    assert len(reader.partitions()) > 5
+    names = [n for part in reader.partitions() for batch in reader.read(part) for n in batch.column("name").to_pylist()]
+    assert sorted(names) == ["e450", "e7"] and sum(fetched) == 2 * 5000
+    with pytest.raises(ValueError, match="ffindex"):
+        archives.data_file("other.txt")
+
+
+def test_archive_filters_are_pushed(spark, tmp_path):
+    make_archive(tmp_path, "one", {"a": "1", "b": "2"})
+    found = archives.read_archives(spark, str(tmp_path / "one.ffindex"), ["b"])
+    assert [(r["name"], r["offset"], r["text"]) for r in found.collect()] == [("b", 2, "2")]
+    assert "Filter" not in found._jdf.queryExecution().executedPlan().toString().replace("PushedFilters", "").replace("DataFilters", "")
