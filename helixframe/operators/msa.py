@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.text import ALPHABET, residue_code, without_insertions
+from helixframe.operators import moments
+from helixframe.operators.relational import with_earlier
+from helixframe.scratch import settled
 
 STATES = len(ALPHABET)
 GAP = STATES - 1
@@ -25,7 +28,7 @@ def covered(long: DataFrame, share: float = 0.5, most: int | None = 20_000, keys
     keys = keys or []
     kept = long.groupBy(*keys, seq).agg(F.count_if(F.col("code") == GAP).alias("_gaps"), F.count("*").alias("_n")).filter(F.col("_gaps") < F.col("_n") * share)
     if most is not None:
-        kept = kept.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(seq))).filter(F.col("_rank") <= most)
+        kept = with_earlier(kept, [seq], "_before", keys=keys).filter(F.col("_before") < most)
     return long.join(kept.select(*keys, seq), [*keys, seq], "left_semi")
 
 
@@ -102,30 +105,20 @@ def occupancy(long: DataFrame, weights: DataFrame, keys: list[str] | None = None
 
 def pair_entropy(long: DataFrame, weights: DataFrame, keys: list[str] | None = None, seq: str = "seq") -> DataFrame:
     """(keys, i, j, h, gaps), i < j: entropy of weighted state pairs that occur, and the weight share of gap pairs."""
-    keys = keys or []
-    rows = long.join(weights, [*keys, seq])
-    a = rows.select(*keys, seq, F.col("pos").alias("i"), F.col("code").alias("a"), "weight")
-    b = rows.select(*keys, seq, F.col("pos").alias("j"), F.col("code").alias("b"))
-    pairs = a.join(b, [*keys, seq]).filter("i < j").groupBy(*keys, "i", "j", "a", "b").agg(F.sum("weight").alias("w"))
-    totals = pairs.groupBy(*keys, "i", "j").agg(
-        F.sum("w").alias("n"), F.sum(F.col("w") * F.log("w")).alias("s"), F.coalesce(F.sum(F.when((F.col("a") == GAP) & (F.col("b") == GAP), F.col("w"))), F.lit(0.0)).alias("g")
-    )
-    #  -sum f ln f with f = w / n
-    return totals.select(*keys, "i", "j", (F.log("n") - F.col("s") / F.col("n")).alias("h"), (F.col("g") / F.col("n")).alias("gaps"))
-
-
-def _inverse_covariance(aligned: pd.Series, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One-hot states (rows, columns x 21), weights by neighbours over 0.8, and the inverse of the regularised covariance as (i, a, j, b)."""
-    code = np.array([[max(ALPHABET.find(c), -1) for c in s] for s in aligned.str.replace("[a-z]", "", regex=True)])
-    code[code < 0] = GAP
-    n, length = code.shape
-    w = 1 / np.array([((code == row).sum(1) > 0.8 * length).sum() for row in code]).clip(1)
-    x = np.eye(STATES)[code].reshape(n, -1)
-    points = w.sum() - np.sqrt(w.mean())
-    points = points if points > 1e-9 else 1.0  # one sequence, or as many copies of one
-    centred = (x - (w[:, None] * x).sum(0) / points) * np.sqrt(w)[:, None]
-    inverse = np.linalg.inv(centred.T @ centred / points + np.eye(x.shape[1]) * penalty / np.sqrt(w.sum()))
-    return x, w, inverse.reshape(length, STATES, length, STATES)
+    return moments.entropies(moments.column_moments(long, weights, keys, seq), keys)
+
+
+def _finished(rows: DataFrame, key: str, aligned_col: str, of, schema: str) -> DataFrame:
+    """of(key, blocks, total, count) for the finished moments of each alignment; sequences weigh by neighbours over 0.8."""
+    numbered = settled(rows.select(key, F.col(aligned_col).alias("aligned"), F.monotonically_increasing_id().alias("seq")))
+    long = encoded(numbered, keys=[key])
+    weights = settled(sequence_weights(long, keys=[key]))
+    sums = moments.with_totals(moments.column_moments(long, weights, [key]), weights, [key])
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        return of(group[key].iloc[0], group.to_dict("records"), float(group["_total"].iloc[0]), int(group["_count"].iloc[0]))
+
+    return sums.groupBy(key).applyInPandas(one, f"{key} {dict(rows.dtypes)[key]}, {schema}")
 
 
 def _corrected_norms(inverse: np.ndarray) -> np.ndarray:
@@ -138,20 +131,30 @@ def _corrected_norms(inverse: np.ndarray) -> np.ndarray:
 def couplings(rows: DataFrame, key: str, aligned_col: str = "aligned", penalty: float = 4.5) -> DataFrame:
     """(key, i, j, score): corrected norms of the inverse of the regularised covariance of an alignment's columns.
 
-    All 21 states are inverted, and norms are taken over those that aren't gaps.
-
-    One alignment is one group, since a matrix inverse needs it whole; alignments, of which
-    there are many, are what Spark deals out. Sequences weigh by neighbours over 0.8.
+    All 21 states are inverted, and norms are taken over those that aren't gaps. Rows are
+    summed up in chunks; only the finished covariance, whose size is that of the columns, is
+    inverted in one task.
     """
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        score = _corrected_norms(_inverse_covariance(group["aligned"], penalty)[2])
+    def one(name, blocks: list[dict], total: float, count: int) -> pd.DataFrame:
+        score = _corrected_norms(moments.inverse_covariance(moments.assembled(blocks), total, count, penalty))
         i, j = np.triu_indices(len(score), 1)
-        return pd.DataFrame({key: group[key].iloc[0], "i": i, "j": j, "score": score[i, j]})
+        return pd.DataFrame({key: name, "i": i, "j": j, "score": score[i, j]})
+
+    return _finished(rows, key, aligned_col, one, "i int, j int, score double")
+
 
-    kind = dict(rows.dtypes)[key]
-    data = rows.select(key, F.col(aligned_col).alias("aligned"))
-    return data.groupBy(key).applyInPandas(one, f"{key} {kind}, i int, j int, score double")
+def column_covariance(rows: DataFrame, key: str, aligned_col: str = "aligned") -> DataFrame:
+    """(key, i, j, norm), i < j: the norm of the covariance of two columns' states, gaps included."""
+
+    def one(name, blocks: list[dict], total: float, count: int) -> pd.DataFrame:
+        cov = moments.covariance(moments.assembled(blocks), total, count)
+        length = len(cov) // STATES
+        norms = np.sqrt((cov.reshape(length, STATES, length, STATES) ** 2).sum((1, 3)))
+        i, j = np.triu_indices(length, 1)
+        return pd.DataFrame({key: name, "i": i, "j": j, "norm": norms[i, j]})
+
+    return _finished(rows, key, aligned_col, one, "i int, j int, norm double")
 
 
 def column_features(long: DataFrame, weights: DataFrame, rates: DataFrame, keys: list[str] | None = None, seq: str = "seq") -> DataFrame:
@@ -175,24 +178,21 @@ def pair_inputs(rows: DataFrame, key: str, aligned_col: str = "aligned", penalty
 
     The 441 of the inverse covariance's block, its corrected norm, the entropy of the pair's
     states (each plus 1e-9) and the weight share of gap pairs. All are 0 for a single sequence.
-    Alignments are dealt out whole, as for couplings.
+    Rows are summed up in chunks, as for couplings.
     """
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        x, w, inverse = _inverse_covariance(group["aligned"], penalty)
+    def one(name, blocks: list[dict], total: float, count: int) -> pd.DataFrame:
+        second = moments.assembled(blocks)
+        inverse = moments.inverse_covariance(second, total, count, penalty)
         length = len(inverse)
-        f = ((w[:, None] * x).T @ x / w.sum() + 1e-9).reshape(length, STATES, length, STATES)
+        f = (second / total + 1e-9).reshape(length, STATES, length, STATES)
         entropies = -(f * np.log(f)).sum((1, 3))
-        blocks = inverse.transpose(0, 2, 1, 3).reshape(length, length, -1)
-        out = np.concatenate([blocks, np.stack([_corrected_norms(inverse), entropies, f[:, GAP, :, GAP]], -1)], -1).astype(np.float32)
-        if len(x) == 1:
-            out[:] = 0
+        out = np.concatenate([inverse.transpose(0, 2, 1, 3).reshape(length, length, -1), np.stack([_corrected_norms(inverse), entropies, f[:, GAP, :, GAP]], -1)], -1)
+        out = out.astype(np.float32) * np.float32(count > 1)
         i, j = (k.ravel() for k in np.indices((length, length)))
-        return pd.DataFrame({key: group[key].iloc[0], "i": i, "j": j, "f2d": list(out.reshape(length * length, -1))})
+        return pd.DataFrame({key: name, "i": i, "j": j, "f2d": list(out.reshape(length * length, -1))})
 
-    kind = dict(rows.dtypes)[key]
-    data = rows.select(key, F.col(aligned_col).alias("aligned"))
-    return data.groupBy(key).applyInPandas(one, f"{key} {kind}, i int, j int, f2d array<float>")
+    return _finished(rows, key, aligned_col, one, "i int, j int, f2d array<float>")
 
 
 def pair_table(columns: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
@@ -211,8 +211,8 @@ def subsample(rows: DataFrame, share: float, seed: int) -> DataFrame:
 
 
 def first_rows(rows: DataFrame, most: int, order: str, keys: list[str] | None = None) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*(keys or [])).orderBy(order))
-    return rows.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
+    """The first most rows of each group; ranks are made in two levels, so a group is no one task."""
+    return with_earlier(rows, [order], "_before", keys=keys).filter(F.col("_before") < most).drop("_before")
 
 
 def pair_features(long: DataFrame, keys: list[str] | None = None) -> DataFrame:

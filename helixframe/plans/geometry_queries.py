@@ -250,13 +250,41 @@ def msa_pair_entropy(spark, d):
     return _rounded(msa.pair_entropy(long, msa.sequence_weights(long)), "h", "gaps")
 
 
-@query()
-def msa_couplings(spark, d):
+def _lines(spark, d):
     """Each text is an alignment, of its lines of 16 characters."""
     text = F.upper(F.translate("text", ACCENTED, ""))
     lines = F.regexp_extract_all(F.concat(text, F.lit("-" * 15)), F.lit("(?s).{16}"), F.lit(0))
-    rows = table(spark, d, "benchmark").select("item_id", F.explode(lines).alias("aligned"))
-    return _rounded(msa.couplings(rows, "item_id"), "score", digits=4)
+    return table(spark, d, "benchmark").select("item_id", F.explode(lines).alias("aligned"))
+
+
+@query()
+def msa_couplings(spark, d):
+    return _rounded(msa.couplings(_lines(spark, d), "item_id"), "score", digits=4)
+
+
+@query(
+    f"""WITH t AS (SELECT item_id, upper(translate(text, '{ACCENTED}', '')) || repeat('-', 15) AS t FROM benchmark),
+        l AS (SELECT item_id, k AS seq, substr(t, (16 * k + 1)::int, 16) AS aligned FROM t, range(0, 10000) r(k) WHERE k < length(t) // 16),
+        e AS (
+            SELECT item_id, seq, i::int AS pos, CASE WHEN strpos('ARNDCQEGHILKMFPSTWYV-', substr(aligned, i::int + 1, 1)) > 0
+                                             THEN strpos('ARNDCQEGHILKMFPSTWYV-', substr(aligned, i::int + 1, 1)) - 1 ELSE 20 END AS code
+            FROM l, range(16) r(i)),
+        w AS (
+            SELECT item_id, a AS seq, 1.0::double / count(*) AS w
+            FROM (SELECT x.item_id, x.seq AS a, y.seq AS b FROM e x JOIN e y ON x.item_id = y.item_id AND x.pos = y.pos AND x.code = y.code
+                  GROUP BY ALL HAVING count(*) > 16 * 0.8::double) GROUP BY item_id, a),
+        p AS (SELECT item_id, sum(w) AS total, CASE WHEN sum(w) - sqrt(avg(w)) > 1e-9 THEN sum(w) - sqrt(avg(w)) ELSE 1 END AS points FROM w GROUP BY item_id),
+        f AS (SELECT item_id, pos, code, sum(w) AS s FROM e JOIN w USING (item_id, seq) GROUP BY ALL),
+        s AS (SELECT x.item_id, x.pos AS i, y.pos AS j, x.code AS a, y.code AS b, sum(w) AS s
+              FROM e x JOIN e y ON x.item_id = y.item_id AND x.seq = y.seq AND x.pos < y.pos JOIN w ON w.item_id = x.item_id AND w.seq = x.seq GROUP BY ALL),
+        c AS (
+            SELECT x.item_id, x.pos AS i, y.pos AS j, (coalesce(s.s, 0) - (2 / points - total / points / points) * x.s * y.s) / points AS c
+            FROM f x JOIN f y ON x.item_id = y.item_id AND x.pos < y.pos JOIN p ON p.item_id = x.item_id
+            LEFT JOIN s ON s.item_id = x.item_id AND s.i = x.pos AND s.j = y.pos AND s.a = x.code AND s.b = y.code)
+        SELECT item_id, i, j, round(sqrt(sum(c * c)), 6) AS norm FROM c GROUP BY item_id, i, j"""
+)
+def msa_covariance(spark, d):
+    return _rounded(msa.column_covariance(_lines(spark, d), "item_id"), "norm")
 
 
 @query(

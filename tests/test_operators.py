@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import arrays, colour, geometry as g, text
-from helixframe.operators import alignment, contacts, curves, forum, msa, relational, restraints, scoring, selection, store, structures, windows
+from helixframe.operators import alignment, contacts, curves, forum, moments, msa, relational, restraints, scoring, selection, store, structures, windows
 from helixframe.streaming.rollup import windowed_areas, write_windows
 
 CONTACTS = "a_chain string, a_num int, b_chain string, b_num int, class string, area double"
@@ -404,6 +404,42 @@ def test_msa(spark):
     assert rows(msa.coverage_choice(choice, ["t"]), "t", "e_value", "coverage") == [("t", 1e-30, 50), ("u", 1e-3, 50)]
 
 
+def test_moments_merge(spark):
+    """Any blocks, chunks and partitions give the sums of one pass; places without a code have no state."""
+    rng = random.Random(12)
+    data = [(k, i, p, rng.randrange(21)) for k in range(2) for i in range(60) for p in range(23 - 9 * k) if rng.random() < 0.9]
+    weights = [(k, i, rng.random()) for k in range(2) for i in range(60) if i != 7]
+    long = spark.createDataFrame(data, "k int, seq int, pos int, code int")
+    weighted = spark.createDataFrame(weights, "k int, seq int, weight double")
+    w, want = {(k, i): x for k, i, x in weights}, {}
+    by_seq = {}
+    for k, i, p, c in data:
+        by_seq.setdefault((k, i), []).append((p, c))
+    for (k, i), places in by_seq.items():
+        for (p, a), (q, b) in itertools.product(places, places):
+            want[k, p, a, q, b] = want.get((k, p, a, q, b), 0) + w.get((k, i), 0)
+    for block, chunk, together, parts in ((32, 4096, 16, 1), (5, 7, 2, 5), (4, 1, 3, 3)):
+        found = moments.column_moments(long.repartition(parts), weighted, ["k"], block=block, chunk=chunk, together=together).collect()
+        assert len({(r["k"], r["i_block"], r["j_block"]) for r in found}) == len(found)
+        for k in range(2):
+            whole = moments.assembled([r.asDict() for r in found if r["k"] == k], block).reshape(23 - 9 * k, 21, 23 - 9 * k, 21)
+            for p, a, q, b in zip(*np.nonzero(whole)):
+                assert math.isclose(whole[p, a, q, b], want[k, p, a, q, b])
+            assert sum(v > 0 for (own, *_), v in want.items() if own == k) == np.count_nonzero(whole)
+    entropies = {(r["k"], r["i"], r["j"]): (r["h"], r["gaps"]) for r in msa.pair_entropy(long, weighted, ["k"]).collect()}
+    for (k, i, j), (h, gaps) in entropies.items():
+        v = [x for (own, p, _, q, _), x in want.items() if (own, p, q) == (k, i, j) and x > 0]
+        assert i < j and math.isclose(h, -sum(x / sum(v) * math.log(x / sum(v)) for x in v), abs_tol=1e-9) and math.isclose(gaps, want.get((k, i, 20, j, 20), 0) / sum(v), abs_tol=1e-12)
+    assert len(entropies) == 23 * 11 + 7 * 13
+    assert moments.column_moments(long.limit(0), weighted, ["k"]).count() == 0
+
+
+def test_ranks_of_one_group(spark):
+    df = spark.createDataFrame([(i % 2, (i * 37) % 101, f"r{i}") for i in range(101)], "k int, o int, name string").repartition(5)
+    assert rows(msa.first_rows(df, 10, "o").select("o")) == [(i,) for i in range(10)]
+    assert msa.first_rows(df, 7, "o", ["k"]).groupBy("k").count().collect() and {r["count"] for r in msa.first_rows(df, 7, "o", ["k"]).groupBy("k").count().collect()} == {7}
+
+
 def test_pair_table(spark):
     msas = {1: ["ACDE", "ACDK", "AKDE", "A-DV", "ACDE"], 2: ["ACD"]}
     data = [(m, i, s) for m, seqs in msas.items() for i, s in enumerate(seqs)]
