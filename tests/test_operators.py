@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -473,6 +474,76 @@ def test_pair_table(spark):
             assert math.isclose(values[532], math.log(abs(i - j) + 1), abs_tol=1e-12)
 
 
+def full_tables(a: str, b: str, match: int = 10, mismatch: int = -10, start: int = -20, extend: int = -1, local: bool = False) -> tuple[int, list[tuple[int, int]]]:
+    """The same alignment from three whole tables of scores."""
+    n, m, low = len(a), len(b), -(10**9)
+    best, ins, dele = (np.full((n + 1, m + 1), low, np.int64) for _ in range(3))
+    edge = [0, *(0 if local else start + k * extend for k in range(max(n, m)))]
+    best[:, 0], best[0, :] = edge[: n + 1], edge[: m + 1]
+    dele[1:, 0], ins[0, 1:] = best[1:, 0], best[0, 1:]
+    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
+    flat_best, flat_ins, flat_dele = best.ravel(), ins.ravel(), dele.ravel()
+    #  an anti-diagonal at a time: i + j = d lies at places i * m + d of the flat tables, m apart
+    for d in range(2, n + m + 1) if n and m else ():
+        i, last = max(1, d - m), min(n, d - 1)
+
+        def along(row: int, diagonal: int, count: int = last - i + 1) -> slice:
+            return slice(row * m + diagonal, (row + count - 1) * m + diagonal + 1, m)
+
+        here, left, up = along(i, d), along(i, d - 1), along(i - 1, d - 1)
+        flat_ins[here] = np.maximum(flat_best[left] + start, flat_ins[left] + extend)
+        flat_dele[here] = np.maximum(flat_best[up] + start, flat_dele[up] + extend)
+        equal = x[i - 1 : last] == y[d - last - 1 : d - i][::-1]
+        score = np.maximum(np.maximum(flat_ins[here], flat_dele[here]), flat_best[along(i - 1, d - 2)] + np.where(equal, match, mismatch))
+        flat_best[here] = np.maximum(score, 0) if local else score
+    i, j = (int(x) for x in np.unravel_index(np.argmax(best), best.shape)) if local else (n, m)
+    score, pairs = int(best[i, j]), []
+    while i > 0 or j > 0:
+        if local and best[i, j] == 0:
+            break
+        if j > 0 and (i == 0 or best[i, j] == ins[i, j]):
+            pairs.append((-1, j - 1))
+            while j > 1 and ins[i, j] == ins[i, j - 1] + extend and ins[i, j] != best[i, j - 1] + start:
+                j -= 1
+                pairs.append((-1, j - 1))
+            j -= 1
+        elif i > 0 and (j == 0 or best[i, j] == dele[i, j]):
+            pairs.append((i - 1, -1))
+            while i > 1 and dele[i, j] == dele[i - 1, j] + extend and dele[i, j] != best[i - 1, j] + start:
+                i -= 1
+                pairs.append((i - 1, -1))
+            i -= 1
+        else:
+            pairs.append((i - 1, j - 1))
+            i, j = i - 1, j - 1
+    return score, pairs[::-1]
+
+
+@pytest.mark.parametrize("kept_cells", [1 << 24, 40, 1])
+def test_alignment_keeps_few_rows(monkeypatch, kept_cells):
+    monkeypatch.setattr(alignment, "KEPT_CELLS", kept_cells)
+    rng = random.Random(5)
+    kinds = ({}, {"local": True}, {"start": -3, "match": 2, "mismatch": -1}, {"start": -1, "match": 1, "mismatch": -1}, {"start": -2, "extend": 0, "match": 1, "mismatch": 0, "local": True})
+    for t in range(250):
+        a, b = ("".join(rng.choice(("AC", "ACDE")[t % 2]) for _ in range(rng.randrange(0, 26))) for _ in range(2))
+        for scoring in kinds:
+            assert alignment.align_pair(a, b, **scoring) == full_tables(a, b, **scoring)
+    with pytest.raises(ValueError, match="cheaper"):
+        alignment.align_pair("A", "C", start=0, extend=-1)
+
+
+def test_alignment_in_little_memory(monkeypatch):
+    """8,000 letters each: a table of one byte a pair would take 64 MB."""
+    monkeypatch.setattr(alignment, "KEPT_CELLS", 1 << 20)
+    rng = random.Random(1)
+    a = "".join(rng.choice("ACDEFGHIKL") for _ in range(8000))
+    tracemalloc.start()
+    score, places = alignment.align_pair(a, a[:3000] + a[5000:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6 and score == 6000 * 10 - 20 - 1999 and len(places) == 8000
+
+
 def slow_best(a, b, start, extend, local):
     """The best score by trying every gap length at every cell."""
     best = {}
