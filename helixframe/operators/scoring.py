@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import permutations
+from math import factorial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.operators.contacts import combined
 
 GAP, BREAK, UNDEFINED = -1.0, -2.0, -3.0
 
@@ -156,22 +157,105 @@ def blurred_ratio(profiles: DataFrame, width: int, keys: list[str] | None = None
     return joined.select(*keys, "chain", "num", ratio.alias("score"))
 
 
-def best_chain_permutation(target: DataFrame, model: DataFrame, names: list[str], kind: int = 0) -> DataFrame:
+#: Gains are whole numbers of this part of an area, so that equal permutations tie whatever the order of sums.
+GAIN_DIGITS = 9
+
+
+def chain_pair_gains(target: DataFrame, model: DataFrame, names: list[str]) -> DataFrame:
+    """(c, e, d, f, gain): by how much the model's AA contacts of chains d and f, named c and e, would lower the bounded difference.
+
+    A contact that both sides have, of residues with the same numbers, lowers it from the
+    target's area t to least(|t - m|, t). Each pair of chains meets each once, so nothing is
+    copied for a permutation. Chains outside names keep theirs, which are null here.
+    """
+    areas = lambda df: df.filter(F.col("class") == "AA").groupBy("a_chain", "a_num", "b_chain", "b_num").agg(F.sum("area").alias("area"))
+    t, m = areas(target).alias("t"), areas(model).alias("m")
+    met = t.join(m, (F.col("t.a_num") == F.col("m.a_num")) & (F.col("t.b_num") == F.col("m.b_num")))
+    shared = lambda c: F.col(c).isin(*names)
+    for end in ("a_chain", "b_chain"):
+        met = met.filter(F.when(shared(f"t.{end}"), shared(f"m.{end}")).otherwise(F.col(f"t.{end}") == F.col(f"m.{end}")))
+    gain = F.col("t.area") - F.least(F.abs(F.col("t.area") - F.col("m.area")), F.col("t.area"))
+    ends = (("c", "t.a_chain"), ("e", "t.b_chain"), ("d", "m.a_chain"), ("f", "m.b_chain"))
+    named = met.select(*[F.when(shared(c), F.col(c)).alias(n) for n, c in ends], gain.cast(f"decimal(38,{GAIN_DIGITS})").alias("gain"))
+    return named.groupBy("c", "e", "d", "f").agg(F.sum("gain").alias("gain")).filter("gain <> 0")
+
+
+def best_assignment(gains: list[tuple], names: list[str]) -> tuple[tuple[str, ...], int]:
+    """The permutation of names of greatest summed gain, the first on ties, from whole (c, e, d, f, gain).
+
+    Depth first in the permutations' order. What an assignment that is begun can reach at
+    most is what its chains gain among themselves and the most that every open pair could;
+    a branch that can't exceed the best is left.
+    """
+    n, at = len(names), {name: i for i, name in enumerate(names)}
+    pair, alone, fixed = np.zeros((n, n, n, n), object), np.zeros((n, n), object), 0
+    for c, e, d, f, gain in gains:
+        if c is None and e is None:
+            fixed += gain
+        elif c is None or e is None or d == f:
+            if d == f and c != e:
+                continue  # one chain has one name
+            alone[at[d or f], at[c or e]] += gain
+        elif c != e:
+            pair[at[d], at[f], at[c], at[e]] += gain
+    both = pair + pair.transpose(1, 0, 3, 2)  # of an unordered pair of the model's chains
+    best, found = None, None
+    order: list[int] = []
+
+    def most(free: list[int], total: int) -> int:
+        for d in range(len(order), n):
+            total += max(alone[d, c] + sum(both[d, g, c, order[g]] for g in range(len(order))) for c in free)
+            for f in range(d + 1, n):
+                total += max((both[d, f, c, e] for c in free for e in free if c != e), default=0)
+        return total
+
+    def search(total: int) -> None:
+        nonlocal best, found
+        d = len(order)
+        if d == n:
+            if best is None or total > best:
+                best, found = total, tuple(order)
+            return
+        free = [c for c in range(n) if c not in order]
+        if best is not None and most(free, total) <= best:
+            return
+        for c in free:
+            gain = alone[d, c] + sum(both[d, g, c, order[g]] for g in range(d))
+            order.append(c)
+            search(total + gain)
+            order.pop()
+
+    search(fixed)
+    return tuple(names[c] for c in found), best
+
+
+def best_chain_permutation(target: DataFrame, model: DataFrame, names: list[str]) -> DataFrame:
     """(permutation, score, order) of the renaming of the model's chains with the best AA score, the first on ties.
 
-    names are the chains that both sides share, a handful; the permutations are a small
-    table that the model's rows are exploded by.
+    names are the chains that both sides share; order is the permutation's place among all
+    of them. The score is of bounded differences. Spark sums what each pair of chains gains
+    under each pair of names, at most a row for four chains; the search over assignments
+    sees those rows alone. Without any area in the target the first permutation scores 0.
     """
-    table = [(i, ",".join(p), dict(zip(names, p, strict=True))) for i, p in enumerate(permutations(names))]
-    options = target.sparkSession.createDataFrame(table, "order int, permutation string, to map<string,string>")
-    aa = F.col("class") == "AA"
-    renamed = model.filter(aa).join(F.broadcast(options))
-    renamed = renamed.withColumns({c: F.coalesce(F.try_element_at("to", c), F.col(c)) for c in ("a_chain", "b_chain")}).drop("to")
-    fixed = target.filter(aa).join(F.broadcast(options.drop("to")))
-    merged = combined(fixed, renamed, ["order", "permutation"])
-    scores = global_scores(profile(merged, kind, keys=["order", "permutation"]), keys=["order", "permutation"])
-    best = F.max_by(F.struct("permutation", "score", "order"), F.struct(F.col("score"), -F.col("order")))
-    return scores.agg(best.alias("best")).select("best.*")
+    reference = target.filter(F.col("class") == "AA").agg(F.coalesce(F.sum(F.col("area").cast(f"decimal(38,{GAIN_DIGITS})")), F.lit(0)).alias("gain"))
+    rows = chain_pair_gains(target, model, names).withColumn("reference", F.lit(False))
+    nothing = [F.lit(None).cast("string").alias(c) for c in "cedf"]
+    rows = rows.unionByName(reference.select(*nothing, "gain", F.lit(True).alias("reference")))
+    whole = (F.col("gain") * F.lit(10**GAIN_DIGITS)).cast("decimal(38,0)")
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        total = int(group.loc[group["reference"], "gain"].iloc[0])
+        gains = [(*(x or None for x in r[:4]), int(r[4])) for r in group.loc[~group["reference"], ["c", "e", "d", "f", "gain"]].itertuples(index=False)]
+        permutation, gain = best_assignment(gains, names)
+        left, order = list(names), 0
+        for i, name in enumerate(permutation):  # places in the factorial number system
+            order += left.index(name) * factorial(len(names) - 1 - i)
+            left.remove(name)
+        score = 1 - (total - gain) / total if total > 0 else 0.0
+        return pd.DataFrame({"permutation": [",".join(permutation)], "score": [score], "order": [order]})
+
+    rows = rows.select("c", "e", "d", "f", whole.alias("gain"), "reference", F.lit(0).alias("_all"))
+    return rows.groupBy("_all").applyInPandas(one, "permutation string, score double, order int")
 
 
 def score_table(scores: DataFrame, names: list[str]) -> DataFrame:

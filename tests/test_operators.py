@@ -697,3 +697,51 @@ def test_scratch_on_a_cluster_is_shared():
     for own in ("file:/home/me/spark-warehouse", "file:///w", "spark-warehouse", "/w"):
         with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
             _in_warehouse(own)
+
+
+def brute_permutation(target, model, names):
+    """Every renaming, contact by contact."""
+    best = None
+    for order, p in enumerate(itertools.permutations(names)):
+        to, areas = dict(zip(names, p, strict=True)), {}
+        for a, i, b, k, kind, area in model:
+            if kind == "AA":
+                end = (to.get(a, a), i, to.get(b, b), k)
+                areas[end] = areas.get(end, 0) + area
+        t = {}
+        for a, i, b, k, kind, area in target:
+            if kind == "AA":
+                t[a, i, b, k] = t.get((a, i, b, k), 0) + area
+        ref = sum(t.values())
+        score = 1 - sum(min(abs(v - areas.get(x, 0)), v) for x, v in t.items()) / ref if ref else 0.0
+        if best is None or score > best[1]:
+            best = (",".join(p), score, order)
+    return best
+
+
+@pytest.mark.parametrize("names", ["A", "AB", "ABC", "ABCDE"])
+def test_chain_permutation(spark, names):
+    rng = random.Random(len(names))
+    for case in range(3):
+        chains = names + "z"  # z keeps its name
+        rows_ = [(rng.choice(chains), rng.randrange(4), rng.choice(chains), rng.randrange(4), rng.choice(["AA", "AA", "SS"]), float(rng.randrange(1, 50))) for _ in range(160)]
+        turn = dict(zip(names, rng.sample(names, len(names)), strict=True))
+        model = [(turn.get(a, a), i, turn.get(b, b), k, kind, area + rng.choice([0, 1])) for a, i, b, k, kind, area in rows_ if rng.random() < 0.9]
+        if case == 2:  # all the same: the first wins
+            rows_ = model = [(a, 1, b, 2, "AA", 8.0) for a in chains for b in chains]
+        found = scoring.best_chain_permutation(spark.createDataFrame(rows_, CONTACTS), spark.createDataFrame(model, CONTACTS), list(names)).first()
+        want = brute_permutation(rows_, model, list(names))
+        assert (found["permutation"], found["order"]) == (want[0], want[2]) and math.isclose(found["score"], want[1])
+    empty = spark.createDataFrame([], CONTACTS)
+    assert tuple(scoring.best_chain_permutation(empty, empty, list(names)).first()) == (",".join(names), 0.0, 0)
+
+
+def test_ten_chains(spark):
+    names = "ABCDEFGHIJ"
+    rng = random.Random(4)
+    target = [(a, i, b, i + 1, "AA", float(rng.randrange(1, 90))) for a in names for b in names for i in range(6) if rng.random() < 0.4]
+    turn = dict(zip(names, "DGAJBHCIFE", strict=True))
+    model = [(turn[a], i, turn[b], k, kind, area + 0.5) for a, i, b, k, kind, area in target]
+    found = scoring.best_chain_permutation(spark.createDataFrame(target, CONTACTS), spark.createDataFrame(model, CONTACTS), list(names)).first()
+    back = {v: k for k, v in turn.items()}
+    assert found["permutation"] == ",".join(back[n] for n in names) and found["score"] > 0.9
