@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.arrays import lddt_share
+from helixframe.operators.linkage import single_linkage
 from helixframe.operators.windows import hanning
 
 
@@ -82,14 +83,15 @@ def model_distances(pairs: DataFrame, keys: list[str] | None = None) -> DataFram
     return pairs.select(*keys, "a", "b", d).unionByName(pairs.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), d))
 
 
-def _agglomerate(matrix: np.ndarray, k: int, linkage: str) -> np.ndarray:
+def _agglomerate(matrix: np.ndarray, k: int) -> np.ndarray:
+    """Average linkage."""
     n = len(matrix)
     d, sizes, label = matrix.astype(float).copy(), np.ones(n), np.arange(n)
     np.fill_diagonal(d, np.inf)
     alive = np.ones(n, bool)
     for _ in range(n - max(1, k)):
         a, b = sorted(np.unravel_index(np.argmin(d), d.shape))
-        merged = (sizes[a] * d[a] + sizes[b] * d[b]) / (sizes[a] + sizes[b]) if linkage == "average" else np.minimum(d[a], d[b])
+        merged = (sizes[a] * d[a] + sizes[b] * d[b]) / (sizes[a] + sizes[b])
         d[a], d[:, a] = merged, merged
         d[b], d[:, b], d[a, a] = np.inf, np.inf, np.inf
         label[label == b] = a
@@ -101,14 +103,17 @@ def _agglomerate(matrix: np.ndarray, k: int, linkage: str) -> np.ndarray:
 def clustered(distances: DataFrame, key: str, k: int = 3, linkage: str = "average") -> DataFrame:
     """(key, model, cluster) by agglomeration of each key's distance matrix (a, b, distance) to k clusters.
 
-    A key's matrix is one target's few models; targets are what Spark deals out.
+    Average linkage needs a key's whole matrix, one target's few models; targets are what
+    Spark deals out. Single linkage (linkage.single_linkage) needs none.
     """
+    if linkage == "single":
+        return single_linkage(distances, [key], k)
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         matrix = group.pivot_table(index="a", columns="b", values="distance")
         names = sorted(set(matrix.index) | set(matrix.columns))
         full = matrix.reindex(index=names, columns=names).fillna(0.0).to_numpy()
-        return pd.DataFrame({key: group[key].iloc[0], "model": names, "cluster": _agglomerate(full, min(k, len(names)), linkage)})
+        return pd.DataFrame({key: group[key].iloc[0], "model": names, "cluster": _agglomerate(full, min(k, len(names)))})
 
     kinds = dict(distances.dtypes)
     return distances.groupBy(key).applyInPandas(one, f"{key} {kinds[key]}, model {kinds['a']}, cluster int")

@@ -236,6 +236,21 @@ def model_clusters(spark, d):
     return selection.clustered(model_distances(spark, d), "t", 3)
 
 
+@query(
+    """WITH RECURSIVE p AS (SELECT label AS t, vec_id % 6 AS m, avg(embedding[1]::double) AS v FROM embeddings GROUP BY ALL),
+       d AS (SELECT x.t, x.m AS a, y.m AS b, round(1 - (x.v + y.v) / 2, 6) AS distance FROM p x JOIN p y USING (t) WHERE x.m < y.m),
+       e AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY distance, a, b) AS r FROM d),
+       s AS (SELECT t, a, b, r FROM e UNION ALL SELECT t, b, a, r FROM e),
+       c AS (SELECT DISTINCT p.t, e.r, p.m AS a, p.m AS b FROM p JOIN (SELECT t, r FROM e UNION ALL SELECT DISTINCT t, 0 FROM e) e USING (t)
+             UNION SELECT c.t, c.r, c.a, s.b FROM c JOIN s ON s.t = c.t AND s.a = c.b AND s.r <= c.r),
+       l AS (SELECT t, r, a AS model, min(b) AS least FROM c GROUP BY ALL),
+       n AS (SELECT t, r FROM l GROUP BY t, r HAVING count(DISTINCT least) <= 3 QUALIFY row_number() OVER (PARTITION BY t ORDER BY r) = 1)
+       SELECT l.t, model, (dense_rank() OVER (PARTITION BY l.t ORDER BY least) - 1)::int AS cluster FROM l JOIN n ON l.t = n.t AND l.r = n.r"""
+)
+def model_single_linkage(spark, d):
+    return selection.clustered(model_distances(spark, d), "t", 3, "single")
+
+
 @query(
     """WITH e AS (SELECT item_id, text, generate_subscripts(regexp_extract_all(text, '[a-z]*[^a-z]'), 1) - 1 AS pos, unnest(regexp_extract_all(text, '([a-z]*)[^a-z]', 1)) AS run FROM benchmark)
        SELECT pos, round(avg(CASE WHEN length(run) > 0 THEN 1.0::double ELSE 0.0::double END), 6) AS rate FROM e GROUP BY pos"""

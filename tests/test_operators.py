@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import arrays, colour, geometry as g, text
-from helixframe.operators import alignment, contacts, curves, forum, moments, msa, relational, restraints, scoring, selection, store, structures, windows
+from helixframe.operators import alignment, contacts, curves, forum, linkage, moments, msa, relational, restraints, scoring, selection, store, structures, windows
 from helixframe.streaming.rollup import windowed_areas, write_windows
 
 CONTACTS = "a_chain string, a_num int, b_chain string, b_num int, class string, area double"
@@ -745,3 +745,31 @@ def test_ten_chains(spark):
     found = scoring.best_chain_permutation(spark.createDataFrame(target, CONTACTS), spark.createDataFrame(model, CONTACTS), list(names)).first()
     back = {v: k for k, v in turn.items()}
     assert found["permutation"] == ",".join(back[n] for n in names) and found["score"] > 0.9
+
+
+def kruskal(nodes, edges, k):
+    """Clusters by joining along the shortest edges, ties by their ends, until k are left; numbered by least member."""
+    part = {n: n for n in nodes}
+    for _, a, b in sorted((d, min(a, b), max(a, b)) for a, b, d in edges if d is not None and a != b):
+        if len(set(part.values())) <= k:
+            break
+        if part[a] != part[b]:
+            low, high = sorted((part[a], part[b]))
+            part = {n: low if p == high else p for n, p in part.items()}
+    numbers = {p: i for i, p in enumerate(sorted(set(part.values())))}
+    return {n: numbers[p] for n, p in part.items()}
+
+
+def test_single_linkage(spark, k=3):
+    rng = random.Random(k)
+    edges = [("ties", f"n{a:02}", f"n{b:02}", float(rng.randrange(4))) for a in range(12) for b in range(a)]  # many of each distance
+    edges += [("sparse", f"n{rng.randrange(20):02}", f"n{rng.randrange(20):02}", rng.random()) for _ in range(22)]  # several parts, loops, repeats
+    edges += [("line", f"n{a:02}", f"n{a + 1:02}", 1.0) for a in range(9)] + [("one", "n0", "n0", 0.0), ("one", "n1", "n0", None)]
+    found = linkage.single_linkage(spark.createDataFrame(edges, "key string, a string, b string, distance double").repartition(4), ["key"], k)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["key"], {})[r["model"]] = r["cluster"]
+    for key in ("ties", "sparse", "line", "one"):
+        own = [(a, b, d) for name, a, b, d in edges if name == key]
+        assert got[key] == kruskal({n for a, b, _ in own for n in (a, b)}, own, k)
+    assert linkage.single_linkage(spark.createDataFrame([], "key string, a string, b string, distance double"), ["key"], 2).count() == 0
