@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.arrays import lddt_share
 from helixframe.operators.linkage import single_linkage
+from helixframe.operators.relational import with_earlier
 from helixframe.operators.windows import hanning
 
 
@@ -119,10 +120,21 @@ def clustered(distances: DataFrame, key: str, k: int = 3, linkage: str = "averag
     return distances.groupBy(key).applyInPandas(one, f"{key} {kinds[key]}, model {kinds['a']}, cluster int")
 
 
-def final_models(scores: DataFrame, clusters: DataFrame, key: str) -> DataFrame:
-    """(key, model, score, why): representatives of the clusters by mean score, then the best model of each method."""
-    named = scores.join(clusters, [key, "model"])
-    picked = representative(named, [key, "cluster"], "score", "model").select(key, "model", "score", F.concat(F.lit("cluster "), F.col("cluster").cast("string")).alias("why"))
-    rest = scores.join(picked, [key, "model"], "left_anti")
-    best = representative(rest, [key, "method"], "score", "model").select(key, "model", "score", F.concat(F.lit("best "), "method").alias("why"))
-    return picked.unionByName(best)
+def final_models(scores: DataFrame, clusters: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """(key, number, model, score, why): the models that are handed in for each target, numbered from 1.
+
+    First the best model of each cluster among the better half of scores (key, model,
+    score), best first; then the best of the first half of candidates (key, model, score) in
+    order of model, which one method made, and the best of the rest, the other's. Candidates
+    are judged by themselves, picked or not. Of equal scores the greater model comes first in
+    the pool, the lesser among candidates. A target without candidates has picks only.
+    """
+    better = top_half(scores.select(key, "model", "score"), [F.desc("score"), F.desc("model")], [key])
+    picked = top_k(better.join(clusters.select(key, "model", "cluster"), [key, "model"]), 1, [F.desc("score"), F.desc("model")], [key, "cluster"])
+    placed = with_earlier(candidates.select(key, "model", "score"), ["model"], "_before", keys=[key], total="_all")
+    first = F.col("_before") < F.floor(F.col("_all") / 2)
+    best = top_k(placed.withColumn("why", F.when(first, "MSA").otherwise("TBM")), 1, [F.desc("score"), F.asc("model")], [key, "why"])
+    rows = picked.select(key, "model", "score", F.concat(F.lit("cluster "), F.col("cluster").cast("string")).alias("why"), F.lit(0).alias("_turn"))
+    rows = rows.unionByName(best.select(key, "model", "score", "why", F.when(F.col("why") == "MSA", 1).otherwise(2).alias("_turn")))
+    number = F.row_number().over(Window.partitionBy(key).orderBy("_turn", F.desc("score"), F.desc("model")))  # a handful a target
+    return rows.withColumn("number", number).select(key, "number", "model", "score", "why")

@@ -222,13 +222,17 @@ def smoothed_inside(spark, d):
 
 @query(
     """WITH s AS (SELECT c_nationkey AS t, c_custkey AS model, c_mktsegment AS method, c_custkey % 4 AS cluster, c_acctbal AS score FROM customer),
-            p AS (SELECT t, model, score, 'cluster ' || cluster::varchar AS why FROM s QUALIFY row_number() OVER (PARTITION BY t, cluster ORDER BY score DESC, model) = 1),
-            b AS (SELECT t, model, score, 'best ' || method AS why FROM s WHERE (t, model) NOT IN (SELECT (t, model) FROM p) QUALIFY row_number() OVER (PARTITION BY t, method ORDER BY score DESC, model) = 1)
-       SELECT * FROM p UNION ALL SELECT * FROM b"""
+            h AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY t ORDER BY score DESC, model DESC) <= count(*) OVER (PARTITION BY t) // 2),
+            p AS (SELECT t, model, score, 'cluster ' || cluster::varchar AS why, 0 AS turn FROM h QUALIFY row_number() OVER (PARTITION BY t, cluster ORDER BY score DESC, model DESC) = 1),
+            c AS (SELECT t, model, score, CASE WHEN row_number() OVER (PARTITION BY t ORDER BY model) <= count(*) OVER (PARTITION BY t) // 2 THEN 'MSA' ELSE 'TBM' END AS why
+                  FROM s WHERE method IN ('BUILDING', 'MACHINERY')),
+            b AS (SELECT t, model, score, why, CASE why WHEN 'MSA' THEN 1 ELSE 2 END AS turn FROM c QUALIFY row_number() OVER (PARTITION BY t, why ORDER BY score DESC, model) = 1)
+       SELECT t, (row_number() OVER (PARTITION BY t ORDER BY turn, score DESC, model DESC))::int AS number, model, score, why FROM (SELECT * FROM p UNION ALL SELECT * FROM b)"""
 )
 def final_models(spark, d):
     rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("t"), F.col("c_custkey").alias("model"), F.col("c_mktsegment").alias("method"), F.col("c_acctbal").alias("score"))
-    return selection.final_models(rows, rows.select("t", "model", (F.col("model") % 4).alias("cluster")), "t")
+    clusters = rows.select("t", "model", (F.col("model") % 4).alias("cluster"))
+    return selection.final_models(rows, clusters, rows.filter(F.col("method").isin("BUILDING", "MACHINERY")), "t")
 
 
 @query(

@@ -611,9 +611,13 @@ def test_selection(spark):
     data = [("t", f"m{i}", f"m{j}", float(d[i, j])) for i in range(4) for j in range(4) if i != j]
     clusters = selection.clustered(spark.createDataFrame(data, "t string, a string, b string, distance double"), "t", 2)
     assert rows(clusters, "model", "cluster") == [("m0", 0), ("m1", 0), ("m2", 1), ("m3", 1)]
-    scores = spark.createDataFrame([("t", f"m{i}", s, w) for i, (s, w) in enumerate([(0.5, "x"), (0.9, "x"), (0.4, "y"), (0.4, "y")])], "t string, model string, score double, method string")
-    final = selection.final_models(scores, clusters, "t")
-    assert rows(final, "model", "why") == [("m0", "best x"), ("m1", "cluster 0"), ("m2", "cluster 1"), ("m3", "best y")]
+    schema = "t string, model string, score double"
+    pool = [("t", f"m{i}", v) for i, v in enumerate([0.5, 0.9, 0.7, 0.7, 0.4, 0.9, 0.1, 0.2, 0.3])]  # the better half: m5, m1, m3, m2
+    groups = spark.createDataFrame([("t", f"m{i}", i % 2) for i in range(9)], "t string, model string, cluster int")
+    given = [("t", n, v) for n, v in (("c1", 0.3), ("c2", 0.8), ("c3", 0.8), ("m5", 0.9), ("c9", 0.9))] + [("u", "only", 0.1)]
+    final = selection.final_models(spark.createDataFrame(pool, schema), groups, spark.createDataFrame(given, schema), "t")
+    want = [("t", 1, "m5", "cluster 1"), ("t", 2, "m2", "cluster 0"), ("t", 3, "c2", "MSA"), ("t", 4, "c9", "TBM"), ("u", 1, "only", "TBM")]
+    assert rows(final, "t", "number", "model", "why") == want
 
 
 def test_curves(spark):
