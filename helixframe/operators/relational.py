@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import geometry as g
@@ -69,15 +69,42 @@ def pattern_options(residue: Column, atom: Column) -> Column:
     return F.concat(with_residue(residue), with_residue(F.lit("*")))
 
 
-def first_match_lookup(rows: DataFrame, patterns: DataFrame, options: Column, keys: list[str], pattern_col: str = "pattern", value_cols=("value",)) -> DataFrame:
-    """Joins the best-ranked pattern; rows without any keep nulls.
+def first_match_lookup(rows: DataFrame, patterns: DataFrame, options: Column, keys: list[str], pattern_col: str = "pattern", value_cols=("value",), required: bool = False) -> DataFrame:
+    """Joins the best-ranked pattern; rows without any keep nulls or, if one is required, are an error where they are met.
 
     The pattern table is a dictionary that Spark broadcasts when it is small enough.
     """
     ranked = rows.select("*", F.posexplode(options).alias("_rank", "_option"))
     hits = ranked.join(patterns, F.col("_option") == F.col(pattern_col)).groupBy(*keys)
     best = hits.agg(*[F.min_by(v, "_rank").alias(v) for v in value_cols])
-    return rows.join(best, keys, "left")
+    if not required:
+        return rows.join(best, keys, "left")
+    found = rows.join(best.withColumn("_found", F.lit(True)), keys, "left")
+    named = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in keys])
+    refused = F.raise_error(F.concat(F.lit("no pattern fits the row of "), named))
+    return found.withColumns({v: F.when(F.col("_found"), F.col(v)).otherwise(refused) for v in value_cols}).drop("_found")
+
+
+class NotEmpty:
+    """A result that must have rows: check() raises after the action that made it, from a count that the action kept.
+
+    Nothing is read a second time; where no action was run on df, check() waits for one.
+    """
+
+    def __init__(self, df: DataFrame, what: str):
+        self.what, self._seen = what, Observation()
+        self.df = df.observe(self._seen, F.count(F.lit(1)).alias("rows"))
+
+    def check(self) -> int:
+        rows = self._seen.get["rows"]
+        if not rows:
+            raise ValueError(f"no {self.what}")
+        return rows
+
+
+def without(df: DataFrame, unwanted: Column, message: str) -> DataFrame:
+    """df, in which a row that is unwanted is an error where it is met; null isn't unwanted."""
+    return df.filter(F.when(unwanted, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True)))
 
 
 def range_join(left: DataFrame, right: DataFrame, radius: float, left_point: str = "p", right_point: str = "p", keys: list[str] | None = None) -> DataFrame:

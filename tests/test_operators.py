@@ -777,3 +777,23 @@ def test_single_linkage(spark, k=3):
         own = [(a, b, d) for name, a, b, d in edges if name == key]
         assert got[key] == kruskal({n for a, b, _ in own for n in (a, b)}, own, k)
     assert linkage.single_linkage(spark.createDataFrame([], "key string, a string, b string, distance double"), ["key"], 2).count() == 0
+
+
+def test_refused_rows_and_results(spark):
+    atoms = spark.createDataFrame([(1, "ALA", "CB"), (2, "GLY", "CA"), (3, "XXX", "Q")], "i int, res string, atom string")
+    patterns = spark.createDataFrame([("ALA_CB", 1.9), ("*_C*", 1.7)], "pattern string, value double")
+    options = relational.pattern_options(F.col("res"), F.col("atom"))
+    known = relational.first_match_lookup(atoms.filter("i < 3"), patterns, options, ["i"], required=True)
+    assert rows(known, "i", "value") == [(1, 1.9), (2, 1.7)]
+    assert rows(relational.first_match_lookup(atoms, patterns, options, ["i"]), "i", "value") == [(1, 1.9), (2, 1.7), (3, None)]
+    with pytest.raises(Exception, match="no pattern fits the row of i=3"):
+        relational.first_match_lookup(atoms, patterns, options, ["i"], required=True).collect()
+    some = relational.NotEmpty(atoms.filter("i > 1"), "atoms")
+    assert len(some.df.collect()) == 2 and some.check() == 2
+    none = relational.NotEmpty(atoms.filter("i > 9"), "atoms of that name")
+    assert none.df.collect() == []
+    with pytest.raises(ValueError, match="no atoms of that name"):
+        none.check()
+    assert relational.without(atoms, F.col("res").isNull(), "no residue").count() == 3
+    with pytest.raises(Exception, match="unknown residue"):
+        relational.without(atoms, F.col("res") == "XXX", "unknown residue").collect()
