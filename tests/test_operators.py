@@ -797,3 +797,11 @@ def test_refused_rows_and_results(spark):
     assert relational.without(atoms, F.col("res").isNull(), "no residue").count() == 3
     with pytest.raises(Exception, match="unknown residue"):
         relational.without(atoms, F.col("res") == "XXX", "unknown residue").collect()
+
+
+def test_overwrite_blob(spark):
+    before = spark.createDataFrame([("old",)], "text string")
+    for text in ("new\nlines 😀", ""):
+        after = store.overwrite_blob(before, text)
+        assert after.schema == before.schema and [tuple(r) for r in after.collect()] == [(text,)]
+    assert [tuple(r) for r in before.collect()] == [("old",)]
