@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import arrays as a
 from helixframe.functions import geometry as g
 from helixframe.operators import curves, frames, msa, restraints, selection, structures, surfaces, windows
+from helixframe.operators.crowded import dealt_range_join
 from helixframe.operators.relational import range_join
 from helixframe.plans.registry import query
 from helixframe.plans.tables import ACCENTED, ALIGNMENT, LARGEST_RADIUS, POINTS, alignment, points, table
@@ -25,6 +26,18 @@ def range_neighbors(spark, d):
     return _rounded(pairs.select(F.col("l.atom_idx").alias("i"), F.col("r.atom_idx").alias("k"), "d"), "d")
 
 
+@query(
+    """WITH s AS (SELECT vec_id, floor(embedding[1]::double * 20) AS x, floor(embedding[2]::double * 20) AS y, floor(embedding[3]::double * 20) AS z FROM embeddings),
+       c AS (SELECT x, y, z, count(*) AS n FROM s GROUP BY ALL)
+       SELECT s.vec_id, sum(c.n)::bigint AS near FROM s JOIN c ON (s.x - c.x) ** 2 + (s.y - c.y) ** 2 + (s.z - c.z) ** 2 <= 2 GROUP BY s.vec_id"""
+)
+def crowded_neighbors(spark, d):
+    """Embeddings in few places, so that many share each one: how many are near, the own one included."""
+    e = table(spark, d, "embeddings")
+    p = e.select("vec_id", g.point(*[F.floor(F.col("embedding")[i].cast("double") * 20).cast("double") for i in range(3)]).alias("p"))
+    return dealt_range_join(p, p, 1.5, most=256).groupBy(F.col("l.vec_id").alias("vec_id")).agg(F.count("*").alias("near"))
+
+
 @query(f"WITH {POINTS} SELECT i, k AS j, round(ra + rb - d, 6) AS overlap FROM d WHERE i < k AND d < ra + rb AND ra + rb - d > 0.005::double")
 def clashes(spark, d):
     return _rounded(structures.clashes(points(spark, d), LARGEST_RADIUS, 0.005), "overlap")
