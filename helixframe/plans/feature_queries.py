@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import arrays as a, geometry as g
-from helixframe.operators import exact_sums, relational, restraints, structures, templates, windows
+from helixframe.operators import exact_sums, relational, restraints, store, structures, templates, windows
 from helixframe.plans.registry import query
-from helixframe.plans.tables import table
+from helixframe.plans.tables import LARGEST_RADIUS, POINTS, points, table
+from helixframe.sources import sequences
 
 _KINDS = ("dist", "omega", "theta", "phi")
 
@@ -159,3 +160,73 @@ def atoms_by_target_atoms(spark, d):
         F.chr(65 + F.col("o_custkey") % 14).alias("chain"), (F.col("o_orderkey") % 500).cast("int").alias("num"), F.lit("A").alias("resname"), F.when(F.col("o_custkey") % 3 == 0, "OP1").otherwise("CA").alias("name")
     )
     return structures.filter_by_target_atoms(m, t).select("l_orderkey", "l_linenumber", "name")
+
+
+_NAMES = ("C", "N", "SG", "CA", "P", "O3'")
+_NAME = "[{}]".format(", ".join("'" + n.replace("'", "''") + "'" for n in _NAMES))
+
+
+@query(
+    f"""WITH {POINTS},
+        n AS (SELECT atom_idx, {_NAME}[(atom_idx % 6 + 1)::int] AS name, CASE WHEN atom_idx % 4 < 3 THEN 'CYS' ELSE 'GLY' END AS res, atom_idx // 25 AS num FROM p)
+        SELECT i, k AS j, round(ra + rb - d, 6) AS overlap FROM d JOIN n a ON a.atom_idx = i JOIN n b ON b.atom_idx = k
+        WHERE i < k AND d < ra + rb AND ra + rb - d > 0.005::double AND NOT (ca = cb AND a.num = b.num) AND NOT (a.res = 'CYS' AND b.res = 'CYS' AND a.name = 'SG' AND b.name = 'SG')
+            AND least(a.name, b.name) || '-' || greatest(a.name, b.name) NOT IN ('C-N', 'O3''-P')"""
+)
+def clashes_by_chemistry(spark, d):
+    """Atoms of several names, twenty-five ids to a residue number: bonds, bridges and residues of their own explain overlaps."""
+    name = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (F.col("atom_idx") % 6 + 1).cast("int"))
+    p = points(spark, d).withColumns({"name": name, "resname": F.when(F.col("atom_idx") % 4 < 3, "CYS").otherwise("GLY"), "num": F.expr("atom_idx div 25").cast("int")})
+    return structures.clashes(p, LARGEST_RADIUS, 0.005).withColumn("overlap", F.round("overlap", 6))
+
+
+_LINE = {
+    "n": "(10 + l_quantity % 4)::int", "cols": "CASE WHEN l_partkey % 6 = 0 THEN 9 ELSE (10 + l_quantity % 4)::int END", "identity": "l_orderkey % 130",
+}
+
+
+@query(
+    f"""WITH h AS (
+            SELECT l_suppkey AS structure_id, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1)::int AS hit,
+                   'T' || lpad((l_partkey % 100000)::varchar, 5, '0') AS label, {_LINE["n"]} AS n, {_LINE["cols"]} AS cols, {_LINE["identity"]} AS identity,
+                   l_linenumber - 1 AS q, (l_partkey % 900)::int AS t, (l_linenumber % 5)::int AS s, (l_quantity::int % 10)::int AS c, l_quantity / 100 AS prob FROM lineitem)
+        SELECT structure_id::varchar AS structure_id, hit, label, prob, identity / 100.0::double AS seqid, n::bigint AS places, (n * q + n * (n - 1) // 2)::bigint AS q_sum,
+               (n * t + n * (n - 1) // 2)::bigint AS t_sum, s AS similarity, c AS confidence FROM h WHERE cols >= 10 AND identity <= 105"""
+)
+def template_hits(spark, d):
+    """Line items as lines of template-hit files, a file for each supplier, parsed and their places matched."""
+    li = table(spark, d, "lineitem").select("*", (10 + F.col("l_quantity") % 4).cast("int").alias("n"))
+    first, start = F.col("l_linenumber"), (F.col("l_partkey") % 900 + 1).cast("int")
+    label = F.concat(F.lit("T"), F.lpad((F.col("l_partkey") % 100000).cast("string"), 5, "0"))
+    columns = F.when(F.col("l_partkey") % 6 == 0, 9).otherwise(F.col("n"))
+    span = lambda a: F.lpad(F.concat_ws("-", a, a + F.col("n") - 1), 9, " ")
+    row = F.concat(F.rpad(F.concat(F.lit("  1 "), label, F.lit(" from the table")), 69, " "), F.lpad(columns.cast("string"), 6, " "), span(first), F.lit(" "), span(start), F.lit(" (99)"))
+    stats = F.format_string(
+        "Probab=%.2f  E-value=1e-30  Score=200.1  Aligned_cols=12  Identities=%d%%  Similarity=0.5  Sum_probs=9.1  Template_Neff=8.0", F.col("l_quantity"), F.col("l_orderkey") % 130
+    )
+    letters = F.repeat(F.lit("A"), F.col("n"))
+    marks = F.substring(F.lit("=-.+|"), (F.col("l_linenumber") % 5 + 1).cast("int"), 1)
+    digit = (F.col("l_quantity").cast("int") % 10).cast("string")
+    empty = F.lit("")
+    block = F.array(
+        F.concat(F.lit(">"), label), stats, empty, empty, F.format_string("Q query %d %s 99 (99)", first, letters), F.lit("Q Consensus"), F.concat(F.lit(" " * 22), F.repeat(marks, F.col("n"))),
+        F.lit("T Consensus"), F.format_string("T %s %d %s 99 (99)", label, start, letters), F.lit("T ss"), F.lit("x"), F.concat(F.rpad(F.lit("Confidence"), 22, " "), F.repeat(digit, F.col("n"))), empty,
+    )
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", row.alias("row"), block.alias("block"))
+    files = li.groupBy(F.col("l_suppkey").cast("string").alias("structure_id")).agg(F.array_sort(F.collect_list(order)).alias("h"))
+    lines = F.concat(F.array(F.lit("Query q"), F.lit(""), F.lit(" No Hit")), F.transform("h", lambda x: x["row"]), F.array(F.lit("")), F.flatten(F.transform("h", lambda x: x["block"])))
+    hits = sequences.parse_hits(files.select("structure_id", F.posexplode(lines).alias("line_no", "line")))
+    places = sequences.hit_matches(hits).groupBy("structure_id", "hit").agg(
+        F.count("*").alias("places"), F.sum("q").alias("q_sum"), F.sum("t").alias("t_sum"), F.max("similarity").alias("similarity"), F.max("confidence").alias("confidence")
+    )
+    return hits.select("structure_id", "hit", "label", "prob", "seqid").join(places, ["structure_id", "hit"])
+
+
+@query(
+    """SELECT 'query' AS command, p_name, p_brand, p_size FROM part WHERE p_brand = 'Brand#12' UNION ALL SELECT 'delete', p_name, p_brand, p_size FROM part WHERE p_size IS DISTINCT FROM 15"""
+)
+def store_dispatched(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_size")
+    found = store.dispatch(parts, "query", {"col_name": "p_brand", "content": "Brand#12"})[1]
+    left = store.dispatch(parts, "delete", {"col_name": "p_size", "content": 15})[1]
+    return found.select(F.lit("query").alias("command"), "p_name", "p_brand", "p_size").unionByName(left.select(F.lit("delete").alias("command"), "p_name", "p_brand", "p_size"))

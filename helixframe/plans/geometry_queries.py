@@ -371,7 +371,21 @@ def polynomial_fit(spark, d):
     return curves.best_polynomial(rows, "curve", range(2, 7)).select("curve", "degree", F.round("rmse", 6).alias("rmse"))
 
 
-@query()
+@query(
+    f"""WITH {POINTS}, m AS (SELECT chain, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM p GROUP BY chain),
+        c AS (SELECT p.chain, mx, my, mz, x - mx AS x, y - my AS y, z - mz AS z FROM p JOIN m ON p.chain = m.chain),
+        s AS (SELECT *, x * x + y * y + z * z AS s FROM c),
+        g AS (
+            SELECT chain, any_value(mx) AS mx, any_value(my) AS my, any_value(mz) AS mz, avg(s) AS s, avg(x * x) AS xx, avg(x * y) AS xy, avg(x * z) AS xz, avg(y * y) AS yy, avg(y * z) AS yz,
+                   avg(z * z) AS zz, avg(x * s) / 2 AS sx, avg(y * s) / 2 AS sy, avg(z * s) / 2 AS sz FROM s GROUP BY chain),
+        k AS (
+            SELECT *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS det,
+                   sx * (yy * zz - yz * yz) - xy * (sy * zz - yz * sz) + xz * (sy * yz - yy * sz) AS da,
+                   xx * (sy * zz - yz * sz) - sx * (xy * zz - yz * xz) + xz * (xy * sz - sy * xz) AS db,
+                   xx * (yy * sz - sy * yz) - xy * (xy * sz - sy * xz) + sx * (xy * yz - yy * xz) AS dc FROM g)
+        SELECT chain, round(da / det + mx, 6) AS cx, round(db / det + my, 6) AS cy, round(dc / det + mz, 6) AS cz,
+               round(sqrt(s + (da / det) ** 2 + (db / det) ** 2 + (dc / det) ** 2), 6) AS radius FROM k"""
+)
 def sphere_fit(spark, d):
     return _rounded(curves.sphere_fit(points(spark, d), ["chain"]), "cx", "cy", "cz", "radius")
 
