@@ -67,32 +67,27 @@ def _digits(totals: Column, first: Column, last: Column) -> Column:
     return F.aggregate(F.sequence(first, last + 4), start, step)
 
 
-def _nearest(digits: Column, first: Column) -> Column:
-    """Digits of 32 bits, the least first and of limb first, as the nearest double."""
-    size = F.size(digits)
-    top = F.array_max(F.transform(digits, lambda d, i: F.when(d > 0, i + 1).otherwise(0)))  # one past the last digit that isn't zero
-    low = F.greatest(top - 3, F.lit(0))
+def _nearest(rows: DataFrame, digits: str, first: str) -> DataFrame:
+    """Adds _nearest: digits of 32 bits, the least first and of limb first, as the nearest double, halves to even.
 
-    def digit(i: Column) -> Column:
-        return F.coalesce(F.get(digits, i), F.lit(0).cast("bigint"))
-
-    rest = F.exists(F.slice(digits, 1, F.least(low, size)), lambda d: d > 0).cast("bigint")
+    Step by step, so that what several steps need is computed once.
+    """
+    d = F.col(digits)
+    top = F.array_max(F.transform(d, lambda x, i: F.when(x > 0, i + 1).otherwise(0)))  # one past the last digit that isn't zero
+    rows = rows.withColumn("_low", F.greatest(top - 3, F.lit(0)))
     # three digits hold 65 bits at least; a last bit stands for whatever is below, so that halves are told
-    high, middle, least = digit(low + 2), digit(low + 1), digit(low)
-    return _rounded(high, middle, least, rest) * _power((low + first) * 16) * _power((low + first) * 16)
-
-
-def _rounded(high: Column, middle: Column, least: Column, rest: Column) -> Column:
-    """high 2^64 + middle 2^32 + least and a bit for the rest, rounded to 53 bits, halves to even."""
-    bits = F.when(high > 0, F.length(F.bin(high)) + 64).when(middle > 0, F.length(F.bin(middle)) + 32).otherwise(F.length(F.bin(least)))
-    cut = F.greatest(bits - 53, F.lit(0))  # bits to drop, 43 at most
-    whole = ((high.cast(WIDE) * _wide(LIMB * LIMB)).cast(WIDE) + (middle.cast(WIDE) * _wide(LIMB)).cast(WIDE) + least.cast(WIDE)).cast(WIDE)
-    unit = _power(cut).cast("bigint")
-    dropped = F.pmod(whole, unit.cast(WIDE)).cast("bigint")
-    kept = ((whole - dropped.cast(WIDE)).cast(WIDE) / unit.cast(WIDE)).cast("bigint")
-    twice = dropped * 2
-    up = F.when((twice > unit) | ((twice == unit) & ((rest > 0) | (kept % 2 == 1))), 1).otherwise(0)
-    return (kept + up).cast("double") * _power(cut)
+    three = {f"_d{k}": F.coalesce(F.get(d, F.col("_low") + k), F.lit(0).cast("bigint")) for k in range(3)}
+    rows = rows.withColumns({**three, "_rest": F.exists(F.slice(d, F.lit(1), F.col("_low")), lambda x: x > 0)})
+    wide = [F.col(f"_d{k}").cast(WIDE) * _wide(LIMB**k) for k in range(3)]
+    bits = F.when(F.col("_d2") > 0, F.length(F.bin("_d2")) + 64).when(F.col("_d1") > 0, F.length(F.bin("_d1")) + 32).otherwise(F.length(F.bin("_d0")))
+    rows = rows.withColumns({"_whole": (wide[0] + wide[1] + wide[2]).cast(WIDE), "_cut": F.greatest(bits - 53, F.lit(0))})  # bits to drop, 43 at most
+    rows = rows.withColumn("_unit", _power(F.col("_cut")).cast("bigint"))
+    rows = rows.withColumn("_dropped", F.pmod("_whole", F.col("_unit").cast(WIDE)).cast("bigint"))
+    rows = rows.withColumn("_kept", ((F.col("_whole") - F.col("_dropped").cast(WIDE)).cast(WIDE) / F.col("_unit").cast(WIDE)).cast("bigint"))
+    twice, unit = F.col("_dropped") * 2, F.col("_unit")
+    up = F.when((twice > unit) | ((twice == unit) & (F.col("_rest") | (F.col("_kept") % 2 == 1))), 1).otherwise(0)
+    rows = rows.withColumns({"_mantissa": (F.col("_kept") + up).cast("double") * unit.cast("double"), "_half": _power((F.col("_low") + F.col(first)) * 16)})
+    return rows.withColumn("_nearest", F.col("_mantissa") * F.col("_half") * F.col("_half"))
 
 
 def finished(states: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -105,12 +100,20 @@ def finished(states: DataFrame, keys: list[str], name: str) -> DataFrame:
     plus = whole.withColumn("_plus", F.when(F.col("_first").isNotNull(), _digits(F.col("_totals"), F.col("_first"), F.col("_last"))))
     negative = F.col("_plus")["carry"] < 0
     turned = F.transform_values("_totals", lambda _, v: (-v).cast(WIDE))
-    sided = plus.withColumns({"_minus": negative, "_size": F.when(negative, _digits(turned, F.col("_first"), F.col("_last"))).otherwise(F.col("_plus"))})
-    size = _nearest(F.col("_size")["digits"], F.col("_first"))
-    finite = F.coalesce(F.when(F.col("_minus"), -size).otherwise(size), F.lit(0.0))
-    return sided.select(*keys, F.when(F.col("_other").isNotNull(), F.col("_other")).when(F.col("_n") > 0, finite).alias(name))
+    size = F.when(negative, _digits(turned, F.col("_first"), F.col("_last"))).otherwise(F.col("_plus"))
+    sized = plus.withColumns({"_minus": negative, "_size": size["digits"]})
+    placed = _nearest(sized, "_size", "_first")
+    finite = F.coalesce(F.when(F.col("_minus"), -F.col("_nearest")).otherwise(F.col("_nearest")), F.lit(0.0))
+    return placed.select(*keys, F.when(F.col("_other").isNotNull(), F.col("_other")).when(F.col("_n") > 0, finite).alias(name))
 
 
 def exact_sum(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """(keys, name): sums of value that are the same to the last bit however the rows are dealt."""
     return finished(sum_states(rows, keys, value), keys, name)
+
+
+def exact_sums(rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """(keys, names of values): the exact sums of several values, in one pass."""
+    entries = F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), v.cast("double").alias("_value")) for n, v in values.items()])).alias("_e")
+    sums = exact_sum(rows.select(*keys, entries).select(*keys, "_e.*"), [*keys, "_name"], "_value", "_sum")
+    return sums.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_sum"))).alias(n) for n in values])

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.exact_sums import exact_sums
 
 GAP, BREAK, UNDEFINED = -1.0, -2.0, -3.0
 
@@ -26,35 +27,38 @@ def difference_and_reference(kind: int, t: Column, m: Column) -> tuple[Column, C
     raise ValueError(f"no kind {kind}")
 
 
-def profile(merged: DataFrame, kind: int = 0, residues: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+def profile(merged: DataFrame, kind: int = 0, residues: DataFrame | None = None, keys: list[str] | None = None, exact: bool = False) -> DataFrame:
     """(keys, chain, num, class, difference, reference): sums by the residue at a.
 
     With residues (chain, num), theirs only, and all of them: one without contacts has a
-    row with a null class and zeros.
+    row with a null class and zeros. Exact sums are the same to the last bit in any order.
     """
     keys = keys or []
     diff, ref = difference_and_reference(kind, F.col("t_area"), F.col("m_area"))
-    sums = merged.groupBy(*keys, F.col("a_chain").alias("chain"), F.col("a_num").alias("num"), "class").agg(
-        F.sum(diff).alias("difference"), F.sum(ref).alias("reference")
-    )
+    named = merged.withColumns({"chain": F.col("a_chain"), "num": F.col("a_num")})
+    sums = _summed(named, [*keys, "chain", "num", "class"], {"difference": diff, "reference": ref}, exact)
     if residues is None:
         return sums
     zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("difference", "reference")}
     return residues.select(*keys, "chain", "num").distinct().join(sums, [*keys, "chain", "num"], "left").withColumns(zero)
 
 
-def global_scores(profiles: DataFrame, minimum: bool = False, keys: list[str] | None = None) -> DataFrame:
+def _summed(rows: DataFrame, keys: list[str], values: dict[str, Column], exact: bool) -> DataFrame:
+    if exact:
+        return exact_sums(rows, keys, values)
+    return rows.groupBy(*keys).agg(*[F.sum(v).alias(n) for n, v in values.items()])
+
+
+def global_scores(profiles: DataFrame, minimum: bool = False, keys: list[str] | None = None, exact: bool = False) -> DataFrame:
     """(keys, class, difference, reference, score, residues) over residues of positive reference; score 0 if there is none.
 
-    minimum caps each residue's difference at its reference.
+    minimum caps each residue's difference at its reference. Exact sums don't depend on order.
     """
     used = F.col("reference") > 0
     diff = F.least("difference", "reference") if minimum else F.col("difference")
-    sums = profiles.filter("class is not null").groupBy(*(keys or []), "class").agg(
-        F.coalesce(F.sum(F.when(used, diff)), F.lit(0.0)).alias("difference"),
-        F.coalesce(F.sum(F.when(used, F.col("reference"))), F.lit(0.0)).alias("reference"),
-        F.count_if(used).alias("residues"),
-    )
+    values = {"difference": F.when(used, diff), "reference": F.when(used, F.col("reference")), "residues": F.when(used, 1.0).otherwise(0.0)}
+    sums = _summed(profiles.filter("class is not null"), [*(keys or []), "class"], values, exact)
+    sums = sums.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("difference", "reference")} | {"residues": F.col("residues").cast("long")})
     score = F.when(F.col("reference") > 0, 1 - F.try_divide("difference", "reference")).otherwise(F.lit(0.0))
     return sums.withColumn("score", score)
 

@@ -99,6 +99,25 @@ def cad_global_min(spark, d):
     return _globals(spark, d, True)
 
 
+_LIMB = "17592186044416"  # areas are whole multiples of its reciprocal
+
+
+def _exact(value: str) -> str:
+    return f"sum(({value} * {_LIMB})::hugeint)::varchar::double / {_LIMB}"
+
+
+@query(
+    f"""WITH {MERGED}, f AS (SELECT a_chain, a_num, class, {_exact("abs(t_area - m_area)")} AS difference, {_exact("t_area")} AS reference FROM j GROUP BY ALL),
+        g AS (
+            SELECT class, coalesce({_exact("CASE WHEN reference > 0 THEN difference END")}, 0) AS difference, coalesce({_exact("CASE WHEN reference > 0 THEN reference END")}, 0) AS reference,
+                   count(*) FILTER (reference > 0) AS residues FROM f GROUP BY class)
+        SELECT *, CASE WHEN reference > 0 THEN 1 - difference / reference ELSE 0 END AS score FROM g"""
+)
+def cad_global_exact(spark, d):
+    """Not rounded: every sum is exact."""
+    return scoring.global_scores(scoring.profile(merged(spark, d), 1, exact=True), exact=True)
+
+
 def _residue_counts(spark, d, status):
     return contacts(spark, d, status).groupBy(F.col("a_chain").alias("chain"), F.col("a_num").alias("num")).agg(F.count("*").alias("atoms"))
 

@@ -8,7 +8,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from helixframe.operators import exact_sums
+from helixframe.operators import exact_sums, scoring
 
 
 def bits(x):
@@ -69,3 +69,17 @@ def test_nulls_and_values_that_are_not_finite(spark):
 def test_no_python_in_the_plan(spark):
     plan = exact_sums.exact_sum(spark.range(3).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("v")), ["k"], "v", "s")._jdf.queryExecution().toString()
     assert "Python" not in plan
+
+
+def test_scores_do_not_depend_on_order(spark):
+    random.seed(3)
+    data = [("AB"[i % 2], i % 5, "A", i, "AA", random.random() * 10.0 ** random.randint(-8, 8), random.random()) for i in range(600)]
+    merged = spark.createDataFrame(data, "a_chain string, a_num int, b_chain string, b_num int, class string, t_area double, m_area double")
+    found = []
+    for n, seed in ((1, 1), (6, 2)):
+        profiles = scoring.profile(merged.repartition(n, F.rand(seed)), 1, exact=True)
+        found.append((sorted(map(tuple, profiles.collect())), scoring.global_scores(profiles, exact=True).first()))
+    assert found[0] == found[1]
+    of = {(c, n): math.fsum(t for a, k, _, _, _, t, _ in data if (a, k) == (c, n)) for c in "AB" for n in range(5)}
+    assert {(r[0], r[1]): r[4] for r in found[0][0]} == of
+    assert found[0][1]["reference"] == math.fsum(of.values()) and found[0][1]["residues"] == 10
