@@ -69,12 +69,20 @@ def pattern_options(residue: Column, atom: Column) -> Column:
     return F.concat(with_residue(residue), with_residue(F.lit("*")))
 
 
+#: The most patterns that are broadcast; the rows with all their options never are.
+BROADCAST_PATTERNS = 200_000
+
+
 def first_match_lookup(rows: DataFrame, patterns: DataFrame, options: Column, keys: list[str], pattern_col: str = "pattern", value_cols=("value",), required: bool = False) -> DataFrame:
     """Joins the best-ranked pattern; rows without any keep nulls or, if one is required, are an error where they are met.
 
-    The pattern table is a dictionary that Spark broadcasts when it is small enough.
+    The pattern table is counted, and broadcast where it is a dictionary; a larger one is
+    joined by shuffles. Spark, left to itself, would take a file's size for that of its rows'
+    options, and broadcast those.
     """
     ranked = rows.select("*", F.posexplode(options).alias("_rank", "_option"))
+    few = patterns.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS
+    ranked, patterns = (ranked, F.broadcast(patterns)) if few else (ranked.hint("merge"), patterns)
     hits = ranked.join(patterns, F.col("_option") == F.col(pattern_col)).groupBy(*keys)
     best = hits.agg(*[F.min_by(v, "_rank").alias(v) for v in value_cols])
     if not required:
