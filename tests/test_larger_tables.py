@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from helixframe import plans
-from helixframe.operators import relational
+from helixframe.operators import relational, structures
 
 
 def plan_of(df) -> str:
@@ -28,3 +31,34 @@ def test_rows_with_their_options_are_not_broadcast(spark, most, monkeypatch):
 def test_parts_are_not_broadcast(spark, sf_dir):
     plan = plan_of(plans.QUERIES["first_match_lookup"](spark, sf_dir))
     assert "BuildLeft" not in "".join(line for line in plan.splitlines() if "pattern#" in line)
+
+
+def exchanged_after_join(df) -> bool:
+    """Whether rows are shuffled above (in the plan's text, before) the topmost join."""
+    lines = plan_of(df).splitlines()
+    top = next(i for i, line in enumerate(lines) if "Join" in line or "CoGroup" in line)
+    return any("Exchange" in line for line in lines[:top])
+
+
+@pytest.mark.parametrize("name", ["chain_distances", "min_distance"])
+def test_pairs_of_residues_are_not_shuffled(spark, sf_dir, name):
+    assert not exchanged_after_join(plans.QUERIES[name](spark, sf_dir))
+
+
+@pytest.mark.parametrize("radius, keys, block", [(None, ["s"], 3), (None, None, 1000), (0.9, ["s"], 3), (0.3, None, 3), (5.0, ["s"], 3)])
+def test_gaps_of_residues_with_several_atoms(spark, radius, keys, block, monkeypatch):
+    """Residues that reach over many cells, whatever the blocks, against loops."""
+    monkeypatch.setattr(structures, "BLOCK", block)
+    random.seed(6)
+    data = [(s, "AB"[n % 2], n // 2, tuple(random.uniform(-1, 1) + n % 5 * 0.3 for _ in "xyz"), 0.1 + 0.01 * k) for s in "st" for n in range(14) for k in range(1 + n % 4)]
+    atoms = spark.createDataFrame(data, "s string, chain string, num int, p struct<x:double,y:double,z:double>, r double")
+    expected = {}
+    for s, c, n, p, r in data:
+        for s2, c2, n2, p2, r2 in data:
+            d = math.dist(p, p2)
+            if (keys is None or s == s2) and (c, n) != (c2, n2) and (radius is None or d <= radius):
+                at = ((s,) if keys else ()) + (c, n, c2, n2)
+                expected[at] = min(expected.get(at, math.inf), d - r - r2)
+    found = structures.min_residue_distance(atoms, radius, 0.2, keys).collect()
+    assert len(found) == len(expected)
+    assert {tuple(r)[:-1]: pytest.approx(r["gap"], abs=1e-9) for r in found} == expected
