@@ -196,17 +196,19 @@ def stacking_labels(contacts: DataFrame, planes: DataFrame, side_atoms: DataFram
 
     planes: (chain, num, origin, normal) of residue a's ring; side_atoms: (chain, num, p).
     All of b's atoms on one side of the plane make the contact na_stacking, and _up or
-    _down; otherwise it is na_siding.
+    _down; otherwise it is na_siding. Atoms in one place count once, and what faces a plane
+    is told once for each plane, however many contacts ask.
     """
     keys = keys or []
     ss = contacts.filter(F.col("class") == "SS")
     named = planes.select(*keys, F.col("chain").alias("a_chain"), F.col("num").alias("a_num"), "origin", "normal")
-    atoms = side_atoms.select(*keys, F.col("chain").alias("b_chain"), F.col("num").alias("b_num"), "p")
-    sided = ss.join(named, [*keys, "a_chain", "a_num"]).join(atoms, [*keys, "b_chain", "b_num"])
-    sides = sided.groupBy(*keys, *ENDS, "area").agg(
-        F.min(halfspace(F.col("p"), F.col("origin"), F.col("normal"))).alias("low"),
-        F.max(halfspace(F.col("p"), F.col("origin"), F.col("normal"))).alias("high"),
-    )
+    atoms = side_atoms.select(*keys, F.col("chain").alias("b_chain"), F.col("num").alias("b_num"), "p").distinct()
+    faced = ss.join(named, [*keys, "a_chain", "a_num"]).withColumn("plane", F.struct("origin", "normal")).drop("origin", "normal")
+    asked = faced.select(*keys, "b_chain", "b_num", "plane").distinct()
+    side = halfspace(F.col("p"), F.col("plane.origin"), F.col("plane.normal"))
+    told = asked.join(atoms, [*keys, "b_chain", "b_num"]).withColumn("side", side).groupBy(*keys, "b_chain", "b_num", "plane").agg(F.min("side").alias("low"), F.max("side").alias("high"))
+    on = [F.col(f"f.{k}") == F.col(f"t.{k}") for k in (*keys, "b_chain", "b_num")] + [F.col("f.plane").eqNullSafe(F.col("t.plane"))]
+    sides = faced.alias("f").join(told.alias("t"), on).select("f.*", "t.low", "t.high").groupBy(*keys, *ENDS, "area").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     labels = F.when((F.col("low") == F.col("high")) & (F.col("low") != 0), F.array(F.lit("na_stacking"), F.when(F.col("low") > 0, "na_stacking_up").otherwise("na_stacking_down")))
     added = sides.select(*keys, *ENDS, F.explode(labels.otherwise(F.array(F.lit("na_siding")))).alias("class"), "area")
     return contacts.unionByName(added.select(contacts.columns))

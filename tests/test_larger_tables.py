@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from helixframe import plans
-from helixframe.operators import relational, structures
+from helixframe.operators import contacts, relational, structures
 
 
 def plan_of(df) -> str:
@@ -62,3 +63,18 @@ def test_gaps_of_residues_with_several_atoms(spark, radius, keys, block, monkeyp
     found = structures.min_residue_distance(atoms, radius, 0.2, keys).collect()
     assert len(found) == len(expected)
     assert {tuple(r)[:-1]: pytest.approx(r["gap"], abs=1e-9) for r in found} == expected
+
+
+def test_stacking_counts_a_place_once(spark):
+    """Atoms in one place and residues with one plane make no more pairs than there are places and planes."""
+    point = lambda x, y, z: F.struct(*[F.lit(float(v)).alias(c) for v, c in zip((x, y, z), "xyz", strict=True)])
+    rows = spark.range(40).select(F.lit("A").alias("a_chain"), F.col("id").cast("int").alias("a_num"), F.lit("B").alias("b_chain"), (F.col("id") % 3).cast("int").alias("b_num"), F.lit("SS").alias("class"), F.col("id").cast("double").alias("area"))
+    planes = spark.range(40).select(F.lit("A").alias("chain"), F.col("id").cast("int").alias("num"), point(0, 0, 0).alias("origin"), point(0, 0, 1).alias("normal"))
+    height = F.when(F.col("id") % 3 == 0, 1.0).when(F.col("id") % 3 == 1, -1.0).otherwise(F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0))
+    atoms = spark.range(3000).select(F.lit("B").alias("chain"), (F.col("id") % 3).cast("int").alias("num"), F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), height.alias("z")).alias("p"))
+    found = contacts.stacking_labels(rows, planes, atoms)
+    added = sorted((r["a_num"], r["class"]) for r in found.collect() if r["class"] != "SS")
+    assert added == sorted((i, c) for i in range(40) for c in (["na_stacking", "na_stacking_up"], ["na_stacking", "na_stacking_down"], ["na_siding"])[i % 3])
+    #  places, and the planes that ask for them
+    assert len(re.findall("Deduplicate|Distinct", found._jdf.queryExecution().analyzed().toString())) == 2
+    assert contacts.stacking_labels(rows, planes, atoms.limit(0)).count() == 40
