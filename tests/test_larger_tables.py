@@ -78,3 +78,8 @@ def test_stacking_counts_a_place_once(spark):
     #  places, and the planes that ask for them
     assert len(re.findall("Deduplicate|Distinct", found._jdf.queryExecution().analyzed().toString())) == 2
     assert contacts.stacking_labels(rows, planes, atoms.limit(0)).count() == 40
+
+
+def test_template_pairs_are_not_shuffled(spark, sf_dir):
+    lines = [line for line in plan_of(plans.QUERIES["template_pairs"](spark, sf_dir)).splitlines() if "Exchange hashpartitioning" in line]
+    assert lines and not any("_t1#" in line or "_t2#" in line for line in lines)
