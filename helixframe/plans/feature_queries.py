@@ -195,31 +195,36 @@ _LINE = {
 )
 def template_hits(spark, d):
     """Line items as lines of template-hit files, a file for each supplier, parsed and their places matched."""
-    li = table(spark, d, "lineitem").select("*", (10 + F.col("l_quantity") % 4).cast("int").alias("n"))
-    first, start = F.col("l_linenumber"), (F.col("l_partkey") % 900 + 1).cast("int")
-    label = F.concat(F.lit("T"), F.lpad((F.col("l_partkey") % 100000).cast("string"), 5, "0"))
-    columns = F.when(F.col("l_partkey") % 6 == 0, 9).otherwise(F.col("n"))
-    span = lambda a: F.lpad(F.concat_ws("-", a, a + F.col("n") - 1), 9, " ")
-    row = F.concat(F.rpad(F.concat(F.lit("  1 "), label, F.lit(" from the table")), 69, " "), F.lpad(columns.cast("string"), 6, " "), span(first), F.lit(" "), span(start), F.lit(" (99)"))
-    stats = F.format_string(
-        "Probab=%.2f  E-value=1e-30  Score=200.1  Aligned_cols=12  Identities=%d%%  Similarity=0.5  Sum_probs=9.1  Template_Neff=8.0", F.col("l_quantity"), F.col("l_orderkey") % 130
-    )
-    letters = F.repeat(F.lit("A"), F.col("n"))
-    marks = F.substring(F.lit("=-.+|"), (F.col("l_linenumber") % 5 + 1).cast("int"), 1)
-    digit = (F.col("l_quantity").cast("int") % 10).cast("string")
-    empty = F.lit("")
-    block = F.array(
-        F.concat(F.lit(">"), label), stats, empty, empty, F.format_string("Q query %d %s 99 (99)", first, letters), F.lit("Q Consensus"), F.concat(F.lit(" " * 22), F.repeat(marks, F.col("n"))),
-        F.lit("T Consensus"), F.format_string("T %s %d %s 99 (99)", label, start, letters), F.lit("T ss"), F.lit("x"), F.concat(F.rpad(F.lit("Confidence"), 22, " "), F.repeat(digit, F.col("n"))), empty,
-    )
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", row.alias("row"), block.alias("block"))
-    files = li.groupBy(F.col("l_suppkey").cast("string").alias("structure_id")).agg(F.array_sort(F.collect_list(order)).alias("h"))
-    lines = F.concat(F.array(F.lit("Query q"), F.lit(""), F.lit(" No Hit")), F.transform("h", lambda x: x["row"]), F.array(F.lit("")), F.flatten(F.transform("h", lambda x: x["block"])))
-    hits = sequences.parse_hits(files.select("structure_id", F.posexplode(lines).alias("line_no", "line")))
-    places = sequences.hit_matches(hits).groupBy("structure_id", "hit").agg(
+    #  a file's items are shuffled as numbers, and become lines where the file is
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    files = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("structure_id")).agg(F.array_sort(F.collect_list(order)).alias("h"))
+    n = lambda x: (10 + x["l_quantity"] % 4).cast("int")
+    start = lambda x: (x["l_partkey"] % 900 + 1).cast("int")
+    label = lambda x: F.concat(F.lit("T"), F.lpad((x["l_partkey"] % 100000).cast("string"), 5, "0"))
+    span = lambda a, x: F.lpad(F.concat_ws("-", a, a + n(x) - 1), 9, " ")
+
+    def row(x):
+        columns = F.when(x["l_partkey"] % 6 == 0, 9).otherwise(n(x))
+        return F.concat(F.rpad(F.concat(F.lit("  1 "), label(x), F.lit(" from the table")), 69, " "), F.lpad(columns.cast("string"), 6, " "), span(x["l_linenumber"], x), F.lit(" "), span(start(x), x), F.lit(" (99)"))
+
+    def block(x):
+        stats = F.format_string(
+            "Probab=%.2f  E-value=1e-30  Score=200.1  Aligned_cols=12  Identities=%d%%  Similarity=0.5  Sum_probs=9.1  Template_Neff=8.0", x["l_quantity"], x["l_orderkey"] % 130
+        )
+        letters, empty = F.repeat(F.lit("A"), n(x)), F.lit("")
+        marks = F.substr(F.lit("=-.+|"), (x["l_linenumber"] % 5 + 1).cast("int"), F.lit(1))
+        digit = (x["l_quantity"].cast("int") % 10).cast("string")
+        return F.array(
+            F.concat(F.lit(">"), label(x)), stats, empty, empty, F.format_string("Q query %d %s 99 (99)", x["l_linenumber"], letters), F.lit("Q Consensus"), F.concat(F.lit(" " * 22), F.repeat(marks, n(x))),
+            F.lit("T Consensus"), F.format_string("T %s %d %s 99 (99)", label(x), start(x), letters), F.lit("T ss"), F.lit("x"), F.concat(F.rpad(F.lit("Confidence"), 22, " "), F.repeat(digit, n(x))), empty,
+        )
+
+    lines = F.concat(F.array(F.lit("Query q"), F.lit(""), F.lit(" No Hit")), F.transform("h", row), F.array(F.lit("")), F.flatten(F.transform("h", block)))
+    hits = sequences.parse_hit_files(files.select("structure_id", lines.alias("lines")))
+    places = sequences.hit_matches(hits, also=["prob", "seqid"]).groupBy("structure_id", "hit", "label", "prob", "seqid")
+    return places.agg(
         F.count("*").alias("places"), F.sum("q").alias("q_sum"), F.sum("t").alias("t_sum"), F.max("similarity").alias("similarity"), F.max("confidence").alias("confidence")
     )
-    return hits.select("structure_id", "hit", "label", "prob", "seqid").join(places, ["structure_id", "hit"])
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.functions import geometry as g
 from helixframe.functions.text import without_insertions
 from helixframe.operators.relational import with_earlier
 
@@ -32,49 +33,61 @@ def parse_a3m(rows: DataFrame) -> DataFrame:
 def parse_hits(rows: DataFrame, database: DataFrame | None = None, most_identity: float = 105.0, least_columns: int = 10) -> DataFrame:
     """(structure_id, hit, label, qstart, tstart, query, template, similarity, confidence, prob, seqid, neff) of template-hit files.
 
-    The table of hits and the blocks that start with ">" correspond by order. Hits that are
-    short, not in the database (name) or too similar are left out.
+    rows: (structure_id, line_no, line). The table of hits and the blocks that start with ">"
+    correspond by order. Hits that are short, not in the database (name) or too similar are
+    left out.
     """
-    files = rows.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.rtrim("line").alias("l")))).alias("_l"))
-    files = files.select("structure_id", F.transform("_l", lambda x: x["l"]).alias("l"))
+    files = rows.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
+    return parse_hit_files(files.select("structure_id", F.transform("_l", lambda x: x["line"]).alias("lines")), database, most_identity, least_columns)
+
+
+def parse_hit_files(files: DataFrame, database: DataFrame | None = None, most_identity: float = 105.0, least_columns: int = 10) -> DataFrame:
+    """parse_hits of whole files (structure_id, lines), lines in order; a row of the table and its block meet inside the file, so nothing is shuffled."""
+    files = files.select("structure_id", F.transform("lines", lambda x: F.rtrim(x)).alias("l"))
     first = F.array_position("l", "") + 2
     rest = F.slice("l", first, F.size("l"))
     listed = F.slice(rest, F.lit(1), F.greatest(F.array_position(rest, "") - 1, F.lit(0)))
-    table = files.select("structure_id", F.posexplode(listed).alias("hit", "row"))
-    number = lambda a, n: F.get(F.split(F.trim(F.substring("row", a, n)), "-"), 0).try_cast("int")
-    table = table.select(
-        "structure_id", "hit", F.trim(F.substring("row", 5, 6)).alias("label"), (number(76, 9) - 1).alias("qstart"), (number(86, 9) - 1).alias("tstart"), number(70, 6).alias("columns")
-    )
     starts = F.filter(F.transform("l", lambda x, i: F.when(x.startswith(">"), i)), lambda i: i.isNotNull())
-    blocks = files.select("structure_id", "l", F.posexplode(starts).alias("hit", "at"))
-    word = lambda k: F.get(F.split(F.trim(F.get("l", F.col("at") + k)), r"\s+"), 3)
-    stat = lambda k: F.get(F.regexp_extract_all(F.get("l", F.col("at") + 1), F.lit(r"=\s*([-+0-9.eE]+)"), F.lit(1)), k).try_cast("double")
+    number = lambda a, n: F.get(F.split(F.trim(F.substring("row", a, n)), "-"), 0).try_cast("int")
+    #  a row and the lines of its block, so that a file isn't repeated for each of its hits
+    block = lambda at: F.array(*[F.get("l", at + k) for k in range(12)])
+    met = F.transform(F.arrays_zip(listed.alias("row"), starts.alias("at")), lambda x, i: F.struct(i.alias("hit"), x["row"].alias("row"), block(x["at"]).alias("b"), x["at"].isNotNull().alias("has")))
+    met = F.filter(met, lambda x: x["row"].isNotNull() & x["has"])
+    blocks = files.select("structure_id", F.explode(met).alias("m")).select("structure_id", "m.hit", "m.row", F.col("m.b").alias("l"))
+    blocks = blocks.filter(number(70, 6) >= least_columns)
+    word = lambda k: F.get(F.split(F.trim(F.get("l", k)), r"\s+"), 3)
+    stat = lambda k: F.get(F.regexp_extract_all(F.get("l", 1), F.lit(r"=\s*([-+0-9.eE]+)"), F.lit(1)), k).try_cast("double")
     blocks = blocks.select(
-        "structure_id", "hit", word(4).alias("query"), word(8).alias("template"),
-        F.substr(F.get("l", F.col("at") + 6), F.lit(23)).alias("similarity"), F.substr(F.get("l", F.col("at") + 11), F.lit(23)).alias("confidence"),
+        "structure_id", "hit", F.trim(F.substring("row", 5, 6)).alias("label"), (number(76, 9) - 1).alias("qstart"), (number(86, 9) - 1).alias("tstart"), word(4).alias("query"), word(8).alias("template"),
+        F.substr(F.get("l", 6), F.lit(23)).alias("similarity"), F.substr(F.get("l", 11), F.lit(23)).alias("confidence"),
         (stat(0) / 100).alias("prob"), (stat(4) / 100).alias("seqid"), (stat(7) / 10).alias("neff"),
     )
-    found = table.filter(F.col("columns") >= least_columns).join(blocks, ["structure_id", "hit"]).filter(F.col("seqid") * 100 <= most_identity)
-    return (found if database is None else found.join(database.select(F.col("name").alias("label")), "label", "left_semi")).drop("columns")
+    found = blocks.filter(F.col("seqid") * 100 <= most_identity)
+    return found if database is None else found.join(database.select(F.col("name").alias("label")), "label", "left_semi")
 
 
-def hit_matches(hits: DataFrame, least: int = 10) -> DataFrame:
-    """(structure_id, hit, label, q, t, similarity, confidence): matched places of hits with at least so many.
+def hit_matches(hits: DataFrame, least: int = 10, also: list[str] | None = None) -> DataFrame:
+    """(structure_id, hit, label, also, q, t, similarity, confidence): matched places of hits with at least so many.
 
     Similarity is a place in "=-.+|", confidence a digit; -1 where there is none. Running
-    places are counted along the columns of a hit, which are few.
+    places are counted along the columns of a hit, which are few, inside its row.
     """
-    letter = lambda c: F.split(c, "")
-    columns = F.arrays_zip(letter("query").alias("q"), letter("template").alias("t"), letter("similarity").alias("s"), letter("confidence").alias("c"))
-    rows = hits.select("structure_id", "hit", "label", "qstart", "tstart", F.posexplode(columns).alias("col", "x")).select("*", "x.*").drop("x").filter("q is not null and t is not null")
-    order = Window.partitionBy("structure_id", "hit").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
-    seen = lambda c: F.sum((F.col(c) != "-").cast("int")).over(order)
-    placed = rows.select(
-        "structure_id", "hit", "label",
-        (F.col("qstart") + seen("q") - 1).alias("q"), (F.col("tstart") + seen("t") - 1).alias("t"),
-        (F.instr(F.lit("=-.+|"), F.coalesce("s", F.lit(" "))) - 1).alias("similarity"), (F.instr(F.lit("0123456789"), F.coalesce("c", F.lit(" "))) - 1).alias("confidence"),
-    ).filter("similarity >= 0")
-    return placed.withColumn("_n", F.count("*").over(Window.partitionBy("structure_id", "hit"))).filter(F.col("_n") >= least).drop("_n")
+    of = F.struct("qstart", "tstart", "query", "template", "similarity", "confidence")
+    seen = lambda line, i: F.length(F.replace(F.substr(line, F.lit(1), i + 1), F.lit("-"), F.lit("")))
+    #  past its end a line has the empty string, which instr would find
+    code = lambda letters, line, i: F.when(i < F.length(line), F.instr(F.lit(letters), F.substr(line, i + 1, F.lit(1))) - 1).otherwise(-1)
+
+    def places(h):
+        place = lambda i: F.struct(
+            (h["qstart"] + seen(h["query"], i) - 1).alias("q"), (h["tstart"] + seen(h["template"], i) - 1).alias("t"),
+            code("=-.+|", h["similarity"], i).alias("similarity"), code("0123456789", h["confidence"], i).alias("confidence"),
+        )
+        n = F.least(F.length(h["query"]), F.length(h["template"]))
+        whole = h["query"].isNotNull() & h["template"].isNotNull() & h["similarity"].isNotNull() & h["confidence"].isNotNull() & (n > 0)
+        return F.when(whole, F.filter(F.transform(F.sequence(F.lit(0), n - 1), place), lambda x: x["similarity"] >= 0))
+
+    enough = g.let(g.let(of, places), lambda found: F.when(F.size(found) >= least, found))
+    return hits.select("structure_id", "hit", "label", *(also or []), F.inline(enough))
 
 
 def read_archive_index(spark: SparkSession, path: str) -> DataFrame:

@@ -83,3 +83,8 @@ def test_stacking_counts_a_place_once(spark):
 def test_template_pairs_are_not_shuffled(spark, sf_dir):
     lines = [line for line in plan_of(plans.QUERIES["template_pairs"](spark, sf_dir)).splitlines() if "Exchange hashpartitioning" in line]
     assert lines and not any("_t1#" in line or "_t2#" in line for line in lines)
+
+
+def test_template_hits_are_shuffled_once(spark, sf_dir):
+    plan = plan_of(plans.QUERIES["template_hits"](spark, sf_dir))
+    assert sum("Exchange" in line for line in plan.splitlines()) == 1 and "Join" not in plan and "Window" not in plan
