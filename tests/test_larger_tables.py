@@ -88,3 +88,8 @@ def test_template_pairs_are_not_shuffled(spark, sf_dir):
 def test_template_hits_are_shuffled_once(spark, sf_dir):
     plan = plan_of(plans.QUERIES["template_hits"](spark, sf_dir))
     assert sum("Exchange" in line for line in plan.splitlines()) == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_voxels_are_not_shuffled(spark, sf_dir):
+    plan = plan_of(plans.QUERIES["residue_voxels"](spark, sf_dir))
+    assert "FlatMapCoGroupsInArrow" in plan and "explode" not in plan.split("FlatMapCoGroupsInArrow")[0] and not exchanged_after_join(plans.QUERIES["residue_voxels"](spark, sf_dir))
