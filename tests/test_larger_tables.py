@@ -7,11 +7,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from helixframe import plans
-from helixframe.operators import contacts, relational, structures, surfaces
+from helixframe.operators import contacts, frames, relational, structures, surfaces
 
 
 def plan_of(df) -> str:
@@ -121,3 +122,24 @@ def test_owners_of_crowded_vertices(measured, monkeypatch):
     at = np.take_along_axis(far, np.where(found < 0, np.arange(70)[:, None], found)[:, :, None], 2)[:, :, 0]
     assert np.allclose(at, far.min(axis=2), rtol=0, atol=1e-12)
     assert not np.isin(found, range(40, 50)).any()  # of copies the first
+
+
+def test_pairs_of_orientations_are_dealt_in_parts(spark, sf_dir):
+    """A cell's residues are dealt, so a crowd is no single task; nothing is shuffled once pairs are made."""
+    df = plans.QUERIES["residue_orientations"](spark, sf_dir)
+    assert "FlatMapCoGroupsInArrow" in plan_of(df) and "_part" in plan_of(df) and not exchanged_after_join(df)
+
+
+@pytest.mark.parametrize("at_once", [1, 100, 1 << 20])
+def test_orientations_however_many_at_once(at_once, monkeypatch):
+    monkeypatch.setattr(frames, "PAIRS_AT_ONCE", at_once)
+    rng = np.random.default_rng(5)
+    atoms = {f"{a}_{c}": rng.normal(0, 5, 40) for a in ("n", "ca", "cb") for c in "xyz"}
+    left = pa.table({"_o0": ["m"] * 40, "idx": list(range(40)), **atoms})
+    right = pa.table({"other": list(range(40)), **{k: v for k, v in atoms.items() if k[0] != "n"}})
+    found = frames._turned(left, right, ["model"], 9.0)
+    cb = np.stack([atoms[f"cb_{c}"] for c in "xyz"], axis=1)
+    near = {(i, j) for i in range(40) for j in range(40) if i != j and np.linalg.norm(cb[i] - cb[j]) <= 9}
+    assert sorted(zip(found["i"].to_pylist(), found["j"].to_pylist(), strict=True)) == sorted(near) and 100 < len(near) < 1500
+    assert found.column_names == ["model", "i", "j", "d", "omega", "theta", "phi"] and not any(c.null_count for c in found.columns)
+    assert frames._turned(left.slice(0, 0), right, ["model"], 9.0).schema.equals(found.schema) and frames._turned(left, right.slice(0, 0), ["model"], 9.0).num_rows == 0
