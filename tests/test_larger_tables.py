@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from helixframe import plans
 from helixframe.operators import contacts, frames, relational, structures, surfaces
+from helixframe.plans import geometry_queries
 
 
 def plan_of(df) -> str:
@@ -67,6 +68,44 @@ def test_gaps_of_residues_with_several_atoms(spark, radius, keys, block, monkeyp
     assert {tuple(r)[:-1]: pytest.approx(r["gap"], abs=1e-9) for r in found} == expected
 
 
+@pytest.mark.parametrize("name, dealt", [("chain_distances", "_i"), ("min_distance", "_part")])
+def test_pairs_of_single_atoms_are_made_by_the_join_alone(spark, sf_dir, name, dealt):
+    """No array function is evaluated for a pair of residues of one atom, the radius is the join's own condition, and crowds are dealt."""
+    lines = plan_of(plans.QUERIES[name](spark, sf_dir)).splitlines()
+    top = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert "SortMergeJoin" in lines[top] and f"{dealt}#" in lines[top] and (name == "chain_distances" or "SQRT" in lines[top])
+    assert not any("lambda" in line or "Filter" in line or "round(" in line for line in lines[: top + 1])
+
+
+@pytest.mark.parametrize("radius", [None, 1.0])
+@pytest.mark.parametrize("crowd", [1, 1000])
+def test_gaps_of_residues_with_one_atom_and_with_several(spark, radius, crowd, monkeypatch):
+    """Few have several atoms; places and radii may be null, and many share one cell."""
+    monkeypatch.setattr(structures, "CROWD", crowd)
+    random.seed(7)
+    data = [("A", n, tuple(random.uniform(-1, 1) for _ in "xyz"), None if n == 3 else 0.1) for n in range(20) for _ in range(3 if n in (5, 11) else 1)]
+    data.append(("A", 20, None, 0.1))
+    atoms = spark.createDataFrame(data, "chain string, num int, p struct<x:double,y:double,z:double>, r double")
+    expected = {}
+    for _, n, p, r in data:
+        for _, n2, p2, r2 in data:
+            d = math.dist(p, p2) if p and p2 else None
+            if n != n2 and (radius is None or d is not None and d <= radius):
+                gap = d - r - r2 if d is not None and r and r2 else None
+                expected[n, n2] = min((x for x in (expected.get((n, n2)), gap) if x is not None), default=None)
+    found = structures.min_residue_distance(atoms, radius, 0.2).collect()
+    assert len(found) == len(expected) == (420 if radius is None else len(expected)) and len(expected) > 50
+    assert {(r["a_num"], r["b_num"]): r["gap"] if r["gap"] is None else pytest.approx(r["gap"], abs=1e-9) for r in found} == expected
+
+
+def test_rounding_without_decimals(spark):
+    values = [None, 0.0, -0.0, 1.0000005, -1.0000005, 0.1234564, -0.1234565, 123456.7890125, 5e12, -5e12, math.inf, -math.inf, math.nan]
+    df = spark.createDataFrame([(v,) for v in values], "gap double")
+    same = lambda a, b: a == b or a is not None and b is not None and a != a and b != b
+    got = [r["gap"] for r in geometry_queries._rounded_many(df, "gap").collect()]
+    assert all(same(a, r["gap"]) for a, r in zip(got, geometry_queries._rounded(df, "gap").collect(), strict=True))
+
+
 def test_stacking_counts_a_place_once(spark):
     """Atoms in one place and residues with one plane make no more pairs than there are places and planes."""
     point = lambda x, y, z: F.struct(*[F.lit(float(v)).alias(c) for v, c in zip((x, y, z), "xyz", strict=True)])
