@@ -77,6 +77,19 @@ def test_pairs_of_single_atoms_are_made_by_the_join_alone(spark, sf_dir, name, d
     assert not any("lambda" in line or "Filter" in line or "round(" in line for line in lines[: top + 1])
 
 
+def test_residues_are_sent_to_so_many_blocks_at_most(spark, monkeypatch):
+    """However large a structure is, what is shuffled grows as its residues; every pair is still made once."""
+    monkeypatch.setattr(structures, "BLOCK", 2)
+    monkeypatch.setattr(structures, "BLOCKS", 4)
+    point = F.struct(F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    atoms = spark.range(60).select(F.lit("A").alias("chain"), F.col("id").cast("int").alias("num"), point.alias("p"), F.lit(0.25).alias("r"))
+    residues = atoms.select("chain", "num", "p", "r")
+    left, right, _ = structures._all_pairs(residues, residues, ["chain"], structures.BLOCK)
+    assert left.count() == right.count() == 4 * 60
+    found = {(r["a_num"], r["b_num"]): r["gap"] for r in structures.min_residue_distance(atoms, None, 0.25, ["chain"]).collect()}
+    assert found == {(i, j): abs(i - j) - 0.5 for i in range(60) for j in range(60) if i != j}
+
+
 @pytest.mark.parametrize("radius", [None, 1.0])
 @pytest.mark.parametrize("crowd", [1, 1000])
 def test_gaps_of_residues_with_one_atom_and_with_several(spark, radius, crowd, monkeypatch):
