@@ -149,6 +149,35 @@ def test_voxels_are_not_shuffled(spark, sf_dir):
     assert "FlatMapCoGroupsInArrow" in plan and "explode" not in plan.split("FlatMapCoGroupsInArrow")[0] and not exchanged_after_join(plans.QUERIES["residue_voxels"](spark, sf_dir))
 
 
+@pytest.mark.parametrize("atoms, boxes", [(1, 1), (7, 3), (1 << 15, 16)])
+def test_boxes_however_many_atoms_at_once(atoms, boxes, monkeypatch):
+    """A residue's cells leave the task as two lists for each type, and not as rows; no corner is lost at the box's border."""
+    monkeypatch.setattr(frames, "ATOMS_AT_ONCE", atoms)
+    monkeypatch.setattr(frames, "BOXES_AT_ONCE", boxes)
+    rng, bins, width, radius = np.random.default_rng(9), 5, 8.0, 7.0
+    turn = [np.linalg.qr(rng.normal(size=(3, 3)))[0] for _ in range(10)]
+    centres, at, kinds = rng.normal(0, 3, (10, 3)), rng.normal(0, 3, (60, 3)), ["CA", None, "O"] * 20
+    xyz = lambda p: {c: p[:, i] for i, c in enumerate("xyz")}
+    axes = {f"{a}{c}": np.array([t[i, j] for t in turn]) for i, a in enumerate("xyz") for j, c in enumerate("xyz")}
+    left, right = pa.table({"_o0": ["m"] * 10, "idx": list(range(10)), **xyz(centres), **axes}), pa.table({"type": kinds, **xyz(at)})
+    want = {}
+    for n, t in enumerate(turn):
+        for p, kind in zip(at - centres[n], kinds, strict=True):
+            place = (t @ p + width / 2) / (width / (bins - 1))
+            for corner in np.ndindex(2, 2, 2):
+                cell = np.floor(place).astype(int) + corner
+                share = np.prod(np.where(corner, place - np.floor(place), 1 - (place - np.floor(place))))
+                if math.dist(p, (0, 0, 0)) <= radius and (cell >= 0).all() and (cell < bins).all() and share > 1e-3:
+                    key = (n, kind, int(cell @ (bins * bins, bins, 1)))
+                    want[key] = want.get(key, 0) + share
+    found = frames._filled(left, right, ["model"], radius, width, bins, 1e-3)
+    assert found.num_rows == 30 and found.column_names == ["model", "residue", "type", "cell", "share"]
+    got = {(r["residue"], r["type"], c): s for r in found.to_pylist() for c, s in zip(r["cell"], r["share"], strict=True)}
+    assert got.keys() == want.keys() and len(got) > 500 and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in got)
+    none = frames._filled(left, right.slice(0, 0), ["model"], radius, width, bins, 1e-3)
+    assert none.num_rows == 0 and none.schema.equals(found.schema)
+
+
 def test_pairs_of_spheres_are_no_rows(spark, sf_dir):
     """Only owners leave the step that measures: the plan has no join or arg-min of pairs above it, and copies don't meet each other."""
     plan = plan_of(plans.QUERIES["mesh_contact_areas"](spark, sf_dir))
